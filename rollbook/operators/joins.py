@@ -7,14 +7,16 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rollbook.session import LITERAL_ROWS_MAX
-
 SALTS = 32
 
 
-def is_small(df: DataFrame, rows: int = LITERAL_ROWS_MAX) -> bool:
-    """Whether the frame holds at most ``rows`` rows.  Reads no more than that."""
-    return df.limit(rows + 1).count() <= rows
+# A looked-up table is broadcast only when counted within both bounds.
+BROADCAST_ROWS_MAX = 200_000
+BROADCAST_BYTES_MAX = 64 << 20
+
+
+def fits_broadcast(rows: int, text_bytes: int) -> bool:
+    return rows <= BROADCAST_ROWS_MAX and text_bytes <= BROADCAST_BYTES_MAX
 
 
 def spread_join(
@@ -28,13 +30,3 @@ def spread_join(
     salted = left.withColumn("_salt", F.pmod(F.xxhash64(*spread_by), F.lit(salts)).cast("int"))
     repeated = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return salted.join(repeated, [*keys, "_salt"], how).drop("_salt")
-
-
-def lookup_join(
-    left: DataFrame, right: DataFrame, keys: Sequence[str], spread_by: Sequence[str], how: str = "left", known_rows: int | None = None,
-) -> DataFrame:
-    """Broadcast ``right`` when its size is known or counted to be small, else spread the join."""
-    small = known_rows <= LITERAL_ROWS_MAX if known_rows is not None else is_small(right)
-    if small:
-        return left.join(F.broadcast(right), list(keys), how)
-    return spread_join(left, right, keys, spread_by, how)

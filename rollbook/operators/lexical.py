@@ -17,6 +17,7 @@ from rollbook.functions.text import fold_literal
 from rollbook.session import literal_frame
 
 GRAM = 3
+INDEXED = ""
 # Every overlapping run of three characters, in one linear regex pass.
 _GRAM_PATTERN = r"(?s)(?=(...))"
 
@@ -53,18 +54,26 @@ def expanded_search(
 
 
 def trigram_postings(df: DataFrame, id_column: str, columns: Sequence[str]) -> DataFrame:
-    """Posting rows ``(column_id, gram, id)``, each once per record and column."""
+    """Posting rows ``(column_id, gram, id)``, each once per record and column.
+
+    The empty gram marks a record as indexed, even when its text is NULL or
+    too short to hold a gram.
+    """
+    def grams(column: str) -> Column:
+        found = F.array_distinct(F.regexp_extract_all(F.lower(F.col(column)), F.lit(_GRAM_PATTERN), 1))
+        return F.concat(F.array(F.lit(INDEXED)), F.coalesce(found, F.array().cast("array<string>")))
+
     per_column = [
-        df.select(
-            F.lit(c).alias("column_id"),
-            F.explode(F.array_distinct(F.regexp_extract_all(F.lower(F.col(c)), F.lit(_GRAM_PATTERN), 1))).alias("gram"),
-            F.col(id_column),
-        )
-        for c in columns
+        df.select(F.lit(c).alias("column_id"), F.explode(grams(c)).alias("gram"), F.col(id_column)) for c in columns
     ]
     return reduce(DataFrame.unionByName, per_column)
 
 
+def indexed_ids(postings: DataFrame, id_column: str) -> DataFrame:
+    """Ids that went through the index build."""
+    return postings.filter(F.col("gram") == INDEXED).select(id_column).distinct()
+
+
 def write_trigram_index(postings: DataFrame, id_column: str, path: str) -> None:
     """Store postings and gram frequencies under ``path``.
 

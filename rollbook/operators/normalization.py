@@ -8,13 +8,13 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rollbook.fixed import MATCHED, UNKNOWN_VALUE_PREFIX, UNMATCHED
 from rollbook.functions.predicates import check, condition
-from rollbook.functions.text import clean_text, fold_literal, round_half_up, search_shadow
-from rollbook.operators.joins import lookup_join
+from rollbook.functions.text import clean_text, distinct_key, fold_literal, round_half_up, search_shadow
+from rollbook.operators.joins import fits_broadcast, spread_join
 from rollbook.session import LITERAL_ROWS_MAX, literal_frame
 
 Dictionary = Sequence[tuple[str, str, int, Sequence[str]]]
@@ -142,20 +142,26 @@ def apply_mappings(
     """Replace each column by canonical id and add its label and ordinal.
 
     Only accepted mappings apply; a value without one keeps its text as id and
-    label.  NULL stays NULL.  ``known_rows`` is the size of the map where the
-    caller knows it; otherwise it is counted before anything is broadcast, and
-    a large map is joined with hot values spread out.
+    label.  NULL stays NULL.  ``known_rows`` is the size of a map written in
+    the program; any other map is measured per column, in one job, before
+    anything is broadcast.  A column whose map is too large is joined with its
+    hot values spread out.
     """
+    accepted = mappings.filter(F.col("column_id").isin(list(columns)) & (F.col("status") == "accepted"))
+    small = set(columns) if known_rows is not None and fits_broadcast(known_rows, 0) else _small_maps(accepted)
     out = df
     for column in columns:
-        raw = F.col(column).cast("string")
-        accepted = mappings.filter((F.col("column_id") == column) & (F.col("status") == "accepted")).select(
+        lookup = accepted.filter(F.col("column_id") == column).select(
             F.col("raw_value").alias("_raw"),
             F.col("canonical_id").alias("_id"),
             F.col("canonical_label").alias("_label"),
             F.col("ordinal").alias("_ordinal"),
         )
-        joined = lookup_join(out.withColumn("_raw", raw), accepted, ["_raw"], [id_column], "left", known_rows)
+        keyed = out.withColumn("_raw", F.col(column).cast("string"))
+        if column in small:
+            joined = keyed.join(F.broadcast(lookup), "_raw", "left")
+        else:
+            joined = spread_join(keyed, lookup, ["_raw"], [id_column], "left")
         out = joined.withColumns({
             column: F.coalesce("_id", "_raw"),
             f"{column}_label": F.coalesce("_label", "_raw"),
@@ -164,7 +170,14 @@ def apply_mappings(
     return out
 
 
-def dictionary_mappings(spark, column: str, dictionary: Dictionary, raw_values: Mapping[str, str] | None = None) -> DataFrame:
+def _small_maps(accepted: DataFrame) -> set[str]:
+    """Columns whose map may be broadcast.  One row per column reaches the driver."""
+    size = F.octet_length("raw_value") + F.octet_length("canonical_id") + F.octet_length("canonical_label")
+    measured = accepted.groupBy("column_id").agg(F.count(F.lit(1)).alias("n"), F.sum(size).alias("bytes")).collect()
+    return {r["column_id"] for r in measured if fits_broadcast(r["n"], r["bytes"])}
+
+
+def dictionary_mappings(spark: SparkSession, column: str, dictionary: Dictionary) -> DataFrame:
     """A ready-made value map from a dictionary, for columns whose raw values are its names."""
     rows = []
     seen = set()
@@ -214,18 +227,26 @@ def ordinal_condition(column: str, operator: str, value, dictionary: Dictionary)
 
 
 def raw_preserved(raw: DataFrame, normalised: DataFrame, id_column: str, columns: Sequence[str]) -> DataFrame:
-    """Per text column: records, those equal to the cleaned raw text, those equal to it verbatim."""
-    before = raw.select(id_column, *[F.col(f"{c}_raw").alias(f"r_{c}") for c in columns])
-    pairs = before.join(normalised.select(id_column, *columns), id_column)
+    """Per text column: records, those equal to the cleaned raw text, those equal to it verbatim.
+
+    Texts meet as short keys that are equal exactly when the texts are, so the
+    join moves no long text.
+    """
+    before = raw.select(id_column, *[
+        key for c in columns for key in (
+            distinct_key(clean_text(F.col(f"{c}_raw"))).alias(f"clean_{c}"), distinct_key(F.col(f"{c}_raw")).alias(f"raw_{c}"),
+        )
+    ])
+    after = normalised.select(id_column, *[distinct_key(F.col(c)).alias(c) for c in columns])
     tests = F.array(*[
         F.struct(
             F.lit(c).alias("column_id"),
-            F.col(c).eqNullSafe(clean_text(F.col(f"r_{c}"))).alias("kept"),
-            F.col(c).eqNullSafe(F.col(f"r_{c}")).alias("verbatim"),
+            F.col(c).eqNullSafe(F.col(f"clean_{c}")).alias("kept"),
+            F.col(c).eqNullSafe(F.col(f"raw_{c}")).alias("verbatim"),
         )
         for c in columns
     ])
-    return pairs.select(F.inline(tests)).groupBy("column_id").agg(
+    return before.join(after, id_column).select(F.inline(tests)).groupBy("column_id").agg(
         F.count(F.lit(1)).alias("n_records"),
         F.count_if("kept").alias("n_preserved"),
         F.count_if("verbatim").alias("n_verbatim"),

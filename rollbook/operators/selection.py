@@ -71,8 +71,11 @@ def _trace(flags: DataFrame, f: Column, s: Column, operation: str) -> DataFrame:
 
 
 def restrict(df: DataFrame, ids: DataFrame, id_column: str) -> DataFrame:
-    """Rows whose id is a candidate; no column of the id frame leaks in."""
-    return df.join(ids, id_column, "left_semi")
+    """Rows whose id is a candidate; no column of the id frame leaks in.
+
+    Repeated ids collapse before the shuffle, so a hot id is one row there.
+    """
+    return df.join(ids.select(id_column).distinct(), id_column, "left_semi")
 
 
 def project(df: DataFrame, columns: Sequence[str], id_column: str) -> DataFrame:

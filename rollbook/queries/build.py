@@ -9,7 +9,7 @@ from rollbook.functions.text import clean_text as clean
 from rollbook.functions.text import search_shadow as shadow
 from rollbook.operators import normalization as nz
 from rollbook.operators import profiling
-from rollbook.operators.lexical import trigram_postings
+from rollbook.operators.lexical import indexed_ids, trigram_postings
 from rollbook.operators.validation import validate_build as check_build
 from rollbook.queries.filters import PRIORITIES, PRIORITY_SQL, orders_by_priority
 from rollbook.queries.registry import query, table
@@ -229,7 +229,7 @@ def apply_normalization_events(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("validate_build", """
 SELECT 'INFO' AS severity, 'fts' AS category, 'FTS index verified: ' || count(*) || ' records cleanly indexed.' AS message
-FROM documents WHERE length(text) >= 3
+FROM documents
 UNION ALL SELECT 'INFO', 'structure', 'Total records verified: ' || count(*) || ', total columns: 5' FROM documents
 """)
 def validate_build(spark: SparkSession, folder: str) -> DataFrame:
@@ -237,7 +237,7 @@ def validate_build(spark: SparkSession, folder: str) -> DataFrame:
     documents = table(spark, folder, "documents")
     raw = register.raw_view(documents, "doc_id", _DOCUMENT_COLUMNS, "documents", "doc_id")
     normalised = documents.select(F.col("doc_id").cast("string").alias("record_id"))
-    indexed = trigram_postings(documents, "doc_id", ["text"]).select(F.col("doc_id").cast("string").alias("record_id")).distinct()
+    indexed = indexed_ids(trigram_postings(documents.withColumn("record_id", F.col("doc_id").cast("string")), "record_id", ["text"]), "record_id")
     return check_build(raw, normalised, indexed, "record_id", len(_DOCUMENT_COLUMNS))
 
 

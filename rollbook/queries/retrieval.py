@@ -71,9 +71,10 @@ grams AS (
   SELECT doc_id, unnest(list_distinct(list_transform(range(1, greatest(len(c) - 1, 1)), lambda i: c[i] || c[i + 1] || c[i + 2]))) AS gram
   FROM chars)
 SELECT 'text' AS column_id, gram, count(*) AS n_records FROM grams GROUP BY gram
+UNION ALL SELECT 'text', '', count(*) FROM documents
 """)
 def trigram_index(spark: SparkSession, folder: str) -> DataFrame:
-    """Every gram of the whole texts with its number of records."""
+    """Every gram of the whole texts with its number of records; the empty gram counts them all."""
     postings = lexical.trigram_postings(table(spark, folder, "documents"), "doc_id", ["text"])
     return lexical.gram_frequencies(postings)
 
