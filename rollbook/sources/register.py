@@ -13,10 +13,13 @@ from rollbook.fixed import HEADER_IDS
 from rollbook.operators.evidence import apply_defaults
 from rollbook.session import materialise
 
-# Read back exactly what was written: quotes doubled, spaces kept.
+# Read back exactly what was written: quotes doubled, spaces kept, an empty
+# field NULL and a quoted empty field the empty string (which takes a NULL mark
+# that no field holds).
 CSV_OPTIONS = {
     "quote": '"', "escape": '"', "multiLine": True, "encoding": "UTF-8",
     "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False, "maxCharsPerColumn": -1,
+    "nullValue": "\x00null\x00",
 }
 
 FINDING_FIELDS = (
