@@ -11,12 +11,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 # Characters that NFKC leaves alone and that never combine with a neighbour:
-# ASCII, Latin letters, kana, common punctuation, unified ideographs, Hangul.
+# ASCII and Latin letters; then general punctuation, kana, ideographs, Hangul.
 # Text made only of these skips the Python hop.  A test checks every member.
-NFKC_STABLE = (
-    r"\x00-\x7F\u00A1-\u00A7\u00A9\u00AB-\u00AE\u00B0\u00B1\u00B6\u00B7\u00BB\u00BF-\u0131"
-    r"\u2010\u2012-\u2016\u2018-\u2023\u2190-\u21FF\u2500-\u25FF"
-    r"\u3001-\u3029\u3041-\u3096\u309D\u309E\u30A0-\u30FE\u4E00-\u9FFF\uAC00-\uD7A3"
+LATIN_STABLE = r"\x00-\x7F\u00C0-\u0131"
+NFKC_STABLE = LATIN_STABLE + (
+    r"\u4E00-\u9FFF\u3041-\u3096\u30A0-\u30FE\u3001-\u3029\uAC00-\uD7A3"
+    r"\u2012-\u2016\u2018-\u2023\u00A1-\u00A7\u00A9\u00AB-\u00AE\u00B0\u00B1\u00B6\u00B7\u00BB\u00BF"
 )
 
 
@@ -26,20 +26,34 @@ def _nfkc(values: pd.Series) -> pd.Series:
 
 
 def nfkc(column: Column) -> Column:
-    """Unicode NFKC.  Only text holding an unstable character leaves the JVM."""
-    unstable = F.when(column.rlike(f"[^{NFKC_STABLE}]"), column)
-    return F.coalesce(_nfkc(unstable), column)
+    """Unicode NFKC.  Only text holding an unstable character leaves the JVM.
+
+    The tests run from cheap to dear: byte length tells ASCII, one small
+    character class tells Latin text, the full class decides the rest.
+    """
+    unstable = (
+        (F.octet_length(column) != F.length(column))
+        & column.rlike(f"[^{LATIN_STABLE}]")
+        & column.rlike(f"[^{NFKC_STABLE}]")
+    )
+    return F.coalesce(_nfkc(F.when(unstable, column)), column)
 
 
 def tidy_whitespace(column: Column) -> Column:
     """LF line ends, single spaces, no space at line or text ends; empty is NULL.
 
-    Blank lines between paragraphs stay.
+    Blank lines between paragraphs stay.  Text that is tidy already, by plain
+    substring tests, is passed through without the rewriting.
     """
+    untidy = reduce(lambda a, b: a | b, [
+        *[column.contains(s) for s in ("\r", "\t", "  ", " \n", "\n ")],
+        *[column.startswith(s) for s in (" ", "\n")],
+        *[column.endswith(s) for s in (" ", "\n")],
+    ])
     lines = F.regexp_replace(column, r"\r\n?", "\n")
     spaced = F.regexp_replace(lines, r"[ \t]+", " ")
-    trimmed = F.regexp_replace(spaced, r" ?\n ?", "\n")
-    return F.nullif(F.btrim(trimmed, F.lit(" \n")), F.lit(""))
+    trimmed = F.btrim(F.regexp_replace(spaced, r" ?\n ?", "\n"), F.lit(" \n"))
+    return F.nullif(F.when(untidy, trimmed).otherwise(column), F.lit(""))
 
 
 def clean_text(column: Column) -> Column:

@@ -232,9 +232,12 @@ def raw_preserved(raw: DataFrame, normalised: DataFrame, id_column: str, columns
     Texts meet as short keys that are equal exactly when the texts are, so the
     join moves no long text.
     """
-    before = raw.select(id_column, *[
+    cleaned = raw.select(id_column, *[
+        text for c in columns for text in (F.col(f"{c}_raw"), clean_text(F.col(f"{c}_raw")).alias(f"clean_{c}"))
+    ])
+    before = cleaned.select(id_column, *[
         key for c in columns for key in (
-            distinct_key(clean_text(F.col(f"{c}_raw"))).alias(f"clean_{c}"), distinct_key(F.col(f"{c}_raw")).alias(f"raw_{c}"),
+            distinct_key(F.col(f"clean_{c}")).alias(f"clean_{c}"), distinct_key(F.col(f"{c}_raw")).alias(f"raw_{c}"),
         )
     ])
     after = normalised.select(id_column, *[distinct_key(F.col(c)).alias(c) for c in columns])
