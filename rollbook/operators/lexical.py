@@ -18,6 +18,7 @@ from rollbook.session import literal_frame
 
 GRAM = 3
 INDEXED = ""
+SPREAD = 16
 # Every overlapping run of three characters, in one linear regex pass.
 _GRAM_PATTERN = r"(?s)(?=(...))"
 
@@ -77,11 +78,16 @@ def indexed_ids(postings: DataFrame, id_column: str) -> DataFrame:
 def write_trigram_index(postings: DataFrame, id_column: str, path: str) -> None:
     """Store postings and gram frequencies under ``path``.
 
-    Postings are range-partitioned by gram *and id*, so one common gram spans
-    many files instead of one, and a lookup skips row groups by gram.
+    Postings of a gram sit together, so a lookup skips row groups by gram;
+    within that they are spread by id, so a gram that nearly every record holds
+    spans several files.
     """
-    order = ["column_id", "gram", id_column]
-    postings.repartitionByRange(*order).sortWithinPartitions(*order).write.mode("overwrite").parquet(f"{path}/postings")
+    spread = F.pmod(F.xxhash64(id_column), F.lit(SPREAD))
+    (
+        postings.repartition("column_id", "gram", spread)
+        .sortWithinPartitions("column_id", "gram", id_column)
+        .write.mode("overwrite").parquet(f"{path}/postings")
+    )
     stored = postings.sparkSession.read.parquet(f"{path}/postings")
     gram_frequencies(stored).write.mode("overwrite").parquet(f"{path}/frequencies")
 

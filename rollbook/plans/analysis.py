@@ -77,7 +77,8 @@ def analyse(
     if limit is not None:
         ids = selection.limit_ids(ids, "record_id", limit)
     candidates = materialise(ids)
-    chosen = selection.restrict(table, candidates, "record_id")
+    # the predicate again rather than a join on the ids: one scan, no shuffle of texts
+    chosen = table.filter(wanted) if limit is None else selection.restrict(table, candidates, "record_id")
     dimensions = register.columns_with("aggregatable")
     shown = [c for c in (projection or DEFAULT_PROJECTION) if c in table.columns]
     packed = packing.pack_batches(chosen, "record_id", "row_idx", ["record_id", *[c for c in shown if c != "record_id"]], budget)

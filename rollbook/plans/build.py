@@ -80,7 +80,7 @@ def propose(raw: DataFrame, folder: str, id_column: str | None = None, dictionar
 def finalise(
     raw: DataFrame, proposal: Proposal, folder: str, accept_pending: bool = False, dictionary: Dictionary = tuple(PHASES),
 ) -> Register:
-    """Apply the accepted mappings, store both tables and the index, and check the build."""
+    """Apply the accepted mappings; store both tables, the index, the checks and the CSV exports."""
     spark = raw.sparkSession
     found = roles_of(proposal.catalog)
     roles = {c: found[c] for c in proposal.columns}
@@ -107,5 +107,6 @@ def finalise(
         ),
         f"{folder}/checks",
     )
+    sinks.export_build(normalised, proposal.catalog, mappings, checks, f"{folder}/exports")
     ordered = {c: dictionary for c in mapped if roles[c] == "ordered_category"}
     return Register(stored_raw, normalised, proposal.catalog, mappings, postings, frequencies, checks, roles, ordered)

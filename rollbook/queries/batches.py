@@ -98,7 +98,7 @@ reviewed AS (SELECT p.doc_id, s.status FROM packed p JOIN statuses s USING (batc
 
 @query("coverage", f"""{_DOCUMENTS_SQL}, {_STATUS_SQL}
 SELECT count(*) AS total_candidates, count(*) FILTER (status = 'completed') AS evaluated_count,
-  count(*) FILTER (status = 'failed') AS failed_count, count(*) FILTER (status = 'pending') AS skipped_count, 0 AS outside_candidates,
+  count(*) FILTER (status = 'failed') AS failed_count, count(*) FILTER (status = 'pending') AS skipped_count, CAST(0 AS BIGINT) AS outside_candidates,
   round(count(*) FILTER (status = 'completed') * 100.0 / count(*), 2) AS coverage_percentage,
   count(*) FILTER (status <> 'completed') = 0 AS is_100_percent_covered
 FROM reviewed

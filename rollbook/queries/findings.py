@@ -119,7 +119,7 @@ def _order_citations(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @query("evidence_records", """
-SELECT CAST(o_orderkey AS VARCHAR) AS record_id, 2 AS n_findings FROM orders WHERE o_totalprice > 400000.0
+SELECT CAST(o_orderkey AS VARCHAR) AS record_id, CAST(2 AS BIGINT) AS n_findings FROM orders WHERE o_totalprice > 400000.0
 """)
 def evidence_records(spark: SparkSession, folder: str) -> DataFrame:
     """Each cited record once; every costly order is in two findings."""
@@ -132,7 +132,7 @@ _APPENDIX_COLUMNS = {
 
 
 @query("evidence_appendix", " UNION ALL ".join(f"""
-SELECT CAST(o_orderkey AS VARCHAR) AS record_id, 'orders' AS source_file, o_orderkey AS row_idx, 2 AS n_findings,
+SELECT CAST(o_orderkey AS VARCHAR) AS record_id, 'orders' AS source_file, o_orderkey AS row_idx, CAST(2 AS BIGINT) AS n_findings,
   '{c}' AS column_id, CAST({c} AS VARCHAR) AS raw_value, {"o_orderpriority" if mapped else "'-'"} AS normalized_value
 FROM orders WHERE o_totalprice > 400000.0""" for c, mapped in _APPENDIX_COLUMNS.items()))
 def evidence_appendix(spark: SparkSession, folder: str) -> DataFrame:

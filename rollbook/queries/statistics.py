@@ -121,7 +121,7 @@ def monthly_trend_lines(spark: SparkSession, folder: str) -> DataFrame:
 @query("top_categories", f"""
 WITH counts AS ({_counts_sql('part', _PART_DIMENSIONS)}),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY dimension ORDER BY count DESC, category) AS rank FROM counts)
-SELECT dimension, rank, category, count, 0 AS more_categories FROM ranked WHERE rank <= 8
+SELECT dimension, CAST(rank AS INTEGER) AS rank, category, count, 0 AS more_categories FROM ranked WHERE rank <= 8
 UNION ALL
 SELECT dimension, 9, '...', CAST(sum(count) AS BIGINT), count(*) FROM ranked WHERE rank > 8 GROUP BY dimension
 """)
@@ -130,7 +130,7 @@ def top_categories(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @query("top_cross_cells", f"""
-SELECT pair, row_value, column_value, count, rank FROM (
+SELECT pair, row_value, column_value, count, CAST(rank AS INTEGER) AS rank FROM (
   SELECT *, row_number() OVER (PARTITION BY pair ORDER BY count DESC, row_value, column_value) AS rank
   FROM ({_cells_sql('orders', [('o_orderpriority', 'o_orderstatus'), ('o_orderstatus', 'o_orderpriority')])}))
 WHERE rank <= 10

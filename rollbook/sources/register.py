@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 
 from rollbook.fixed import HEADER_IDS
 from rollbook.operators.evidence import apply_defaults
+from rollbook.operators.joins import fits_broadcast, spread_join
 from rollbook.session import materialise
 
 # Read back exactly what was written: quotes doubled, spaces kept, an empty
@@ -39,23 +40,27 @@ def column_id(header: str) -> str:
 
 def read_register(
     spark: SparkSession, path: str, headers: Sequence[str] | None = None, header_row: int = 1, id_header: str | None = None,
+    multi_line: bool = True,
 ) -> DataFrame:
     """A CSV register as the raw table: record_id, source_file, row_idx and ``<column>_raw`` strings.
 
     Values stay verbatim.  ``row_idx`` is the row's place in its file, the
     header row counted, so rows after a first-line header start at 2.  Without
-    ``headers`` the names come from the header row of the first file.
+    ``headers`` the names come from the header row of the first file.  With
+    ``multi_line`` off, for registers without line breaks inside values, large
+    files are read in parallel splits.
     """
+    options = {**CSV_OPTIONS, "multiLine": multi_line}
     if headers is None:
         if header_row != 1:
             raise ValueError("give the headers when they are not in the first row")
-        headers = spark.read.options(**CSV_OPTIONS).option("header", True).csv(path).columns
+        headers = spark.read.options(**options).option("header", True).csv(path).columns
     ids = [column_id(h) for h in headers]
     if len(set(ids)) < len(ids):
         raise ValueError(f"headers give repeated column ids: {ids}")
     schema = T.StructType([T.StructField(f"{c}_raw", T.StringType()) for c in ids])
     rows = (
-        spark.read.schema(schema).options(**CSV_OPTIONS).option("header", False).csv(path)
+        spark.read.schema(schema).options(**options).option("header", False).csv(path)
         .select(
             "*",
             F.col("_metadata.file_name").alias("source_file"),
@@ -68,8 +73,12 @@ def read_register(
     # a file's rows keep their order within a split; add up the splits before
     splits = placed.groupBy("_file", "_split").agg(F.min("_seen").alias("_first"), F.count(F.lit(1)).alias("_rows"))
     earlier = W.partitionBy("_file").orderBy("_split").rowsBetween(W.unboundedPreceding, -1)
-    offsets = splits.withColumn("_before", F.coalesce(F.sum("_rows").over(earlier), F.lit(0))).drop("_rows")
-    numbered = placed.join(offsets, ["_file", "_split"]).withColumn(
+    offsets = materialise(splits.withColumn("_before", F.coalesce(F.sum("_rows").over(earlier), F.lit(0))).drop("_rows"))
+    if fits_broadcast(offsets.count(), 0):
+        joined = placed.join(F.broadcast(offsets), ["_file", "_split"])
+    else:
+        joined = spread_join(placed, offsets, ["_file", "_split"], ["_seen"], "inner")
+    numbered = joined.withColumn(
         "row_idx", F.col("_before") + F.col("_seen") - F.col("_first") + 1
     ).filter(F.col("row_idx") > header_row)
     return assign_record_id(numbered, f"{column_id(id_header)}_raw" if id_header else None, [f"{c}_raw" for c in ids])

@@ -51,6 +51,18 @@ def result(register):
     )
 
 
+def test_published_files(spark, register, tmp_path_factory):
+    exports = next((tmp_path_factory.getbasetemp()).glob("register*/register/exports"))
+    def back(name):
+        return spark.read.options(**rg.CSV_OPTIONS).option("header", True).csv(str(exports / name))
+    assert back("normalized-data").count() == 70
+    assert set(rows(back("column-catalog"), "column_id", "role")) == set(register.roles.items())
+    assert back("normalize-map").columns == [
+        "column_id", "raw_value", "canonical_id", "canonical_label", "ordinal", "status", "confidence", "source", "reason"]
+    assert rows(back("normalize-map").select("status").distinct()) == [("accepted",)]
+    assert back("validation-results").count() == 2
+
+
 def searched(r):
     return any(t in r[1] + r[6].replace("ｳｫｯﾁﾄﾞｯｸﾞ", "ウォッチドッグ") for t in ("タイマー", "ウォッチドッグ"))
 

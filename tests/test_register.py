@@ -3,6 +3,7 @@ import hashlib
 import pytest
 from conftest import rows
 
+from rollbook.operators import joins
 from rollbook.sources import register as rg
 from rollbook.sources import sinks
 
@@ -41,6 +42,25 @@ def test_made_ids_are_stable(spark, tmp_path):
     assert (f"REC-0002-{digest}", 2) in first and (f"REC-0004-{digest}", 4) in first
 
 
+def test_a_split_file_keeps_its_row_numbers(spark, tmp_path):
+    path = write(tmp_path / "big.csv", "id,t\n" + "".join(f"{i},{'x' * 40}\n" for i in range(5000)))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+    try:
+        assert spark.read.csv(path).rdd.getNumPartitions() > 5
+        raw = rg.read_register(spark, path, id_header="id", multi_line=False)
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    got = raw.select("record_id", "row_idx").collect()
+    assert len(got) == 5000 and all(int(r.record_id) + 2 == r.row_idx for r in got)
+
+
+def test_many_splits_join_spread(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(joins, "BROADCAST_ROWS_MAX", 0)
+    path = write(tmp_path / "r.csv", "id\na\nb\nc\n")
+    assert rows(rg.read_register(spark, path, id_header="id"), "record_id", "row_idx") == [("a", 2), ("b", 3), ("c", 4)]
+
+
 def test_repeated_headers_are_refused(spark, tmp_path):
     with pytest.raises(ValueError):
         rg.read_register(spark, write(tmp_path / "r.csv", "原因,cause\n1,2\n"), ["原因", "cause"])
