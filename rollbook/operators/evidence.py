@@ -53,6 +53,13 @@ def apply_defaults(findings: DataFrame, position: str) -> DataFrame:
     }).drop("type")
 
 
+def fill_hypotheses(findings: DataFrame, by_finding: DataFrame) -> DataFrame:
+    """Give findings without hypotheses those listed for their id: finding_id, hypotheses."""
+    listed = by_finding.select("finding_id", F.col("hypotheses").alias("_listed"))
+    own = F.when(F.size(F.coalesce("hypotheses", F.array().cast("array<string>"))) > 0, F.col("hypotheses"))
+    return findings.join(listed, "finding_id", "left").withColumn("hypotheses", F.coalesce(own, "_listed")).drop("_listed")
+
+
 def cited_records(findings: DataFrame) -> DataFrame:
     """The long citation table of findings that carry their ids as arrays."""
     cited = [
@@ -99,7 +106,7 @@ def validate_findings(headers: DataFrame, cited: DataFrame, candidates: DataFram
         {n: F.coalesce(n, F.lit(0)) for n in numbers}
     )
     reasons = F.array_compact(F.array(
-        F.when(F.coalesce(F.trim("claim"), F.lit("")) == "", F.lit(REASON_EMPTY_CLAIM)),
+        F.when(~F.coalesce(F.col("claim"), F.lit("")).rlike(r"(?U)\S"), F.lit(REASON_EMPTY_CLAIM)),
         F.when(F.col("n_supporting") == 0, F.lit(REASON_NO_SUPPORT)),
         F.when(F.col("supporting_outside") > 0,
                F.format_string(REASON_SUPPORT_OUTSIDE, F.col("_supporting"), F.col("supporting_outside"))),

@@ -33,8 +33,15 @@ def _terms(terms: Sequence[str]) -> list[str]:
 def term_hit(columns: Sequence[str], terms: Sequence[str]) -> Column:
     """Any term in any column, ignoring case.  Terms are literal text."""
     folded = _terms(terms)
-    hits = [F.coalesce(F.lower(F.col(c)).contains(F.lit(t)), F.lit(False)) for c in columns for t in folded]
-    return reduce(lambda a, b: a | b, hits)
+
+    def holds_any(text: Column) -> Column:
+        return reduce(lambda a, b: a | b, [text.contains(F.lit(t)) for t in folded])
+
+    lowered = [F.lower(F.col(c)) for c in columns]
+    if len(folded) == 1:
+        return reduce(lambda a, b: a | b, [F.coalesce(holds_any(text), F.lit(False)) for text in lowered])
+    # with several terms, one array so that each text is lower-cased only once
+    return F.coalesce(F.exists(F.array(*lowered), holds_any), F.lit(False))
 
 
 def scan_search(df: DataFrame, id_column: str, columns: Sequence[str], terms: Sequence[str]) -> DataFrame:

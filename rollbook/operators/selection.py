@@ -10,6 +10,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from rollbook.fixed import JUDGMENTS
+
 
 def candidate_ids(df: DataFrame, id_column: str, keep: Column) -> DataFrame:
     """Ids of the rows that satisfy the predicate."""
@@ -97,10 +99,10 @@ def fetch_records(
 def semantic_filter(ids: DataFrame, judgments: DataFrame, id_column: str, keep_uncertain: bool = False) -> DataFrame:
     """Apply outside judgments; an id nobody judged is UNCERTAIN.
 
-    ``judgments`` has one row per id: id, judgment, reason.
+    ``judgments`` has one row per id: id, judgment, reason.  A judgment in
+    other words is UNCERTAIN too.
     """
-    judged = ids.join(judgments.select(id_column, "judgment", "reason"), id_column, "left").withColumn(
-        "judgment", F.coalesce("judgment", F.lit("UNCERTAIN"))
-    )
+    known = F.when(F.col("judgment").isin(JUDGMENTS), F.col("judgment")).otherwise(F.lit("UNCERTAIN"))
+    judged = ids.join(judgments.select(id_column, "judgment", "reason"), id_column, "left").withColumn("judgment", known)
     keep = ["MATCH", "UNCERTAIN"] if keep_uncertain else ["MATCH"]
     return judged.filter(F.col("judgment").isin(keep))

@@ -53,7 +53,8 @@ def filter_column(register: Register, column: str, operator: str, value=None) ->
         value = normalization.canonical_literal(value, dictionary)
     elif column in register.columns_with("normalizable") and operator in ("in", "not_in"):
         value = [normalization.canonical_literal(v, dictionary) for v in value]
-    target = F.col(column).try_cast("double") if role == "numeric" and operator in _ORDER_OPERATORS else F.col(column)
+    numeric = role == "numeric" and operator not in ("is_null", "is_not_null")
+    target = F.col(column).try_cast("double") if numeric else F.col(column)
     return condition(target, operator, value, role)
 
 

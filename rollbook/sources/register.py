@@ -135,9 +135,10 @@ def parse_findings(documents: DataFrame, text: str, keep: Sequence[str] = ()) ->
 
     Positions count from 1 within each document; ``keep`` names columns to carry along.
     """
-    as_list = F.from_json(F.col(text), f"array<struct<{_struct(FINDING_FIELDS)}>>")
-    as_object = F.from_json(F.col(text), f"struct<findings: array<struct<{_struct(FINDING_FIELDS)}>>>")["findings"]
-    is_list = F.ltrim(F.col(text)).startswith("[")
+    strict = {"mode": "FAILFAST"}
+    as_list = F.from_json(F.col(text), f"array<struct<{_struct(FINDING_FIELDS)}>>", strict)
+    as_object = F.from_json(F.col(text), f"struct<findings: array<struct<{_struct(FINDING_FIELDS)}>>>", strict)["findings"]
+    is_list = F.col(text).rlike(r"^\s*\[")
     items = documents.select(*keep, F.posexplode(F.when(is_list, as_list).otherwise(as_object)).alias("_at", "f"))
     return apply_defaults(items.select(*keep, (F.col("_at") + 1).alias("position"), "f.*"), "position")
 

@@ -18,7 +18,7 @@ def findings(spark):
     return spark.createDataFrame([
         ("F-01", "root_cause_pattern", "タイマー競合のパターン", ["REC-001", "REC-002"], ["REC-004"], "high", "", ["h1", "h2"]),
         ("F-02", "root_cause_pattern", "不正なIDを含む", ["REC-999"], [], "low", "", None),
-        ("F-03", "anomaly", "  ", [], None, "medium", "", []),
+        ("F-03", "anomaly", " \u3000\n", [], None, "medium", "", []),
         ("F-04", "anomaly", "many", ["x4", "x1", "x3", "x2", "REC-001"], ["y1", "REC-002"], "medium", "", ["only"]),
         ("F-05", "anomaly", "shared", ["REC-002", "REC-002"], ["REC-002"], "medium", "", None),
     ], SCHEMA)
@@ -96,6 +96,19 @@ def test_findings_file(spark, tmp_path, wrapped):
         ("X-1", "anomaly", "c", "high", default, ["a"], None)]
 
 
+def test_a_broken_findings_file_is_an_error(spark, tmp_path):
+    path = tmp_path / "broken.json"
+    path.write_text('\n [{"finding_id": "a"', encoding="utf-8")
+    with pytest.raises(Exception, match="(?i)malformed"):
+        read_findings(spark, str(path)).collect()
+
+
+def test_listed_hypotheses_fill_gaps(spark, findings):
+    listed = spark.createDataFrame([("F-01", ["no"]), ("F-02", ["yes"]), ("F-03", ["also"])], "finding_id string, hypotheses array<string>")
+    got = dict(rows(ev.fill_hypotheses(findings, listed), "finding_id", "hypotheses"))
+    assert got == {"F-01": ["h1", "h2"], "F-02": ["yes"], "F-03": ["also"], "F-04": ["only"], "F-05": None}
+
+
 def lessons(spark):
     return spark.createDataFrame([
         ("LES-1", "candidate", {}), ("LES-2", "accepted", {"analysis_type": "landscape"}), ("LES-3", "retired", {}),

@@ -97,7 +97,8 @@ def test_fetching(spark, register):
 
 
 def test_semantic_filter(spark):
-    judged = spark.createDataFrame([(1, "MATCH", "x"), (2, "NO_MATCH", "y"), (9, "MATCH", "z")], "record_id int, judgment string, reason string")
+    judged = spark.createDataFrame([(1, "MATCH", "x"), (2, "NO_MATCH", "y"), (9, "MATCH", "z"), (4, "maybe", "?")], "record_id int, judgment string, reason string")
     assert rows(sel.semantic_filter(ids(spark, 1, 2, 3), judged, "record_id")) == [(1, "MATCH", "x")]
     kept = sel.semantic_filter(ids(spark, 1, 2, 3), judged, "record_id", keep_uncertain=True)
     assert rows(kept) == [(1, "MATCH", "x"), (3, "UNCERTAIN", None)]
+    assert rows(sel.semantic_filter(ids(spark, 4), judged, "record_id", keep_uncertain=True)) == [(4, "UNCERTAIN", "?")]
