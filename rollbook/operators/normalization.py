@@ -15,6 +15,7 @@ from rollbook.fixed import MATCHED, UNKNOWN_VALUE_PREFIX, UNMATCHED
 from rollbook.functions.predicates import check, condition
 from rollbook.functions.text import clean_text, distinct_key, fold_literal, round_half_up, search_shadow
 from rollbook.operators.joins import fits_broadcast, spread_join
+from rollbook.operators.reshape import cells
 from rollbook.session import LITERAL_ROWS_MAX, literal_frame
 
 Dictionary = Sequence[tuple[str, str, int, Sequence[str]]]
@@ -45,9 +46,8 @@ def resolve(df: DataFrame, column: str, dictionary: Dictionary) -> DataFrame:
 
 def value_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Distinct values with their number of records, all columns from one scan."""
-    values = df.select(*[F.col(c).cast("string").alias(c) for c in columns])
     return (
-        values.unpivot([], list(columns), "column_id", "raw_value")
+        cells(df, {c: F.col(c) for c in columns}, "column_id", "raw_value")
         .filter(F.col("raw_value") != "")
         .groupBy("column_id", "raw_value")
         .agg(F.count(F.lit(1)).alias("n_records"))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from rollbook.fixed import SUPERFICIAL_WORDS
 from rollbook.functions.text import any_contains, distinct_key, is_blank, percentage, round_half_up
+from rollbook.operators.reshape import cells
 
 
 def value_groups(df: DataFrame, columns: Sequence[str], extra: Mapping[str, Column] | None = None) -> DataFrame:
@@ -18,15 +19,14 @@ def value_groups(df: DataFrame, columns: Sequence[str], extra: Mapping[str, Colu
     an exact distinct count still cost one scan and one shuffle of short keys.
     ``extra`` adds row-level aggregates per group.
     """
-    texts = df.select(*[F.col(c).cast("string").alias(c) for c in columns])
-    cells = texts.unpivot([], list(columns), "column_id", "value").select(
+    measured = cells(df, {c: F.col(c) for c in columns}, "column_id", "value").select(
         "column_id",
         distinct_key(F.col("value")).alias("key"),
         F.length("value").alias("len"),
         is_blank(F.col("value")).alias("blank"),
         *[expr.alias(name) for name, expr in (extra or {}).items()],
     )
-    return cells.groupBy("column_id", "key").agg(
+    return measured.groupBy("column_id", "key").agg(
         F.count(F.lit(1)).alias("n"),
         F.max("len").cast("long").alias("len"),
         F.max("blank").alias("blank"),

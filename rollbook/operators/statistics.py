@@ -21,6 +21,8 @@ from rollbook.fixed import (
     TOP_CROSS_CELLS,
 )
 from rollbook.functions.text import percentage
+from rollbook.operators.reshape import cells
+from rollbook.session import literal_frame
 
 
 def category_of(df: DataFrame, column: str) -> Column:
@@ -31,8 +33,7 @@ def category_of(df: DataFrame, column: str) -> Column:
 
 def category_counts(df: DataFrame, dimensions: Sequence[str]) -> DataFrame:
     """``(dimension, category, count)`` for all dimensions from one scan."""
-    values = df.select(*[category_of(df, d).alias(d) for d in dimensions])
-    pairs = values.unpivot([], list(dimensions), "dimension", "category")
+    pairs = cells(df, {d: category_of(df, d) for d in dimensions}, "dimension", "category")
     return pairs.groupBy("dimension", "category").agg(F.count(F.lit(1)).alias("count"))
 
 
@@ -66,8 +67,10 @@ def cross_tabs(df: DataFrame, pairs: Sequence[tuple[str, str]] | None = None) ->
     """``(pair, row_value, column_value, count)`` for all pairs from one scan."""
     pairs = default_pairs(df) if pairs is None else list(pairs)
     if not pairs:
-        return df.sparkSession.createDataFrame([], "pair string, row_value string, column_value string, count long")
-    cells = F.array(*[
+        return literal_frame(
+            df.sparkSession, [], [("pair", "string"), ("row_value", "string"), ("column_value", "string"), ("count", "long")]
+        )
+    pair_cells = F.array(*[
         F.struct(
             F.lit(f"{a}_x_{b}").alias("pair"),
             category_of(df, a).alias("row_value"),
@@ -76,7 +79,7 @@ def cross_tabs(df: DataFrame, pairs: Sequence[tuple[str, str]] | None = None) ->
         for a, b in pairs
     ])
     return (
-        df.select(F.inline(cells))
+        df.select(F.inline(pair_cells))
         .groupBy("pair", "row_value", "column_value")
         .agg(F.count(F.lit(1)).alias("count"))
     )
@@ -88,9 +91,9 @@ def cross_tab(df: DataFrame, a: str, b: str) -> DataFrame:
 
 def monthly_trend(df: DataFrame, date_columns: Sequence[str]) -> DataFrame:
     """Rows per month and date column; rows without a date are left out."""
-    months = df.select(*[F.substring(F.col(c).cast("string"), 1, 7).alias(c) for c in date_columns])
+    months = {c: F.substring(F.col(c).cast("string"), 1, 7) for c in date_columns}
     return (
-        months.unpivot([], list(date_columns), "dimension", "year_month")
+        cells(df, months, "dimension", "year_month")
         .filter(F.col("year_month") != "")
         .groupBy("dimension", "year_month")
         .agg(F.count(F.lit(1)).alias("count"))
@@ -122,7 +125,7 @@ def top_categories(counts: DataFrame, n: int = TOP_CATEGORIES) -> DataFrame:
     return top.unionByName(rest)
 
 
-def top_cross_cells(cells: DataFrame, n: int = TOP_CROSS_CELLS) -> DataFrame:
+def top_cross_cells(table: DataFrame, n: int = TOP_CROSS_CELLS) -> DataFrame:
     """The ``n`` largest cells of each cross-tab; ties go by row, then column."""
     by_size = W.partitionBy("pair").orderBy(F.desc("count"), "row_value", "column_value")
-    return cells.withColumn("rank", F.row_number().over(by_size)).filter(F.col("rank") <= n)
+    return table.withColumn("rank", F.row_number().over(by_size)).filter(F.col("rank") <= n)

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rollbook.fixed import MESSAGE_INDEX_OK, MESSAGE_STRUCTURE
+from rollbook.operators.reshape import cells
 
 
 def validate_build(
@@ -47,11 +48,9 @@ def validate_build(
         _finding(n("repeated_ids") > 0, "ERROR", "record_id", F.format_string("%d ids occur more than once.", n("repeated_ids"))),
     ]
     found = totals.select(F.explode(F.array_compact(F.array(*findings))).alias("f")).select("f.*")
-    if not category_columns:
-        return found
-    unmapped = normalised.select(*[
-        F.when(F.col(f"{c}_ordinal").isNull() & F.col(c).isNotNull(), F.lit(1)).alias(c) for c in category_columns
-    ]).unpivot([], list(category_columns), "column_id", "unmapped")
+    unmapped = cells(normalised, {
+        c: F.when(F.col(f"{c}_ordinal").isNull() & F.col(c).isNotNull(), F.lit(1)) for c in category_columns
+    }, "column_id", "unmapped")
     warnings = (
         unmapped.groupBy("column_id").agg(F.count("unmapped").alias("n")).filter(F.col("n") > 0).select(
             F.lit("WARNING").alias("severity"), F.lit("normalization").alias("category"),

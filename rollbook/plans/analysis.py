@@ -96,15 +96,14 @@ def analyse(
 
 
 def complete(
-    register: Register, analysis: Analysis, findings: DataFrame, statuses: DataFrame, folder: str,
+    register: Register, analysis: Analysis, headers: DataFrame, cited: DataFrame, statuses: DataFrame, folder: str,
 ) -> dict[str, DataFrame]:
     """Check the findings, measure coverage, and store the evidence trail under ``folder``.
 
-    ``findings`` carries citations as arrays; ``statuses`` has batch_index and
-    status as reported by the review.
+    ``headers`` and ``cited`` are the findings and the long table of what they
+    cite (``split_findings`` makes both from a findings file); ``statuses`` has
+    batch_index and status as reported by the review.
     """
-    headers = findings.drop("supporting_records", "counter_records", "position")
-    cited = evidence.cited_records(findings)
     validated = materialise(evidence.validate_findings(headers, cited, analysis.candidates))
     accepted = materialise(evidence.accepted_citations(validated, cited))
     index = evidence.evidence_index(accepted)
@@ -129,6 +128,11 @@ def complete(
     return results
 
 
+def split_findings(findings: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Headers and long citations of findings that carry their ids as arrays."""
+    return findings.drop("supporting_records", "counter_records", "position"), evidence.cited_records(findings)
+
+
 def audit(register: Register) -> DataFrame:
     """The data-quality audit of a whole register."""
     tests = {}

@@ -79,8 +79,12 @@ def propose(raw: DataFrame, folder: str, id_column: str | None = None, dictionar
 
 def finalise(
     raw: DataFrame, proposal: Proposal, folder: str, accept_pending: bool = False, dictionary: Dictionary = tuple(PHASES),
+    index: bool = True,
 ) -> Register:
-    """Apply the accepted mappings; store both tables, the index, the checks and the CSV exports."""
+    """Apply the accepted mappings; store both tables, the index, the checks and the CSV exports.
+
+    Leave the ``index`` out where searches are few: a scan finds the same.
+    """
     spark = raw.sparkSession
     found = roles_of(proposal.catalog)
     roles = {c: found[c] for c in proposal.columns}
@@ -91,7 +95,7 @@ def finalise(
     normalised = sinks.write_table(
         normalization.apply_mappings(cleaned(stored_raw), mapped, mappings, "record_id"), f"{folder}/normalised"
     )
-    if searched:
+    if searched and index:
         lexical.write_trigram_index(lexical.trigram_postings(normalised, "record_id", searched), "record_id", f"{folder}/index")
         postings = spark.read.parquet(f"{folder}/index/postings")
         frequencies = spark.read.parquet(f"{folder}/index/frequencies")

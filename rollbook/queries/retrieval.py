@@ -15,7 +15,7 @@ PRIMARY = ["THER"]
 EXPANDED = ["tion", "eaux"]
 _PRIMARY_SQL = "contains(lower(text), 'ther')"
 _EXPANDED_SQL = "(contains(lower(text), 'tion') OR contains(lower(text), 'eaux'))"
-_SEARCH_SQL = f"({_PRIMARY_SQL} OR {_EXPANDED_SQL})"
+SEARCH_SQL = f"({_PRIMARY_SQL} OR {_EXPANDED_SQL})"
 
 
 def _filtered(spark: SparkSession, folder: str) -> DataFrame:
@@ -33,7 +33,7 @@ def question(documents: DataFrame) -> DataFrame:
 
 
 @query("search_question", f"""
-WITH hits AS (SELECT source FROM documents WHERE lang IN ('en', 'fr') AND {_SEARCH_SQL})
+WITH hits AS (SELECT source FROM documents WHERE lang IN ('en', 'fr') AND {SEARCH_SQL})
 SELECT source AS category, count(*) AS count, round(count(*) * 100.0 / (SELECT count(*) FROM hits), 2) AS percentage
 FROM hits GROUP BY source
 """)
@@ -41,7 +41,7 @@ def search_question(spark: SparkSession, folder: str) -> DataFrame:
     return question(table(spark, folder, "documents"))
 
 
-@query("lexical_scan", f"SELECT doc_id FROM documents WHERE {_SEARCH_SQL}")
+@query("lexical_scan", f"SELECT doc_id FROM documents WHERE {SEARCH_SQL}")
 def lexical_scan(spark: SparkSession, folder: str) -> DataFrame:
     return _searched(spark, folder)
 
@@ -59,7 +59,7 @@ def lexical_one_column(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @query("lexical_expanded", f"""
-SELECT doc_id, {_PRIMARY_SQL} AS hit_primary, {_EXPANDED_SQL} AS hit_expanded FROM documents WHERE {_SEARCH_SQL}
+SELECT doc_id, {_PRIMARY_SQL} AS hit_primary, {_EXPANDED_SQL} AS hit_expanded FROM documents WHERE {SEARCH_SQL}
 """)
 def lexical_expanded(spark: SparkSession, folder: str) -> DataFrame:
     return lexical.expanded_search(table(spark, folder, "documents"), "doc_id", ["text"], PRIMARY, EXPANDED)
@@ -79,7 +79,7 @@ def trigram_index(spark: SparkSession, folder: str) -> DataFrame:
     return lexical.gram_frequencies(postings)
 
 
-@query("lexical_trigram", f"SELECT doc_id FROM documents WHERE {_SEARCH_SQL}")
+@query("lexical_trigram", f"SELECT doc_id FROM documents WHERE {SEARCH_SQL}")
 def lexical_trigram(spark: SparkSession, folder: str) -> DataFrame:
     """The ids of ``lexical_scan``, found through a stored index."""
     documents = table(spark, folder, "documents")
@@ -90,24 +90,24 @@ def lexical_trigram(spark: SparkSession, folder: str) -> DataFrame:
     return lexical.index_search(documents, postings, frequencies, "doc_id", ["text"], PRIMARY + EXPANDED)
 
 
-@query("set_intersect", f"SELECT doc_id FROM documents WHERE lang = 'en' AND {_SEARCH_SQL}")
+@query("set_intersect", f"SELECT doc_id FROM documents WHERE lang = 'en' AND {SEARCH_SQL}")
 def set_intersect(spark: SparkSession, folder: str) -> DataFrame:
     return selection.combine_ids(_filtered(spark, folder), _searched(spark, folder), "INTERSECT")
 
 
-@query("set_union", f"SELECT doc_id FROM documents WHERE lang = 'en' OR {_SEARCH_SQL}")
+@query("set_union", f"SELECT doc_id FROM documents WHERE lang = 'en' OR {SEARCH_SQL}")
 def set_union(spark: SparkSession, folder: str) -> DataFrame:
     return selection.combine_ids(_filtered(spark, folder), _searched(spark, folder), "UNION")
 
 
-@query("set_except", f"SELECT doc_id FROM documents WHERE lang = 'en' AND NOT {_SEARCH_SQL}")
+@query("set_except", f"SELECT doc_id FROM documents WHERE lang = 'en' AND NOT {SEARCH_SQL}")
 def set_except(spark: SparkSession, folder: str) -> DataFrame:
     return selection.combine_ids(_filtered(spark, folder), _searched(spark, folder), "EXCEPT")
 
 
 _TRACE_SQL = f"""
-SELECT count(*) FILTER (lang = 'en') AS sql_matched_count, count(*) FILTER ({_SEARCH_SQL}) AS fts_matched_count,
-  'INTERSECT' AS set_operation, count(*) FILTER (lang = 'en' AND {_SEARCH_SQL}) AS final_candidate_count
+SELECT count(*) FILTER (lang = 'en') AS sql_matched_count, count(*) FILTER ({SEARCH_SQL}) AS fts_matched_count,
+  'INTERSECT' AS set_operation, count(*) FILTER (lang = 'en' AND {SEARCH_SQL}) AS final_candidate_count
 FROM documents
 """
 
@@ -142,7 +142,7 @@ def restrict_to_candidates(spark: SparkSession, folder: str) -> DataFrame:
     return selection.restrict(table(spark, folder, "orders"), ids, "o_orderkey")
 
 
-@query("fetch_records", f"SELECT doc_id, source, text FROM documents WHERE lang = 'en' AND {_SEARCH_SQL}")
+@query("fetch_records", f"SELECT doc_id, source, text FROM documents WHERE lang = 'en' AND {SEARCH_SQL}")
 def fetch_records(spark: SparkSession, folder: str) -> DataFrame:
     ids = selection.combine_ids(_filtered(spark, folder), _searched(spark, folder))
     return selection.fetch_records(table(spark, folder, "documents"), ids, "doc_id", ["source", "text"])

@@ -136,12 +136,13 @@ def test_completion(spark, register, result, tmp_path):
         ("FIND-002", "root_cause_pattern", "対象外", ["BUG-9999"], [], "low", "", []),
     ], "finding_id string, finding_type string, claim string, supporting_records array<string>, counter_records array<string>, "
        "confidence string, confidence_reason string, hypotheses array<string>")
+    split = analysis.split_findings(findings)
     assert result.batches.count() > 1
     done = result.batches.select("batch_index", F.lit("completed").alias("status"))
-    out = analysis.complete(register, result, findings, done, str(tmp_path / "out"))
+    out = analysis.complete(register, result, *split, done, str(tmp_path / "out"))
     assert out["coverage"].first().is_100_percent_covered
     partly = done.withColumn("status", F.when(F.col("batch_index") == 1, "failed").otherwise("completed"))
-    assert not analysis.complete(register, result, findings, partly, str(tmp_path / "out2"))["coverage"].first().is_100_percent_covered
+    assert not analysis.complete(register, result, *split, partly, str(tmp_path / "out2"))["coverage"].first().is_100_percent_covered
     assert rows(out["totals"]) == [(2, 1, 1)]
     assert rows(out["evidence_index"], "record_id", "finding_id") == [(i, "FIND-001") for i in first[:4]]
     appendix = out["appendix"]

@@ -28,6 +28,13 @@ def test_no_candidates(spark):
     assert rows(st.monthly_trend(df, ["day"])) == []
 
 
+def test_no_dimensions(spark):
+    df = frame(spark, [("a", "A", "p", "2025-01-01")])
+    assert st.distributions(df, []).columns == ["dimension", "category", "count", "percentage"]
+    for empty in (st.distributions(df, []), st.monthly_trend(df, []), st.cross_tabs(df, []), q.audit_columns(df, [])):
+        assert rows(empty) == []
+
+
 def test_cross_tabs(spark):
     df = frame(spark, [("a", "A", "p", None), ("a", "A", "q", None), ("a", "A", "p", None)])
     assert st.default_pairs(df) == [("severity", "detect_phase")]
