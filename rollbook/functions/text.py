@@ -20,6 +20,10 @@ NFKC_STABLE = LATIN_STABLE + (
 )
 
 
+# Length of a SHA-256, and of the longest distinct key.
+KEY_BYTES = 32
+
+
 @F.pandas_udf(T.StringType())
 def _nfkc(values: pd.Series) -> pd.Series:
     return values.map(lambda v: unicodedata.normalize("NFKC", v), na_action="ignore")
@@ -114,5 +118,5 @@ def distinct_key(column: Column) -> Column:
     Strings under 32 bytes stand for themselves, longer ones for their 32-byte
     SHA-256, so the two kinds never meet and long text is not shuffled.
     """
-    raw = F.encode(column, "UTF-8")
-    return F.when(F.octet_length(column) < 32, raw).otherwise(F.unhex(F.sha2(raw, 256)))
+    raw = column.cast("binary")
+    return F.when(F.octet_length(column) < KEY_BYTES, raw).otherwise(F.unhex(F.sha2(raw, 256)))

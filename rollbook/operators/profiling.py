@@ -24,8 +24,7 @@ NAME_WORDS = {
 
 def profile_columns(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Null share, distinct count, lengths, and share of dates and numbers per column."""
-    value = F.col("value")
-    groups = value_groups(df, columns, {"is_date": looks_like_date(value), "is_number": looks_like_number(value)})
+    groups = value_groups(df, columns, {"is_date": looks_like_date, "is_number": looks_like_number})
     filled = ~F.col("blank")
     n_filled = F.sum(F.when(filled, F.col("n")).otherwise(0))
     per_column = groups.groupBy("column_id").agg(

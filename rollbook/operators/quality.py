@@ -2,36 +2,43 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rollbook.fixed import SUPERFICIAL_WORDS
-from rollbook.functions.text import any_contains, distinct_key, is_blank, percentage, round_half_up
+from rollbook.functions.text import KEY_BYTES, any_contains, distinct_key, is_blank, percentage, round_half_up
 from rollbook.operators.reshape import cells
 
 
-def value_groups(df: DataFrame, columns: Sequence[str], extra: Mapping[str, Column] | None = None) -> DataFrame:
+def value_groups(df: DataFrame, columns: Sequence[str], tests: Mapping[str, Callable[[Column], Column]] | None = None) -> DataFrame:
     """One row per column and distinct value: key, rows, blank rows, length.
 
     All the per-column measures follow from these groups, so many columns and
     an exact distinct count still cost one scan and one shuffle of short keys.
-    ``extra`` adds row-level aggregates per group.
+    ``tests`` adds named yes/no tests of the value.  A short value is its own
+    key and is tested once per group; only long values are tested row by row.
     """
+    tests = tests or {}
+    long = F.octet_length("value") >= KEY_BYTES
     measured = cells(df, {c: F.col(c) for c in columns}, "column_id", "value").select(
         "column_id",
         distinct_key(F.col("value")).alias("key"),
         F.length("value").alias("len"),
         is_blank(F.col("value")).alias("blank"),
-        *[expr.alias(name) for name, expr in (extra or {}).items()],
+        *[F.when(long, test(F.col("value"))).alias(name) for name, test in tests.items()],
     )
-    return measured.groupBy("column_id", "key").agg(
+    groups = measured.groupBy("column_id", "key").agg(
         F.count(F.lit(1)).alias("n"),
         F.max("len").cast("long").alias("len"),
         F.max("blank").alias("blank"),
-        *[F.max(name).alias(name) for name in (extra or {})],
+        *[F.max(name).alias(name) for name in tests],
     )
+    short = F.octet_length("key") < KEY_BYTES
+    return groups.withColumns({
+        name: F.when(short, test(F.col("key").cast("string"))).otherwise(F.coalesce(name, F.lit(False))) for name, test in tests.items()
+    }) if tests else groups
 
 
 def audit_columns(df: DataFrame, columns: Sequence[str], text_columns: Sequence[str] = ()) -> DataFrame:

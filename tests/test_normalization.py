@@ -100,6 +100,13 @@ def test_profile_of_blank_and_mixed_columns(spark):
     assert (got["e"].null_ratio, got["e"].distinct_count, got["e"].avg_len, got["e"].number_ratio) == (1.0, 0, 0.0, 0.0)
 
 
+def test_long_values_are_tested_whole(spark):
+    long_number, long_date = "1" * 45, "2025-01-01 " + "x" * 45
+    df = spark.createDataFrame([(long_number, long_date), (long_number, "2025-01-01"), ("1" * 31, "x" * 45), ("x" * 32, None)], "n string, d string")
+    got = {r.column_id: r for r in pf.profile_columns(df, ["n", "d"]).collect()}
+    assert got["n"].number_ratio == 0.75 and got["d"].date_ratio == 2 / 3
+
+
 def test_role_order(spark):
     profile = "column_id string, n_records long, null_count long, null_ratio double, distinct_count long, distinct_ratio double, min_len int, max_len int, avg_len double, date_ratio double, number_ratio double"
     df = spark.createDataFrame([
