@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 
 from rollbook.fixed import BATCH_BUDGET_CHARS, BATCH_ID_FORMAT, RECORD_OVERHEAD_CHARS
 from rollbook.functions.text import percentage
+from rollbook.operators.numbering import number_rows
 
 BLOCK_ROWS = 1 << 16
 FAN_IN = 1 << 12
@@ -107,24 +108,28 @@ def _walk(children: pd.DataFrame, chars: int, opened: int, budget: int) -> tuple
 
 
 def pack_batches(
-    df: DataFrame, id_column: str, order: str, columns: Sequence[str], budget: int = BATCH_BUDGET_CHARS,
+    df: DataFrame, id_column: str, order: str | Sequence[str], columns: Sequence[str], budget: int = BATCH_BUDGET_CHARS,
     overhead: int = RECORD_OVERHEAD_CHARS, block_rows: int = BLOCK_ROWS, fan_in: int = FAN_IN,
 ) -> DataFrame:
-    """``(id, order, rec_chars, batch_index, total_batches)`` for every record.
+    """``(id, position, rec_chars, batch_index, total_batches)`` for every record.
 
-    ``order`` is the unique integer source row number, so a block never holds
-    more than ``block_rows`` rows.  A record over the budget sits alone.  The
-    sized rows are shuffled once; both passes read the same shuffle.
+    ``order`` is the unique integer source row number, or a list of columns
+    giving a total order, such as source file and row; rows are then numbered
+    first.  Either way a block never holds more than ``block_rows`` rows.  A
+    record over the budget sits alone.  The sized rows are shuffled once; both
+    passes read the same shuffle.
     """
     if overhead < 1:
         raise ValueError("the overhead bounds the work per block and must be at least 1")
     id_type = df.schema[id_column].dataType.simpleString()
-    sized = df.select(
-        F.col(id_column).alias("id"),
-        F.col(order).cast("long").alias("pos"),
-        record_chars(columns, overhead).alias("rec_chars"),
-        F.floor(F.col(order) / F.lit(block_rows)).cast("long").alias("block"),
-    )
+    size = record_chars(columns, overhead).alias("rec_chars")
+    if isinstance(order, str):
+        placed = df.select(F.col(id_column).alias("id"), F.col(order).cast("long").alias("pos"), size)
+    else:
+        keys = [F.col(c).alias(f"order_{i}") for i, c in enumerate(order)]
+        bare = df.select(F.col(id_column).alias("id"), *keys, size)
+        placed = number_rows(bare, [f"order_{i}" for i in range(len(keys))], "pos").select("id", "pos", "rec_chars")
+    sized = placed.withColumn("block", F.floor(F.col("pos") / F.lit(block_rows)).cast("long"))
 
     def summarise(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("pos")
@@ -180,7 +185,7 @@ def pack_batches(
             assign, f"id {id_type}, pos bigint, rec_chars bigint, batch_index bigint, total_batches bigint"
         )
     )
-    return packed.select(F.col("id").alias(id_column), F.col("pos").alias(order), "rec_chars", "batch_index", "total_batches")
+    return packed.select(F.col("id").alias(id_column), F.col("pos").alias("position"), "rec_chars", "batch_index", "total_batches")
 
 
 def _function_row(keys: tuple, function: tuple, names: Sequence[str] = ("tree", "block")) -> pd.DataFrame:
@@ -191,13 +196,13 @@ def _function_row(keys: tuple, function: tuple, names: Sequence[str] = ("tree",
     })
 
 
-def batch_summary(packed: DataFrame, id_column: str, order: str, overhead: int = RECORD_OVERHEAD_CHARS, status: str = "pending") -> DataFrame:
+def batch_summary(packed: DataFrame, id_column: str, overhead: int = RECORD_OVERHEAD_CHARS, status: str = "pending") -> DataFrame:
     """One row per batch.  Its id list is bounded: at most ``budget / overhead`` records fit."""
     return packed.groupBy("batch_index").agg(
         F.max("total_batches").alias("total_batches"),
         F.count(F.lit(1)).alias("record_count"),
         F.sum(F.col("rec_chars") - F.lit(overhead)).alias("estimated_chars"),
-        F.sort_array(F.collect_list(F.struct(F.col(order), F.col(id_column).cast("string").alias("id")))).alias("_ids"),
+        F.sort_array(F.collect_list(F.struct("position", F.col(id_column).cast("string").alias("id")))).alias("_ids"),
     ).select(
         F.format_string(BATCH_ID_FORMAT, "batch_index").alias("batch_id"),
         "batch_index", "total_batches", "record_count", "estimated_chars",

@@ -82,7 +82,9 @@ def analyse(
     chosen = table.filter(wanted) if limit is None else selection.restrict(table, candidates, "record_id")
     dimensions = register.columns_with("aggregatable")
     shown = [c for c in (projection or DEFAULT_PROJECTION) if c in table.columns]
-    packed = packing.pack_batches(chosen, "record_id", "row_idx", ["record_id", *[c for c in shown if c != "record_id"]], budget)
+    packed = packing.pack_batches(
+        chosen, "record_id", ["source_file", "row_idx", "record_id"], ["record_id", *[c for c in shown if c != "record_id"]], budget
+    )
     return Analysis(
         candidates=candidates,
         trace=selection.retrieval_trace_one_table(table, keep, hit, operation),
@@ -90,7 +92,7 @@ def analyse(
         cross_tabs=statistics.cross_tabs(chosen),
         trends=statistics.monthly_trend(chosen, [c for c, role in register.roles.items() if role == "date"]),
         packed=packed,
-        batches=packing.batch_summary(packed, "record_id", "row_idx"),
+        batches=packing.batch_summary(packed, "record_id"),
         projection=shown,
     )
 

@@ -50,7 +50,7 @@ def record_chars(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @query("pack_batches", f"""{_DOCUMENTS_SQL}
-SELECT doc_id, doc_id AS row_idx, CAST(size AS BIGINT) AS rec_chars, CAST(batch_index AS BIGINT) AS batch_index,
+SELECT doc_id, doc_id AS position, CAST(size AS BIGINT) AS rec_chars, CAST(batch_index AS BIGINT) AS batch_index,
   CAST(total_batches AS BIGINT) AS total_batches FROM packed
 """)
 def pack_batches(spark: SparkSession, folder: str) -> DataFrame:
@@ -76,7 +76,7 @@ SELECT printf('batch-%03d', batch_index) AS batch_id, CAST(batch_index AS BIGINT
 FROM packed GROUP BY batch_index
 """)
 def batch_summary(spark: SparkSession, folder: str) -> DataFrame:
-    summary = packing.batch_summary(_packed(spark, folder), "doc_id", "row_idx")
+    summary = packing.batch_summary(_packed(spark, folder), "doc_id")
     return summary.withColumn("record_ids", F.array_join("record_ids", ","))
 
 
@@ -89,6 +89,18 @@ def _statuses(summary: DataFrame) -> DataFrame:
     )
 
 
+_SOURCE_SQL = _pack_sql(f"SELECT doc_id, source, {_SIZE_SQL} AS size FROM documents", "source, doc_id")
+
+
+@query("pack_batches_by_source", f"""{_SOURCE_SQL}
+SELECT doc_id, CAST(rn AS BIGINT) AS position, CAST(size AS BIGINT) AS rec_chars, CAST(batch_index AS BIGINT) AS batch_index,
+  CAST(total_batches AS BIGINT) AS total_batches FROM packed
+""")
+def pack_batches_by_source(spark: SparkSession, folder: str) -> DataFrame:
+    """Packing in an order of two columns, as for a register of many files."""
+    return packing.pack_batches(table(spark, folder, "documents"), "doc_id", ["source", "doc_id"], _PROJECTION)
+
+
 _STATUS_SQL = """
 batches AS (SELECT batch_index, sum(size - 50) AS chars, count(*) AS n FROM packed GROUP BY batch_index),
 statuses AS (SELECT batch_index, CASE WHEN chars > 12000 THEN 'failed' WHEN n >= 8 THEN 'pending' ELSE 'completed' END AS status FROM batches),
@@ -105,7 +117,7 @@ FROM reviewed
 """)
 def coverage(spark: SparkSession, folder: str) -> DataFrame:
     packed = _packed(spark, folder)
-    statuses = _statuses(packing.batch_summary(packed, "doc_id", "row_idx"))
+    statuses = _statuses(packing.batch_summary(packed, "doc_id"))
     return packing.coverage(table(spark, folder, "documents").select("doc_id"), packed, statuses, "doc_id")
 
 
@@ -121,6 +133,6 @@ FROM reviewed
 def coverage_outside(spark: SparkSession, folder: str) -> DataFrame:
     """Batches hold more than the candidates: counts stay as the batches list them, the excess is shown."""
     packed = _packed(spark, folder)
-    statuses = _statuses(packing.batch_summary(packed, "doc_id", "row_idx"))
+    statuses = _statuses(packing.batch_summary(packed, "doc_id"))
     candidates = candidate_ids(table(spark, folder, "documents"), "doc_id", condition("lang", "eq", "en"))
     return packing.coverage(candidates, packed, statuses, "doc_id")

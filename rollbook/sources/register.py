@@ -40,7 +40,7 @@ def column_id(header: str) -> str:
 
 def read_register(
     spark: SparkSession, path: str, headers: Sequence[str] | None = None, header_row: int = 1, id_header: str | None = None,
-    multi_line: bool = True,
+    multi_line: bool = True, id_digits: int = 4,
 ) -> DataFrame:
     """A CSV register as the raw table: record_id, source_file, row_idx and ``<column>_raw`` strings.
 
@@ -81,24 +81,29 @@ def read_register(
     numbered = joined.withColumn(
         "row_idx", F.col("_before") + F.col("_seen") - F.col("_first") + 1
     ).filter(F.col("row_idx") > header_row)
-    return assign_record_id(numbered, f"{column_id(id_header)}_raw" if id_header else None, [f"{c}_raw" for c in ids])
+    return assign_record_id(numbered, f"{column_id(id_header)}_raw" if id_header else None, [f"{c}_raw" for c in ids], digits=id_digits)
 
 
-def assign_record_id(df: DataFrame, id_column: str | None, content_columns: Sequence[str], order: str = "row_idx") -> DataFrame:
-    """Add ``record_id``: the named column, else one made from row number and content.
+def assign_record_id(
+    df: DataFrame, id_column: str | None, content_columns: Sequence[str], order: str = "row_idx", digits: int = 4,
+) -> DataFrame:
+    """Add ``record_id``: the named column, else one made from row number, content and source file.
 
     The made id depends on the row alone, so reading again gives the same ids.
+    Give more ``digits`` of the hash for a register of many files, where row
+    numbers repeat; the build check reports ids that occur twice.
     """
     if id_column is not None:
         record_id = F.col(id_column).cast("string")
     else:
-        content = F.concat_ws("\x1f", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in content_columns])
+        hashed = [*content_columns, *(c for c in ("source_file",) if c in df.columns)]
+        content = F.concat_ws("\x1f", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in hashed])
         record_id = F.concat(
             F.lit("REC-"),
             F.when(F.length(F.col(order).cast("string")) >= 4, F.col(order).cast("string"))
             .otherwise(F.lpad(F.col(order).cast("string"), 4, "0")),
             F.lit("-"),
-            F.substring(F.sha2(content, 256), 1, 4),
+            F.substring(F.sha2(content, 256), 1, digits),
         )
     out = df.withColumn("record_id", record_id)
     if "source_file" in df.columns:

@@ -46,26 +46,34 @@ def test_any_blocking_gives_the_same_batches(spark, gap, block_rows, fan_in):
     rng = np.random.default_rng(5)
     lengths = [int(n) for n in rng.integers(0, 300, 400)]
     lengths[10] = lengths[11] = lengths[399] = 2000
-    got = packed_frame(spark, lengths, gap, budget=600, block_rows=block_rows, fan_in=fan_in).orderBy("row_idx").collect()
+    got = packed_frame(spark, lengths, gap, budget=600, block_rows=block_rows, fan_in=fan_in).orderBy("position").collect()
     want, _ = sequential([n + 50 for n in lengths], 600)
     assert [r.batch_index for r in got] == want
     assert {r.total_batches for r in got} == {want[-1]}
 
 
 def test_exact_fit_and_oversize(spark):
-    got = packed_frame(spark, [50, 50, 51, 500, 0], budget=200).orderBy("row_idx").collect()
+    got = packed_frame(spark, [50, 50, 51, 500, 0], budget=200).orderBy("position").collect()
     assert [r.batch_index for r in got] == [1, 1, 2, 3, 4]
 
 
 def test_constant_sizes_over_many_blocks(spark):
-    got = packed_frame(spark, [50] * 101, budget=300, block_rows=2, fan_in=4).orderBy("row_idx").collect()
+    got = packed_frame(spark, [50] * 101, budget=300, block_rows=2, fan_in=4).orderBy("position").collect()
     assert [r.batch_index for r in got] == [i // 3 + 1 for i in range(101)]
 
 
+def test_rows_of_many_files_pack_in_file_order(spark):
+    data = [(f"{f}{i}", f, i, "x" * ((i * 37 + ord(f)) % 200)) for f in "abc" for i in range(2, 60)]
+    df = spark.createDataFrame(data, "record_id string, source_file string, row_idx long, t string").repartition(7)
+    got = pk.pack_batches(df, "record_id", ["source_file", "row_idx"], ["t"], budget=600, block_rows=16, fan_in=3).orderBy("position").collect()
+    assert [r.record_id for r in got] == [r[0] for r in data] and [r.position for r in got] == list(range(1, len(data) + 1))
+    assert [r.batch_index for r in got] == sequential([len(r[3]) + 50 for r in data], 600)[0]
+
+
 def test_no_records(spark):
     packed = packed_frame(spark, [])
     assert packed.count() == 0
-    assert pk.batch_summary(packed, "record_id", "row_idx").count() == 0
+    assert pk.batch_summary(packed, "record_id").count() == 0
 
 
 def test_sizes_count_characters_and_skip_null(spark):
@@ -74,7 +82,7 @@ def test_sizes_count_characters_and_skip_null(spark):
 
 
 def test_summary(spark):
-    summary = pk.batch_summary(packed_frame(spark, [50, 50, 51], budget=200), "record_id", "row_idx").orderBy("batch_index").collect()
+    summary = pk.batch_summary(packed_frame(spark, [50, 50, 51], budget=200), "record_id").orderBy("batch_index").collect()
     assert [(r.batch_id, r.total_batches, r.record_count, r.estimated_chars, r.status, r.record_ids) for r in summary] == [
         ("batch-001", 2, 2, 100, "pending", ["R0000", "R0001"]), ("batch-002", 2, 1, 51, "pending", ["R0002"]),
     ]

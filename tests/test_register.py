@@ -38,10 +38,19 @@ def test_made_ids_are_stable(spark, tmp_path):
     path = write(tmp_path / "r.csv", "a,b\n1,2\n3,4\n1,2\n")
     first, again = (rows(rg.read_register(spark, path), "record_id", "row_idx") for _ in range(2))
     assert first == again and len({r[0] for r in first}) == 3
-    digest = hashlib.sha256("1\x1f2".encode()).hexdigest()[:4]
+    digest = hashlib.sha256("1\x1f2\x1fr.csv".encode()).hexdigest()[:4]
     assert (f"REC-0002-{digest}", 2) in first and (f"REC-0004-{digest}", 4) in first
 
 
+def test_made_ids_differ_between_files(spark, tmp_path):
+    folder = tmp_path / "many"
+    folder.mkdir()
+    for i in range(5):
+        write(folder / f"f{i}.csv", "a\n1\n")
+    ids = [r[0] for r in rows(rg.read_register(spark, str(folder), id_digits=16), "record_id")]
+    assert len(set(ids)) == 5 and all(len(i) == len("REC-0002-") + 16 for i in ids)
+
+
 def test_a_split_file_keeps_its_row_numbers(spark, tmp_path):
     path = write(tmp_path / "big.csv", "id,t\n" + "".join(f"{i},{'x' * 40}\n" for i in range(5000)))
     before = spark.conf.get("spark.sql.files.maxPartitionBytes")
