@@ -23,6 +23,7 @@ class Proposal:
     """What a reviewer looks at before the build is finished."""
 
     columns: list[str]
+    clean: DataFrame
     profiles: DataFrame
     catalog: DataFrame
     mappings: DataFrame
@@ -74,16 +75,18 @@ def propose(raw: DataFrame, folder: str, id_column: str | None = None, dictionar
     mappings = sinks.write_table(
         normalization.propose_mappings(normalization.value_counts(clean, mapped), ordered), f"{folder}/mappings"
     )
-    return Proposal(columns, profiles, catalog, mappings, normalization.review_queue(mappings))
+    return Proposal(columns, clean, profiles, catalog, mappings, normalization.review_queue(mappings))
 
 
 def finalise(
     raw: DataFrame, proposal: Proposal, folder: str, accept_pending: bool = False, dictionary: Dictionary = tuple(PHASES),
-    index: bool = True,
+    index: bool = True, exports: bool = True,
 ) -> Register:
     """Apply the accepted mappings; store both tables, the index, the checks and the CSV exports.
 
-    Leave the ``index`` out where searches are few: a scan finds the same.
+    The clean rows of the proposal are used as they are.  Leave the ``index``
+    out where searches are few, as a scan finds the same, and the CSV
+    ``exports`` where nobody reads them.
     """
     spark = raw.sparkSession
     found = roles_of(proposal.catalog)
@@ -93,7 +96,7 @@ def finalise(
     searched = [c for c in proposal.columns if roles[c] in ("short_text", "long_text")]
     stored_raw = sinks.write_table(raw, f"{folder}/raw")
     normalised = sinks.write_table(
-        normalization.apply_mappings(cleaned(stored_raw), mapped, mappings, "record_id"), f"{folder}/normalised"
+        normalization.apply_mappings(proposal.clean, mapped, mappings, "record_id"), f"{folder}/normalised"
     )
     if searched and index:
         lexical.write_trigram_index(lexical.trigram_postings(normalised, "record_id", searched), "record_id", f"{folder}/index")
@@ -111,6 +114,7 @@ def finalise(
         ),
         f"{folder}/checks",
     )
-    sinks.export_build(normalised, proposal.catalog, mappings, checks, f"{folder}/exports")
+    if exports:
+        sinks.export_build(normalised, proposal.catalog, mappings, checks, f"{folder}/exports")
     ordered = {c: dictionary for c in mapped if roles[c] == "ordered_category"}
     return Register(stored_raw, normalised, proposal.catalog, mappings, postings, frequencies, checks, roles, ordered)

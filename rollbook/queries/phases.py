@@ -20,7 +20,7 @@ def _register(spark: SparkSession, folder: str) -> build.Register:
     raw = raw_view(table(spark, folder, "documents"), "doc_id", _COLUMNS, "documents", "doc_id")
     path = scratch_path(spark, "documents-register")
     proposal = build.propose(raw, f"{path}/proposal", "doc_id")
-    return build.finalise(raw, proposal, f"{path}/register", accept_pending=True, index=False)
+    return build.finalise(raw, proposal, f"{path}/register", accept_pending=True, index=False, exports=False)
 
 
 def _answer(register: build.Register) -> analysis.Analysis:
