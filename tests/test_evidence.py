@@ -21,6 +21,7 @@ def findings(spark):
         ("F-03", "anomaly", " \u3000\n", [], None, "medium", "", []),
         ("F-04", "anomaly", "many", ["x4", "x1", "x3", "x2", "REC-001"], ["y1", "REC-002"], "medium", "", ["only"]),
         ("F-05", "anomaly", "shared", ["REC-002", "REC-002"], ["REC-002"], "medium", "", None),
+        ("F-06", "anomaly", "nothing named", [None, "REC-001"], None, "medium", "", None),
     ], SCHEMA)
 
 
@@ -40,8 +41,9 @@ def test_reasons(validated):
         "F-04": (False, ["Supporting records not found in candidate set: ['x4', 'x1', 'x3'] (total missing: 4)",
                          "Counter records not found in candidate set: ['y1'] (total missing: 1)"]),
         "F-05": (True, []),
+        "F-06": (False, ["Supporting records not found in candidate set: [None] (total missing: 1)"]),
     }
-    assert rows(ev.finding_totals(validated)) == [(5, 2, 3)]
+    assert rows(ev.finding_totals(validated)) == [(6, 2, 4)]
 
 
 def test_evidence_is_deduplicated(findings, validated):
@@ -106,7 +108,7 @@ def test_a_broken_findings_file_is_an_error(spark, tmp_path):
 def test_listed_hypotheses_fill_gaps(spark, findings):
     listed = spark.createDataFrame([("F-01", ["no"]), ("F-02", ["yes"]), ("F-03", ["also"])], "finding_id string, hypotheses array<string>")
     got = dict(rows(ev.fill_hypotheses(findings, listed), "finding_id", "hypotheses"))
-    assert got == {"F-01": ["h1", "h2"], "F-02": ["yes"], "F-03": ["also"], "F-04": ["only"], "F-05": None}
+    assert got == {"F-01": ["h1", "h2"], "F-02": ["yes"], "F-03": ["also"], "F-04": ["only"], "F-05": None, "F-06": None}
 
 
 def lessons(spark):
