@@ -79,14 +79,20 @@ def validate_findings(headers: DataFrame, cited: DataFrame, candidates: DataFram
     candidates.  ``candidates`` holds distinct ids in ``record_id``.
     """
     supporting, counter = F.col("evidence_type") == "supporting", F.col("evidence_type") == "counter"
-    counts = cited.groupBy("finding_id").agg(F.count_if(supporting).alias("n_supporting"), F.count_if(counter).alias("n_counter"))
-    outside = _outside(cited, candidates)
-    misses = outside.groupBy("finding_id").agg(
-        F.count_if(supporting).alias("supporting_outside"), F.count_if(counter).alias("counter_outside")
+    # a record cited by very many findings is split here by adaptive execution:
+    # salting would repeat the whole candidate set
+    known = candidates.select("record_id", F.lit(True).alias("inside"))
+    checked = cited.join(known, "record_id", "left").withColumn("outside", F.col("inside").isNull())
+    counts = checked.groupBy("finding_id").agg(
+        F.count_if(supporting).alias("n_supporting"),
+        F.count_if(counter).alias("n_counter"),
+        F.count_if(supporting & F.col("outside")).alias("supporting_outside"),
+        F.count_if(counter & F.col("outside")).alias("counter_outside"),
     )
     first = W.partitionBy("finding_id", "evidence_type").orderBy("position", "record_id")
     shown = (
-        outside.withColumn("rank", F.row_number().over(first))
+        checked.filter("outside")
+        .withColumn("rank", F.row_number().over(first))
         .filter(F.col("rank") <= SHOWN_MISSING_IDS)
         .groupBy("finding_id")
         .agg(*[
@@ -98,10 +104,9 @@ def validate_findings(headers: DataFrame, cited: DataFrame, candidates: DataFram
         ])
     )
     numbers = ["n_supporting", "n_counter", "supporting_outside", "counter_outside"]
-    merged = headers
-    for part in (counts, misses, shown):
-        merged = merged.join(part, "finding_id", "left")
-    merged = merged.withColumns({n: F.coalesce(n, F.lit(0)) for n in numbers})
+    merged = headers.join(counts, "finding_id", "left").join(shown, "finding_id", "left").withColumns(
+        {n: F.coalesce(n, F.lit(0)) for n in numbers}
+    )
     reasons = F.array_compact(F.array(
         F.when(~F.coalesce(F.col("claim"), F.lit("")).rlike(r"(?U)\S"), F.lit(REASON_EMPTY_CLAIM)),
         F.when(F.col("n_supporting") == 0, F.lit(REASON_NO_SUPPORT)),
@@ -117,18 +122,6 @@ def validate_findings(headers: DataFrame, cited: DataFrame, candidates: DataFram
     )
 
 
-def _outside(cited: DataFrame, candidates: DataFrame) -> DataFrame:
-    """Citations of records that are no candidates.
-
-    Repeated ids collapse before they meet the candidates; the few ids left
-    over then meet the citations salted, so a record cited by everything stays
-    spread.
-    """
-    stray = cited.select("record_id").distinct().join(candidates.select("record_id"), "record_id", "left_anti")
-    found = spread_join(cited, stray, ["record_id"], ["finding_id", "position"], "left_semi")
-    return found.unionByName(cited.filter(F.col("record_id").isNull()))
-
-
 def finding_totals(validated: DataFrame) -> DataFrame:
     return validated.agg(
         F.count(F.lit(1)).alias("total_submitted"),
