@@ -7,6 +7,7 @@ import pytest
 from conftest import TABLES
 
 import __spark_entry__ as driver
+from rollbook.queries import QUERIES
 
 FOLDER = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 
@@ -24,7 +25,7 @@ def canonical(columns, data):
     return sorted(tuple(f"{r[i]:.9g}" if isinstance(r[i], float) else str(r[i]) for i in order) for r in data)
 
 
-@pytest.mark.parametrize("name", sorted(driver.queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(spark, sql, name):
     df = driver.queries()[name](spark, FOLDER)
     got = canonical(df.columns, [tuple(r) for r in df.collect()])
