@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rollbook.llm import mixing, pii
+from rollbook.llm import language, lm, mixing, ngram_join, packing, pii, quality, tool_calls, toxicity, vector_search
 from rollbook.queries.registry import Query, table
+from rollbook.session import materialise
 
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
@@ -132,3 +133,160 @@ def op10_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return mixed.select(
         "doc_id", F.col("_mix_size").alias("size"), F.col("_mix_source_size").alias("source_size"),
         F.col("_mix_target").alias("target"), (F.col("_mix_size") * F.col("_mix_copies")).alias("taken"))
+
+
+# --- op7: packing -------------------------------------------------------------------------
+
+
+@query("op7_packing")
+def op7_packing(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.pack(table(spark, folder, "documents"))
+
+
+# --- op9: exact search --------------------------------------------------------------------
+
+
+@query("op9_vector_search", """
+WITH e AS (
+  SELECT DISTINCT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS q FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT a.vec_id AS query_id, b.vec_id, list_dot_product(a.q, b.q)::BIGINT AS score
+  FROM e a JOIN e b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id AND len(a.q) = len(b.q)),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS place FROM s)
+SELECT query_id, place::INT AS rank, vec_id, score FROM r WHERE place <= 10""")
+def op9_vector_search(spark: SparkSession, folder: str) -> DataFrame:
+    found = vector_search.top_k(table(spark, folder, "embeddings"), F.col("vec_id") % 100 == 0)
+    return found.select("query_id", "rank", F.col("id").alias("vec_id"), "score")
+
+
+# --- op4: languages -----------------------------------------------------------------------
+
+
+@query("op4_language")
+def op4_language(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").withColumn("held_out", language.held_out("doc_id", 4, 2))
+    profiles = language.prototypes(docs.filter(~F.col("held_out")))
+    found = language.identify(docs.select("doc_id", "held_out", "text"), profiles, prefix="_lang_")
+    return found.select("doc_id", "held_out", F.col("_lang_pred").alias("lang_pred"), F.col("_lang_score").alias("score"),
+                        F.col("_lang_cosine").alias("cosine"))
+
+
+# --- op5: quality rules -------------------------------------------------------------------
+
+
+@query("op5_quality")
+def op5_quality(spark: SparkSession, folder: str) -> DataFrame:
+    measured = materialise(quality.statistics(table(spark, folder, "documents")), "statistics")
+    rules = quality.learn_rules(measured, table(spark, folder, "labels"))
+    failed = quality.base_failed()
+    return measured.select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"),
+        F.when(failed, False).otherwise(quality.verdict(rules)).alias("kept"))
+
+
+# --- op6: near-equal documents ------------------------------------------------------------
+
+
+@query("op6_ngram_join", """
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\\x20\\x09-\\x0D]+') AS words FROM documents),
+g AS (
+  SELECT doc_id, CASE WHEN len(words) = 0 THEN [] WHEN len(words) < 3 THEN [array_to_string(words, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(words) - 1), lambda i: array_to_string(words[i:i+2], ' '))) END AS grams FROM w),
+p AS (SELECT doc_id, len(grams) AS n, unnest(grams) AS gram FROM g),
+o AS (
+  SELECT a.doc_id AS x, b.doc_id AS y, a.n AS n, b.n AS m, count(*) AS shared
+  FROM p a JOIN p b ON a.gram = b.gram AND a.doc_id < b.doc_id AND 100 * least(a.n, b.n) >= 90 * greatest(a.n, b.n) GROUP BY ALL),
+e AS (SELECT x, y FROM o WHERE 100 * shared >= 90 * (n + m - shared)),
+d AS (SELECT x, y FROM e UNION SELECT y, x FROM e),
+r AS (SELECT doc_id AS x, doc_id AS y FROM documents UNION SELECT r.x, d.y FROM r JOIN d ON r.y = d.x)
+SELECT g.doc_id, len(grams)::BIGINT AS n_shingles, c.component_id
+FROM g JOIN (SELECT x, min(y) AS component_id FROM r GROUP BY x) c ON c.x = g.doc_id""")
+def op6_ngram_join(spark: SparkSession, folder: str) -> DataFrame:
+    groups = ngram_join.near_groups(table(spark, folder, "documents"))
+    return groups.select(F.col("id").alias("doc_id"), F.col("n_grams").alias("n_shingles"), F.col("group_id").alias("component_id"))
+
+
+# --- op1: toxicity ------------------------------------------------------------------------
+
+
+@query("op1_toxicity")
+def op1_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text").withColumn("held_out", language.held_out("doc_id", 3, 1))
+    labels = table(spark, folder, "labels").select("doc_id", (F.col("toxic") == 1).alias("toxic"))
+    network = toxicity.fit(docs.filter(~F.col("held_out")).join(labels, "doc_id").select("text", "toxic"))
+    return toxicity.score(docs, network).select(
+        "doc_id", "held_out", "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
+# --- op2: language model ------------------------------------------------------------------
+
+
+@query("op2_lm_score")
+def op2_lm_score(spark: SparkSession, folder: str) -> DataFrame:
+    return lm.score(table(spark, folder, "documents"), language.held_out("doc_id", 7, 2)).withColumnRenamed("id", "doc_id")
+
+
+# --- op8: tool calls ----------------------------------------------------------------------
+
+SCHEMAS = {
+    "search": (tool_calls.Field("limit", "integer", low=1, high=8), tool_calls.Field("query", "string", low=1, high=400)),
+    "lookup": (tool_calls.Field("query", "string", low=1), tool_calls.Field("strict", "boolean", required=False)),
+}
+
+
+def conversation_calls(turns: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Calls and results read off plain conversations.
+
+    A user turn calls a tool with its text, depends on the call two turns before, and the turn after
+    answers it if it is an assistant's.  Short texts look up, long ones search.
+    """
+    def call_id(back: int) -> Column:
+        return F.concat(F.lit("c"), F.col("conv_id").cast("string"), F.lit("-"), (F.col("turn") - back).cast("string"))
+
+    quoted = F.regexp_extract(F.to_json(F.struct(F.col("text").alias("v")), {"ignoreNullFields": "false"}), r"(?s)^\{\"v\":(.*)\}$", 1)
+    long_text = F.length("text") >= 120
+    arguments = F.when(long_text, F.concat(F.lit('{ "query": '), quoted, F.lit(', "limit": '), (F.col("turn") % 10 + 1).cast("string"), F.lit(" }"))).otherwise(
+        F.concat(F.lit('{"strict": '), F.when(F.col("turn") > 0, "true").otherwise("false"), F.lit(', "query":'), quoted, F.lit("}")))
+    calls = turns.filter("role = 'user'").select(
+        "conv_id", "turn", call_id(0).alias("call_id"), F.when(long_text, "search").otherwise("lookup").alias("name"),
+        arguments.alias("arguments"),
+        F.when(F.col("turn") >= 2, F.array(call_id(2))).otherwise(F.array().cast("array<string>")).alias("depends_on"))
+    results = turns.filter("role = 'assistant'").select("conv_id", "turn", call_id(1).alias("call_id"), F.col("text").alias("content"))
+    return calls, results
+
+
+@query("op8_tool_calls", """
+WITH t AS (SELECT conv_id, turn, role, text, 'c' || conv_id || '-' AS stem FROM conversations),
+c0 AS (
+  SELECT conv_id, turn, stem || turn AS call_id, CASE WHEN length(text) >= 120 THEN 'search' ELSE 'lookup' END AS name,
+    text AS query, CASE WHEN length(text) >= 120 THEN '{"limit":' || (turn % 10 + 1) || ',"query":' || to_json(text) || '}'
+      ELSE '{"query":' || to_json(text) || ',"strict":' || CASE WHEN turn > 0 THEN 'true' ELSE 'false' END || '}' END AS args,
+    CASE WHEN turn >= 2 THEN stem || (turn - 2) END AS needs
+  FROM t WHERE role = 'user'),
+c AS (SELECT conv_id, call_id, count(*) AS n, arg_min({'turn': turn, 'name': name, 'query': query, 'args': args, 'needs': needs}, (turn, name, args)) AS v
+  FROM c0 GROUP BY ALL),
+r AS (SELECT conv_id, stem || (turn - 1) AS call_id, count(*) AS n, min((turn, text)) AS v FROM t WHERE role = 'assistant' GROUP BY ALL),
+j AS (
+  SELECT coalesce(c.conv_id, r.conv_id) AS conv_id, coalesce(c.call_id, r.call_id) AS call_id, coalesce(c.v.turn, r.v[1]) AS turn,
+    c.v.name AS name, c.v.query AS query, c.v.args AS args, c.v.needs AS needs, r.v[2] AS content, coalesce(c.n, 0) + coalesce(r.n, 0) AS n_rows,
+    CASE WHEN c.call_id IS NULL THEN 'orphan' WHEN r.call_id IS NULL THEN 'unanswered' ELSE 'linked' END AS status
+  FROM c FULL JOIN r ON c.conv_id = r.conv_id AND c.call_id = r.call_id),
+p AS (
+  SELECT *, needs IS NOT NULL AND NOT EXISTS (FROM c WHERE c.conv_id = j.conv_id AND c.call_id = j.needs) AS gap,
+    CASE WHEN status <> 'orphan' THEN row_number() OVER (PARTITION BY conv_id, status = 'orphan' ORDER BY turn, call_id) END AS position
+  FROM j),
+f AS (
+  SELECT *, CASE WHEN status = 'orphan' THEN [] ELSE list_concat(
+    CASE WHEN name = 'search' AND turn % 10 + 1 > 8 THEN ['range limit'] ELSE [] END, CASE WHEN name = 'search' AND length(query) > 400
+      OR length(query) < 1 THEN ['range query'] ELSE [] END, CASE WHEN gap THEN ['missing dependency'] ELSE [] END) END AS faults
+  FROM p)
+SELECT conv_id, call_id, turn, name, status, n_rows, position, array_to_string(faults, '; ') AS problems, len(faults) = 0 AS valid,
+  '{"arguments":' || coalesce(args, 'null') || ',"id":' || to_json(call_id) || ',"name":' || coalesce(to_json(name), 'null') || ',"result":'
+    || coalesce(to_json(content), 'null') || '}' AS message
+FROM f""")
+def op8_tool_calls(spark: SparkSession, folder: str) -> DataFrame:
+    found = tool_calls.tool_calls(*conversation_calls(table(spark, folder, "conversations")), SCHEMAS)
+    return found.select("conv_id", "call_id", "turn", "name", "status", "n_rows", "position", "problems", "valid", "message")
