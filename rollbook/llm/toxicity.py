@@ -1,14 +1,15 @@
 """Toxicity: a bidirectional gated recurrent network over words and their characters.
 
-A word's input vector is the sum of its own hashed embedding and the means of
-those of its character 3- and 5-grams.  Two gated recurrent layers read a window of
+A word's input vector is the sum of its own hashed embedding and those of
+its character 3-, 5- and 7-grams, scaled by the root of their number.  Two gated recurrent layers read a window of
 words in both directions, attention pools their states, and one unit gives the
 window's log-odds.  Windows overlap by half and cover the whole text; the
 worst one decides.
 
 The network is trained in numpy on the driver, on a bounded sample of labelled
 rows.  A label belongs to a document, so a toxic document stands for its worst window,
-chosen again before each epoch; a clean one for its worst and a random one.
+chosen again before each epoch; a clean one for its worst and a random one.  Labels may be
+wrong, so a toxic document is left out while its worst window looks clean.
 
 Cases: a NULL text counts as empty; an empty text is one window without words and has
 a score as well; NULL labels are not learned from; with one class only the
@@ -33,7 +34,7 @@ EMBED = 16
 HIDDEN = 12
 WORD_BITS = 15
 GRAM_BITS = 16
-GRAMS = (3, 5)
+GRAMS = (3, 5, 7)
 BATCH_WINDOWS = 2048
 # The sample learned from: at most about so many rows of each label, none longer than so many bytes.
 TRAIN_TOXIC = 1_500
@@ -42,6 +43,11 @@ TRAIN_BYTES = 1 << 16
 EPOCHS = 7
 BATCH = 128
 RATE = 0.01
+# Texts that must hold a feature for half its weight.
+TRUST = 5
+# A toxic text is learned from while its worst window is beyond this share of the clean ones', or has these log-odds.
+BEYOND = 0.98
+LEAST_ODDS = -1.0
 SEED = 7
 
 
@@ -52,7 +58,7 @@ class Words:
     word: np.ndarray
     gram: np.ndarray  # ids, for all words one after the other
     owner: np.ndarray  # the word of each id
-    weight: np.ndarray  # one over the number of grams of that length in the word
+    weight: np.ndarray  # one over the root of the number of grams of that length in the word
 
     def pick(self, rows: np.ndarray) -> Words:
         place = np.full(len(self.word), -1)
@@ -90,7 +96,7 @@ def _distinct_words(data: np.ndarray) -> tuple[Words, np.ndarray, np.ndarray]:
             value = value * np.uint64(0x100000001B3) + spaced[at + i]
         gram.append((mix(value) >> np.uint64(64 - GRAM_BITS)).astype(np.int64))
         owner.append(of)
-        weight.append((1 / np.maximum(count, 1)).astype(np.float32)[of])
+        weight.append((1 / np.sqrt(np.maximum(count, 1))).astype(np.float32)[of])
     word = (hashes[sample] >> np.uint64(64 - WORD_BITS)).astype(np.int64)
     return Words(word, np.concatenate(gram), np.concatenate(owner), np.concatenate(weight)), number, starts - 1
 
@@ -257,7 +263,7 @@ class Network:
 
 
 def _evidence(words: Words, index: np.ndarray, owner: np.ndarray, toxic: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Log-odds of each hashed word and gram, from the number of toxic and clean texts that hold it."""
+    """Log-odds of each hashed word and gram, from the number of toxic and clean texts that hold it; rare ones count less."""
     text = np.repeat(owner, WINDOW)[index.ravel() >= 0]
     number = index.ravel()[index.ravel() >= 0]
     pairs = np.unique(text * len(words.word) + number)
@@ -270,7 +276,9 @@ def _evidence(words: Words, index: np.ndarray, owner: np.ndarray, toxic: np.ndar
         held = np.unique(texts << bits | ids)
         marks, ids = toxic[held >> bits], held & ((1 << bits) - 1)
         bad, good = (np.bincount(ids[marks == m], minlength=1 << bits) for m in (True, False))
-        out.append(np.log((bad + 2.0) / (toxic.sum() + 4)) - np.log((good + 2.0) / ((~toxic).sum() + 4)))
+        share = toxic.mean()
+        odds = np.log((bad + 4 * share) / share) - np.log((good + 4 * (1 - share)) / (1 - share))
+        out.append(odds * (bad + good) / (bad + good + TRUST))
     return out[0].astype(np.float32), out[1].astype(np.float32)
 
 
@@ -287,8 +295,9 @@ def train(texts: list[bytes], toxic: np.ndarray, epochs: int = EPOCHS, seed: int
     word_odds, gram_odds = _evidence(words, index, owner, toxic)
     network.embedding["word"][:, 0] = np.clip(word_odds, -3, 3)
     network.embedding["gram"][:, 0] = np.clip(gram_odds, -3, 3)
-    first = Words(words.word, words.gram, words.owner, words.weight)
-    seen = np.append(network.inputs(first)[:, 0], -9.0)[index].max(axis=1)
+    strongest = word_odds[words.word]
+    np.maximum.at(strongest, words.owner, gram_odds[words.gram])
+    seen = np.append(strongest, -9.0)[index].max(axis=1)
     draw = np.random.default_rng(seed)
     fast = {k: [np.zeros_like(v), np.zeros_like(v)] for k, v in network.dense.items()}
     slow = {k: np.full(len(v), 1e-3, np.float32) for k, v in network.embedding.items()}
@@ -300,6 +309,8 @@ def train(texts: list[bytes], toxic: np.ndarray, epochs: int = EPOCHS, seed: int
         order = np.lexsort((draw.random(len(owner)), seen, owner))
         last = np.flatnonzero(np.append(owner[order][1:] != owner[order][:-1], True))
         worst = order[last]
+        bar = np.quantile(seen[worst][~toxic[owner[worst]]], BEYOND) if epoch < 2 else LEAST_ODDS
+        worst = worst[~toxic[owner[worst]] | (seen[worst] > bar)]
         spare = draw.integers(0, len(owner), (~toxic).sum() * 2)
         spare = spare[~toxic[owner[spare]]]
         chosen = draw.permutation(np.concatenate([worst, spare]))
