@@ -43,7 +43,8 @@ LEAST_BITS = 8
 HUB_ROUNDS = 3
 SALTS = 8
 
-_SET = "node binary, n int"
+# Places of the map that tells which texts to read again: 1 MB, whatever the number of texts.
+MAP_BITS = 23
 
 
 def gram_sets(texts, n: int = N) -> Iterator[np.ndarray]:
@@ -52,8 +53,9 @@ def gram_sets(texts, n: int = N) -> Iterator[np.ndarray]:
         yield distinct(windows(words, n))
 
 
-def _digest(grams: np.ndarray) -> bytes | None:
-    return hashlib.blake2b(grams.tobytes(), digest_size=16).digest() if len(grams) else None
+def _digest(grams: np.ndarray) -> int | None:
+    """A set's node: 64 bits of hash, none for the empty set."""
+    return int.from_bytes(hashlib.blake2b(grams.tobytes(), digest_size=8).digest(), "big", signed=True) if len(grams) else None
 
 
 def least_overlap(size: int, percent: int = PERCENT) -> int:
@@ -147,7 +149,7 @@ def frequent_grams(texts: DataFrame, share: int = FREQUENT_SHARE) -> np.ndarray:
 
 
 def _described(docs: DataFrame, frequent: np.ndarray, percent: int) -> DataFrame:
-    """``(id, text_key, node, n, signatures, bitmap)`` per row."""
+    """``(id, row_key, node, n, signatures, bitmap)`` per row."""
     kind = docs.schema["id"].dataType.simpleString()
     held = docs.sparkSession.sparkContext.broadcast(frequent)
 
@@ -160,29 +162,62 @@ def _described(docs: DataFrame, frequent: np.ndarray, percent: int) -> DataFrame
                 marks.append(signatures(grams, held.value, percent))
                 maps.append(bitmap(grams))
             yield pd.DataFrame({
-                "id": rows["id"], "text_key": rows["text_key"], "node": nodes, "n": sizes, "signatures": marks, "bitmap": maps})
+                "id": rows["id"], "row_key": rows["row_key"], "node": pd.array(nodes, dtype="Int64"), "n": sizes,
+                "signatures": marks, "bitmap": maps})
 
-    return docs.mapInPandas(describe, f"id {kind}, text_key long, {_SET}, signatures array<long>, bitmap binary")
+    return docs.mapInPandas(describe, f"id {kind}, row_key long, node long, n int, signatures array<long>, bitmap binary")
 
 
 def _whole_sets(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for rows in frames:
         grams = list(gram_sets(rows["text"]))
-        yield pd.DataFrame({"node": [_digest(g) for g in grams], "grams": [g.tobytes() for g in grams]})
+        yield pd.DataFrame({"node": pd.array([_digest(g) for g in grams], dtype="Int64"), "grams": [g.tobytes() for g in grams]})
+
+
+def _sets_of(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``(node, grams)`` of the rows whose key is wanted.
+
+    A bitmap of fixed size over the wanted keys sorts out nearly all other
+    texts before the join, so that few are shuffled.
+    """
+    place = F.pmod("row_key", F.lit(1 << MAP_BITS)) + 1
+    marks = wanted.groupBy(F.bitmap_bucket_number(place).alias("_bucket")).agg(
+        F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("_bits"))
+    bit = F.bitmap_bit_position(place)
+    byte = F.conv(F.hex(F.substring("_bits", F.shiftright(bit, 3).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    marked = F.expr("shiftright(_byte, cast(_bit & 7 as int)) & 1") == 1
+    likely = (
+        rows.withColumn("_bucket", F.bitmap_bucket_number(place)).join(F.broadcast(marks), "_bucket")
+        .withColumn("_byte", byte).withColumn("_bit", bit).filter(marked).select("row_key", "text")
+    )
+    texts = likely.join(wanted, "row_key", "left_semi").select("text")
+    return texts.mapInPandas(_whole_sets, "node long, grams binary").dropDuplicates(["node"])
 
 
 def _close_sizes(a: Column, b: Column, percent: int) -> Column:
     return F.least(a, b) * 100 >= F.greatest(a, b) * percent
 
 
-def _links(pairs: DataFrame, nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Those of the distinct pairs (a, b) whose sets reach the threshold."""
+def _side(table: DataFrame, name: str, *columns: str) -> DataFrame:
+    return table.select(F.col("node").alias(name), *[F.col(c).alias(f"{c}_{name}") for c in columns])
+
+
+def _near(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """Those of the pairs (a, b) that the bitmaps do not rule out."""
     @F.pandas_udf("boolean")
     def may(x: pd.Series, y: pd.Series, na: pd.Series, nb: pd.Series) -> pd.Series:
         # the difference is at most (100 - percent) / (100 + percent) of both sizes
         return pd.Series([
             least_difference(a, b) * (100 + percent) <= (100 - percent) * (int(p) + int(q)) for a, b, p, q in zip(x, y, na, nb)])
 
+    return (
+        pairs.join(_side(nodes, "a", "bitmap", "n"), "a").join(_side(nodes, "b", "bitmap", "n"), "b")
+        .filter(may("bitmap_a", "bitmap_b", "n_a", "n_b")).select("a", "b")
+    )
+
+
+def _links(near: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Those of the pairs (a, b) whose sets reach the threshold."""
     @F.pandas_udf("boolean")
     def do(x: pd.Series, y: pd.Series) -> pd.Series:
         out = []
@@ -192,15 +227,7 @@ def _links(pairs: DataFrame, nodes: DataFrame, sets: DataFrame, percent: int) ->
             out.append(100 * both >= percent * (len(a) + len(b) - both))
         return pd.Series(out)
 
-    def side(table: DataFrame, name: str, *columns: str) -> DataFrame:
-        return table.select(F.col("node").alias(name), *[F.col(c).alias(f"{c}_{name}") for c in columns])
-
-    near = (
-        pairs.select("a", "b").join(side(nodes, "a", "bitmap", "n"), "a").join(side(nodes, "b", "bitmap", "n"), "b")
-        .filter(may("bitmap_a", "bitmap_b", "n_a", "n_b")).select("a", "b")
-    )
-    whole = materialise(near, "near").join(side(sets, "a", "grams"), "a").join(side(sets, "b", "grams"), "b")
-    return whole.filter(do("grams_a", "grams_b")).select("a", "b")
+    return near.join(_side(sets, "a", "grams"), "a").join(_side(sets, "b", "grams"), "b").filter(do("grams_a", "grams_b")).select("a", "b")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -263,16 +290,25 @@ def _other_pairs(members: DataFrame, percent: int) -> DataFrame:
     )
 
 
-def _roots(members: DataFrame, nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _roots(members: DataFrame, nodes: DataFrame, rows: DataFrame, percent: int) -> DataFrame:
     """``(node, root)`` of all linked nodes: hubs first, then every pair that is still open."""
     roots = members.select("node", F.col("node").alias("root")).limit(0)
-    edges = None
+    edges = sets = None
     for turn in range(HUB_ROUNDS + 1):
         still = materialise(_mixed(members, roots), "mixed")
         if still.isEmpty():
             break
         pairs = _hub_pairs(still, turn, percent) if turn < HUB_ROUNDS else _other_pairs(still, percent)
-        found = materialise(_links(materialise(pairs, "pairs"), nodes, sets, percent), "links")
+        near = materialise(_near(pairs, nodes, percent), "near")
+        if near.isEmpty():
+            continue
+        wanted = near.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+        if sets is not None:
+            wanted = wanted.join(sets.select("node"), "node", "left_anti")
+        keys = materialise(wanted.join(nodes, "node").select("place.row_key"), "wanted")
+        more = materialise(_sets_of(rows, keys), "sets")
+        sets = more if sets is None else sets.unionByName(more)
+        found = materialise(_links(near, sets, percent), "links")
         if found.isEmpty():
             continue
         edges = found if edges is None else edges.unionByName(found)
@@ -284,25 +320,19 @@ def near_groups(
     docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", percent: int = PERCENT, share: int = FREQUENT_SHARE,
 ) -> DataFrame:
     """Per row of ``docs``: ``id``, ``n_grams``, ``group_id`` (the smallest id of its group) and ``group_key``."""
+    text_key = F.xxhash64(F.col(text_column).cast("string"))
     rows = docs.select(
-        F.col(id_column).alias("id"), F.xxhash64(text_column).alias("text_key"), F.col(text_column).cast("string").alias("text"))
+        F.col(id_column).alias("id"), F.xxhash64(id_column, text_key).alias("row_key"), F.col(text_column).cast("string").alias("text"))
     frequent = frequent_grams(rows.select("text"), share)
     described = materialise(_described(rows, frequent, percent), "described")
 
     filled = described.filter("node IS NOT NULL")
     nodes = materialise(filled.groupBy("node").agg(
-        F.min(F.struct("id", "text_key")).alias("place"), F.min("id").alias("id"), F.first("n").alias("n"),
-        F.first("signatures").alias("signatures"), F.first("bitmap").alias("bitmap")), "nodes")
-    posted = nodes.select(F.explode("signatures").alias("signature"), "node", "n")
-    shared = posted.groupBy("signature").agg(F.count(F.lit(1)).alias("members")).filter("members > 1").select("signature")
-    members = materialise(posted.join(shared, "signature"), "members")
-    found = members.select("node").distinct().join(nodes, "node").select("place.id", "place.text_key")
-    same_row = rows["id"].eqNullSafe(found["id"]) & (rows["text_key"] == found["text_key"])
-    sets = materialise(
-        rows.join(found, same_row, "left_semi").select("text").mapInPandas(_whole_sets, "node binary, grams binary")
-        .dropDuplicates(["node"]), "sets")
-
-    roots = _roots(members, nodes, sets, percent)
+        F.min(F.struct("id", "row_key")).alias("place"), F.min("id").alias("id"), F.first("n").alias("n"), F.first("bitmap").alias("bitmap")), "nodes")
+    posted = filled.select(F.explode("signatures").alias("signature"), "node", "n")
+    shared = posted.groupBy("signature").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter("low < high").select("signature")
+    members = materialise(posted.join(shared, "signature").distinct(), "members")
+    roots = _roots(members, nodes, rows, percent)
 
     grouped = nodes.select("node", "id").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     names = grouped.groupBy("root").agg(F.min("id").alias("group_id"))
@@ -310,4 +340,4 @@ def near_groups(
     full = spread_join(filled.select("node", "id", "n"), named, ["node"], ["id"], "inner", SALTS)
     return full.select("id", F.col("n").cast("long").alias("n_grams"), "group_id", F.col("root").alias("group_key")).unionByName(
         described.filter("node IS NULL").select(
-            "id", F.lit(0).cast("long").alias("n_grams"), F.col("id").alias("group_id"), F.lit(None).cast("binary").alias("group_key")))
+            "id", F.lit(0).cast("long").alias("n_grams"), F.col("id").alias("group_id"), F.lit(None).cast("long").alias("group_key")))
