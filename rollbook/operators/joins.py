@@ -30,3 +30,14 @@ def spread_join(
     salted = left.withColumn("_salt", F.pmod(F.xxhash64(*spread_by), F.lit(salts)).cast("int"))
     repeated = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return salted.join(repeated, [*keys, "_salt"], how).drop("_salt")
+
+
+def lookup_join(
+    left: DataFrame, right: DataFrame, keys: Sequence[str], spread_by: Sequence[str], text_columns: Sequence[str], how: str = "left",
+) -> DataFrame:
+    """Join with a stored lookup table, unique on the keys: broadcast if it is counted as small, else spread."""
+    size = sum((F.coalesce(F.octet_length(c), F.lit(0)) for c in text_columns), F.lit(0).cast("long"))
+    n, width = right.agg(F.count(F.lit(1)), F.coalesce(F.sum(size), F.lit(0))).first()
+    if fits_broadcast(n, width):
+        return left.join(F.broadcast(right), list(keys), how)
+    return spread_join(left, right, keys, spread_by, how)

@@ -1,7 +1,8 @@
 """Value dictionaries, mapping proposals and their application.
 
-A dictionary is a short list ``(canonical_id, label, ordinal, aliases)`` kept
-in the program.  A value map is a table with one row per column and raw value.
+A dictionary is a list ``(canonical_id, label, ordinal, aliases)`` in the
+program, or a table with these columns, of any size.  A value map is a table with
+one row per column and raw value.
 """
 
 from __future__ import annotations
@@ -14,14 +15,17 @@ from pyspark.sql import functions as F
 from rollbook.fixed import MATCHED, UNKNOWN_VALUE_PREFIX, UNMATCHED
 from rollbook.functions.predicates import check, condition
 from rollbook.functions.text import clean_text, distinct_key, fold_literal, round_half_up, search_shadow
-from rollbook.operators.joins import fits_broadcast, spread_join
+from rollbook.operators.joins import fits_broadcast, lookup_join, spread_join
 from rollbook.operators.reshape import cells
-from rollbook.session import LITERAL_ROWS_MAX, literal_frame
+from rollbook.session import literal_frame, materialise
 
-Dictionary = Sequence[tuple[str, str, int, Sequence[str]]]
+Items = Sequence[tuple[str, str, int, Sequence[str]]]
+Dictionary = Items | DataFrame
+# Dictionary names that one value is compared with at a time.
+NAMES_BLOCK = 500
 
 
-def alias_table(dictionary: Dictionary) -> dict[str, tuple[str, str, int]]:
+def alias_table(dictionary: Items) -> dict[str, tuple[str, str, int]]:
     """Folded label or alias -> (canonical id, label, ordinal); the first item wins."""
     table: dict[str, tuple[str, str, int]] = {}
     for canonical_id, label, ordinal, aliases in dictionary:
@@ -30,18 +34,37 @@ def alias_table(dictionary: Dictionary) -> dict[str, tuple[str, str, int]]:
     return table
 
 
+def alias_frame(spark: SparkSession, dictionary: Dictionary) -> DataFrame:
+    """``(alias, canonical_id, canonical_label, ordinal)``, once per folded label or alias.
+
+    In a table the item with the smallest ordinal wins a shared name, then the smallest id.
+    """
+    if not isinstance(dictionary, DataFrame):
+        rows = [(alias, *target) for alias, target in alias_table(dictionary).items()]
+        return literal_frame(
+            spark, rows, [("alias", "string"), ("canonical_id", "string"), ("canonical_label", "string"), ("ordinal", "int")])
+    none = F.array().cast("array<string>")
+    names = F.concat(F.array("label"), F.coalesce("aliases", none))
+    items = dictionary.select(
+        F.explode(names).alias("name"),
+        F.struct(F.col("ordinal").cast("int").alias("ordinal"), "canonical_id", F.col("label").alias("canonical_label")).alias("item"),
+    ).select(search_shadow(F.col("name")).alias("alias"), "item")
+    return materialise(items.filter("alias IS NOT NULL").groupBy("alias").agg(F.min("item").alias("item")).select(
+        "alias", "item.canonical_id", "item.canonical_label", "item.ordinal"), "dictionary")
+
+
+_NAMED = ["alias", "canonical_id", "canonical_label"]
+
+
 def resolve(df: DataFrame, column: str, dictionary: Dictionary) -> DataFrame:
     """Add canonical id, label and ordinal of a value named by label or alias.
 
     Case, width and spacing do not matter.  Unknown values get NULLs.
     """
-    rows = [(alias, *target) for alias, target in alias_table(dictionary).items()]
-    lookup = literal_frame(
-        df.sparkSession, rows,
-        [("_alias", "string"), ("canonical_id", "string"), ("canonical_label", "string"), ("ordinal", "int")],
-    )
-    keyed = df.withColumn("_alias", search_shadow(F.col(column)))
-    return keyed.join(F.broadcast(lookup), "_alias", "left").drop("_alias")
+    lookup = alias_frame(df.sparkSession, dictionary)
+    keyed = df.withColumn("alias", search_shadow(F.col(column)))
+    plain = [c for c, t in keyed.dtypes if not t.startswith(("map", "variant"))]
+    return lookup_join(keyed, lookup, ["alias"], plain, _NAMED).drop("alias")
 
 
 def value_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -59,20 +82,18 @@ def propose_mappings(counts: DataFrame, dictionaries: Mapping[str, Dictionary])
 
     ``dictionaries`` maps a column id to the dictionary that governs it.
     """
-    rows = [
-        (column, alias, *target)
-        for column, dictionary in dictionaries.items()
-        for alias, target in alias_table(dictionary).items()
-    ]
-    lookup = literal_frame(
-        counts.sparkSession, rows,
-        [("column_id", "string"), ("_alias", "string"), ("_id", "string"), ("_label", "string"), ("ordinal", "int")],
-    )
-    keyed = counts.withColumn("_alias", search_shadow(F.col("raw_value")))
+    spark = counts.sparkSession
+    lookup = literal_frame(spark, [], [
+        ("column_id", "string"), ("alias", "string"), ("canonical_id", "string"), ("canonical_label", "string"), ("ordinal", "int")])
+    for column, dictionary in dictionaries.items():
+        lookup = lookup.unionByName(alias_frame(spark, dictionary).withColumn("column_id", F.lit(column)))
+    keyed = counts.withColumn("alias", search_shadow(F.col("raw_value")))
+    joined = lookup_join(keyed, lookup, ["column_id", "alias"], ["raw_value"], _NAMED).withColumnsRenamed(
+        {"canonical_id": "_id", "canonical_label": "_label"})
     known = F.col("_id").isNotNull()
     matched_confidence, matched_source, matched_reason = MATCHED
     unmatched_confidence, unmatched_source, unmatched_reason = UNMATCHED
-    return keyed.join(F.broadcast(lookup), ["column_id", "_alias"], "left").select(
+    return joined.select(
         "column_id",
         "raw_value",
         F.coalesce("_id", F.concat(F.lit(UNKNOWN_VALUE_PREFIX), F.lower("raw_value"))).alias("canonical_id"),
@@ -99,18 +120,18 @@ def accept_pending(mappings: DataFrame) -> DataFrame:
 def similar_values(values: DataFrame, column: str, dictionary: Dictionary, min_similarity: float = 0.5) -> DataFrame:
     """The closest dictionary name for each value, by edit distance over length.
 
-    The dictionary's names, at most ``LITERAL_ROWS_MAX``, sit in the expression
-    as one array, so each value is scored in place and no pairs are produced.
-    Ties go to the name that sorts first.
+    The values are folded and stored first, so that each is scored once.  The
+    dictionary's names stand in blocks of bounded size, one array each; a value
+    meets every block, the best of a block being one row.  Ties go to the name that sorts first.
     """
-    names = alias_table(dictionary)
-    if not names or len(names) > LITERAL_ROWS_MAX:
-        raise ValueError(f"need 1 to {LITERAL_ROWS_MAX} dictionary names, got {len(names)}")
-    choices = F.array(*[
-        F.struct(F.lit(name).alias("name"), F.lit(target[0]).alias("id"), F.lit(target[1]).alias("label"))
-        for name, target in names.items()
-    ])
-    folded = search_shadow(F.col(column))
+    names = alias_frame(values.sparkSession, dictionary)
+    total = names.count()
+    if not total:
+        raise ValueError("the dictionary has no names")
+    blocks = -(-total // NAMES_BLOCK)
+    choices = materialise(names.groupBy(F.pmod(F.xxhash64("alias"), F.lit(blocks)).alias("_block")).agg(F.sort_array(F.collect_list(
+        F.struct(F.col("alias").alias("name"), F.col("canonical_id").alias("id"), F.col("canonical_label").alias("label")))).alias("_names")), "names")
+    folded = materialise(values.withColumn("_folded", search_shadow(F.col(column))).filter(F.col("_folded").isNotNull()), "folded")
 
     def scored(choice: Column) -> Column:
         longer = F.greatest(F.length("_folded"), F.length(choice["name"]))
@@ -119,62 +140,94 @@ def similar_values(values: DataFrame, column: str, dictionary: Dictionary, min_s
             distance.alias("distance"), choice["name"].alias("name"), choice["id"].alias("id"), choice["label"].alias("label"),
         )
 
-    best = F.array_min(F.transform(choices, scored))
-    return (
-        values.withColumn("_folded", folded)
-        .filter(F.col("_folded").isNotNull())
-        .withColumn("_best", best)
+    met = folded.select("_folded").distinct().withColumn("_block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
+    best = (
+        met.join(choices, "_block").withColumn("_best", F.array_min(F.transform("_names", scored)))
+        .groupBy("_folded").agg(F.min("_best").alias("_best"))
         .withColumn("similarity", round_half_up(F.lit(1.0) - F.col("_best.distance"), 4))
         .filter(F.col("similarity") >= min_similarity)
-        .select(
-            *values.columns,
-            F.col("_best.name").alias("similar_name"),
-            F.col("_best.id").alias("canonical_id"),
-            F.col("_best.label").alias("canonical_label"),
-            "similarity",
-        )
+    )
+    return folded.join(best, "_folded").select(
+        *values.columns,
+        F.col("_best.name").alias("similar_name"),
+        F.col("_best.id").alias("canonical_id"),
+        F.col("_best.label").alias("canonical_label"),
+        "similarity",
     )
 
 
-def apply_mappings(
-    df: DataFrame, columns: Sequence[str], mappings: DataFrame, id_column: str, known_rows: int | None = None,
-) -> DataFrame:
+def apply_mappings(df: DataFrame, columns: Sequence[str], mappings: DataFrame, id_column: str) -> DataFrame:
     """Replace each column by canonical id and add its label and ordinal.
 
     Only accepted mappings apply; a value without one keeps its text as id and
-    label.  NULL stays NULL.  ``known_rows`` is the size of a map written in
-    the program; any other map is measured per column, in one job, before
-    anything is broadcast.  A column whose map is too large is joined with its
-    hot values spread out.
+    label.  NULL stays NULL.  The map is measured per column, in one job, before
+    anything is broadcast; a value with two accepted mappings is refused.
+    Columns with larger maps are looked up in a narrow long table, their hot
+    values spread out, which joins the whole rows once.
     """
-    accepted = mappings.filter(F.col("column_id").isin(list(columns)) & (F.col("status") == "accepted"))
-    small = set(columns) if known_rows is not None and fits_broadcast(known_rows, 0) else _small_maps(accepted)
+    columns = list(columns)
+    accepted = mappings.filter(F.col("column_id").isin(columns) & (F.col("status") == "accepted")).select(
+        "column_id", F.col("raw_value").alias("_raw"), F.col("canonical_id").alias("_id"), F.col("canonical_label").alias("_label"),
+        F.col("ordinal").alias("_ordinal"))
+    small = _small_maps(accepted)
+    large = [c for c in columns if c not in small]
     out = df
-    for column in columns:
-        lookup = accepted.filter(F.col("column_id") == column).select(
-            F.col("raw_value").alias("_raw"),
-            F.col("canonical_id").alias("_id"),
-            F.col("canonical_label").alias("_label"),
-            F.col("ordinal").alias("_ordinal"),
-        )
-        keyed = out.withColumn("_raw", F.col(column).cast("string"))
-        if column in small:
-            joined = keyed.join(F.broadcast(lookup), "_raw", "left")
-        else:
-            joined = spread_join(keyed, lookup, ["_raw"], [id_column], "left")
-        out = joined.withColumns({
-            column: F.coalesce("_id", "_raw"),
-            f"{column}_label": F.coalesce("_label", "_raw"),
-            f"{column}_ordinal": F.col("_ordinal"),
-        }).drop("_raw", "_id", "_label", "_ordinal")
-    return out
+    if large:
+        mapped = F.struct("_id", "_label", "_ordinal")
+        keyed = df.withColumn("_key", F.xxhash64(id_column, *large))
+        cell = F.explode(F.array(*[F.struct(F.lit(c).alias("column_id"), F.col(c).cast("string").alias("_raw")) for c in large]))
+        long = keyed.select("_key", cell.alias("_cell")).select("_key", "_cell.*").filter("_raw IS NOT NULL")
+        found = spread_join(long, accepted, ["column_id", "_raw"], ["_key"], "inner").groupBy("_key").agg(*[
+            F.max(F.when(F.col("column_id") == c, mapped)).alias(f"_map_{i}") for i, c in enumerate(large)])
+        out = keyed.join(found, "_key", "left").drop("_key")
+    for i, column in enumerate(large):
+        out = _mapped(out.withColumn("_raw", F.col(column).cast("string")).withColumns(
+            {n: F.col(f"_map_{i}")[n] for n in ("_id", "_label", "_ordinal")}).drop(f"_map_{i}"), column)
+    for column in small & set(columns):
+        lookup = accepted.filter(F.col("column_id") == column).drop("column_id")
+        out = _mapped(out.withColumn("_raw", F.col(column).cast("string")).join(F.broadcast(lookup), "_raw", "left"), column)
+    return out.select(*df.columns, *[c for column in columns for c in (f"{column}_label", f"{column}_ordinal")])
+
+
+def _mapped(df: DataFrame, column: str) -> DataFrame:
+    return df.withColumns({
+        column: F.coalesce("_id", "_raw"),
+        f"{column}_label": F.coalesce("_label", "_raw"),
+        f"{column}_ordinal": F.col("_ordinal"),
+    }).drop("_raw", "_id", "_label", "_ordinal")
 
 
 def _small_maps(accepted: DataFrame) -> set[str]:
     """Columns whose map may be broadcast.  One row per column reaches the driver."""
-    size = F.octet_length("raw_value") + F.octet_length("canonical_id") + F.octet_length("canonical_label")
-    measured = accepted.groupBy("column_id").agg(F.count(F.lit(1)).alias("n"), F.sum(size).alias("bytes")).collect()
-    return {r["column_id"] for r in measured if fits_broadcast(r["n"], r["bytes"])}
+    size = F.octet_length("_raw") + F.octet_length("_id") + F.octet_length("_label")
+    measured = accepted.groupBy("column_id").agg(
+        F.count("_raw").alias("n"), F.count_distinct("_raw").alias("values"), F.sum(size).alias("bytes")).collect()
+    if repeated := [r["column_id"] for r in measured if r["n"] > r["values"]]:
+        raise ValueError(f"values with several accepted mappings in {sorted(repeated)}")
+    return {r["column_id"] for r in measured if fits_broadcast(r["n"], r["bytes"] or 0)}
+
+
+def stored_literals(mappings: DataFrame, column: str, values: Sequence[str], dictionary: Items = ()) -> dict[str, list[str]]:
+    """What filter literals mean in a column normalised by this map: a list of stored values for each.
+
+    An id of the map stands for itself; else a raw value or label of the map, or
+    a name in the program's dictionary, stands for its id; else the text stands for itself, as
+    values without an accepted mapping keep theirs.  Only ids for the given literals reach the driver.
+    """
+    folded = {v: fold_literal(v) for v in values}
+    literals = F.array(*[F.struct(F.lit(v).alias("value"), F.lit(f).alias("folded")) for v, f in folded.items()])
+    accepted = mappings.filter((F.col("column_id") == column) & (F.col("status") == "accepted")).select(
+        "canonical_id", search_shadow(F.col("raw_value")).alias("_raw"), search_shadow(F.col("canonical_label")).alias("_label"))
+    meant = F.filter(literals, lambda x: (F.col("canonical_id") == x.value) | (F.col("_raw") == x.folded) | (F.col("_label") == x.folded))
+    hits = accepted.select("canonical_id", F.explode(meant).alias("x")).select(F.col("x.value").alias("value"), "canonical_id").distinct().collect()
+    found: dict[str, list[str]] = {}
+    for r in sorted(hits, key=lambda r: r["canonical_id"]):
+        found.setdefault(r["value"], []).append(r["canonical_id"])
+    names = alias_table(dictionary)
+    return {
+        v: [v] if v in found.get(v, ()) else found.get(v) or ([names[folded[v]][0]] if folded[v] in names else [v])
+        for v in values
+    }
 
 
 def dictionary_mappings(spark: SparkSession, column: str, dictionary: Dictionary) -> DataFrame:

@@ -4,13 +4,17 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# A frame written out in the program text is broadcast only up to this many rows.
-LITERAL_ROWS_MAX = 5000
+# More literal rows than this go to Spark as local data instead of as expressions.
+LITERAL_ROWS_INLINE = 2000
+
+_work_folder: ContextVar[str | None] = ContextVar("work_folder", default=None)
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -32,8 +36,28 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+@contextmanager
+def work_folder(spark: SparkSession, path: str | None = None) -> Iterator[str]:
+    """A folder of the caller's for intermediate tables, removed at the end.
+
+    Frames made inside read from it: write what is to stay before leaving.
+    Without it, intermediate tables stay under the shared folder, where the caller removes them.
+    """
+    path = path or scratch_path(spark, "work")
+    token = _work_folder.set(path)
+    try:
+        yield path
+    finally:
+        _work_folder.reset(token)
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh path under the shared folder."""
+    """A fresh path under the work folder, else under the shared folder."""
+    own = _work_folder.get()
+    if own:
+        return f"{own.rstrip('/')}/{name}-{uuid.uuid4().hex}"
     return f"{shared_folder(spark).rstrip('/')}/rollbook/{name}-{uuid.uuid4().hex}"
 
 
@@ -46,12 +70,9 @@ def materialise(df: DataFrame, name: str = "frame") -> DataFrame:
 
 
 def literal_frame(spark: SparkSession, rows: Sequence[Sequence], schema: Sequence[tuple[str, str]]) -> DataFrame:
-    """A frame of values known in the program, built inside the JVM.
-
-    The row count is checked here, so callers may broadcast the result.
-    """
-    if len(rows) > LITERAL_ROWS_MAX:
-        raise ValueError(f"{len(rows)} literal rows; write more than {LITERAL_ROWS_MAX} to a table instead")
+    """A frame of values known in the program, built inside the JVM while they are few."""
+    if len(rows) > LITERAL_ROWS_INLINE:
+        return spark.createDataFrame([tuple(r) for r in rows], ", ".join(f"{n} {t}" for n, t in schema))
     if not rows:
         return spark.range(0).select(*[F.lit(None).cast(t).alias(n) for n, t in schema])
     structs = [

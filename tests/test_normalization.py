@@ -38,6 +38,55 @@ def test_proposals(mappings):
     assert set(got) == {"UT", "単体", "結合試験", "新フェーズ未定義", "UI不備"}
 
 
+def big_dictionary(spark, n=6000):
+    ids = spark.range(n)
+    return ids.select(F.concat(F.lit("id_"), "id").alias("canonical_id"), F.concat(F.lit("Name "), "id").alias("label"),
+                      F.col("id").cast("int").alias("ordinal"), F.array(F.concat(F.lit("Ｎ"), F.col("id").cast("string"))).alias("aliases"))
+
+
+@pytest.mark.parametrize("as_table", [False, True])
+def test_dictionaries_of_any_size(spark, as_table):
+    table = big_dictionary(spark)
+    names = table if as_table else [(r.canonical_id, r.label, r.ordinal, r.aliases) for r in table.collect()]
+    df = spark.createDataFrame([("name 5999",), ("n17",), ("nothing",), ("NAME  3",)], "v string")
+    got = {r.v: r.canonical_id for r in nz.resolve(df, "v", names).collect()}
+    assert got == {"name 5999": "id_5999", "n17": "id_17", "nothing": None, "NAME  3": "id_3"}
+    counts = nz.value_counts(df, ["v"])
+    assert rows(nz.propose_mappings(counts, {"v": names}).filter("status = 'accepted'"), "canonical_id") == [("id_17",), ("id_3",), ("id_5999",)]
+    near = spark.createDataFrame([("Name 59999",), ("zzzzzzzzz",)], "v string")
+    assert rows(nz.similar_values(near, "v", names, 0.8), "v", "similar_name", "canonical_id", "similarity") == [
+        ("Name 59999", "name 5999", "id_5999", 0.9)]
+
+
+def test_values_are_scored_once(spark):
+    df = spark.createDataFrame([("bolt",)] * 50, "v string")
+    counts = nz.value_counts(df, ["v"]).drop("column_id")
+    plan = nz.similar_values(counts, "raw_value", [("b", "bolts", 1, [])])._jdf.queryExecution().optimizedPlan().toString()
+    assert "levenshtein" in plan and plan.count("count(1)") == 0
+
+
+@pytest.mark.parametrize("large", [False, True])
+def test_repeated_map_rows_are_refused(spark, monkeypatch, large):
+    if large:
+        monkeypatch.setattr(joins, "BROADCAST_ROWS_MAX", 0)
+    df = spark.createDataFrame([("1", "a")], "record_id string, c string")
+    fields = "column_id string, raw_value string, canonical_id string, canonical_label string, ordinal int, status string"
+    twice = spark.createDataFrame([("c", "a", "x", "X", 1, "accepted"), ("c", "a", "y", "Y", 2, "accepted")], fields)
+    with pytest.raises(ValueError, match="c"):
+        nz.apply_mappings(df, ["c"], twice, "record_id")
+    once = twice.filter("canonical_id = 'x'").unionByName(twice.filter("canonical_id = 'y'").withColumn("status", F.lit("pending")))
+    assert rows(nz.apply_mappings(df, ["c"], once, "record_id")) == [("1", "x", "X", 1)]
+
+
+def test_several_large_columns_and_repeated_ids(spark, monkeypatch):
+    monkeypatch.setattr(joins, "BROADCAST_ROWS_MAX", 0)
+    df = spark.createDataFrame([("1", "a", "p"), ("1", "b", "p"), ("2", None, "q"), ("2", None, "q")], "record_id string, c string, d string")
+    fields = "column_id string, raw_value string, canonical_id string, canonical_label string, ordinal int, status string"
+    maps = spark.createDataFrame([("c", "a", "x", "X", 1, "accepted"), ("d", "p", "y", "Y", None, "accepted")], fields)
+    assert rows(nz.apply_mappings(df, ["c", "d"], maps, "record_id"), "record_id", "c", "d", "c_label", "d_label", "c_ordinal") == [
+        ("1", "b", "y", "b", "Y", None), ("1", "x", "y", "X", "Y", 1), ("2", None, "q", None, "q", None), ("2", None, "q", None, "q", None)]
+
+
 def test_review_queue(mappings):
     assert rows(nz.review_queue(mappings)) == [("defect_type", "UI不備", 106), ("detect_phase", "新フェーズ未定義", 5)]
 
