@@ -4,6 +4,10 @@ A finding is one header row (finding_id, finding_type, claim, confidence,
 confidence_reason, hypotheses).  What it cites is a separate long table,
 (finding_id, evidence_type, position, record_id), because one finding may cite
 a large part of the register and one record may be cited by many findings.
+
+Ids are labels that submissions choose, so findings of several documents may
+share one.  Where frames carry a ``finding_key`` as well, unique over all submissions, joins and
+counts go by it; otherwise the id is taken as unique.
 """
 
 from __future__ import annotations
@@ -31,6 +35,14 @@ from rollbook.fixed import (
 from rollbook.operators.joins import spread_join
 
 
+KEY = "finding_key"
+
+
+def _keys(df: DataFrame) -> list[str]:
+    """What tells findings apart, and the label."""
+    return [KEY, "finding_id"] if KEY in df.columns else ["finding_id"]
+
+
 def coerce_confidence(confidence: Column) -> Column:
     """One of the three levels; anything else is medium."""
     return F.when(confidence.isin(CONFIDENCE_LEVELS), confidence).otherwise(F.lit("medium"))
@@ -55,16 +67,17 @@ def apply_defaults(findings: DataFrame, position: str) -> DataFrame:
 
 def fill_hypotheses(findings: DataFrame, by_finding: DataFrame) -> DataFrame:
     """Give findings without hypotheses those listed for their id: finding_id, hypotheses."""
-    listed = by_finding.select("finding_id", F.col("hypotheses").alias("_listed"))
+    key = _keys(by_finding)[0] if KEY in findings.columns else "finding_id"
+    listed = by_finding.select(key, F.col("hypotheses").alias("_listed"))
     own = F.when(F.size(F.coalesce("hypotheses", F.array().cast("array<string>"))) > 0, F.col("hypotheses"))
-    return findings.join(listed, "finding_id", "left").withColumn("hypotheses", F.coalesce(own, "_listed")).drop("_listed")
+    return findings.join(listed, key, "left").withColumn("hypotheses", F.coalesce(own, "_listed")).drop("_listed")
 
 
 def cited_records(findings: DataFrame) -> DataFrame:
     """The long citation table of findings that carry their ids as arrays."""
     cited = [
         findings.select(
-            "finding_id", F.lit(kind).alias("evidence_type"),
+            *_keys(findings), F.lit(kind).alias("evidence_type"),
             F.posexplode(f"{kind}_records").alias("position", "record_id"),
         )
         for kind in ("supporting", "counter")
@@ -78,23 +91,24 @@ def validate_findings(headers: DataFrame, cited: DataFrame, candidates: DataFram
     A finding needs a claim and a supporting record, and may cite only
     candidates.  ``candidates`` holds distinct ids in ``record_id``.
     """
+    key = _keys(headers)[0]
     supporting, counter = F.col("evidence_type") == "supporting", F.col("evidence_type") == "counter"
     # a record cited by very many findings is split here by adaptive execution:
     # salting would repeat the whole candidate set
     known = candidates.select("record_id", F.lit(True).alias("inside"))
     checked = cited.join(known, "record_id", "left").withColumn("outside", F.col("inside").isNull())
-    counts = checked.groupBy("finding_id").agg(
+    counts = checked.groupBy(key).agg(
         F.count_if(supporting).alias("n_supporting"),
         F.count_if(counter).alias("n_counter"),
         F.count_if(supporting & F.col("outside")).alias("supporting_outside"),
         F.count_if(counter & F.col("outside")).alias("counter_outside"),
     )
-    first = W.partitionBy("finding_id", "evidence_type").orderBy("position", "record_id")
+    first = W.partitionBy(key, "evidence_type").orderBy("position", "record_id")
     shown = (
         checked.filter("outside")
         .withColumn("rank", F.row_number().over(first))
         .filter(F.col("rank") <= SHOWN_MISSING_IDS)
-        .groupBy("finding_id")
+        .groupBy(key)
         .agg(*[
             F.concat_ws(", ", F.transform(
                 F.sort_array(F.collect_list(F.when(kind, F.struct("rank", "record_id")))),
@@ -104,7 +118,7 @@ def validate_findings(headers: DataFrame, cited: DataFrame, candidates: DataFram
         ])
     )
     numbers = ["n_supporting", "n_counter", "supporting_outside", "counter_outside"]
-    merged = headers.join(counts, "finding_id", "left").join(shown, "finding_id", "left").withColumns(
+    merged = headers.join(counts, key, "left").join(shown, key, "left").withColumns(
         {n: F.coalesce(n, F.lit(0)) for n in numbers}
     )
     reasons = F.array_compact(F.array(
@@ -132,8 +146,8 @@ def finding_totals(validated: DataFrame) -> DataFrame:
 
 def accepted_citations(validated: DataFrame, cited: DataFrame) -> DataFrame:
     """Citations of the accepted findings."""
-    accepted = validated.filter("accepted").select("finding_id")
-    return spread_join(cited, accepted, ["finding_id"], ["record_id"], "left_semi")
+    key = _keys(validated)[0]
+    return spread_join(cited, validated.filter("accepted").select(key), [key], ["record_id"], "left_semi")
 
 
 def evidence_index(cited: DataFrame) -> DataFrame:
@@ -142,7 +156,7 @@ def evidence_index(cited: DataFrame) -> DataFrame:
     Sort by (record_id, finding_id) on output.  Pairs rather than id lists, so
     a record cited by everything stays spread over tasks.
     """
-    return cited.groupBy("record_id", "finding_id").agg(
+    return cited.groupBy("record_id", *_keys(cited)).agg(
         F.max(F.col("evidence_type") == "supporting").alias("is_supporting"),
         F.max(F.col("evidence_type") == "counter").alias("is_counter"),
     )
@@ -155,35 +169,39 @@ def evidence_records(index: DataFrame) -> DataFrame:
 
 def insight_evidence(headers: DataFrame, cited: DataFrame) -> DataFrame:
     """One row per finding and cited record, with the finding's type and claim."""
-    described = headers.select("finding_id", "finding_type", "claim")
-    return spread_join(cited, described, ["finding_id"], ["record_id"], "inner").select(
-        "finding_id", "finding_type", "evidence_type", "record_id", "claim"
+    keys = _keys(headers)
+    described = headers.select(keys[0], "finding_type", "claim")
+    return spread_join(cited, described, [keys[0]], ["record_id"], "inner").select(
+        *keys, "finding_type", "evidence_type", "record_id", "claim"
     )
 
 
 def finding_summary(headers: DataFrame, cited: DataFrame, shown: int = SHOWN_SUPPORTING_IDS) -> DataFrame:
     """Counts per finding, the first few supporting ids, and whether there are more."""
+    keys = _keys(headers)
+    key = keys[0]
     supporting = F.col("evidence_type") == "supporting"
-    counts = cited.groupBy("finding_id").agg(
+    counts = cited.groupBy(key).agg(
         F.count_if(supporting).alias("n_supporting"),
         F.count_if(~supporting).alias("n_counter"),
     )
-    first = W.partitionBy("finding_id").orderBy("position", "record_id")
+    first = W.partitionBy(key).orderBy("position", "record_id")
     heads = (
         cited.filter(supporting)
         .withColumn("rank", F.row_number().over(first))
         .filter(F.col("rank") <= shown)
-        .groupBy("finding_id")
+        .groupBy(key)
         .agg(F.sort_array(F.collect_list(F.struct("rank", "record_id"))).alias("_head"))
     )
     zero = F.lit(0)
     return (
-        headers.join(counts, "finding_id", "left")
-        .join(heads, "finding_id", "left")
+        headers.join(counts, key, "left")
+        .join(heads, key, "left")
         .withColumn("n_supporting", F.coalesce("n_supporting", zero))
         .withColumn("n_counter", F.coalesce("n_counter", zero))
         .select(
-            "finding_id", "finding_type", "claim", "confidence", "n_supporting", "n_counter",
+            *keys, "finding_type", "claim", "confidence", *[c for c in ("confidence_reason",) if c in headers.columns],
+            "n_supporting", "n_counter",
             F.coalesce(F.size(F.col("hypotheses")), zero).alias("n_hypotheses") if "hypotheses" in headers.columns
             else zero.alias("n_hypotheses"),
             F.coalesce(F.array_join(F.col("_head.record_id").cast("array<string>"), ", "), F.lit("")).alias("first_supporting"),
@@ -194,14 +212,14 @@ def finding_summary(headers: DataFrame, cited: DataFrame, shown: int = SHOWN_SUP
 
 def finding_hypotheses(headers: DataFrame) -> DataFrame:
     """One row per hypothesis, in the order given."""
-    return headers.select("finding_id", F.posexplode("hypotheses").alias("_at", "hypothesis")).select(
-        "finding_id", (F.col("_at") + 1).alias("position"), "hypothesis"
+    return headers.select(*_keys(headers), F.posexplode("hypotheses").alias("_at", "hypothesis")).select(
+        *_keys(headers), (F.col("_at") + 1).alias("position"), "hypothesis"
     )
 
 
 def counter_evidence(cited: DataFrame) -> DataFrame:
     """Finding and counter record pairs."""
-    return cited.filter(F.col("evidence_type") == "counter").select("finding_id", "record_id")
+    return cited.filter(F.col("evidence_type") == "counter").select(*_keys(cited), "record_id")
 
 
 def evidence_appendix(

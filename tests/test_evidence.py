@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from rollbook.operators import evidence as ev
 from rollbook.operators import lessons as le
 from rollbook.operators.numbering import number_rows
-from rollbook.sources.register import read_findings
+from rollbook.sources.register import parse_findings, read_findings
 
 SCHEMA = ("finding_id string, finding_type string, claim string, supporting_records array<string>, counter_records array<string>, "
           "confidence string, confidence_reason string, hypotheses array<string>")
@@ -16,8 +16,8 @@ SCHEMA = ("finding_id string, finding_type string, claim string, supporting_reco
 @pytest.fixture(scope="module")
 def findings(spark):
     return spark.createDataFrame([
-        ("F-01", "root_cause_pattern", "タイマー競合のパターン", ["REC-001", "REC-002"], ["REC-004"], "high", "", ["h1", "h2"]),
-        ("F-02", "root_cause_pattern", "不正なIDを含む", ["REC-999"], [], "low", "", None),
+        ("F-01", "root_cause_pattern", "朝の便に集中している", ["REC-001", "REC-002"], ["REC-004"], "high", "", ["h1", "h2"]),
+        ("F-02", "root_cause_pattern", "台帳にない番号を挙げる", ["REC-999"], [], "low", "", None),
         ("F-03", "anomaly", " \u3000\n", [], None, "medium", "", []),
         ("F-04", "anomaly", "many", ["x4", "x1", "x3", "x2", "REC-001"], ["y1", "REC-002"], "medium", "", ["only"]),
         ("F-05", "anomaly", "shared", ["REC-002", "REC-002"], ["REC-002"], "medium", "", None),
@@ -46,6 +46,21 @@ def test_reasons(validated):
     assert rows(ev.finding_totals(validated)) == [(6, 2, 4)]
 
 
+def test_findings_of_many_documents_stay_apart(spark):
+    document = '[{"claim": "x", "supporting_records": ["REC-001"]}, {"finding_id": "FIND-001", "claim": "y", "supporting_records": ["%s"], "derived_batch_ids": ["batch-001"]}]'
+    documents = spark.createDataFrame([(1, document % "gone"), (2, document % "REC-002")], "doc int, json string")
+    parsed = parse_findings(documents, "json", keep=["doc"])
+    headers, cited = parsed.drop("supporting_records", "counter_records"), ev.cited_records(parsed)
+    candidates = spark.createDataFrame([("REC-001",), ("REC-002",)], "record_id string")
+    validated = ev.validate_findings(headers, cited, candidates).cache()
+    assert rows(validated, "finding_key", "finding_id", "n_supporting", "accepted") == [
+        ("1/1", "FIND-001", 1, True), ("1/2", "FIND-001", 1, False), ("2/1", "FIND-001", 1, True), ("2/2", "FIND-001", 1, True)]
+    kept = ev.accepted_citations(validated, cited)
+    assert rows(ev.evidence_index(kept), "record_id", "finding_key") == [("REC-001", "1/1"), ("REC-001", "2/1"), ("REC-002", "2/2")]
+    assert ev.insight_evidence(headers, kept).count() == 3 and ev.finding_summary(headers, kept).count() == 4
+    assert rows(headers.filter("finding_key = '2/2'").select(F.array_join("derived_batch_ids", ","))) == [("batch-001",)]
+
+
 def test_evidence_is_deduplicated(findings, validated):
     index = ev.evidence_index(ev.accepted_citations(validated, ev.cited_records(findings)))
     assert rows(index) == [

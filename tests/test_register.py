@@ -34,11 +34,38 @@ def test_many_files_and_a_later_header_row(spark, tmp_path):
         rg.read_register(spark, str(folder), header_row=2)
 
 
+def test_files_with_other_column_orders(spark, tmp_path):
+    folder = tmp_path / "orders"
+    folder.mkdir()
+    write(folder / "one.csv", "id,a,b\n1,x1,y1\n2,x2,\n")
+    write(folder / "two.csv", "b,id,a\ny3,3,x3\n")
+    raw = rg.read_register(spark, str(folder), ["id", "a", "b"], id_header="id")
+    want = [("1", "one.csv", 2, "1", "x1", "y1"), ("2", "one.csv", 3, "2", "x2", None), ("3", "two.csv", 2, "3", "x3", "y3")]
+    assert rows(raw) == want
+    assert {(r[3], r[4]) for r in rows(rg.read_register(spark, str(folder), id_header="id").select("record_id", "source_file", "row_idx", "id_raw", "a_raw", "b_raw"))} == {
+        ("1", "x1"), ("2", "x2"), ("3", "x3")}
+    write(folder / "three.csv", "id,a,c\n4,x4,z4\n")
+    with pytest.raises(ValueError):
+        rg.read_register(spark, str(folder), ["id", "a", "b"], id_header="id")
+
+
+def test_table_fingerprint(spark):
+    data = [(i, f"t{i % 7}", None if i % 5 else "") for i in range(100)]
+
+    def digest(rows_, n=4):
+        return rg.table_fingerprint(spark.createDataFrame(rows_, "a int, b string, c string").repartition(n), ["a", "b", "c"]).first()
+    whole = digest(data)
+    assert whole.n_rows == 100 and whole == digest(data[::-1], 3)
+    assert len({digest(d).sha256 for d in (data, data[1:], [*data, data[0]], [(-1, "t1", None), *data[1:]], [])}) == 5
+
+
 def test_made_ids_are_stable(spark, tmp_path):
     path = write(tmp_path / "r.csv", "a,b\n1,2\n3,4\n1,2\n")
     first, again = (rows(rg.read_register(spark, path), "record_id", "row_idx") for _ in range(2))
     assert first == again and len({r[0] for r in first}) == 3
-    digest = hashlib.sha256("1\x1f2\x1fr.csv".encode()).hexdigest()[:4]
+    digest = hashlib.sha256("1\x1f2\x1fr.csv".encode()).hexdigest()[:16]
+    short = rows(rg.read_register(spark, path, id_digits=4), "record_id")
+    assert (f"REC-0002-{digest[:4]}",) in short
     assert (f"REC-0002-{digest}", 2) in first and (f"REC-0004-{digest}", 4) in first
 
 
