@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
 from functools import reduce
 
@@ -71,10 +72,16 @@ def search_shadow(column: Column) -> Column:
 
 
 def fold_literal(value: str) -> str:
-    """``search_shadow`` for a term in the program."""
+    """A name in a dictionary, whatever its case, width and spacing."""
     return " ".join(unicodedata.normalize("NFKC", value).split()).lower()
 
 
+def fold_term(value: str) -> str:
+    """``search_shadow`` for a search term: line breaks stay."""
+    lines = re.sub(r"\r\n?", "\n", unicodedata.normalize("NFKC", value))
+    return re.sub(r" ?\n ?", "\n", re.sub(r"[ \t]+", " ", lines)).strip(" \n").lower()
+
+
 def is_blank(column: Column) -> Column:
     """NULL or the empty string.  For string columns."""
     return column.isNull() | (column == "")

@@ -13,40 +13,48 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from rollbook.functions.text import fold_literal
+from rollbook.functions.text import fold_term, search_shadow
 from rollbook.session import literal_frame
 
 GRAM = 3
 INDEXED = ""
-SPREAD = 16
 # Every overlapping run of three characters, in one linear regex pass.
 _GRAM_PATTERN = r"(?s)(?=(...))"
 
 
 def _terms(terms: Sequence[str]) -> list[str]:
-    folded = list(dict.fromkeys(fold_literal(t) for t in terms))
+    folded = list(dict.fromkeys(fold_term(t) for t in terms))
     if not folded or "" in folded:
         raise ValueError("a search needs at least one term, none of them blank")
     return folded
 
 
-def term_hit(columns: Sequence[str], terms: Sequence[str]) -> Column:
-    """Any term in any column, ignoring case.  Terms are literal text."""
+def _shadow(column: str, clean: bool) -> Column:
+    return F.lower(F.col(column)) if clean else search_shadow(F.col(column))
+
+
+def term_hit(columns: Sequence[str], terms: Sequence[str], clean: bool = False) -> Column:
+    """Any term in any column, ignoring case, width and spacing on both sides.  Terms are literal text.
+
+    ``clean`` says that the columns hold clean text already, which is then only lower-cased.
+    """
     folded = _terms(terms)
 
     def holds_any(text: Column) -> Column:
         return reduce(lambda a, b: a | b, [text.contains(F.lit(t)) for t in folded])
 
-    lowered = [F.lower(F.col(c)) for c in columns]
+    if not columns:
+        return F.lit(False)
+    lowered = [_shadow(c, clean) for c in columns]
     if len(folded) == 1:
         return reduce(lambda a, b: a | b, [F.coalesce(holds_any(text), F.lit(False)) for text in lowered])
     # with several terms, one array so that each text is lower-cased only once
     return F.coalesce(F.exists(F.array(*lowered), holds_any), F.lit(False))
 
 
-def scan_search(df: DataFrame, id_column: str, columns: Sequence[str], terms: Sequence[str]) -> DataFrame:
+def scan_search(df: DataFrame, id_column: str, columns: Sequence[str], terms: Sequence[str], clean: bool = False) -> DataFrame:
     """Ids of the rows hit, from one scan of the searched columns."""
-    return df.filter(term_hit(columns, terms)).select(id_column)
+    return df.filter(term_hit(columns, terms, clean)).select(id_column)
 
 
 def expanded_search(
@@ -61,14 +69,14 @@ def expanded_search(
     return flags.filter(F.col("hit_primary") | F.col("hit_expanded"))
 
 
-def trigram_postings(df: DataFrame, id_column: str, columns: Sequence[str]) -> DataFrame:
+def trigram_postings(df: DataFrame, id_column: str, columns: Sequence[str], clean: bool = False) -> DataFrame:
     """Posting rows ``(column_id, gram, id)``, each once per record and column.
 
     The empty gram marks a record as indexed, even when its text is NULL or
     too short to hold a gram.
     """
     def grams(column: str) -> Column:
-        found = F.array_distinct(F.regexp_extract_all(F.lower(F.col(column)), F.lit(_GRAM_PATTERN), 1))
+        found = F.array_distinct(F.regexp_extract_all(_shadow(column, clean), F.lit(_GRAM_PATTERN), 1))
         return F.concat(F.array(F.lit(INDEXED)), F.coalesce(found, F.array().cast("array<string>")))
 
     per_column = [
@@ -85,13 +93,12 @@ def indexed_ids(postings: DataFrame, id_column: str) -> DataFrame:
 def write_trigram_index(postings: DataFrame, id_column: str, path: str) -> None:
     """Store postings and gram frequencies under ``path``.
 
-    Postings of a gram sit together, so a lookup skips row groups by gram;
-    within that they are spread by id, so a gram that nearly every record holds
-    spans several files.
+    Postings are dealt out by ranges of (column, gram, id): a gram's neighbours sit
+    together, so a lookup skips row groups, and a gram that nearly every record
+    holds is cut into as many ranges as its size asks for.
     """
-    spread = F.pmod(F.xxhash64(id_column), F.lit(SPREAD))
     (
-        postings.repartition("column_id", "gram", spread)
+        postings.repartitionByRange("column_id", "gram", id_column)
         .sortWithinPartitions("column_id", "gram", id_column)
         .write.mode("overwrite").parquet(f"{path}/postings")
     )
@@ -144,6 +151,7 @@ def posting_candidates(
 
 def index_search(
     df: DataFrame, postings: DataFrame, frequencies: DataFrame, id_column: str, columns: Sequence[str], terms: Sequence[str],
+    clean: bool = False,
 ) -> DataFrame:
     """The same ids as ``scan_search``, through the postings.
 
@@ -155,7 +163,7 @@ def index_search(
     found = []
     if long_terms:
         maybe = posting_candidates(postings, frequencies, id_column, columns, long_terms)
-        found.append(scan_search(df.join(maybe, id_column, "left_semi"), id_column, columns, long_terms))
+        found.append(scan_search(df.join(maybe, id_column, "left_semi"), id_column, columns, long_terms, clean))
     if short_terms:
-        found.append(scan_search(df, id_column, columns, short_terms))
+        found.append(scan_search(df, id_column, columns, short_terms, clean))
     return found[0] if len(found) == 1 else found[0].union(found[1]).distinct()

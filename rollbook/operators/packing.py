@@ -109,27 +109,26 @@ def _walk(children: pd.DataFrame, chars: int, opened: int, budget: int) -> tuple
 
 def pack_batches(
     df: DataFrame, id_column: str, order: str | Sequence[str], columns: Sequence[str], budget: int = BATCH_BUDGET_CHARS,
-    overhead: int = RECORD_OVERHEAD_CHARS, block_rows: int = BLOCK_ROWS, fan_in: int = FAN_IN,
+    overhead: int = RECORD_OVERHEAD_CHARS, block_rows: int = BLOCK_ROWS, fan_in: int = FAN_IN, size: str | None = None,
 ) -> DataFrame:
     """``(id, position, rec_chars, batch_index, total_batches)`` for every record.
 
-    ``order`` is the unique integer source row number, or a list of columns
-    giving a total order, such as source file and row; rows are then numbered
-    first.  Either way a block never holds more than ``block_rows`` rows.  A
-    record over the budget sits alone.  The sized rows are shuffled once; both
-    passes read the same shuffle.
+    ``order`` is the integer source row number, which ``position`` then shows, or a list of columns
+    giving a total order, such as source file and row.  Rows are numbered densely in that order, equal
+    ones by id, so neither gaps nor repeats matter and a block holds ``block_rows`` rows.  A
+    record over the budget sits alone.  ``size`` names a column that holds the sizes already.
+    The sized rows are shuffled once; both passes read the same shuffle.
     """
     if overhead < 1:
         raise ValueError("the overhead bounds the work per block and must be at least 1")
     id_type = df.schema[id_column].dataType.simpleString()
-    size = record_chars(columns, overhead).alias("rec_chars")
-    if isinstance(order, str):
-        placed = df.select(F.col(id_column).alias("id"), F.col(order).cast("long").alias("pos"), size)
-    else:
-        keys = [F.col(c).alias(f"order_{i}") for i, c in enumerate(order)]
-        bare = df.select(F.col(id_column).alias("id"), *keys, size)
-        placed = number_rows(bare, [f"order_{i}" for i in range(len(keys))], "pos").select("id", "pos", "rec_chars")
-    sized = placed.withColumn("block", F.floor(F.col("pos") / F.lit(block_rows)).cast("long"))
+    chars = (record_chars(columns, overhead) if size is None else F.col(size).cast("long")).alias("rec_chars")
+    keys = [F.col(c).alias(f"order_{i}") for i, c in enumerate([order] if isinstance(order, str) else order)]
+    bare = df.select(F.col(id_column).alias("id"), *keys, chars)
+    numbered = number_rows(bare, [*(f"order_{i}" for i in range(len(keys))), "id"], "pos")
+    shown = F.col("order_0").cast("long") if isinstance(order, str) else F.col("pos")
+    sized = numbered.select(
+        "id", "pos", shown.alias("position"), "rec_chars", F.floor((F.col("pos") - 1) / F.lit(block_rows)).cast("long").alias("block"))
 
     def summarise(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("pos")
@@ -169,7 +168,7 @@ def pack_batches(
             opens[at] = 1
             at = int(following[at])
         return pd.DataFrame({
-            "id": rows["id"], "pos": rows["pos"], "rec_chars": rows["rec_chars"],
+            "id": rows["id"], "position": rows["position"], "rec_chars": rows["rec_chars"],
             "batch_index": int(entry.opened_before) + np.cumsum(opens), "total_batches": int(entry.total_batches),
         })
 
@@ -182,10 +181,10 @@ def pack_batches(
     )
     packed = (
         sized.groupBy("block").cogroup(block_states.groupBy("block")).applyInPandas(
-            assign, f"id {id_type}, pos bigint, rec_chars bigint, batch_index bigint, total_batches bigint"
+            assign, f"id {id_type}, position bigint, rec_chars bigint, batch_index bigint, total_batches bigint"
         )
     )
-    return packed.select(F.col("id").alias(id_column), F.col("pos").alias("position"), "rec_chars", "batch_index", "total_batches")
+    return packed.select(F.col("id").alias(id_column), "position", "rec_chars", "batch_index", "total_batches")
 
 
 def _function_row(keys: tuple, function: tuple, names: Sequence[str] = ("tree", "block")) -> pd.DataFrame:

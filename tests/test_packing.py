@@ -115,3 +115,16 @@ def test_coverage_counts_as_the_batches_list(spark):
 def test_overhead_must_bound_the_work(spark):
     with pytest.raises(ValueError):
         packed_frame(spark, [1], overhead=0)
+
+
+def test_sparse_and_repeated_numbers(spark):
+    rng = np.random.default_rng(3)
+    places = [int(p) for p in rng.integers(0, 2**62, 3000)]
+    places[7] = places[8] = places[9]
+    lengths = [int(n) for n in rng.integers(0, 300, 3000)]
+    df = spark.createDataFrame([(f"R{i:04d}", p, "x" * n) for i, (p, n) in enumerate(zip(places, lengths))], "record_id string, row_idx long, t string")
+    got = pk.pack_batches(df.repartition(5), "record_id", "row_idx", ["t"], budget=600, block_rows=256, fan_in=4).collect()
+    got = sorted(got, key=lambda r: (r.position, r.record_id))
+    order = sorted(range(3000), key=lambda i: (places[i], i))
+    want, _ = sequential([lengths[i] + 50 for i in order], 600)
+    assert [r.record_id for r in got] == [f"R{i:04d}" for i in order] and [r.batch_index for r in got] == want

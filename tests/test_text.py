@@ -14,9 +14,9 @@ def one(spark, value, expr):
 
 
 @pytest.mark.parametrize("raw, clean", [
-    ("　ＴＥＳＴ　１２３　ﾃｽﾄ　", "TEST 123 テスト"),
-    (" line 1 \r\n\r\n  line 2   with   spaces  \n", "line 1\n\nline 2 with spaces"),
-    ("通信制御スレッドで競合が発生した。", "通信制御スレッドで競合が発生した。"),
+    ("　Ｒｏｏｍ　４２　ｶｷﾞ　", "Room 42 カギ"),
+    (" first row \r\n\r\n  next   row,  tidy  \n", "first row\n\nnext row, tidy"),
+    ("倉庫の鍵が見当たらない。", "倉庫の鍵が見当たらない。"),
     ("a\rb\t\tc", "a\nb c"),
     ("été", "été"),
     (None, None), ("", None), ("   \n \t  ", None), ("　", None),
@@ -26,8 +26,10 @@ def test_clean_text(spark, raw, clean):
 
 
 def test_search_shadow(spark):
-    assert one(spark, " Ｔｉｍｅｏｕｔ 発生 ", tx.search_shadow) == "timeout 発生"
-    assert tx.fold_literal(" Ｔｉｍｅｏｕｔ 発生 ") == "timeout 発生"
+    assert one(spark, " Ｌａｔｅ 到着 ", tx.search_shadow) == "late 到着"
+    assert tx.fold_literal(" Ｌａｔｅ 到着 ") == "late 到着"
+    for raw in (" a \r\n b\t\tc ", "Ａ  B", "x\n\ny "):
+        assert tx.fold_term(raw) == one(spark, raw, tx.search_shadow)
 
 
 def test_every_character_that_skips_python_is_stable():
