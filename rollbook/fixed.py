@@ -113,6 +113,14 @@ REASON_NO_SUPPORT = "Finding lacks supporting records."
 REASON_SUPPORT_OUTSIDE = "Supporting records not found in candidate set: [%s] (total missing: %d)"
 REASON_COUNTER_OUTSIDE = "Counter records not found in candidate set: [%s] (total missing: %d)"
 
+# Notes on search columns; {} is the column.
+SEARCH_COLUMN_UNKNOWN = "Lexical search column '{}' not found in catalog; ignoring."
+SEARCH_COLUMN_NOT_SEARCHABLE = "Lexical search column '{}' is not marked as searchable."
+
+# Names of the two row tests of the audit.
+IDENTICAL_FIELDS_METRIC = "identical_cause_and_escape_cause_count"
+SUPERFICIAL_METRIC = "superficial_countermeasure_keywords_count"
+
 # Build check messages.
 MESSAGE_INDEX_OK = "FTS index verified: %d records cleanly indexed."
 MESSAGE_STRUCTURE = "Total records verified: %d, total columns: %d"

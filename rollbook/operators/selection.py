@@ -43,7 +43,7 @@ def combine_ids(filtered: DataFrame | None, searched: DataFrame | None, operatio
 
 
 def limit_ids(ids: DataFrame, id_column: str, n: int) -> DataFrame:
-    """The first ``n`` ids in id order.  Apply after set algebra."""
+    """The first ``n`` ids in id order, which meet in one task.  For report limits; apply after set algebra."""
     return ids.orderBy(id_column).limit(n)
 
 
@@ -72,6 +72,16 @@ def _trace(flags: DataFrame, f: Column, s: Column, operation: str) -> DataFrame:
     )
 
 
+def restrict_to_values(df: DataFrame, column: str, values: DataFrame, keep: bool = True) -> DataFrame:
+    """Rows whose value is, or with ``keep`` off is not, in a one-column table: for lists too long for a predicate.
+
+    As in the predicates, a NULL value is in no list and passes neither way.
+    """
+    listed = values.select(F.col(values.columns[0]).alias("_value")).filter("_value IS NOT NULL").distinct()
+    rows = df.filter(F.col(column).isNotNull())
+    return rows.join(listed, rows[column] == listed["_value"], "left_semi" if keep else "left_anti")
+
+
 def restrict(df: DataFrame, ids: DataFrame, id_column: str) -> DataFrame:
     """Rows whose id is a candidate; no column of the id frame leaks in.
 

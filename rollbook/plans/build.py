@@ -43,6 +43,7 @@ class Register:
     findings: DataFrame
     roles: dict[str, str]
     dictionaries: Mapping[str, Dictionary]
+    indexed: tuple[str, ...] = ()
 
     def columns_with(self, capability: str) -> list[str]:
         return [c for c, role in self.roles.items() if capability in ROLE_CAPABILITIES[role]]
@@ -80,13 +81,13 @@ def propose(raw: DataFrame, folder: str, id_column: str | None = None, dictionar
 
 def finalise(
     raw: DataFrame, proposal: Proposal, folder: str, accept_pending: bool = False, dictionary: Dictionary = tuple(PHASES),
-    index: bool = True, exports: bool = True,
+    index: bool = False, exports: bool = True,
 ) -> Register:
     """Apply the accepted mappings; store both tables, the index, the checks and the CSV exports.
 
-    The clean rows of the proposal are used as they are.  Leave the ``index``
-    out where searches are few, as a scan finds the same, and the CSV
-    ``exports`` where nobody reads them.
+    The clean rows of the proposal are used as they are.  The trigram ``index`` is
+    built on request, for registers that are searched very often: a scan finds the
+    same.  Leave out the CSV ``exports`` where nobody reads them.
     """
     spark = raw.sparkSession
     found = roles_of(proposal.catalog)
@@ -99,7 +100,7 @@ def finalise(
         normalization.apply_mappings(proposal.clean, mapped, mappings, "record_id"), f"{folder}/normalised"
     )
     if searched and index:
-        lexical.write_trigram_index(lexical.trigram_postings(normalised, "record_id", searched), "record_id", f"{folder}/index")
+        lexical.write_trigram_index(lexical.trigram_postings(normalised, "record_id", searched, clean=True), "record_id", f"{folder}/index")
         postings = spark.read.parquet(f"{folder}/index/postings")
         frequencies = spark.read.parquet(f"{folder}/index/frequencies")
         indexed = lexical.indexed_ids(postings, "record_id")
@@ -117,4 +118,6 @@ def finalise(
     if exports:
         sinks.export_build(normalised, proposal.catalog, mappings, checks, f"{folder}/exports")
     ordered = {c: dictionary for c in mapped if roles[c] == "ordered_category"}
-    return Register(stored_raw, normalised, proposal.catalog, mappings, postings, frequencies, checks, roles, ordered)
+    return Register(
+        stored_raw, normalised, proposal.catalog, mappings, postings, frequencies, checks, roles, ordered,
+        tuple(searched) if index else ())

@@ -40,7 +40,7 @@ def register(spark, tmp_path_factory):
     raw = rg.read_register(spark, str(source), id_header="管理番号")
     proposal = build.propose(raw, str(folder / "proposal"), "defect_id")
     assert proposal.review_queue.filter("column_id = 'detect_phase'").count() == 0
-    return build.finalise(raw, proposal, str(folder / "register"), accept_pending=True)
+    return build.finalise(raw, proposal, str(folder / "register"), accept_pending=True, index=True)
 
 
 @pytest.fixture(scope="module")
@@ -94,7 +94,8 @@ def test_candidates(result):
     assert 5 < len(want) < 40
     assert [r[0] for r in rows(result.candidates)] == [r[0] for r in want]
     data = golden()
-    assert rows(result.trace) == [(sum(ORDINAL[r[2]] >= 50 for r in data), sum(map(searched, data)), "INTERSECT", len(want))]
+    assert rows(result.trace) == [
+        (sum(ORDINAL[r[2]] >= 50 for r in data), sum(map(searched, data)), "INTERSECT", len(want), result.batches.count())]
 
 
 def test_index_agrees(register):
@@ -102,6 +103,69 @@ def test_index_agrees(register):
     assert [r[0] for r in rows(got)] == [r[0] for r in golden() if searched(r)]
 
 
+def test_an_indexed_search_gives_the_same(register):
+    def ids(**how):
+        return rows(analysis.analyse(register, [], analysis.Search(["タイマー"], ["ウォッチドッグ"], **how)).candidates)
+    assert ids(indexed=True) == ids() and len(ids()) > 5
+
+
+def test_search_columns_are_checked(register):
+    answer = analysis.analyse(register, [], analysis.Search(["タイマー"], columns=["cause", "nowhere", "severity"]))
+    assert [r[0] for r in rows(answer.candidates)] == [r[0] for r in golden() if "タイマー" in r[6]]
+    assert len(answer.notes) == 2 and "nowhere" in answer.notes[0] and "severity" in answer.notes[1]
+    assert analysis.analyse(register, [], analysis.Search(["タイマー"], columns=["nowhere"])).candidates.count() == 0
+
+
+def test_only_the_first_pass_reads_texts(result):
+    for frame in (result.distributions, result.cross_tabs, result.trends, result.packed, result.batches, result.candidates):
+        plan = frame._jdf.queryExecution().optimizedPlan().toString()
+        assert "escape_cause" not in plan and "title" not in plan
+
+
+def test_judgments_drop_candidates(spark, register, tmp_path):
+    judged = spark.createDataFrame(
+        [(r[0], ("MATCH", "NO_MATCH", "maybe")[i % 3], "seen") for i, r in enumerate(golden()[:30])], "record_id string, judgment string, reason string")
+    search = analysis.Search(["タイマー"])
+    hit = {r[0] for r in golden() if "タイマー" in r[1] + r[6]}
+    sure = {r[0] for i, r in enumerate(golden()[:30]) if i % 3 == 0}
+    answer = analysis.analyse(register, [], search, judgments=judged)
+    assert {r[0] for r in rows(answer.candidates)} == hit & sure
+    assert rows(answer.trace, "final_candidate_count") == [(len(hit),)]
+    lenient = analysis.analyse(register, [], search, judgments=judged, keep_uncertain=True)
+    assert {r[0] for r in rows(lenient.candidates)} == hit - {r[0] for i, r in enumerate(golden()[:30]) if i % 3 == 1}
+    headers, cited = analysis.split_findings(spark.createDataFrame(
+        [], "finding_id string, finding_type string, claim string, supporting_records array<string>, counter_records array<string>, "
+            "confidence string, confidence_reason string, hypotheses array<string>"))
+    statuses = spark.createDataFrame([], "batch_index long, status string")
+    analysis.complete(register, answer, headers, cited, statuses, str(tmp_path))
+    assert spark.read.option("header", True).csv(str(tmp_path / "semantic-judgments")).count() == 30
+    assert spark.read.options(**rg.CSV_OPTIONS).option("header", True).csv(str(tmp_path / "filtered-records")).count() == len(hit & sure)
+
+
+@pytest.mark.parametrize("state", ["pending", "accepted", "edited"])
+def test_category_literals_follow_the_stored_map(spark, tmp_path, state):
+    raw = spark.createDataFrame(
+        [(f"R{i:02d}", "f", i, ["高", "低", "ＭＩＤ"][i % 3] if i % 10 else None) for i in range(60)],
+        "record_id string, source_file string, row_idx long, severity_raw string")
+    proposal = build.propose(raw, str(tmp_path / "p"))
+    if state == "edited":
+        proposal.mappings = proposal.mappings.withColumn(
+            "canonical_id", F.when(F.col("raw_value") == "高", "sev_high").otherwise(F.col("canonical_id"))).withColumn(
+            "canonical_label", F.when(F.col("raw_value") == "高", "High").otherwise(F.col("canonical_label"))).withColumn(
+            "status", F.when(F.col("raw_value") == "高", "accepted").otherwise(F.col("status")))
+    register = build.finalise(raw, proposal, str(tmp_path / "r"), accept_pending=state == "accepted", exports=False)
+    value = {f"R{i:02d}": ["高", "低", "MID"][i % 3] for i in range(60) if i % 10}
+
+    def ids(operator, literal):
+        return {r[0] for r in rows(register.normalised.filter(analysis.filter_column(register, "severity", operator, literal)), "record_id")}
+    high, low, mid = ({k for k, v in value.items() if v == name} for name in ("高", "低", "MID"))
+    assert high and ids("eq", "高") == high and ids("neq", "高") == low | mid
+    assert ids("in", ["高", "MID"]) == high | mid and ids("not_in", ["低", "高"]) == mid
+    assert ids("eq", "nowhere") == set() and ids("neq", "nowhere") == set(value)
+    if state == "edited":
+        assert ids("eq", "sev_high") == high and ids("eq", "high") == high and ids("eq", "低") == low
+
+
 def test_statistics(result):
     want = expected()
     phases = {label: n for d, label, n, _ in rows(result.distributions) if d == "detect_phase"}
