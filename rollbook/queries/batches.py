@@ -9,6 +9,7 @@ from rollbook.functions.predicates import condition
 from rollbook.operators import packing
 from rollbook.operators.selection import candidate_ids, fetch_records
 from rollbook.queries.registry import query, table
+from rollbook.session import materialise
 
 _PROJECTION = ["doc_id", "text", "lang", "source"]
 _SIZE_SQL = "length(CAST(doc_id AS VARCHAR)) + length(text) + length(lang) + length(source) + 50"
@@ -80,6 +81,20 @@ def batch_summary(spark: SparkSession, folder: str) -> DataFrame:
     return summary.withColumn("record_ids", F.array_join("record_ids", ","))
 
 
+_HASH_SQL = "('0x' || substr(md5(CAST(doc_id AS VARCHAR)), 1, 12))::BIGINT"
+_SPARSE_SQL = _pack_sql(f"SELECT doc_id, {_HASH_SQL} AS place, {_SIZE_SQL} AS size FROM documents", "place, doc_id")
+
+
+@query("pack_sparse", f"""{_SPARSE_SQL}
+SELECT doc_id, place AS position, CAST(size AS BIGINT) AS rec_chars, CAST(batch_index AS BIGINT) AS batch_index,
+  CAST(total_batches AS BIGINT) AS total_batches FROM packed
+""")
+def pack_sparse(spark: SparkSession, folder: str) -> DataFrame:
+    """Packing in the order of a hash, whose values lie far apart."""
+    place = F.conv(F.substring(F.md5(F.col("doc_id").cast("string").cast("binary")), 1, 12), 16, 10).cast("long")
+    return packing.pack_batches(table(spark, folder, "documents").withColumn("place", place), "doc_id", "place", _PROJECTION)
+
+
 def _statuses(summary: DataFrame) -> DataFrame:
     """A review outcome per batch: long single records fail, crowded batches wait, the rest is done."""
     return summary.select(
@@ -116,7 +131,7 @@ SELECT count(*) AS total_candidates, count(*) FILTER (status = 'completed') AS e
 FROM reviewed
 """)
 def coverage(spark: SparkSession, folder: str) -> DataFrame:
-    packed = _packed(spark, folder)
+    packed = materialise(_packed(spark, folder), "packed")
     statuses = _statuses(packing.batch_summary(packed, "doc_id"))
     return packing.coverage(table(spark, folder, "documents").select("doc_id"), packed, statuses, "doc_id")
 
@@ -132,7 +147,7 @@ FROM reviewed
 """)
 def coverage_outside(spark: SparkSession, folder: str) -> DataFrame:
     """Batches hold more than the candidates: counts stay as the batches list them, the excess is shown."""
-    packed = _packed(spark, folder)
+    packed = materialise(_packed(spark, folder), "packed")
     statuses = _statuses(packing.batch_summary(packed, "doc_id"))
     candidates = candidate_ids(table(spark, folder, "documents"), "doc_id", condition("lang", "eq", "en"))
     return packing.coverage(candidates, packed, statuses, "doc_id")

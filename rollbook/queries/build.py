@@ -10,10 +10,11 @@ from rollbook.functions.text import search_shadow as shadow
 from rollbook.operators import normalization as nz
 from rollbook.operators import profiling
 from rollbook.operators.lexical import indexed_ids, trigram_postings
+from rollbook.operators.numbering import number_rows
 from rollbook.operators.validation import validate_build as check_build
 from rollbook.queries.filters import PRIORITIES, PRIORITY_SQL, orders_by_priority
 from rollbook.queries.registry import query, table
-from rollbook.session import scratch_path
+from rollbook.session import materialise, scratch_path
 from rollbook.sources import register, sinks
 
 # Dictionaries over the given tables.
@@ -30,14 +31,25 @@ TOOLS = [
 
 
 @query("scan_register", """
-SELECT CAST(page_id AS VARCHAR) AS record_id, CAST(page_id AS VARCHAR) AS page_id_raw, url AS url_raw, html AS html_raw FROM pages
+SELECT CAST(page_id AS VARCHAR) AS record_id, CAST(page_id AS VARCHAR) AS page_id_raw, url AS url_raw, html AS html_raw,
+  TRUE AS from_file, TRUE AS numbered FROM pages
 """)
 def scan_register(spark: SparkSession, folder: str) -> DataFrame:
-    """Pages written as a CSV register and read back verbatim, markup and all."""
+    """Pages written as CSV files of two column orders and read back verbatim, markup and all.
+
+    ``numbered`` says that the row numbers of the record's file run from 2 without gap or repeat.
+    """
     path = scratch_path(spark, "pages-csv")
-    sinks.write_csv(table(spark, folder, "pages"), path)
-    raw = register.read_register(spark, path, ["page_id", "url", "html"], id_header="page_id")
-    return raw.drop("source_file", "row_idx")
+    pages = table(spark, folder, "pages")
+    even = F.col("page_id") % 2 == 0
+    sinks.write_csv(pages.filter(even).select("page_id", "url", "html"), f"{path}/even")
+    sinks.write_csv(pages.filter(~even).select("html", "page_id", "url"), f"{path}/odd")
+    raw = materialise(register.read_register(spark, f"{path}/*", ["page_id", "url", "html"], id_header="page_id"))
+    rows = raw.groupBy("source_file").agg(
+        ((F.min("row_idx") == 2) & (F.max("row_idx") == F.count("row_idx") + 1) & (F.count_distinct("row_idx") == F.count("row_idx")))
+        .alias("numbered"))
+    return raw.join(rows, "source_file").select(
+        "record_id", "page_id_raw", "url_raw", "html_raw", F.col("source_file").endswith(".csv").alias("from_file"), "numbered")
 
 
 @query("assign_record_id", """
@@ -46,17 +58,43 @@ SELECT 'REC-' || CASE WHEN doc_id > 9999 THEN CAST(doc_id AS VARCHAR) ELSE lpad(
 FROM documents
 """)
 def assign_record_id(spark: SparkSession, folder: str) -> DataFrame:
-    named = register.assign_record_id(table(spark, folder, "documents"), None, ["text", "lang", "source"], order="doc_id")
+    """Made ids with the short hash that suits one file."""
+    named = register.assign_record_id(table(spark, folder, "documents"), None, ["text", "lang", "source"], order="doc_id", digits=4)
     return named.select("record_id", "doc_id")
 
 
-@query("row_fingerprint", """
-SELECT p_partkey, sha256('=' || p_partkey || '|=' || p_name || '|=' || p_brand || '|=' || p_type || '|=' || p_size) AS sha256 FROM part
+@query("assign_record_id_many_files", """
+SELECT 'REC-' || CASE WHEN l_linenumber > 9999 THEN CAST(l_linenumber AS VARCHAR) ELSE lpad(CAST(l_linenumber AS VARCHAR), 4, '0') END
+  || '-' || left(sha256(l_orderkey || chr(31) || l_partkey || chr(31) || l_suppkey), 16) AS record_id, l_orderkey, l_linenumber
+FROM lineitem
 """)
+def assign_record_id_many_files(spark: SparkSession, folder: str) -> DataFrame:
+    """Row numbers that repeat, as over many files: the hash keeps the ids apart."""
+    lines = table(spark, folder, "lineitem")
+    named = register.assign_record_id(lines, None, ["l_orderkey", "l_partkey", "l_suppkey"], order="l_linenumber")
+    return named.select("record_id", "l_orderkey", "l_linenumber")
+
+
+_PART_FINGERPRINT = "sha256(" + " || '|=' || ".join(
+    ["'=' || p_partkey", "p_name", "p_brand", "p_type", "p_size", "p_retailprice"]) + ")"
+
+
+@query("row_fingerprint", f"SELECT p_partkey, {_PART_FINGERPRINT} AS sha256 FROM part")
 def row_fingerprint(spark: SparkSession, folder: str) -> DataFrame:
-    return register.row_fingerprints(
-        table(spark, folder, "part"), "p_partkey", ["p_partkey", "p_name", "p_brand", "p_type", "p_size"]
-    )
+    return register.row_fingerprints(table(spark, folder, "part"), "p_partkey", _PART_COLUMNS)
+
+
+@query("table_fingerprint", f"""
+WITH r AS (SELECT {_PART_FINGERPRINT} AS h FROM part),
+b AS (
+  SELECT ('0x' || substr(h, 1, 8))::BIGINT % 4096 AS block, count(*) AS n,
+    {", ".join(f"sum(('0x' || substr(h, {at}, 12))::BIGINT)::HUGEINT AS s{i}" for i, at in enumerate((9, 21, 33, 45)))}
+  FROM r GROUP BY block)
+SELECT sum(n)::BIGINT AS n_rows, sha256(string_agg(concat_ws(':', block, n, s0, s1, s2, s3), '|' ORDER BY block)) AS sha256 FROM b
+""")
+def table_fingerprint(spark: SparkSession, folder: str) -> DataFrame:
+    """One digest of all parts, whatever their order."""
+    return register.table_fingerprint(table(spark, folder, "part"), _PART_COLUMNS)
 
 
 _CLEAN_SQL = r"""nullif(trim(regexp_replace(regexp_replace(regexp_replace({c}, '\r\n?', chr(10), 'g'), '[ \t]+', ' ', 'g'),
@@ -153,6 +191,46 @@ def dictionary_resolve(spark: SparkSession, folder: str) -> DataFrame:
 _EVENT_SQL = """(VALUES ('view', 'event_view', 'view', 10), ('page view', 'event_view', 'view', 10), ('click', 'event_click', 'click', 20),
   ('tap', 'event_click', 'click', 20), ('order', 'event_purchase', 'order', 30), ('purchase', 'event_purchase', 'order', 30),
   ('buy', 'event_purchase', 'order', 30)) AS d(alias, id, label, ordinal)"""
+_NAMES_SQL = """
+SELECT p_name AS label, 'name_' || dense_rank() OVER (ORDER BY p_name) AS id, dense_rank() OVER (ORDER BY p_name) AS ordinal
+FROM (SELECT DISTINCT p_name FROM part)
+"""
+
+
+def _name_dictionary(spark: SparkSession, folder: str) -> DataFrame:
+    """Every part name as a dictionary item, its words in capitals an alias: a dictionary that grows with the data."""
+    names = table(spark, folder, "part").select(F.col("p_name").alias("label")).distinct()
+    return number_rows(names, ["label"], "ordinal").select(
+        F.concat(F.lit("name_"), "ordinal").alias("canonical_id"), "label", F.col("ordinal").cast("int").alias("ordinal"),
+        F.array(F.concat(F.lit("No. "), F.upper("label"))).alias("aliases"))
+
+
+@query("dictionary_resolve_table", f"""
+SELECT p_partkey, 'no.  ' || p_name AS named, id AS canonical_id, label AS canonical_label, CAST(ordinal AS INT) AS ordinal
+FROM part JOIN ({_NAMES_SQL}) ON label = p_name
+""")
+def dictionary_resolve_table(spark: SparkSession, folder: str) -> DataFrame:
+    """Parts named by an alias of a dictionary kept in a table."""
+    parts = table(spark, folder, "part").select("p_partkey", F.concat(F.lit("no.  "), "p_name").alias("named"))
+    return nz.resolve(parts, "named", _name_dictionary(spark, folder))
+
+
+@query("similar_values_table", f"""
+WITH names AS ({_NAMES_SQL}), vals AS (SELECT p_brand || ' ' || p_name AS raw_value, count(*) AS n_records FROM part GROUP BY ALL),
+forms AS (SELECT lower(label) AS name, id, label FROM names UNION ALL SELECT 'no. ' || lower(label), id, label FROM names),
+scored AS (
+  SELECT *, levenshtein(lower(raw_value), name)::DOUBLE / greatest(length(raw_value), length(name)) AS distance FROM vals, forms),
+best AS (SELECT *, row_number() OVER (PARTITION BY raw_value ORDER BY distance, name) AS rn FROM scored)
+SELECT raw_value, n_records, name AS similar_name, id AS canonical_id, label AS canonical_label, round(1.0 - distance, 4) AS similarity
+FROM best WHERE rn = 1 AND round(1.0 - distance, 4) >= 0.5
+""")
+def similar_values_table(spark: SparkSession, folder: str) -> DataFrame:
+    """Brand and name against all names, the dictionary in a table."""
+    values = table(spark, folder, "part").select(F.concat_ws(" ", "p_brand", "p_name").alias("raw_value"))
+    counts = values.groupBy("raw_value").agg(F.count(F.lit(1)).alias("n_records"))
+    return nz.similar_values(counts, "raw_value", _name_dictionary(spark, folder), 0.5)
+
+
 _CANDIDATE_SQL = f"""
 SELECT 'event_type' AS column_id, event_type AS raw_value, coalesce(any_value(id), 'val_' || lower(event_type)) AS canonical_id,
   coalesce(any_value(label), event_type) AS canonical_label, coalesce(any_value(ordinal), 0) AS ordinal,
@@ -255,17 +333,37 @@ def validate_build_orders(spark: SparkSession, folder: str) -> DataFrame:
     return check_build(orders, orders, indexed, "record_id", len(_ORDER_COLUMNS))
 
 
+@query("validate_build_problems", f"""
+WITH k AS (SELECT CASE WHEN o_orderkey % 7 <> 0 THEN o_orderkey // 2 END AS id, o_orderpriority FROM orders),
+n AS (SELECT (SELECT count(*) FROM orders) AS total, (SELECT count(DISTINCT id) FROM k) AS ids)
+SELECT 'ERROR' AS severity, 'fts' AS category, 'Index holds ' || ids || ' records, register holds ' || total || '.' AS message FROM n
+UNION ALL SELECT 'ERROR', 'record_id', (SELECT count(*) FROM (SELECT id FROM k WHERE id IS NOT NULL GROUP BY id HAVING count(*) > 1)) || ' ids occur more than once.'
+UNION ALL SELECT 'ERROR', 'record_id', count(*) || ' records have no id.' FROM k WHERE id IS NULL
+UNION ALL SELECT 'WARNING', 'normalization', count(*) || ' records hold unmapped values in o_orderpriority.' FROM k WHERE o_orderpriority NOT IN ('1-URGENT', '2-HIGH')
+UNION ALL SELECT 'INFO', 'structure', 'Total records verified: ' || total || ', total columns: 6' FROM n
+""")
+def validate_build_problems(spark: SparkSession, folder: str) -> DataFrame:
+    """Orders with ids missing and repeated, and priorities half of which no accepted mapping knows."""
+    key = F.when(F.col("o_orderkey") % 7 != 0, F.floor(F.col("o_orderkey") / 2))
+    orders = table(spark, folder, "orders").select(key.alias("record_id"), "o_orderpriority")
+    mapped = nz.apply_mappings(orders, ["o_orderpriority"], nz.dictionary_mappings(spark, "o_orderpriority", PRIORITIES[:2]), "record_id")
+    indexed = orders.filter("record_id IS NOT NULL").select("record_id").distinct()
+    return check_build(orders, mapped, indexed, "record_id", len(_ORDER_COLUMNS), ["o_orderpriority"])
+
+
 @query("raw_preserved", f"""
-SELECT 'text' AS column_id, count(*) AS n_records, count(*) AS n_preserved,
-  count(*) FILTER (text = {_CLEAN_SQL.format(c='text')}) AS n_verbatim FROM documents
+SELECT 'text' AS column_id, count(*) AS n_records, count(*) FILTER (doc_id % 5 <> 0) AS n_preserved,
+  count(*) FILTER (doc_id % 5 <> 0 AND text = {_CLEAN_SQL.format(c='text')}) AS n_verbatim FROM documents
 UNION ALL SELECT 'source', count(*), count(*), count(*) FROM documents
 """)
 def raw_preserved(spark: SparkSession, folder: str) -> DataFrame:
+    """A stored normalised table in which every fifth text was changed afterwards."""
     documents = table(spark, folder, "documents")
     raw = register.raw_view(documents, "doc_id", ["text", "source"], "documents", "doc_id")
-    normalised = documents.select(
-        F.col("doc_id").cast("string").alias("record_id"), clean(F.col("text")).alias("text"), clean(F.col("source")).alias("source")
-    )
+    changed = F.when(F.col("doc_id") % 5 == 0, F.concat(F.coalesce(clean(F.col("text")), F.lit("")), F.lit("!"))).otherwise(clean(F.col("text")))
+    normalised = sinks.write_table(documents.select(
+        F.col("doc_id").cast("string").alias("record_id"), changed.alias("text"), clean(F.col("source")).alias("source")
+    ), scratch_path(spark, "normalised"))
     return nz.raw_preserved(raw, normalised, "record_id", ["text", "source"])
 
 
@@ -275,7 +373,8 @@ def _urgent(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @query("export_filtered", """
-SELECT CAST(o_orderkey AS VARCHAR) AS o_orderkey, o_orderstatus, o_orderpriority FROM orders
+SELECT CAST(o_orderkey AS VARCHAR) AS o_orderkey, CAST(o_custkey AS VARCHAR) AS o_custkey, o_orderstatus,
+  CAST(o_totalprice AS VARCHAR) AS o_totalprice, CAST(o_orderdate AS VARCHAR) AS o_orderdate, o_orderpriority FROM orders
 WHERE o_orderpriority = '1-URGENT' AND o_totalprice > 250000.0
 """)
 def export_filtered(spark: SparkSession, folder: str) -> DataFrame:
@@ -284,11 +383,12 @@ def export_filtered(spark: SparkSession, folder: str) -> DataFrame:
     sinks.export_filtered(table(spark, folder, "orders"), _urgent(spark, folder), path, "o_orderkey")
     fields = ", ".join(f"{c} string" for c in _ORDER_COLUMNS)
     stored = spark.read.schema(fields).options(**register.CSV_OPTIONS).option("header", True).csv(path)
-    return stored.select("o_orderkey", "o_orderstatus", "o_orderpriority")
+    return stored.withColumn("o_orderdate", F.to_timestamp("o_orderdate").cast("string"))
 
 
 @query("export_evidence_raw", """
-SELECT CAST(doc_id AS VARCHAR) AS record_id, text AS text_raw, lang AS lang_raw, source AS source_raw FROM documents
+SELECT CAST(doc_id AS VARCHAR) AS record_id, 'documents' AS source_file, CAST(doc_id AS VARCHAR) AS row_idx,
+  text AS text_raw, lang AS lang_raw, source AS source_raw FROM documents
 WHERE doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1)
 """)
 def export_evidence_raw(spark: SparkSession, folder: str) -> DataFrame:
@@ -299,6 +399,49 @@ def export_evidence_raw(spark: SparkSession, folder: str) -> DataFrame:
     path = scratch_path(spark, "evidence-raw")
     sinks.export_evidence_raw(raw, cited, path)
     fields = ", ".join(f"{c} string" for c in raw.columns)
-    stored = spark.read.schema(fields).options(**register.CSV_OPTIONS).option("header", True).csv(path)
-    return stored.drop("source_file", "row_idx")
+    return spark.read.schema(fields).options(**register.CSV_OPTIONS).option("header", True).csv(path)
+
+
+@query("export_judgments", """
+SELECT CAST(doc_id AS VARCHAR) AS doc_id, CASE WHEN toxic = 1 THEN 'MATCH' WHEN quality = 1 THEN 'NO_MATCH' ELSE 'UNCERTAIN' END AS judgment,
+  'quality ' || quality AS reason FROM labels
+""")
+def export_judgments(spark: SparkSession, folder: str) -> DataFrame:
+    """A judgment per label, written as CSV and read back."""
+    judged = table(spark, folder, "labels").select(
+        "doc_id", F.when(F.col("toxic") == 1, "MATCH").when(F.col("quality") == 1, "NO_MATCH").otherwise("UNCERTAIN").alias("judgment"),
+        F.concat(F.lit("quality "), F.col("quality").cast("string")).alias("reason"), "toxic")
+    path = scratch_path(spark, "judgments")
+    sinks.export_judgments(judged, path, "doc_id")
+    return spark.read.schema("doc_id string, judgment string, reason string").options(**register.CSV_OPTIONS).option("header", True).csv(path)
+
+
+@query("export_build", f"""
+SELECT 'normalize-map' AS published, raw_value AS a, canonical_id AS b, status AS c FROM ({_CANDIDATE_SQL})
+UNION ALL SELECT 'normalized-data', CAST(event_id AS VARCHAR), coalesce(id, event_type), coalesce(label, event_type)
+FROM events LEFT JOIN {_EVENT_SQL} ON lower(event_type) = alias
+UNION ALL SELECT 'column-catalog', 'event_type', 'category', 'false'
+UNION ALL SELECT 'validation-results', 'INFO', 'structure', 'Total records verified: ' || count(*) || ', total columns: 2' FROM events
+""")
+def export_build(spark: SparkSession, folder: str) -> DataFrame:
+    """The four published tables of a build over the events, read back."""
+    events = table(spark, folder, "events").select("event_id", "event_type")
+    mappings = sinks.write_table(_event_mappings(spark, folder), scratch_path(spark, "event-map"))
+    normalised = nz.apply_mappings(events, ["event_type"], mappings, "event_id")
+    roles = profiling.infer_roles(profiling.profile_columns(events, ["event_type"]))
+    ids = events.select("event_id")
+    checks = check_build(ids, ids, ids, "event_id", 2).filter("category = 'structure'")
+    path = scratch_path(spark, "published")
+    sinks.export_build(normalised, profiling.catalog(roles), mappings, checks, path)
+
+    def back(name: str, *columns: str) -> DataFrame:
+        stored = spark.read.options(**register.CSV_OPTIONS).option("header", True).csv(f"{path}/{name}")
+        return stored.select(F.lit(name).alias("published"), *[F.col(c).alias(n) for c, n in zip(columns, "abc")])
+
+    return (
+        back("normalize-map", "raw_value", "canonical_id", "status")
+        .unionByName(back("normalized-data", "event_id", "event_type", "event_type_label"))
+        .unionByName(back("column-catalog", "column_id", "role", "searchable"))
+        .unionByName(back("validation-results", "severity", "category", "message"))
+    )
 

@@ -14,7 +14,7 @@ from rollbook.operators.normalization import (
     dictionary_mappings,
     ordinal_condition,
 )
-from rollbook.operators.selection import candidate_ids, project
+from rollbook.operators.selection import candidate_ids, project, restrict_to_values
 from rollbook.queries.registry import query, table
 
 # The priorities of ``orders`` as an ordered dictionary.
@@ -34,9 +34,7 @@ PRIORITY_SQL = """(VALUES ('1-URGENT', 'priority_urgent', 10), ('2-HIGH', 'prior
 def orders_by_priority(spark: SparkSession, folder: str) -> DataFrame:
     """Orders with the priority normalised."""
     mappings = dictionary_mappings(spark, "o_orderpriority", PRIORITIES)
-    return apply_mappings(
-        table(spark, folder, "orders"), ["o_orderpriority"], mappings, "o_orderkey", known_rows=len(PRIORITIES) * 2
-    )
+    return apply_mappings(table(spark, folder, "orders"), ["o_orderpriority"], mappings, "o_orderkey")
 
 
 def _orders(role: str, column: str, operator: str, value):
@@ -154,3 +152,16 @@ def filter_conjunction(spark: SparkSession, folder: str) -> DataFrame:
 @query("project_records", "SELECT doc_id, source, lang FROM documents")
 def project_records(spark: SparkSession, folder: str) -> DataFrame:
     return project(table(spark, folder, "documents"), ["source", "doc_id", "lang", "source"], "doc_id")
+
+
+@query("filter_in_table", "SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_partkey IN (SELECT p_partkey FROM part WHERE p_size > 25)")
+def filter_in_table(spark: SparkSession, folder: str) -> DataFrame:
+    """A value list that is a table."""
+    listed = table(spark, folder, "part").filter("p_size > 25").select("p_partkey")
+    return restrict_to_values(table(spark, folder, "lineitem"), "l_partkey", listed).select("l_orderkey", "l_linenumber")
+
+
+@query("filter_not_in_table", "SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_partkey NOT IN (SELECT p_partkey FROM part WHERE p_size > 25)")
+def filter_not_in_table(spark: SparkSession, folder: str) -> DataFrame:
+    listed = table(spark, folder, "part").filter("p_size > 25").select("p_partkey")
+    return restrict_to_values(table(spark, folder, "lineitem"), "l_partkey", listed, keep=False).select("l_orderkey", "l_linenumber")

@@ -38,6 +38,7 @@ def headers_of(cited: DataFrame) -> DataFrame:
             F.concat(F.lit("check the feed of "), F.substring_index("finding_id", "/", 1)),
             F.concat(F.lit("check the rules for "), F.substring_index("finding_id", "/", -1)),
         ).alias("hypotheses"),
+        F.concat(F.lit("cites "), F.col("n").cast("string")).alias("confidence_reason"),
     )
 
 
@@ -54,6 +55,7 @@ cited AS (
 headers AS (
   SELECT finding_id, 'root_cause_pattern' AS finding_type, 'Toxic text in ' || finding_id AS claim,
     CASE WHEN count(*) >= 10 THEN 'high' WHEN count(*) <= 2 THEN 'low' ELSE 'medium' END AS confidence,
+    'cites ' || count(*) AS confidence_reason,
     count(*) FILTER (evidence_type = 'supporting') AS n_supporting, count(*) FILTER (evidence_type = 'counter') AS n_counter,
     count(*) FILTER (evidence_type = 'supporting' AND outside) AS supporting_outside,
     count(*) FILTER (evidence_type = 'counter' AND outside) AS counter_outside
@@ -92,6 +94,38 @@ def validate_findings(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+_SUBMITTED_SQL = """
+WITH d AS (SELECT conv_id, turn, role, 'conv' || conv_id || '/' || turn AS doc FROM conversations),
+items AS (
+  SELECT doc, 1 AS position, 'FIND-001' AS finding_id, [CAST(turn AS VARCHAR)] AS ids, role FROM d
+  UNION ALL SELECT doc, 2, CASE WHEN role = 'user' THEN 'FIND-001' ELSE 'FIND-002' END, ['0', CAST(turn + 1 AS VARCHAR)], role FROM d),
+cited AS (SELECT doc || '/' || position AS finding_key, unnest(ids) AS record_id FROM items)
+SELECT doc || '/' || position AS finding_key, finding_id, len(ids) AS n_supporting, o.n AS supporting_outside, o.n = 0 AS accepted, position AS n_batches
+FROM items JOIN (
+  SELECT finding_key, count(*) FILTER (CAST(record_id AS BIGINT) NOT IN (SELECT turn FROM conversations WHERE role = 'user')) AS n
+  FROM cited GROUP BY finding_key) o ON o.finding_key = doc || '/' || position
+"""
+
+
+@query("validate_many_documents", _SUBMITTED_SQL)
+def validate_many_documents(spark: SparkSession, folder: str) -> DataFrame:
+    """A findings document per turn; ids are missing or the same in all of them, yet each finding is judged alone."""
+    turns = table(spark, folder, "conversations")
+    turn = F.col("turn").cast("string")
+    first = F.struct(F.lit("one").alias("claim"), F.array(turn).alias("supporting_records"), F.array(F.lit("batch-001")).alias("derived_batch_ids"))
+    second = F.struct(
+        F.when(F.col("role") == "user", "FIND-001").alias("finding_id"), F.lit("two").alias("claim"),
+        F.array(F.lit("0"), (F.col("turn") + 1).cast("string")).alias("supporting_records"),
+        F.array(F.lit("batch-001"), F.lit("batch-002")).alias("derived_batch_ids"))
+    documents = turns.select(
+        F.concat(F.lit("conv"), F.col("conv_id").cast("string"), F.lit("/"), turn).alias("doc"),
+        F.concat(F.lit("["), F.to_json(first), F.lit(","), F.to_json(second), F.lit("]")).alias("json"))
+    parsed = parse_findings(documents, "json", keep=["doc"])
+    candidates = turns.filter(condition("role", "eq", "user")).select(turn.alias("record_id")).distinct()
+    validated = ev.validate_findings(parsed.drop("supporting_records", "counter_records"), ev.cited_records(parsed), candidates)
+    return validated.select("finding_key", "finding_id", "n_supporting", "supporting_outside", "accepted", F.size("derived_batch_ids").alias("n_batches"))
+
+
 @query("finding_totals", f"""WITH {_VALIDATED_SQL}
 SELECT count(*) AS total_submitted, count(*) FILTER (accepted) AS accepted_count, count(*) FILTER (NOT accepted) AS rejected_count FROM validated
 """)
@@ -108,9 +142,8 @@ def evidence_index(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _order_citations(spark: SparkSession, folder: str) -> DataFrame:
-    """Findings that overlap: costly orders by status and by priority, urgent ones in support."""
-    costly = table(spark, folder, "orders").filter(condition("o_totalprice", "gt", 400000.0))
-    return costly.select(
+    """Findings that overlap: all orders by status and by priority, urgent ones in support."""
+    return table(spark, folder, "orders").select(
         F.explode(F.array("o_orderstatus", "o_orderpriority")).alias("finding_id"),
         F.when(F.col("o_orderpriority") == "1-URGENT", "supporting").otherwise("counter").alias("evidence_type"),
         F.col("o_orderkey").alias("position"),
@@ -119,10 +152,10 @@ def _order_citations(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @query("evidence_records", """
-SELECT CAST(o_orderkey AS VARCHAR) AS record_id, CAST(2 AS BIGINT) AS n_findings FROM orders WHERE o_totalprice > 400000.0
+SELECT CAST(o_orderkey AS VARCHAR) AS record_id, CAST(2 AS BIGINT) AS n_findings FROM orders
 """)
 def evidence_records(spark: SparkSession, folder: str) -> DataFrame:
-    """Each cited record once; every costly order is in two findings."""
+    """Each cited record once; every order is in two findings."""
     return ev.evidence_records(ev.evidence_index(_order_citations(spark, folder)))
 
 
@@ -134,7 +167,7 @@ _APPENDIX_COLUMNS = {
 @query("evidence_appendix", " UNION ALL ".join(f"""
 SELECT CAST(o_orderkey AS VARCHAR) AS record_id, 'orders' AS source_file, o_orderkey AS row_idx, CAST(2 AS BIGINT) AS n_findings,
   '{c}' AS column_id, CAST({c} AS VARCHAR) AS raw_value, {"o_orderpriority" if mapped else "'-'"} AS normalized_value
-FROM orders WHERE o_totalprice > 400000.0""" for c, mapped in _APPENDIX_COLUMNS.items()))
+FROM orders""" for c, mapped in _APPENDIX_COLUMNS.items()))
 def evidence_appendix(spark: SparkSession, folder: str) -> DataFrame:
     raw = raw_view(table(spark, folder, "orders"), "o_orderkey", list(_APPENDIX_COLUMNS), "orders", "o_orderkey")
     normalised = orders_by_priority(spark, folder).withColumn("record_id", F.col("o_orderkey").cast("string"))
@@ -158,7 +191,7 @@ def counter_evidence(spark: SparkSession, folder: str) -> DataFrame:
 @query("finding_summary", f"""WITH {_CITED_SQL}, first AS (
   SELECT *, row_number() OVER (PARTITION BY finding_id ORDER BY position) AS rn FROM cited WHERE evidence_type = 'supporting'),
 heads AS (SELECT finding_id, string_agg(record_id, ', ' ORDER BY rn) AS ids FROM first WHERE rn <= 5 GROUP BY finding_id)
-SELECT h.finding_id, finding_type, claim, confidence, n_supporting, n_counter, 2 AS n_hypotheses,
+SELECT h.finding_id, finding_type, claim, confidence, confidence_reason, n_supporting, n_counter, 2 AS n_hypotheses,
   coalesce(ids, '') AS first_supporting, n_supporting > 5 AS has_more
 FROM headers h LEFT JOIN heads ON h.finding_id = heads.finding_id
 """)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -40,6 +42,68 @@ def register_question(spark: SparkSession, folder: str) -> DataFrame:
     return _answer(_register(spark, folder)).distributions
 
 
+_STATES = ("pending", "accepted", "edited")
+_URGENT_IDS = {"pending": "1-URGENT", "accepted": "val_1-urgent", "edited": "sev_top"}
+
+
+def _orders_register(spark: SparkSession, folder: str, state: str = "accepted") -> build.Register:
+    """Orders as a register: priorities as severity, status as type, with the value map left, accepted or edited."""
+    orders = table(spark, folder, "orders").select(
+        "o_orderkey", F.col("o_orderpriority").alias("severity"), F.col("o_orderstatus").alias("defect_type"),
+        F.col("o_orderpriority").alias("component"), F.col("o_orderdate").cast("date").cast("string").alias("detect_date"))
+    raw = raw_view(orders, "o_orderkey", ["o_orderkey", "severity", "defect_type", "component", "detect_date"], "orders", "o_orderkey")
+    path = scratch_path(spark, "orders-register")
+    proposal = build.propose(raw, f"{path}/proposal", "o_orderkey")
+    if state == "edited":
+        top = (F.col("column_id") == "severity") & (F.col("raw_value") == "1-URGENT")
+        proposal.mappings = proposal.mappings.withColumns({
+            "canonical_id": F.when(top, "sev_top").otherwise(F.col("canonical_id")),
+            "canonical_label": F.when(top, "Top").otherwise(F.col("canonical_label")),
+            "status": F.when(top, "accepted").otherwise(F.col("status"))})
+    return build.finalise(raw, proposal, f"{path}/register", accept_pending=state == "accepted", exports=False)
+
+
+@query("filter_mapped_category", " UNION ALL ".join(f"""
+SELECT '{state}' AS state, '{name}' AS filter, count(*) AS n, min(o_orderkey) AS first, max(o_orderkey) AS last FROM orders WHERE {where}"""
+    for state in _STATES for name, where in (
+        ("eq", "o_orderpriority = '1-URGENT'"), ("neq", "o_orderpriority <> '1-URGENT'"),
+        ("in", "o_orderpriority IN ('1-URGENT', '5-LOW')"), ("not_in", "o_orderpriority NOT IN ('1-URGENT', '5-LOW')"),
+        ("id", "o_orderpriority = '1-URGENT'"))))
+def filter_mapped_category(spark: SparkSession, folder: str) -> DataFrame:
+    """Category filters mean the same whether the value map is pending, accepted or edited."""
+    out = []
+    for state in _STATES:
+        register = _orders_register(spark, folder, state)
+        for name, operator, value in (
+            ("eq", "eq", "1-urgent"), ("neq", "neq", "1-URGENT"), ("in", "in", ["1-URGENT", "5-LOW"]),
+            ("not_in", "not_in", ["1-URGENT", "5-LOW"]), ("id", "eq", _URGENT_IDS[state]),
+        ):
+            value = "1-URGENT" if state == "pending" and name == "eq" else value
+            hits = register.normalised.filter(analysis.filter_column(register, "severity", operator, value))
+            key = F.col("record_id").cast("long")
+            out.append(hits.agg(F.count(F.lit(1)).alias("n"), F.min(key).alias("first"), F.max(key).alias("last")).select(
+                F.lit(state).alias("state"), F.lit(name).alias("filter"), "n", "first", "last"))
+    return reduce(DataFrame.unionByName, out)
+
+
+@query("register_tables", """
+WITH hits AS (SELECT * FROM orders WHERE o_orderpriority IN ('1-URGENT', '2-HIGH', '5-LOW'))
+SELECT 'component_x_defect_type' AS name, o_orderpriority AS a, o_orderstatus AS b, count(*) AS n FROM hits GROUP BY ALL
+UNION ALL SELECT 'detect_date', strftime(o_orderdate, '%Y-%m'), '', count(*) FROM hits GROUP BY ALL
+UNION ALL SELECT 'trace', CAST((SELECT count(*) FROM hits) AS VARCHAR), 'SQL_ONLY', count(*) FROM hits
+""")
+def register_tables(spark: SparkSession, folder: str) -> DataFrame:
+    """Cross-tabs, trend and trace of one question, all from its stored hits."""
+    register = _orders_register(spark, folder)
+    answer = analysis.analyse(register, [("severity", "in", ["1-URGENT", "2-HIGH", "5-LOW"])], projection=["severity"])
+    tabs = answer.cross_tabs.select(F.col("pair").alias("name"), F.col("row_value").alias("a"), F.col("column_value").alias("b"), F.col("count").alias("n"))
+    trends = answer.trends.select(F.col("dimension").alias("name"), F.col("year_month").alias("a"), F.lit("").alias("b"), F.col("count").alias("n"))
+    trace = answer.trace.select(
+        F.lit("trace").alias("name"), F.col("sql_matched_count").cast("string").alias("a"), F.col("set_operation").alias("b"),
+        F.col("final_candidate_count").alias("n"))
+    return tabs.filter("name = 'component_x_defect_type'").unionByName(trends).unionByName(trace)
+
+
 @query("register_evidence", f"""
 WITH cited AS (SELECT d.source || '/' || d.lang AS finding_id, l.toxic, d.* FROM labels l JOIN documents d ON l.doc_id = d.doc_id),
 accepted AS (

@@ -53,6 +53,35 @@ def lexical_columns(spark: SparkSession, folder: str) -> DataFrame:
     return lexical.scan_search(table(spark, folder, "pages"), "page_id", ["url", "html"], ["Example.ORG"])
 
 
+_WIDE = {"plain": "abcdefghijklmnopqrstuvwxyz", "wide": "ａｂｃｄｅｆｇｈｉｊｋｌｍｎｏｐｑｒｓｔｕｖｗｘｙｚ"}
+
+
+def _wide_pages(spark: SparkSession, folder: str) -> DataFrame:
+    """Pages whose urls are written in full-width letters and whose markup has every space doubled."""
+    return table(spark, folder, "pages").select(
+        "page_id", F.translate("url", _WIDE["plain"], _WIDE["wide"]).alias("url"), F.replace("html", F.lit(" "), F.lit("  ")).alias("html"))
+
+
+@query("lexical_folded", """
+SELECT page_id FROM pages WHERE contains(lower(url), 'example') OR contains(lower(html), 'of the')
+""")
+def lexical_folded(spark: SparkSession, folder: str) -> DataFrame:
+    """Width and spacing differ between terms and texts, in both directions."""
+    return lexical.scan_search(_wide_pages(spark, folder), "page_id", ["url", "html"], ["ＥＸＡＭＰＬＥ", "of   the"])
+
+
+@query("lexical_folded_index", """
+SELECT page_id FROM pages WHERE contains(lower(url), 'example') OR contains(lower(html), 'of the')
+""")
+def lexical_folded_index(spark: SparkSession, folder: str) -> DataFrame:
+    """The same through a stored trigram index."""
+    pages = _wide_pages(spark, folder)
+    path = scratch_path(spark, "wide-index")
+    lexical.write_trigram_index(lexical.trigram_postings(pages, "page_id", ["url", "html"]), "page_id", path)
+    postings, frequencies = (spark.read.parquet(f"{path}/{part}") for part in ("postings", "frequencies"))
+    return lexical.index_search(pages, postings, frequencies, "page_id", ["url", "html"], ["ＥＸＡＭＰＬＥ", "of   the"])
+
+
 @query("lexical_one_column", "SELECT page_id FROM pages WHERE contains(lower(url), '/en/') OR contains(lower(url), '/fr/')")
 def lexical_one_column(spark: SparkSession, folder: str) -> DataFrame:
     return lexical.scan_search(table(spark, folder, "pages"), "page_id", ["url"], ["/EN/", "/fr/"])
