@@ -108,7 +108,8 @@ def _sums(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         languages = rows["lang"].to_numpy(dtype=object)
         for language in set(languages):
             total[language] = total.get(language, 0) + vectors[languages == language].sum(0)
-    yield pd.DataFrame({"lang": list(total), "vector": [v.astype("<f8").tobytes() for v in total.values()]})
+    if total:
+        yield pd.DataFrame({"lang": list(total), "vector": [v.astype("<f8").tobytes() for v in total.values()]})
 
 
 def _added(rows: pd.DataFrame) -> pd.DataFrame:
@@ -150,7 +151,8 @@ def identify(docs: DataFrame, profiles: DataFrame, text_column: str = "text", pr
             vectors = bundles([t or "" for t in texts])
             empty = ~vectors.any(axis=1)
             if not len(table):
-                yield pd.DataFrame({"pred": [UNKNOWN] * len(texts), "score": 0.0, "cosine": 0.0})
+                nothing = np.zeros(len(texts))
+                yield pd.DataFrame({"pred": np.full(len(texts), UNKNOWN, dtype=object), "score": nothing, "cosine": nothing})
                 continue
             cosine = (_unit(vectors) @ table.T).astype(np.float64)
             best = cosine.argmax(axis=1)

@@ -20,7 +20,7 @@ from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rollbook.llm.words import as_column, let
@@ -167,24 +167,25 @@ def as_text(spans: Column, kind: Kind) -> Column:
     return F.transform(spans, lambda s: F.concat_ws(":", F.lit(kind.name), s.start.cast("string"), s.stop.cast("string")))
 
 
-def redacted(text: str | Column) -> Column:
-    """The text with each confirmed span replaced by its kind in angle brackets, kind after kind; NULL stays NULL."""
-    def without(column: Column, kind: Kind) -> Column:
-        def rebuilt(cut: Column) -> Column:
-            marks = F.transform(cut.spans, lambda s: F.when(s.ok, F.lit(f"<{kind.name.upper()}>")).otherwise(s.value))
-            return let(marks, lambda m: F.array_join(F.transform(
-                cut.pieces, lambda p, i: F.concat(p, F.coalesce(F.get(m, i), F.lit("")))), ""))
-        cut = F.struct(F.split(column, kind.pattern, -1).alias("pieces"), proposals(column, kind).alias("spans"))
-        return F.when(kind.hint(column), let(
-            cut, lambda c: F.when(F.exists(c.spans, lambda s: s.ok), rebuilt(c)).otherwise(column))).otherwise(column)
+def _without(text: Column, kind: Kind) -> Column:
+    def rebuilt(cut: Column) -> Column:
+        marks = F.transform(cut.spans, lambda s: F.when(s.ok, F.lit(f"<{kind.name.upper()}>")).otherwise(s.value))
+        return let(marks, lambda m: F.array_join(F.transform(
+            cut.pieces, lambda p, i: F.concat(p, F.coalesce(F.get(m, i), F.lit("")))), ""))
 
-    def nested(column: Column, kinds: tuple[Kind, ...]) -> Column:
-        return column if not kinds else let(without(column, kinds[0]), lambda c: nested(c, kinds[1:]))
+    cut = F.struct(F.split(text, kind.pattern, -1).alias("pieces"), proposals(text, kind).alias("spans"))
+    whole = let(cut, lambda c: F.when(F.exists(c.spans, lambda s: s.ok), rebuilt(c)).otherwise(text))
+    return F.when(kind.hint(text), whole).otherwise(text)
 
-    return nested(as_column(text), KINDS)
 
+def redact(df: DataFrame, text_column: str = "text") -> DataFrame:
+    """The frame with each confirmed span of the text replaced by its kind in angle brackets, kind after kind; NULL stays NULL."""
+    for kind in KINDS:
+        df = df.withColumn(text_column, _without(F.col(text_column), kind))
+    return df
 
-def with_spans(df, text_column: str = "text", prefix: str = "_pii_"):
+
+def with_spans(df: DataFrame, text_column: str = "text", prefix: str = "_pii_") -> DataFrame:
     """The frame with one array of confirmed spans per kind, in columns named by the prefix."""
     return df.withColumns({f"{prefix}{k.name}": confirmed(text_column, k) for k in KINDS})
 

@@ -156,6 +156,9 @@ def _grow(table: dict[str, np.ndarray], bad: np.ndarray) -> Rule:
                         best, gain = Condition(name, above, float(cut)), got
         if best is None:
             break
+        # half way between the nearest values on both sides
+        own = table[best.feature][hit]
+        best = Condition(best.feature, best.above, float((own[own <= best.cut].max() + own[own > best.cut].min()) / 2))
         rule = (*rule, best)
         hit &= best.holds(table)
     return rule
