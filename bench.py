@@ -2,7 +2,7 @@
 
 Each query runs to a no-op sink, once to warm up and then BENCH_REPEATS times;
 the median counts.  ``growth`` compares with the same queries on a ten times
-smaller folder when BENCH_SMALL_DIR is set.
+smaller folder, BENCH_SMALL_DIR or the folder sf0.01 beside; empty for none.
 """
 
 from __future__ import annotations
@@ -24,7 +24,8 @@ HEADLINE = [
     "restrict_to_candidates", "statistics_long", "cross_tabs_all", "monthly_trend_lines", "top_categories", "landscape",
     "audit_columns", "audit_identical_fields", "audit_summary", "pack_batches", "batch_summary", "coverage", "clean_text", "search_shadow",
     "profile_columns", "normalize_candidates", "apply_normalization", "similar_values", "raw_preserved", "validate_findings",
-    "evidence_index", "evidence_appendix", "feedback_to_lessons", "trigram_index",
+    "evidence_index", "evidence_appendix", "feedback_to_lessons", "trigram_index", "scan_register", "lexical_trigram", "pack_sparse",
+    "register_question", "register_tables", "register_evidence", "dictionary_resolve_table", "validate_many_documents",
 ]
 
 
@@ -44,7 +45,8 @@ def measure(spark: SparkSession, folder: str, repeats: int) -> dict[str, float]:
 
 def main() -> None:
     folder = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1").rstrip("/")
-    small = os.environ.get("BENCH_SMALL_DIR")
+    beside = os.path.join(os.path.dirname(folder), "sf0.01")
+    small = os.environ.get("BENCH_SMALL_DIR", beside if os.path.isdir(beside) and beside != folder else "")
     cpus = os.environ.get("BENCH_CPUS", "8")
     repeats = int(os.environ.get("BENCH_REPEATS", "2"))
     spark = (
