@@ -13,7 +13,7 @@ wrong, so a toxic document is left out while its worst window looks clean.
 
 Cases: a NULL text counts as empty; an empty text is one window without words and has
 a score as well; NULL labels are not learned from; with one class only the
-score is that class's share; repeated rows get equal scores; an empty table gives an empty result.
+score is that class's share; repeated rows get scores equal up to rounding; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -36,10 +36,12 @@ WORD_BITS = 15
 GRAM_BITS = 16
 GRAMS = (3, 5, 7)
 BATCH_WINDOWS = 2048
+INPUT_WORDS = 1 << 13
 # The sample learned from: at most about so many rows of each label, none longer than so many bytes.
-TRAIN_TOXIC = 1_500
-TRAIN_CLEAN = 3_000
-TRAIN_BYTES = 1 << 16
+TRAIN_TOXIC = 1_200
+TRAIN_CLEAN = 2_400
+TRAIN_BYTES = 1 << 14
+EVIDENCE_TEXTS = 128
 EPOCHS = 7
 BATCH = 128
 RATE = 0.01
@@ -53,18 +55,22 @@ SEED = 7
 
 @dataclass
 class Words:
-    """The distinct words of some texts: hashed ids of each word and of its character grams."""
+    """Distinct words: hashed ids of each word and, word after word, of its character grams."""
 
+    key: np.ndarray  # the whole hash
     word: np.ndarray
-    gram: np.ndarray  # ids, for all words one after the other
-    owner: np.ndarray  # the word of each id
+    begin: np.ndarray  # where each word's grams begin, and the end
+    gram: np.ndarray
     weight: np.ndarray  # one over the root of the number of grams of that length in the word
 
     def pick(self, rows: np.ndarray) -> Words:
-        place = np.full(len(self.word), -1)
-        place[rows] = np.arange(len(rows))
-        inside = place[self.owner] >= 0
-        return Words(self.word[rows], self.gram[inside], place[self.owner[inside]], self.weight[inside])
+        counts = np.diff(self.begin)[rows]
+        at, _ = _ranges(self.begin[rows], counts)
+        return Words(self.key[rows], self.word[rows], np.append(0, np.cumsum(counts)), self.gram[at], self.weight[at])
+
+    @property
+    def owner(self) -> np.ndarray:
+        return np.repeat(np.arange(len(self.word)), np.diff(self.begin))
 
 
 def _ranges(first: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -78,27 +84,30 @@ def _distinct_words(data: np.ndarray) -> tuple[Words, np.ndarray, np.ndarray]:
     starts, ends = bounds(data)
     if not len(starts):
         empty = np.empty(0, dtype=np.int64)
-        return Words(empty, empty, empty, np.empty(0, np.float32)), empty, empty
+        return Words(empty.view(np.uint64), empty, np.zeros(1, np.int64), empty.astype(np.int32), empty.astype(np.float32)), empty, empty
     lengths = ends - starts
     body = data[~SPACE[data]].astype(np.uint64) + np.uint64(1)
     first = np.cumsum(lengths) - lengths
     position = np.arange(len(body)) - np.repeat(first, lengths)
     hashes = mix(np.add.reduceat(body * powers(int(lengths.max()))[position], first))
-    _, sample, number = np.unique(hashes, return_index=True, return_inverse=True)
+    keys, sample, number = np.unique(hashes, return_index=True, return_inverse=True)
     begin, size = starts[sample], lengths[sample]
     spaced = np.where(SPACE[data], np.uint8(32), data).astype(np.uint64)
     gram, owner, weight = [], [], []
     for n in GRAMS:
-        count = np.maximum(size - n + 3, 0)  # from the space before to the space after
+        count = np.maximum(size - n + 3, 0)  # from the space before to the space after; one at least of three characters
         at, of = _ranges(begin - 1, count)
         value = np.full(len(at), n, dtype=np.uint64)
         for i in range(n):
             value = value * np.uint64(0x100000001B3) + spaced[at + i]
-        gram.append((mix(value) >> np.uint64(64 - GRAM_BITS)).astype(np.int64))
+        gram.append((mix(value) >> np.uint64(64 - GRAM_BITS)).astype(np.int32))
         owner.append(of)
         weight.append((1 / np.sqrt(np.maximum(count, 1))).astype(np.float32)[of])
-    word = (hashes[sample] >> np.uint64(64 - WORD_BITS)).astype(np.int64)
-    return Words(word, np.concatenate(gram), np.concatenate(owner), np.concatenate(weight)), number, starts - 1
+    owner = np.concatenate(owner)
+    order = np.argsort(owner, kind="stable")
+    counts = np.bincount(owner, minlength=len(keys))
+    word = (keys >> np.uint64(64 - WORD_BITS)).astype(np.int64)
+    return Words(keys, word, np.append(0, np.cumsum(counts)), np.concatenate(gram)[order], np.concatenate(weight)[order]), number, starts - 1
 
 
 def _overlapping(text: bytes) -> Iterator[bytes]:
@@ -165,12 +174,12 @@ class Network:
     def inputs(self, words: Words) -> np.ndarray:
         """The input vector of each word."""
         total = self.embedding["word"][words.word].copy()
-        if len(words.gram):
-            order = np.argsort(words.owner, kind="stable")
-            owner = words.owner[order]
-            rows = self.embedding["gram"][words.gram[order]] * words.weight[order, None]
-            first = np.flatnonzero(np.concatenate(([True], owner[1:] != owner[:-1])))
-            total[owner[first]] += np.add.reduceat(rows, first, axis=0)
+        for first in range(0, len(total), INPUT_WORDS):
+            last = min(first + INPUT_WORDS, len(total))
+            part = slice(words.begin[first], words.begin[last])
+            rows = self.embedding["gram"][words.gram[part]]
+            rows *= words.weight[part, None]
+            total[first:last] += np.add.reduceat(rows, words.begin[first:last] - words.begin[first], axis=0)
         return total
 
     def _run(self, side: str, projected: np.ndarray, index: np.ndarray, mask: np.ndarray, keep: list | None) -> np.ndarray:
@@ -264,22 +273,50 @@ class Network:
 
 def _evidence(words: Words, index: np.ndarray, owner: np.ndarray, toxic: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Log-odds of each hashed word and gram, from the number of toxic and clean texts that hold it; rare ones count less."""
-    text = np.repeat(owner, WINDOW)[index.ravel() >= 0]
-    number = index.ravel()[index.ravel() >= 0]
-    pairs = np.unique(text * len(words.word) + number)
-    text, number = pairs // len(words.word), pairs % len(words.word)
+    counts = np.diff(words.begin)
+    held = {bits: np.zeros((2, 1 << bits)) for bits in (WORD_BITS, GRAM_BITS)}
+    for first in range(0, len(toxic), EVIDENCE_TEXTS):
+        part = (owner >= first) & (owner < first + EVIDENCE_TEXTS)
+        number = index[part]
+        text = np.repeat(owner[part] - first, WINDOW)[number.ravel() >= 0]
+        number = number.ravel()[number.ravel() >= 0]
+        pairs = np.unique(text * len(words.word) + number)
+        text, number = pairs // len(words.word), pairs % len(words.word)
+        at, of = _ranges(words.begin[number], counts[number])
+        for ids, texts, bits in ((words.word[number], text, WORD_BITS), (words.gram[at], text[of], GRAM_BITS)):
+            once = np.unique(texts << bits | ids)
+            marks, ids = toxic[first + (once >> bits)], once & ((1 << bits) - 1)
+            for m in (0, 1):
+                held[bits][m] += np.bincount(ids[marks == m], minlength=1 << bits)
+    share = toxic.mean()
     out = []
-    order = np.argsort(words.owner, kind="stable")
-    counts = np.bincount(words.owner, minlength=len(words.word))
-    at, of = _ranges((np.cumsum(counts) - counts)[number], counts[number])
-    for ids, texts, bits in ((words.word[number], text, WORD_BITS), (words.gram[order][at], text[of], GRAM_BITS)):
-        held = np.unique(texts << bits | ids)
-        marks, ids = toxic[held >> bits], held & ((1 << bits) - 1)
-        bad, good = (np.bincount(ids[marks == m], minlength=1 << bits) for m in (True, False))
-        share = toxic.mean()
+    for good, bad in (held[WORD_BITS], held[GRAM_BITS]):
         odds = np.log((bad + 4 * share) / share) - np.log((good + 4 * (1 - share)) / (1 - share))
-        out.append(odds * (bad + good) / (bad + good + TRUST))
-    return out[0].astype(np.float32), out[1].astype(np.float32)
+        out.append((odds * (bad + good) / (bad + good + TRUST)).astype(np.float32))
+    return out[0], out[1]
+
+
+def _joined_windows(texts: list[bytes]) -> tuple[Words, np.ndarray, np.ndarray]:
+    """The windows of many texts over common distinct words, read strip by strip."""
+    parts, indices, owners = [], [], []
+    for numbers, strip in _strips(texts):
+        words, index, owner = _windows(strip)
+        parts.append(words)
+        indices.append(index.astype(np.int32))
+        owners.append(np.asarray(numbers)[owner])
+    keys, first, number = np.unique(np.concatenate([p.key for p in parts]), return_index=True, return_inverse=True)
+    # words stand in the order of their first strip
+    place = np.empty(len(keys), dtype=np.int32)
+    place[np.argsort(first, kind="stable")] = np.arange(len(keys))
+    number, start, own = place[number], 0, []
+    for part, index in zip(parts, indices):
+        index[index >= 0] = number[start + index[index >= 0]]
+        own.append(part.pick(np.sort(first[(first >= start) & (first < start + len(part.key))]) - start))
+        start += len(part.key)
+    counts = np.concatenate([np.diff(p.begin) for p in own])
+    whole = Words(*(np.concatenate([getattr(p, name) for p in own]) for name in ("key", "word")), np.append(0, np.cumsum(counts)),
+                  *(np.concatenate([getattr(p, name) for p in own]) for name in ("gram", "weight")))
+    return whole, np.concatenate(indices), np.concatenate(owners)
 
 
 def train(texts: list[bytes], toxic: np.ndarray, epochs: int = EPOCHS, seed: int = SEED) -> Network:
@@ -291,12 +328,11 @@ def train(texts: list[bytes], toxic: np.ndarray, epochs: int = EPOCHS, seed: int
         network.dense["out"][:] = 0
         network.dense["out_bias"][0] = np.log((share + 1e-3) / (1 - share + 1e-3))
         return network
-    words, index, owner = _windows(texts)
+    words, index, owner = _joined_windows(texts)
     word_odds, gram_odds = _evidence(words, index, owner, toxic)
     network.embedding["word"][:, 0] = np.clip(word_odds, -3, 3)
     network.embedding["gram"][:, 0] = np.clip(gram_odds, -3, 3)
-    strongest = word_odds[words.word]
-    np.maximum.at(strongest, words.owner, gram_odds[words.gram])
+    strongest = np.maximum(word_odds[words.word], np.maximum.reduceat(gram_odds[words.gram], words.begin[:-1])) if len(words.word) else word_odds[:0]
     seen = np.append(strongest, -9.0)[index].max(axis=1)
     draw = np.random.default_rng(seed)
     fast = {k: [np.zeros_like(v), np.zeros_like(v)] for k, v in network.dense.items()}
@@ -360,6 +396,6 @@ def score(docs: DataFrame, network: Network, text_column: str = "text", name: st
     @F.pandas_udf("double")
     def rate(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
-            yield pd.Series(held.value.scores(as_bytes(texts)).astype(np.float64))
+            yield pd.Series(np.round(held.value.scores(as_bytes(texts)).astype(np.float64), 6))
 
     return docs.withColumn(name, rate(F.col(text_column).cast("string")))

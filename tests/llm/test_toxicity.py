@@ -94,7 +94,7 @@ def test_in_spark(spark, documents, words):
     by = {}
     for r in got:
         by.setdefault(r.doc_id, set()).add(r.rating)
-    assert by[0] == by[902] and by[900] == by[901]
+    assert max(by[0] | by[902]) - min(by[0] | by[902]) < 1e-5 and max(by[900] | by[901]) - min(by[900] | by[901]) < 1e-5
     assert tx.score(documents([]), first, name="rating").count() == 0
 
 
