@@ -216,7 +216,7 @@ def op6_ngram_join(spark: SparkSession, folder: str) -> DataFrame:
 def op1_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text").withColumn("held_out", language.held_out("doc_id", 3, 1))
     labels = table(spark, folder, "labels").select("doc_id", (F.col("toxic") == 1).alias("toxic"))
-    network = toxicity.fit(docs.filter(~F.col("held_out")).join(labels, "doc_id").select("text", "toxic"))
+    network = toxicity.fit(docs.filter(~F.col("held_out")), labels)
     return toxicity.score(docs, network).select(
         "doc_id", "held_out", "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 

@@ -374,18 +374,28 @@ def train(texts: list[bytes], toxic: np.ndarray, epochs: int = EPOCHS, seed: int
     return network
 
 
-def training_sample(labelled: DataFrame, toxic: int = TRAIN_TOXIC, clean: int = TRAIN_CLEAN) -> pd.DataFrame:
-    """``(text, toxic)``: a bounded share of each label's rows, chosen by hash.  ``labelled``: text, toxic (boolean)."""
-    rows = labelled.filter(F.col("toxic").isNotNull() & F.col("text").isNotNull() & (F.octet_length("text") <= TRAIN_BYTES))
-    counts = {r["toxic"]: r["count"] for r in rows.groupBy("toxic").count().collect()}
+def training_sample(
+    docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_column: str = "text", toxic: int = TRAIN_TOXIC, clean: int = TRAIN_CLEAN,
+) -> pd.DataFrame:
+    """``(text, toxic)``: a bounded share of each label's documents, chosen by a hash of the id.
+
+    ``labels``: id and ``toxic`` (boolean); an id with several labels counts as toxic.  Ids are chosen before
+    any text is read, so the chosen ones, no more than the bound asks for, are sent to the texts.
+    """
+    known = labels.filter(F.col("toxic").isNotNull() & F.col(id_column).isNotNull()).groupBy(id_column).agg(F.max("toxic").alias("toxic"))
+    known = known.join(docs.select(id_column).distinct(), id_column, "left_semi")
+    counts = {r["toxic"]: r["count"] for r in known.groupBy("toxic").count().collect()}
     share = F.when(F.col("toxic"), toxic / max(counts.get(True, 1), 1)).otherwise(clean / max(counts.get(False, 1), 1))
-    draw = F.pmod(F.xxhash64("text", F.lit("sample")), F.lit(1_000_000)) / 1e6
-    picked = rows.filter(draw < share).select("text", "toxic").toPandas()
+    draw = F.pmod(F.xxhash64(id_column, F.lit("sample")), F.lit(1_000_000)) / 1e6
+    chosen = known.filter(draw < share).limit(2 * (toxic + clean))
+    texts = docs.select(id_column, F.col(text_column).cast("string").alias("text")).filter(F.octet_length("text") <= TRAIN_BYTES)
+    picked = texts.join(F.broadcast(chosen), id_column).select("text", "toxic").dropDuplicates().limit(2 * (toxic + clean)).toPandas()
     return picked.sort_values(["text", "toxic"], kind="stable", ignore_index=True)
 
 
-def fit(labelled: DataFrame) -> Network:
-    sample = training_sample(labelled)
+def fit(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> Network:
+    """A network from the labelled ones among the given documents."""
+    sample = training_sample(docs, labels, id_column, text_column)
     return train(as_bytes(sample["text"]), sample["toxic"].to_numpy(dtype=bool))
 
 

@@ -85,9 +85,8 @@ def test_in_spark(spark, documents, words):
     rows = [(i, t, "en", "s") for i, t in enumerate(texts)] + [(900, None, "en", "s"), (901, "", "en", "s"), (902, texts[0], "en", "s"), (0, texts[0], "en", "s")]
     docs = documents(rows)
     marks = spark.createDataFrame([(i, bool(y), "k") for i, y in enumerate(labels)] + [(900, True, "k"), (5, None, "k")], "doc_id long, toxic boolean, key string")
-    labelled = docs.select("doc_id", "text").join(marks, "doc_id").select("text", "toxic")
-    first = tx.fit(labelled)
-    again = tx.fit(labelled.repartition(7))
+    first = tx.fit(docs, marks)
+    again = tx.fit(docs.repartition(7), marks.repartition(3))
     assert all(np.array_equal(first.dense[k], again.dense[k]) for k in first.dense)
     got = tx.score(docs, first, name="rating").collect()
     assert len(got) == len(rows) and all(0 <= r.rating <= 1 for r in got)
@@ -95,6 +94,8 @@ def test_in_spark(spark, documents, words):
     for r in got:
         by.setdefault(r.doc_id, set()).add(r.rating)
     assert max(by[0] | by[902]) - min(by[0] | by[902]) < 1e-5 and max(by[900] | by[901]) - min(by[900] | by[901]) < 1e-5
+    assert len(tx.training_sample(docs, marks, toxic=10, clean=20)) < 60 < len(tx.training_sample(docs, marks))
+    assert tx.fit(docs, marks.limit(0)).scores([b"x"])[0] < 0.01
     assert tx.score(documents([]), first, name="rating").count() == 0
 
 
