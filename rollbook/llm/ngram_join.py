@@ -1,9 +1,9 @@
 """Groups of near-equal documents: exact Jaccard join on sets of word n-grams.
 
 Equal sets collapse to one node first.  For the others, grams have one global
-order: rare ones first, then those found in more than one of ``2**20`` places of
-the corpus, both by hash.  Two sets that reach the threshold share at least g + 1 grams
-of their prefixes when these are extended by g.  So either they share a
+order, rare ones first.  How often a gram occurs is read from a sketch of fixed size: counts
+of grams by hash place, over all texts.  Two sets that reach the threshold share at least g + 1
+grams of their prefixes when these are extended by g.  So either they share a
 rare gram there, which is a signature by itself, or g + 1 frequent ones, of which two
 fall into the same of g classes: pairs within a class are signatures too.  With
 g in proportion to the set's size a set has signatures in proportion to its size.
@@ -11,7 +11,7 @@ g in proportion to the set's size a set has signatures in proportion to its size
 Only groups are asked for, so pairs inside a found group need no check.  The members
 of a signature are compared with one hub, groups are formed, and this is repeated with
 other hubs; at last every pair that shares a signature and lies in
-different groups is compared.  A comparison looks at parity bitmaps, whose differing
+different groups is compared, for signatures of many members inside tasks, block against block.  A comparison looks at parity bitmaps, whose differing
 bits bound the difference of two sets from below, and then at the whole sets.
 
 Cases: a NULL text or one without words has an empty set and links with nothing;
@@ -22,10 +22,13 @@ rows are equal sets; an empty table gives an empty result; other columns are not
 from __future__ import annotations
 
 import hashlib
+import zlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -35,12 +38,20 @@ from rollbook.session import materialise
 
 N = 3
 PERCENT = 90
-FREQUENT_SHARE = 1 << 20
-CHUNK_GRAMS = 1 << 21
-CHUNK_LEAST = 2
+# Places of the sketch of counts, and of its parts that travel as a row.
+PLACE_BITS = 22
+CHUNK_BITS = 16
+SHARDS = 64
+STRETCH_GRAMS = 1 << 20
+# A gram is frequent if its place counts more than so many times the mean, and more than so many.
+FREQUENT_TIMES = 4
+FREQUENT_LEAST = 16
 CLASS_GRAMS = 7  # log2 of the set size per class of frequent grams
-LEAST_BITS = 8
-HUB_ROUNDS = 3
+LEAST_BITS = 10
+HUB_ROUNDS = 2
+# Signatures with more members than this are compared inside tasks, in blocks of about so many.
+FEW_MEMBERS = 16
+BLOCK_MEMBERS = 512
 SALTS = 8
 
 # Places of the map that tells which texts to read again: 1 MB, whatever the number of texts.
@@ -67,18 +78,34 @@ def most_size(size: int, percent: int = PERCENT) -> int:
     return 100 * size // percent
 
 
-def signatures(grams: np.ndarray, frequent: np.ndarray, percent: int = PERCENT) -> np.ndarray:
+@dataclass(frozen=True)
+class Sketch:
+    """How often grams occur, by hash place: steps of a quarter octave, and the step from which they are frequent."""
+
+    steps: np.ndarray
+    frequent: int
+
+    @staticmethod
+    def of(counts: np.ndarray) -> Sketch:
+        def step(count):
+            return np.floor(4 * np.log2(1.0 + count)).astype(np.uint8)
+        return Sketch(step(counts), int(step(np.float64(max(FREQUENT_LEAST, FREQUENT_TIMES * counts.mean())))))
+
+    def order(self, grams: np.ndarray) -> tuple[np.ndarray, int]:
+        """Sorted distinct grams, rare ones first, and how many are rare."""
+        bits = np.uint64(64 - (len(self.steps).bit_length() - 1))
+        steps = self.steps[(mix(grams) >> bits).astype(np.int64)]
+        order = np.argsort(steps, kind="stable")
+        return grams[order], int((steps < self.frequent).sum())
+
+
+def signatures(grams: np.ndarray, sketch: Sketch, percent: int = PERCENT) -> np.ndarray:
     """The signatures of a set, as signed longs: two sets within the threshold share one."""
     size = len(grams)
     need = least_overlap(size, percent)
     if not size or most_size(size, percent) == size and need == size:
         return np.empty(0, dtype=np.int64)
-    at = np.searchsorted(frequent, grams)
-    often = np.zeros(size, dtype=bool)
-    inside = at < len(frequent)
-    often[inside] = frequent[at[inside]] == grams[inside]
-    ordered = np.concatenate([grams[~often], grams[often]])
-    rare = size - int(often.sum())
+    ordered, rare = sketch.order(grams)
     own = size.bit_length() - 1
     out = []
     for tier in range(own, most_size(size, percent).bit_length()):
@@ -88,15 +115,15 @@ def signatures(grams: np.ndarray, frequent: np.ndarray, percent: int = PERCENT)
         mine = ordered[rare:length]
         kind = mix(mine + np.uint64(tier)) % np.uint64(classes)
         for k in np.unique(kind):
-            member = mine[kind == k]
+            member = np.sort(mine[kind == k])
             a, b = np.triu_indices(len(member), 1)
             out.append(mix(mix(member[a]) * np.uint64(3) + member[b] + np.uint64(tier + 1)))
     return distinct(np.concatenate(out)).view(np.int64)
 
 
 def bitmap(grams: np.ndarray) -> bytes:
-    """Parities of the grams over a power of two of places, about as many as grams."""
-    bits = max(LEAST_BITS, len(grams).bit_length() if len(grams) else 0)
+    """Parities of the grams over a power of two of places, two to four times as many as grams."""
+    bits = max(LEAST_BITS, len(grams).bit_length() + 1)
     places = np.bincount((mix(grams) & np.uint64((1 << bits) - 1)).astype(np.int64), minlength=1 << bits)
     return np.packbits((places & 1).astype(np.uint8)).tobytes()
 
@@ -110,15 +137,14 @@ def least_difference(a: bytes, b: bytes) -> int:
     return int((folded ^ y).sum())
 
 
-def _frequent_parts(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Grams that occur in several sets of a stretch of texts, with their counts; the NULL gram counts all."""
+def _counted(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Counts of the grams of a task's sets by place, in compressed chunks; equal sets close together count once."""
+    counts = np.zeros(1 << PLACE_BITS, dtype=np.uint32)
     held, size, seen = [], 0, set()
 
-    def count() -> pd.DataFrame:
-        values, counts = np.unique(np.concatenate(held), return_counts=True)
-        often = counts >= CHUNK_LEAST
-        return pd.DataFrame({
-            "gram": pd.array([None, *values[often].view(np.int64)], dtype="Int64"), "sets": np.concatenate(([size], counts[often]))})
+    def add() -> None:
+        np.add(counts, np.bincount((mix(np.concatenate(held)) >> np.uint64(64 - PLACE_BITS)).astype(np.int64), minlength=len(counts)),
+               out=counts, casting="unsafe")
 
     for rows in frames:
         for grams in gram_sets(rows["text"]):
@@ -128,30 +154,40 @@ def _frequent_parts(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             seen.add(digest)
             held.append(grams)
             size += len(grams)
-            if size >= CHUNK_GRAMS:
-                yield count()
+            if size >= STRETCH_GRAMS:
+                add()
                 held, size, seen = [], 0, set()
     if held:
-        yield count()
+        add()
+    if counts.any():
+        shard = TaskContext.get().partitionId() % SHARDS
+        for chunk in range(1 << PLACE_BITS - CHUNK_BITS):
+            part = counts[chunk << CHUNK_BITS:chunk + 1 << CHUNK_BITS]
+            yield pd.DataFrame({"chunk": [chunk], "shard": [shard], "counts": [zlib.compress(part.astype("<u8").tobytes(), 1)]})
+
+
+def _added(rows: pd.DataFrame) -> pd.DataFrame:
+    total = sum(np.frombuffer(zlib.decompress(c), "<u8") for c in rows["counts"])
+    return pd.DataFrame({"chunk": rows["chunk"].iloc[:1], "shard": [0], "counts": [zlib.compress(total.tobytes(), 1)]})
 
 
-def frequent_grams(texts: DataFrame, share: int = FREQUENT_SHARE) -> np.ndarray:
-    """The sorted hashes of at most ``share`` grams that make up more than one in ``share`` of all.
+def sketch_of(texts: DataFrame) -> Sketch:
+    """The sketch over all texts.  Its size is fixed, so it may come to the driver and go to every task.
 
-    Counts come from every text, stretch by stretch; what occurs once in a stretch is left out.
-    The order of grams depends on the answer, the groups found do not.
+    The order of grams depends on it, the groups found do not.
     """
-    counts = materialise(texts.mapInPandas(_frequent_parts, "gram long, sets long").groupBy("gram").agg(
-        F.sum("sets").alias("sets")), "gram_counts")
-    total = counts.filter("gram IS NULL").agg(F.sum("sets")).first()[0] or 0
-    often = counts.filter(F.col("gram").isNotNull() & (F.col("sets") > max(CHUNK_LEAST * 4, total // share))).select("gram").toPandas()
-    return np.sort(often["gram"].to_numpy(dtype=np.int64).view(np.uint64))
+    fields = "chunk int, shard int, counts binary"
+    parts = texts.mapInPandas(_counted, fields).groupBy("chunk", "shard").applyInPandas(_added, fields)
+    counts = np.zeros(1 << PLACE_BITS, dtype=np.uint64)
+    for r in parts.groupBy("chunk").applyInPandas(_added, fields).collect():
+        counts[r["chunk"] << CHUNK_BITS:r["chunk"] + 1 << CHUNK_BITS] = np.frombuffer(zlib.decompress(r["counts"]), "<u8")
+    return Sketch.of(counts)
 
 
-def _described(docs: DataFrame, frequent: np.ndarray, percent: int) -> DataFrame:
+def _described(docs: DataFrame, sketch: Sketch, percent: int) -> DataFrame:
     """``(id, row_key, node, n, signatures, bitmap)`` per row."""
     kind = docs.schema["id"].dataType.simpleString()
-    held = docs.sparkSession.sparkContext.broadcast(frequent)
+    held = docs.sparkSession.sparkContext.broadcast(sketch)
 
     def describe(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in frames:
@@ -276,20 +312,74 @@ def _hub_pairs(members: DataFrame, turn: int, percent: int) -> DataFrame:
     )
 
 
-def _other_pairs(members: DataFrame, percent: int) -> DataFrame:
-    """All pairs that share a signature, lie in different groups and have sizes within the threshold."""
-    step = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100 / percent))).cast("int")
-    placed = members.withColumn("step", step)
-    other = placed.select(
-        "signature", F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("root").alias("root_b"),
-        F.explode(F.array(F.col("step") - 1, F.col("step"), F.col("step") + 1)).alias("step"))
+def _pairs_of_few(members: DataFrame, percent: int) -> DataFrame:
+    """All pairs that share a signature of few members, lie in different groups and have sizes within the threshold."""
+    other = members.select("signature", F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("root").alias("root_b"))
     return (
-        placed.withColumnRenamed("node", "a").join(other, ["signature", "step"])
+        members.withColumnRenamed("node", "a").join(other, "signature")
         .filter((F.col("a") < F.col("b")) & (F.col("root") != F.col("root_b")) & _close_sizes(F.col("n"), F.col("n_b"), percent))
         .select("a", "b").distinct()
     )
 
 
+def _folded(bitmaps: list[bytes]) -> np.ndarray:
+    """Bitmaps as rows of one array, folded to the shortest."""
+    width = min(map(len, bitmaps))
+    return np.stack([np.bitwise_xor.reduce(np.frombuffer(b, np.uint8).reshape(-1, width), axis=0) for b in bitmaps])
+
+
+def _compared(percent: int):
+    """Near pairs within rows sorted by (signature, i, j): members of block i against those of block j."""
+    def compare(rows: pd.DataFrame) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        marks, sizes, roots, nodes, block = _folded(list(rows["bitmap"])), *(rows[c].to_numpy() for c in ("n", "root", "node", "block"))
+        i, j = rows["i"].iloc[0], rows["j"].iloc[0]
+        for x in np.flatnonzero(block == i):
+            y = np.flatnonzero((block == j) & (roots != roots[x]) & ((nodes > nodes[x]) if i == j else True))
+            y = y[100 * np.minimum(sizes[y], sizes[x]) >= percent * np.maximum(sizes[y], sizes[x])]
+            least = np.bitwise_count(marks[y] ^ marks[x]).sum(axis=1, dtype=np.int64)
+            y = y[least * (100 + percent) <= (100 - percent) * (sizes[y].astype(np.int64) + sizes[x])]
+            yield np.minimum(nodes[x], nodes[y]), np.maximum(nodes[x], nodes[y])
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = None
+        found: list[tuple[np.ndarray, np.ndarray]] = []
+        for rows in frames:
+            rows = rows if held is None else pd.concat([held, rows], ignore_index=True)
+            key = rows[["signature", "i", "j"]].to_numpy()
+            starts = np.flatnonzero(np.concatenate(([True], (key[1:] != key[:-1]).any(axis=1))))
+            for first, last in zip(starts[:-1], starts[1:]):  # the last one may go on
+                found.extend(compare(rows.iloc[first:last]))
+            held = rows.iloc[starts[-1]:]
+            if found:
+                yield pd.DataFrame({"a": np.concatenate([a for a, _ in found]), "b": np.concatenate([b for _, b in found])}).drop_duplicates()
+                found = []
+        if held is not None:
+            found.extend(compare(held))
+            if found:
+                yield pd.DataFrame({"a": np.concatenate([a for a, _ in found]), "b": np.concatenate([b for _, b in found])}).drop_duplicates()
+    return run
+
+
+def _near_of_many(members: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """Near pairs that share a signature of many members: blocks of bounded size against blocks, only what the bitmaps allow comes out."""
+    block = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+    placed = members.withColumn("blocks", F.ceil(F.col("members") / BLOCK_MEMBERS)).withColumn("block", block).withColumn(
+        "other", F.explode(F.sequence(F.lit(0), (F.col("blocks") - 1).cast("int"))))
+    dealt = placed.join(nodes.select("node", "bitmap"), "node").select(
+        "signature", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "n", "root", "bitmap")
+    ordered = dealt.repartition("signature", "i", "j").sortWithinPartitions("signature", "i", "j")
+    return ordered.mapInPandas(_compared(percent), "a long, b long").distinct()
+
+
+def _open_near(members: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """Every pair of different groups that shares a signature and that the bitmaps do not rule out."""
+    counted = members.join(members.groupBy("signature").agg(F.count(F.lit(1)).alias("members")), "signature")
+    counted = materialise(counted, "counted")
+    few = counted.filter(F.col("members") <= FEW_MEMBERS).drop("members")
+    many = counted.filter(F.col("members") > FEW_MEMBERS)
+    return _near(_pairs_of_few(few, percent), nodes, percent).unionByName(_near_of_many(many, nodes, percent)).distinct()
+
+
 def _roots(members: DataFrame, nodes: DataFrame, rows: DataFrame, percent: int) -> DataFrame:
     """``(node, root)`` of all linked nodes: hubs first, then every pair that is still open."""
     roots = members.select("node", F.col("node").alias("root")).limit(0)
@@ -298,16 +388,20 @@ def _roots(members: DataFrame, nodes: DataFrame, rows: DataFrame, percent: int)
         still = materialise(_mixed(members, roots), "mixed")
         if still.isEmpty():
             break
-        pairs = _hub_pairs(still, turn, percent) if turn < HUB_ROUNDS else _other_pairs(still, percent)
-        near = materialise(_near(pairs, nodes, percent), "near")
+        if turn < HUB_ROUNDS:
+            near = _near(_hub_pairs(still, turn, percent), nodes, percent)
+        else:
+            near = _open_near(still, nodes, percent)
+        near = materialise(near, "near")
         if near.isEmpty():
             continue
         wanted = near.select(F.explode(F.array("a", "b")).alias("node")).distinct()
         if sets is not None:
             wanted = wanted.join(sets.select("node"), "node", "left_anti")
         keys = materialise(wanted.join(nodes, "node").select("place.row_key"), "wanted")
-        more = materialise(_sets_of(rows, keys), "sets")
-        sets = more if sets is None else sets.unionByName(more)
+        if sets is None or not keys.isEmpty():
+            more = materialise(_sets_of(rows, keys), "sets")
+            sets = more if sets is None else sets.unionByName(more)
         found = materialise(_links(near, sets, percent), "links")
         if found.isEmpty():
             continue
@@ -317,14 +411,13 @@ def _roots(members: DataFrame, nodes: DataFrame, rows: DataFrame, percent: int)
 
 
 def near_groups(
-    docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", percent: int = PERCENT, share: int = FREQUENT_SHARE,
+    docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", percent: int = PERCENT,
 ) -> DataFrame:
     """Per row of ``docs``: ``id``, ``n_grams``, ``group_id`` (the smallest id of its group) and ``group_key``."""
     text_key = F.xxhash64(F.col(text_column).cast("string"))
     rows = docs.select(
         F.col(id_column).alias("id"), F.xxhash64(id_column, text_key).alias("row_key"), F.col(text_column).cast("string").alias("text"))
-    frequent = frequent_grams(rows.select("text"), share)
-    described = materialise(_described(rows, frequent, percent), "described")
+    described = materialise(_described(rows, sketch_of(rows.select("text")), percent), "described")
 
     filled = described.filter("node IS NOT NULL")
     nodes = materialise(filled.groupBy("node").agg(

@@ -53,9 +53,12 @@ def near_copies(rng, words, n, changes):
     return out
 
 
-@pytest.mark.parametrize("least", [nj.FREQUENT_LEAST, 0])
-def test_equals_comparing_all_pairs(documents, monkeypatch, least):
+@pytest.mark.parametrize("least, few, block, hubs", [(nj.FREQUENT_LEAST, nj.FEW_MEMBERS, nj.BLOCK_MEMBERS, nj.HUB_ROUNDS), (0, 2, 7, 0)])
+def test_equals_comparing_all_pairs(documents, monkeypatch, least, few, block, hubs):
     monkeypatch.setattr(nj, "FREQUENT_LEAST", least)
+    monkeypatch.setattr(nj, "FEW_MEMBERS", few)
+    monkeypatch.setattr(nj, "BLOCK_MEMBERS", block)
+    monkeypatch.setattr(nj, "HUB_ROUNDS", hubs)
     rng = random.Random(least)
     passage = " ".join(f"p{i}" for i in range(40))
     texts = near_copies(rng, 120, 60, 3) + near_copies(rng, 40, 30, 2) + near_copies(rng, 400, 25, 14)
