@@ -137,7 +137,7 @@ def least_difference(a: bytes, b: bytes) -> int:
     return int((folded ^ y).sum())
 
 
-def _counted(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _counted(frames: Iterator[pd.DataFrame], n: int) -> Iterator[pd.DataFrame]:
     """Counts of the grams of a task's sets by place, in compressed chunks; equal sets close together count once."""
     counts = np.zeros(1 << PLACE_BITS, dtype=np.uint32)
     held, size, seen = [], 0, set()
@@ -147,7 +147,7 @@ def _counted(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                out=counts, casting="unsafe")
 
     for rows in frames:
-        for grams in gram_sets(rows["text"]):
+        for grams in gram_sets(rows["text"], n):
             digest = _digest(grams)
             if digest is None or digest in seen:
                 continue
@@ -171,20 +171,20 @@ def _added(rows: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"chunk": rows["chunk"].iloc[:1], "shard": [0], "counts": [zlib.compress(total.tobytes(), 1)]})
 
 
-def sketch_of(texts: DataFrame) -> Sketch:
+def sketch_of(texts: DataFrame, n: int = N) -> Sketch:
     """The sketch over all texts.  Its size is fixed, so it may come to the driver and go to every task.
 
     The order of grams depends on it, the groups found do not.
     """
     fields = "chunk int, shard int, counts binary"
-    parts = texts.mapInPandas(_counted, fields).groupBy("chunk", "shard").applyInPandas(_added, fields)
+    parts = texts.mapInPandas(lambda frames: _counted(frames, n), fields).groupBy("chunk", "shard").applyInPandas(_added, fields)
     counts = np.zeros(1 << PLACE_BITS, dtype=np.uint64)
     for r in parts.groupBy("chunk").applyInPandas(_added, fields).collect():
         counts[r["chunk"] << CHUNK_BITS:r["chunk"] + 1 << CHUNK_BITS] = np.frombuffer(zlib.decompress(r["counts"]), "<u8")
     return Sketch.of(counts)
 
 
-def _described(docs: DataFrame, sketch: Sketch, percent: int) -> DataFrame:
+def _described(docs: DataFrame, sketch: Sketch, percent: int, n: int) -> DataFrame:
     """``(id, row_key, node, n, signatures, bitmap)`` per row."""
     kind = docs.schema["id"].dataType.simpleString()
     held = docs.sparkSession.sparkContext.broadcast(sketch)
@@ -192,7 +192,7 @@ def _described(docs: DataFrame, sketch: Sketch, percent: int) -> DataFrame:
     def describe(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in frames:
             nodes, sizes, marks, maps = [], [], [], []
-            for grams in gram_sets(rows["text"]):
+            for grams in gram_sets(rows["text"], n):
                 nodes.append(_digest(grams))
                 sizes.append(len(grams))
                 marks.append(signatures(grams, held.value, percent))
@@ -204,13 +204,13 @@ def _described(docs: DataFrame, sketch: Sketch, percent: int) -> DataFrame:
     return docs.mapInPandas(describe, f"id {kind}, row_key long, node long, n int, signatures array<long>, bitmap binary")
 
 
-def _whole_sets(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _whole_sets(frames: Iterator[pd.DataFrame], n: int) -> Iterator[pd.DataFrame]:
     for rows in frames:
-        grams = list(gram_sets(rows["text"]))
+        grams = list(gram_sets(rows["text"], n))
         yield pd.DataFrame({"node": pd.array([_digest(g) for g in grams], dtype="Int64"), "grams": [g.tobytes() for g in grams]})
 
 
-def _sets_of(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+def _sets_of(rows: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
     """``(node, grams)`` of the rows whose key is wanted.
 
     A bitmap of fixed size over the wanted keys sorts out nearly all other
@@ -227,7 +227,7 @@ def _sets_of(rows: DataFrame, wanted: DataFrame) -> DataFrame:
         .withColumn("_byte", byte).withColumn("_bit", bit).filter(marked).select("row_key", "text")
     )
     texts = likely.join(wanted, "row_key", "left_semi").select("text")
-    return texts.mapInPandas(_whole_sets, "node long, grams binary").dropDuplicates(["node"])
+    return texts.mapInPandas(lambda frames: _whole_sets(frames, n), "node long, grams binary").dropDuplicates(["node"])
 
 
 def _close_sizes(a: Column, b: Column, percent: int) -> Column:
@@ -380,7 +380,7 @@ def _open_near(members: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     return _near(_pairs_of_few(few, percent), nodes, percent).unionByName(_near_of_many(many, nodes, percent)).distinct()
 
 
-def _roots(members: DataFrame, nodes: DataFrame, rows: DataFrame, percent: int) -> DataFrame:
+def _roots(members: DataFrame, nodes: DataFrame, rows: DataFrame, percent: int, n: int) -> DataFrame:
     """``(node, root)`` of all linked nodes: hubs first, then every pair that is still open."""
     roots = members.select("node", F.col("node").alias("root")).limit(0)
     edges = sets = None
@@ -400,7 +400,7 @@ def _roots(members: DataFrame, nodes: DataFrame, rows: DataFrame, percent: int)
             wanted = wanted.join(sets.select("node"), "node", "left_anti")
         keys = materialise(wanted.join(nodes, "node").select("place.row_key"), "wanted")
         if sets is None or not keys.isEmpty():
-            more = materialise(_sets_of(rows, keys), "sets")
+            more = materialise(_sets_of(rows, keys, n), "sets")
             sets = more if sets is None else sets.unionByName(more)
         found = materialise(_links(near, sets, percent), "links")
         if found.isEmpty():
@@ -411,13 +411,16 @@ def _roots(members: DataFrame, nodes: DataFrame, rows: DataFrame, percent: int)
 
 
 def near_groups(
-    docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", percent: int = PERCENT,
+    docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", percent: int = PERCENT, n: int = N,
 ) -> DataFrame:
-    """Per row of ``docs``: ``id``, ``n_grams``, ``group_id`` (the smallest id of its group) and ``group_key``."""
+    """Per row of ``docs``: ``id``, ``n_grams``, ``group_id`` (the smallest id of its group) and ``group_key``.
+
+    Sets of ``n``-word grams are near from a Jaccard similarity of ``percent`` / 100 on.
+    """
     text_key = F.xxhash64(F.col(text_column).cast("string"))
     rows = docs.select(
         F.col(id_column).alias("id"), F.xxhash64(id_column, text_key).alias("row_key"), F.col(text_column).cast("string").alias("text"))
-    described = materialise(_described(rows, sketch_of(rows.select("text")), percent), "described")
+    described = materialise(_described(rows, sketch_of(rows.select("text"), n), percent, n), "described")
 
     filled = described.filter("node IS NOT NULL")
     nodes = materialise(filled.groupBy("node").agg(
@@ -425,7 +428,7 @@ def near_groups(
     posted = filled.select(F.explode("signatures").alias("signature"), "node", "n")
     shared = posted.groupBy("signature").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter("low < high").select("signature")
     members = materialise(posted.join(shared, "signature").distinct(), "members")
-    roots = _roots(members, nodes, rows, percent)
+    roots = _roots(members, nodes, rows, percent, n)
 
     grouped = nodes.select("node", "id").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     names = grouped.groupBy("root").agg(F.min("id").alias("group_id"))

@@ -9,16 +9,16 @@ from rollbook.llm import ngram_join as nj
 from rollbook.llm.textkernel import as_bytes, windows, word_hashes
 
 
-def grams(text):
+def grams(text, n=3):
     words = (text or "").encode().lower().split()
     if not words:
         return frozenset()
-    return frozenset([tuple(words)] if len(words) < 3 else [tuple(words[i:i + 3]) for i in range(len(words) - 2)])
+    return frozenset([tuple(words)] if len(words) < n else [tuple(words[i:i + n]) for i in range(len(words) - n + 1)])
 
 
-def brute(rows, percent=90):
+def brute(rows, percent=90, n=3):
     """(id, set size, smallest id of the group) by comparing all pairs."""
-    sets = [(i, grams(t)) for i, t in rows]
+    sets = [(i, grams(t, n)) for i, t in rows]
     parent = list(range(len(rows)))
 
     def find(x):
@@ -37,9 +37,9 @@ def brute(rows, percent=90):
     return sorted(out, key=str)
 
 
-def run(documents, rows):
+def run(documents, rows, **how):
     df = documents([(i, t, "en", "s") for i, t in rows])
-    return sorted(((r.id, r.n_grams, r.group_id) for r in nj.near_groups(df).collect()), key=str)
+    return sorted(((r.id, r.n_grams, r.group_id) for r in nj.near_groups(df, **how).collect()), key=str)
 
 
 def near_copies(rng, words, n, changes):
@@ -70,6 +70,20 @@ def test_equals_comparing_all_pairs(documents, monkeypatch, least, few, block, h
     assert run(documents, rows) == brute(rows)
 
 
+@pytest.mark.parametrize("least, few, block, hubs", [(nj.FREQUENT_LEAST, nj.FEW_MEMBERS, nj.BLOCK_MEMBERS, nj.HUB_ROUNDS), (0, 2, 7, 0)])
+def test_other_lengths_and_thresholds_equal_comparing_all_pairs(documents, monkeypatch, least, few, block, hubs):
+    monkeypatch.setattr(nj, "FREQUENT_LEAST", least)
+    monkeypatch.setattr(nj, "FEW_MEMBERS", few)
+    monkeypatch.setattr(nj, "BLOCK_MEMBERS", block)
+    monkeypatch.setattr(nj, "HUB_ROUNDS", hubs)
+    rng = random.Random(least + 1)
+    texts = near_copies(rng, 120, 40, 5) + near_copies(rng, 40, 30, 2) + near_copies(rng, 400, 25, 16)
+    base = [f"v{i}" for i in range(100)]
+    texts += [" ".join(base[:k]) for k in (100, 84, 83, 67, 9, 8, 7, 5, 4, 3)] + ["a b c d", "A b c d", "a b c", "", None]
+    rows = [(100 + 3 * i, t) for i, t in enumerate(texts)] + [(None, texts[1])]
+    assert run(documents, rows, percent=80, n=5) == brute(rows, 80, 5)
+
+
 def test_empty_table(documents):
     assert run(documents, []) == []
 

@@ -35,6 +35,14 @@ def test_stages(spark, documents, words):
     assert sum(r.length for r in packed) == sum(len(packing.encode(t.text)) + 1 for t in docs.collect())
 
 
+def test_near_copies_share_four_fifths_of_their_passages(spark, documents):
+    body = [f"w{i}" for i in range(104)]
+    scattered = [f"x{i}" if i in (10, 50) else w for i, w in enumerate(body)]
+    texts = [body, body + [f"t{i}" for i in range(15)], scattered, body + [f"u{i}" for i in range(40)], [f"z{i}" for i in range(30)]]
+    docs = documents([(i, " ".join(t), "en", "s") for i, t in enumerate(texts)])
+    assert sorted(r.doc_id for r in cp.drop_near_copies(spark, docs, "unused").collect()) == [0, 3, 4]
+
+
 def test_the_mix_is_near_its_targets(spark, documents, words):
     docs = documents(corpus(words)[:120])
     plan = {r.source: r._mix_target for r in mixing.mix(docs, keep=["source"]).collect()}
