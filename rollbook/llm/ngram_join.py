@@ -410,16 +410,20 @@ def _roots(members: DataFrame, nodes: DataFrame, rows: DataFrame, percent: int,
     return roots
 
 
+def row_key(id_column: str, text_column: str) -> Column:
+    """A row by its id and text, 64 bits of hash; never NULL."""
+    return F.xxhash64(id_column, F.xxhash64(F.col(text_column).cast("string")))
+
+
 def near_groups(
     docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", percent: int = PERCENT, n: int = N,
 ) -> DataFrame:
-    """Per row of ``docs``: ``id``, ``n_grams``, ``group_id`` (the smallest id of its group) and ``group_key``.
+    """Per row of ``docs``: ``id``, ``row_key``, ``n_grams``, ``group_id`` (the smallest id of its group) and ``group_key``.
 
     Sets of ``n``-word grams are near from a Jaccard similarity of ``percent`` / 100 on.
     """
-    text_key = F.xxhash64(F.col(text_column).cast("string"))
     rows = docs.select(
-        F.col(id_column).alias("id"), F.xxhash64(id_column, text_key).alias("row_key"), F.col(text_column).cast("string").alias("text"))
+        F.col(id_column).alias("id"), row_key(id_column, text_column).alias("row_key"), F.col(text_column).cast("string").alias("text"))
     described = materialise(_described(rows, sketch_of(rows.select("text"), n), percent, n), "described")
 
     filled = described.filter("node IS NOT NULL")
@@ -433,7 +437,7 @@ def near_groups(
     grouped = nodes.select("node", "id").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     names = grouped.groupBy("root").agg(F.min("id").alias("group_id"))
     named = spread_join(grouped, names, ["root"], ["node"], "inner", SALTS).select("node", "root", "group_id")
-    full = spread_join(filled.select("node", "id", "n"), named, ["node"], ["id"], "inner", SALTS)
-    return full.select("id", F.col("n").cast("long").alias("n_grams"), "group_id", F.col("root").alias("group_key")).unionByName(
+    full = spread_join(filled.select("node", "id", "row_key", "n"), named, ["node"], ["id"], "inner", SALTS)
+    return full.select("id", "row_key", F.col("n").cast("long").alias("n_grams"), "group_id", F.col("root").alias("group_key")).unionByName(
         described.filter("node IS NULL").select(
-            "id", F.lit(0).cast("long").alias("n_grams"), F.col("id").alias("group_id"), F.lit(None).cast("long").alias("group_key")))
+            "id", "row_key", F.lit(0).cast("long").alias("n_grams"), F.col("id").alias("group_id"), F.lit(None).cast("long").alias("group_key")))

@@ -43,6 +43,13 @@ def test_near_copies_share_four_fifths_of_their_passages(spark, documents):
     assert sorted(r.doc_id for r in cp.drop_near_copies(spark, docs, "unused").collect()) == [0, 3, 4]
 
 
+def test_one_row_of_each_group_stays(spark, documents):
+    a, c = [" ".join(f"{x}{i}" for i in range(100)) for x in "ac"]
+    rows = [(1, a), (5, a + " more"), (5, c), (7, c + " more"), (None, a + " yet"), (None, c), (1, a + " other"), (None, "alone here now"), (None, "alone here now")]
+    kept = cp.drop_near_copies(spark, documents([(i, t, "en", "s") for i, t in rows]), "unused").collect()
+    assert sorted((r.doc_id or 0, r.text[0]) for r in kept) == [(0, "a"), (1, "a"), (5, "c")]
+
+
 def test_the_mix_is_near_its_targets(spark, documents, words):
     docs = documents(corpus(words)[:120])
     plan = {r.source: r._mix_target for r in mixing.mix(docs, keep=["source"]).collect()}
