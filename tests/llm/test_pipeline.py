@@ -35,6 +35,17 @@ def test_stages(spark, documents, words):
     assert sum(r.length for r in packed) == sum(len(packing.encode(t.text)) + 1 for t in docs.collect())
 
 
+def test_short_texts_unlike_every_language_go(spark, documents, words):
+    rows = [r for r in corpus(words) if r[0] is not None and r[0] < 120]
+    rng = random.Random(5)
+    fine = [(500 + i, words(rng, 3 + i, ["the", "ing", "tion", "re"]), "en", "s") for i in range(10)]
+    other = [(600 + i, " ".join("".join(rng.choice("qxzjvkwy") for _ in range(6)) for _ in range(3 + i)), "en", "s") for i in range(10)]
+    docs = documents(rows + fine)
+    assert cp.identify_language(spark, docs, "unused").count() == len(rows) + len(fine)
+    kept = {r.doc_id for r in cp.identify_language(spark, documents(rows + [(i, t, None, s) for i, t, _, s in fine + other]), "unused").collect()}
+    assert kept == {r[0] for r in rows + fine}
+
+
 def test_near_copies_share_four_fifths_of_their_passages(spark, documents):
     body = [f"w{i}" for i in range(104)]
     scattered = [f"x{i}" if i in (10, 50) else w for i, w in enumerate(body)]
