@@ -6,7 +6,7 @@ long to short, each window starts with a rest of its own tier and its gap is
 filled from shorter ones, the largest that fits first.  When only longer
 rests are left, one is cut to close the gap.  The last rests of a task go
 into windows of powers of two, so no window needs padding.  Windows of one length
-gather in step groups of equal size.
+gather in step groups of up to ``GROUP_IDS`` ids; the last of each length in a task holds what is left.
 
 Each task packs what it reads and keeps no more than ``POOL_IDS`` ids waiting;
 nothing is shuffled.  A task's windows depend on its rows alone, so a repeated
