@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rollbook.llm import language, lm, mixing, ngram_join, packing, pii, quality, tool_calls, toxicity, vector_search
+from rollbook.llm import language, line_dedup, lm, mixing, ngram_join, packing, pii, quality, spelling, tool_calls, toxicity, vector_search
 from rollbook.queries.registry import Query, table
 from rollbook.session import materialise
 
@@ -290,3 +290,32 @@ FROM f""")
 def op8_tool_calls(spark: SparkSession, folder: str) -> DataFrame:
     found = tool_calls.tool_calls(*conversation_calls(table(spark, folder, "conversations")), SCHEMAS)
     return found.select("conv_id", "call_id", "turn", "name", "status", "n_rows", "position", "problems", "valid", "message")
+
+
+# --- op11: spelling variants --------------------------------------------------------------
+
+
+@query("op11_spelling")
+def op11_spelling(spark: SparkSession, folder: str) -> DataFrame:
+    words = materialise(spelling.vocabulary(table(spark, folder, "documents"), alter=spelling.slips), "vocabulary")
+    return spelling.variants(words).select("word", "n", "n_near", "form", "form_n", "root")
+
+
+# --- op13: repeated lines -----------------------------------------------------------------
+
+
+@query("op13_line_dedup", f"""
+WITH l AS (
+  SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
+    generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS i FROM documents),
+k AS (SELECT *, translate(trim(line, chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || ' '),
+  'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM l),
+f AS (SELECT key, max(doc_id) AS keeper FROM k WHERE length(key) >= {line_dedup.CHARS}
+  GROUP BY key HAVING count(DISTINCT doc_id) >= {line_dedup.DOCUMENTS}),
+g AS (SELECT k.*, keeper IS NOT NULL AND doc_id IS DISTINCT FROM keeper AS goes FROM k LEFT JOIN f ON k.key = f.key)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (goes) AS n_dropped,
+  sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT goes), '')) AS kept_sha256
+FROM g GROUP BY doc_id""")
+def op13_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    kept = line_dedup.drop_lines(table(spark, folder, "documents"))
+    return kept.select(F.col("id").alias("doc_id"), "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
