@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rollbook.llm import language, line_dedup, lm, mixing, ngram_join, packing, pii, quality, spelling, tool_calls, toxicity, vector_search
+from rollbook.llm import alignment, language, line_dedup, lm, mixing, ngram_join, packing, pii, quality, spelling, tool_calls, toxicity, vector_search
 from rollbook.queries.registry import Query, table
 from rollbook.session import materialise
 
@@ -301,6 +301,14 @@ def op11_spelling(spark: SparkSession, folder: str) -> DataFrame:
     return spelling.variants(words).select("word", "n", "n_near", "form", "form_n", "root")
 
 
+# --- op12: two tokenizers -----------------------------------------------------------------
+
+
+@query("op12_alignment")
+def op12_alignment(spark: SparkSession, folder: str) -> DataFrame:
+    return alignment.align_documents(table(spark, folder, "documents"))[0].withColumnRenamed("id", "doc_id")
+
+
 # --- op13: repeated lines -----------------------------------------------------------------
 
 

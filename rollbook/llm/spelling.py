@@ -6,7 +6,7 @@ Words are runs of letters (A-Z, a-z, U+00C0 to U+00FF), A-Z in lower case, from
 A word is a vector of letter counts.  One edit changes it by a squared distance of 1 (lengths differ by
 one) or 2 (equal lengths), so near words lie within 2.  Distances come from Gram matrices, products of blocks of vectors: words of one
 length against words of the same and of the next length.  Comparing all words of these lengths would be
-quadratic in the vocabulary, so blocks are finer: the alphabet is dealt into ``PARTS`` sets of letters, and as
+quadratic in the vocabulary, so blocks are finer: the alphabet is dealt into a few sets of letters, and as
 one edit touches two letters at most, near words agree in the counts of all sets but two.
 Blocks are words that agree in such a choice of sets; a pair is taken in the first block that it
 shares.  Blocks of many words are cut into pieces of bounded size which meet
@@ -40,7 +40,8 @@ from rollbook.session import materialise
 LETTERS = 7
 LEAST = 2
 TIMES = 10
-PARTS = 5
+# Sets of letters: four up to so many words, one more for each eightfold, so that blocks stay small.
+FOUR_PARTS = 1 << 20
 # Pieces of large blocks, and runs of small ones.
 PIECE_WORDS = 2048
 PIECE_BYTES = 4 << 20
@@ -104,7 +105,11 @@ def vocabulary(
 # --- blocks -------------------------------------------------------------------------------
 
 
-def letter_sets(words: DataFrame, parts: int = PARTS) -> np.ndarray:
+def parts_for(words: int) -> int:
+    return 4 + max(0, -(-words // FOUR_PARTS) - 1).bit_length() // 3
+
+
+def letter_sets(words: DataFrame, parts: int) -> np.ndarray:
     """The set each letter of the alphabet is in: letters dealt out by how many words they stand in, so that sets weigh alike."""
     counts = words.select(*[F.count_if(F.contains("word", F.lit(chr(c)))).alias(str(c)) for c in ALPHABET]).first()
     sets, weight = np.zeros(len(ALPHABET), dtype=np.int64), np.zeros(parts)
@@ -114,7 +119,7 @@ def letter_sets(words: DataFrame, parts: int = PARTS) -> np.ndarray:
     return sets
 
 
-def _matrix(words: pd.Series) -> np.ndarray:
+def _matrix(words: np.ndarray | pd.Series) -> np.ndarray:
     """Words of one length as rows of bytes, a letter each."""
     return np.frombuffer("".join(words).encode("latin-1"), dtype=np.uint8).reshape(len(words), -1)
 
@@ -179,41 +184,44 @@ class _Blocks:
         self.bit = (1 << sets).astype(np.int64)
         self.first = _first_choices(parts)
 
-    def _pairs(self, rows: pd.DataFrame, group: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    def _side(self, words: np.ndarray, at: np.ndarray, length: int) -> tuple:
+        letters = _matrix(words[at])
+        counts = letter_counts(letters)
+        square = (counts * counts).sum(axis=1)[:, None]
+        one = np.ones_like(square)
+        # products up to the square of the length are exact; left times right is the distance below zero
+        kind = np.float32 if length < 2048 else np.float64
+        return at, letters, counts, np.hstack([2 * counts, -square, -one]).astype(kind), np.hstack([counts, one, square]).astype(kind).T
+
+    def pairs(self, part: slice, columns: dict, group: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Near pairs of rows that are in one block, length by length against the same and the next."""
-        size, piece, choice = (rows[c].to_numpy() for c in ("size", "piece", "choice"))
-        inside = rows["i"].to_numpy() == rows["j"].to_numpy()
-        before: tuple | None = None
-        for s in np.unique(size):
-            at = np.flatnonzero(size == s)
-            letters = _matrix(rows["word"].iloc[at])
-            # products up to the square of the length are exact
-            counts = letter_counts(letters).astype(np.float32 if s < 2048 else np.float64)
-            own = (int(s), at, letters, counts, (counts * counts).sum(axis=1))
-            for a in ([own, before] if before and before[0] == s - 1 else [own]):
-                distance = a[4][:, None] + own[4][None, :] - 2 * (a[3] @ own[3].T)
-                i, j = np.nonzero(distance <= 2)
-                x, y = a[1][i], own[1][j]
+        piece, choice, inside = columns["piece"], columns["choice"], columns["i"] == columns["j"]
+        size = columns["size"][part]
+        before, last = None, -1
+        for length in np.unique(size):
+            at = part.start + np.flatnonzero(size == length)
+            own = self._side(columns["word"], at, length)
+            for a in ([own, before] if before is not None and last == length - 1 else [own]):
+                i, j = np.divmod(np.flatnonzero(a[3] @ own[4] >= -2), len(at))
+                x, y = a[0][i], at[j]
                 keep = (group[x] == group[y]) & ((piece[x] != piece[y]) | inside[x])
                 if a is own:
                     keep &= i < j
                 i, j = i[keep], j[keep]
-                differ = np.bitwise_or.reduce(np.where(a[3][i] != own[3][j], self.bit, 0), axis=1, initial=0)
-                keep = (self.first[differ] == choice[a[1][i]]) & one_edit(a[2][i], own[2][j])
-                yield a[1][i[keep]], own[1][j[keep]]
-            before = own
-
-    def sums(self, rows: pd.DataFrame, group: np.ndarray) -> pd.DataFrame | None:
-        found = list(self._pairs(rows, group))
-        x, y = (np.concatenate([f[k] for f in found]) for k in (0, 1))
-        if not len(x):
-            return None
-        words = rows["word"].to_numpy()
-        pairs = pd.DataFrame({"own": np.concatenate([x, y]), "other": np.concatenate([y, x])})
-        pairs["word"], pairs["form"], pairs["form_n"] = words[pairs["own"]], words[pairs["other"]], rows["n"].to_numpy()[pairs["other"]]
+                keep = one_edit(a[1][i], own[1][j])
+                i, j = i[keep], j[keep]
+                differ = np.bitwise_or.reduce(np.where(a[2][i] != own[2][j], self.bit, 0), axis=1, initial=0)
+                keep = self.first[differ] == choice[a[0][i]]
+                yield a[0][i[keep]], at[j[keep]]
+            before, last = own, length
+
+    @staticmethod
+    def sums(x: np.ndarray, y: np.ndarray, columns: dict) -> pd.DataFrame:
+        own, other = np.concatenate([x, y]), np.concatenate([y, x])
+        pairs = pd.DataFrame({"word": columns["word"][own], "form": columns["word"][other], "form_n": columns["n"][other]})
         pairs = pairs.sort_values(["word", "form_n", "form"], ascending=[True, False, True])
         best = pairs.drop_duplicates("word")
-        return best[["word", "form_n", "form"]].assign(n_near=pairs.groupby("word", sort=False).size().to_numpy())
+        return best.assign(n_near=pairs.groupby("word", sort=False).size().to_numpy())[["word", "form_n", "form", "n_near"]]
 
     def run(self, frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         """Over rows sorted by (key, i, j): as many whole blocks at a time as make a run."""
@@ -225,25 +233,25 @@ class _Blocks:
             yield from self._runs(held, True)
 
     def _runs(self, rows: pd.DataFrame, last: bool):
-        key = rows[["key", "i", "j"]].to_numpy()
-        group = np.concatenate(([0], np.cumsum((key[1:] != key[:-1]).any(axis=1))))
-        starts = np.flatnonzero(np.concatenate(([True], group[1:] != group[:-1], [True])))
-        if not last:
-            starts = starts[:-1]
-        at = 0
+        columns = {c: rows[c].to_numpy() for c in rows.columns}
+        new = np.any([columns[c][1:] != columns[c][:-1] for c in ("key", "i", "j")], axis=0)
+        group = np.concatenate(([0], np.cumsum(new)))
+        starts = np.concatenate(([0], np.flatnonzero(new) + 1, [len(rows)] if last else []))
+        starts = starts.astype(np.int64)
+        at, found = 0, []
         while at < len(starts) - 1:
             to = max(at + 1, int(np.searchsorted(starts, starts[at] + RUN_WORDS, side="right")) - 1)
             if starts[to] - starts[at] > 1:
-                part = slice(starts[at], starts[to])
-                out = self.sums(rows.iloc[part].reset_index(drop=True), group[part])
-                if out is not None:
-                    yield out
+                found.extend(self.pairs(slice(int(starts[at]), int(starts[to])), columns, group))
             at = to
-        return rows.iloc[starts[at]:].reset_index(drop=True)
+        if sum(len(x) for x, _ in found):
+            yield self.sums(*(np.concatenate([f[k] for f in found]) for k in (0, 1)), columns)
+        return rows.iloc[starts[at]:]
 
 
-def near_words(words: DataFrame, parts: int = PARTS, piece_words: int = PIECE_WORDS) -> DataFrame:
+def near_words(words: DataFrame, parts: int | None = None, piece_words: int = PIECE_WORDS) -> DataFrame:
     """``(word, n_near, form_n, form)`` of the words that have near words: how many, and the one of most occurrences."""
+    parts = parts or parts_for(words.count())
     sets = letter_sets(words, parts)
     keyed = words.select("word", "n").mapInPandas(
         lambda frames: _keyed(frames, sets, parts), "word string, n long, size int, keys array<long>")
@@ -275,7 +283,7 @@ def roots(forms: DataFrame) -> DataFrame:
         at = moved.select("word", "root")
 
 
-def variants(words: DataFrame, times: int = TIMES, parts: int = PARTS) -> DataFrame:
+def variants(words: DataFrame, times: int = TIMES, parts: int | None = None) -> DataFrame:
     """``(word, n, n_near, form, form_n, root)`` for a stored vocabulary ``(word, n)``."""
     near = materialise(near_words(words, parts), "near")
     found = words.join(near, "word", "left")

@@ -72,7 +72,7 @@ def build(documents):
     return lambda rows: documents([(i, t, "en", "s") for i, t in rows])
 
 
-@pytest.mark.parametrize("parts,piece,run", [(5, 2048, 1024), (4, 3, 1), (3, 7, 50)])
+@pytest.mark.parametrize("parts,piece,run", [(None, 2048, 1024), (5, 3, 1), (3, 7, 50)])
 def test_equals_all_pairs(build, monkeypatch, parts, piece, run):
     monkeypatch.setattr(spelling, "RUN_WORDS", run)
     monkeypatch.setattr(spelling.near_words, "__defaults__", (parts, piece))
@@ -114,3 +114,7 @@ def test_one_edit():
         pairs = [(x, y) for x in a for y in b]
         code = [np.array([[ord(c) for c in w] for w in side], dtype=np.uint8) for side in zip(*pairs)]
         assert spelling.one_edit(*code).tolist() == [near(x, y) for x, y in pairs]
+
+
+def test_more_words_make_finer_blocks():
+    assert [spelling.parts_for(n) for n in (0, 1 << 20, (1 << 20) + 1, 1 << 23, 1 << 27)] == [4, 4, 4, 5, 6]
