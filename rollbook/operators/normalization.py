@@ -17,12 +17,13 @@ from rollbook.functions.predicates import check, condition
 from rollbook.functions.text import clean_text, distinct_key, fold_literal, round_half_up, search_shadow
 from rollbook.operators.joins import fits_broadcast, lookup_join, spread_join
 from rollbook.operators.reshape import cells
+from rollbook.operators.similarity import nearest_names
 from rollbook.session import literal_frame, materialise
 
 Items = Sequence[tuple[str, str, int, Sequence[str]]]
 Dictionary = Items | DataFrame
-# Dictionary names that one value is compared with at a time.
-NAMES_BLOCK = 500
+# So few dictionary names are compared with every value in place.
+FEW_NAMES = 32
 
 
 def alias_table(dictionary: Items) -> dict[str, tuple[str, str, int]]:
@@ -120,40 +121,39 @@ def accept_pending(mappings: DataFrame) -> DataFrame:
 def similar_values(values: DataFrame, column: str, dictionary: Dictionary, min_similarity: float = 0.5) -> DataFrame:
     """The closest dictionary name for each value, by edit distance over length.
 
-    The values are folded and stored first, so that each is scored once.  The
-    dictionary's names stand in blocks of bounded size, one array each; a value
-    meets every block, the best of a block being one row.  Ties go to the name that sorts first.
+    The values are folded and stored first, so that each is scored once.  A handful of names are
+    scored in place, more are joined by what they share (``similarity``).  Ties go to the name that sorts first.
     """
-    names = alias_frame(values.sparkSession, dictionary)
+    names = materialise(alias_frame(values.sparkSession, dictionary), "names")
     total = names.count()
     if not total:
         raise ValueError("the dictionary has no names")
-    blocks = -(-total // NAMES_BLOCK)
-    choices = materialise(names.groupBy(F.pmod(F.xxhash64("alias"), F.lit(blocks)).alias("_block")).agg(F.sort_array(F.collect_list(
-        F.struct(F.col("alias").alias("name"), F.col("canonical_id").alias("id"), F.col("canonical_label").alias("label")))).alias("_names")), "names")
     folded = materialise(values.withColumn("_folded", search_shadow(F.col(column))).filter(F.col("_folded").isNotNull()), "folded")
-
-    def scored(choice: Column) -> Column:
-        longer = F.greatest(F.length("_folded"), F.length(choice["name"]))
-        distance = F.levenshtein(F.col("_folded"), choice["name"]) / longer
-        return F.struct(
-            distance.alias("distance"), choice["name"].alias("name"), choice["id"].alias("id"), choice["label"].alias("label"),
-        )
-
-    met = folded.select("_folded").distinct().withColumn("_block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
-    best = (
-        met.join(choices, "_block").withColumn("_best", F.array_min(F.transform("_names", scored)))
-        .groupBy("_folded").agg(F.min("_best").alias("_best"))
-        .withColumn("similarity", round_half_up(F.lit(1.0) - F.col("_best.distance"), 4))
-        .filter(F.col("similarity") >= min_similarity)
-    )
-    return folded.join(best, "_folded").select(
-        *values.columns,
-        F.col("_best.name").alias("similar_name"),
-        F.col("_best.id").alias("canonical_id"),
-        F.col("_best.label").alias("canonical_label"),
-        "similarity",
-    )
+    texts = folded.select(F.col("_folded").alias("text")).distinct()
+    if total > FEW_NAMES and min_similarity > 0:
+        best, _ = nearest_names(materialise(texts, "texts"), names.select(F.col("alias").alias("text")), min_similarity)
+    else:
+        best = _among_few(texts, names, total)
+    targets = names.select(F.col("alias").alias("name"), "canonical_id", "canonical_label")
+    scored = lookup_join(
+        best.withColumn("similarity", round_half_up(F.lit(1.0) - F.col("distance"), 4)).filter(F.col("similarity") >= min_similarity),
+        targets, ["name"], ["text"], ["name", "canonical_id", "canonical_label"], "inner")
+    return folded.join(scored.withColumnRenamed("text", "_folded"), "_folded").select(
+        *values.columns, F.col("name").alias("similar_name"), "canonical_id", "canonical_label", "similarity")
+
+
+def _among_few(texts: DataFrame, names: DataFrame, total: int) -> DataFrame:
+    """``(text, distance, name)``: the nearest of all names, which stand in arrays of bounded size, several for a dictionary any name of which will do."""
+    blocks = -(-total // FEW_NAMES)
+    choices = names.groupBy(F.pmod(F.xxhash64("alias"), F.lit(blocks)).alias("_block")).agg(F.collect_list("alias").alias("_names"))
+    met = texts.withColumn("_block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long")))).join(choices, "_block")
+
+    def scored(name: Column) -> Column:
+        longer = F.greatest(F.length("text"), F.length(name))
+        return F.struct((F.levenshtein(F.col("text"), name) / longer).alias("distance"), name.alias("name"))
+
+    best = met.select("text", F.array_min(F.transform("_names", scored)).alias("best"))
+    return best.groupBy("text").agg(F.min("best").alias("best")).select("text", "best.distance", "best.name")
 
 
 def apply_mappings(df: DataFrame, columns: Sequence[str], mappings: DataFrame, id_column: str) -> DataFrame:
