@@ -33,6 +33,7 @@ from rollbook.fixed import (
     SHOWN_SUPPORTING_IDS,
 )
 from rollbook.operators.joins import spread_join
+from rollbook.operators.reduction import reduced_semi_join
 
 
 KEY = "finding_key"
@@ -242,7 +243,9 @@ def evidence_appendix(
     labels = normalised.select(id_column, *[
         label(c).alias(f"n_{c}") for c, normalisable in columns.items() if normalisable
     ])
-    paired = raw.join(records, id_column).join(labels, id_column, "left")
+    # the cited rows of both sides first, so that few texts and labels move
+    cited = reduced_semi_join(raw, records, id_column)
+    paired = cited.join(records, id_column).join(reduced_semi_join(labels, records, id_column), id_column, "left")
     cells = F.array(*[
         F.struct(
             F.lit(c).alias("column_id"),

@@ -1,8 +1,4 @@
-"""Substring search: by scan, and through a trigram posting table.
-
-The scan is the default.  The posting table repays its build only when many
-searches run against the same register.
-"""
+"""Substring search by scan.  ``gram_index`` answers the same from stored bitmaps."""
 
 from __future__ import annotations
 
@@ -10,46 +6,78 @@ from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from rollbook.functions.text import fold_term, search_shadow
-from rollbook.session import literal_frame
+from rollbook.functions.text import fold_term, nfkc, search_shadow
 
-GRAM = 3
-INDEXED = ""
-# Every overlapping run of three characters, in one linear regex pass.
-_GRAM_PATTERN = r"(?s)(?=(...))"
+# More terms than this are looked for as one pattern.
+FEW_TERMS = 8
 
 
-def _terms(terms: Sequence[str]) -> list[str]:
+def fold_terms(terms: Sequence[str]) -> list[str]:
     folded = list(dict.fromkeys(fold_term(t) for t in terms))
     if not folded or "" in folded:
         raise ValueError("a search needs at least one term, none of them blank")
     return folded
 
 
-def _shadow(column: str, clean: bool) -> Column:
+def shadow(column: str, clean: bool) -> Column:
+    """The text that terms are looked for in."""
     return F.lower(F.col(column)) if clean else search_shadow(F.col(column))
 
 
+def _searched(column: str, clean: bool, spaced: bool) -> Column:
+    """``shadow``, but white space is only tidied where a term holds any: other terms lie between it."""
+    return shadow(column, clean) if clean or spaced else F.lower(nfkc(F.col(column)))
+
+
+def terms_pattern(terms: Sequence[str]) -> str:
+    """One pattern for any of the terms, shaped as a tree: equal beginnings are read once."""
+    tree: dict = {}
+    for term in sorted(terms, key=len):
+        node = tree
+        for c in term:
+            if None in node:  # a shorter term has hit already
+                break
+            node = node.setdefault(c, {})
+        else:
+            node[None] = None
+
+    def quoted(c: str) -> str:
+        return c if c.isascii() and c.isalnum() else f"\\x{{{ord(c):X}}}"
+
+    def written(node: dict) -> str:
+        if None in node:
+            return ""
+        branches = [quoted(c) + written(child) for c, child in sorted(node.items())]
+        return branches[0] if len(branches) == 1 else "(?:" + "|".join(branches) + ")"
+
+    return written(tree)
+
+
+def _holds_any(text: Column, terms: Sequence[str]) -> Column:
+    if len(terms) > FEW_TERMS:
+        return text.rlike(terms_pattern(terms))
+    return reduce(lambda a, b: a | b, [text.contains(F.lit(t)) for t in terms])
+
+
+def _spaced(terms: Sequence[str]) -> bool:
+    return any(c in t for t in terms for c in " \n")
+
+
 def term_hit(columns: Sequence[str], terms: Sequence[str], clean: bool = False) -> Column:
     """Any term in any column, ignoring case, width and spacing on both sides.  Terms are literal text.
 
     ``clean`` says that the columns hold clean text already, which is then only lower-cased.
     """
-    folded = _terms(terms)
-
-    def holds_any(text: Column) -> Column:
-        return reduce(lambda a, b: a | b, [text.contains(F.lit(t)) for t in folded])
-
+    folded = fold_terms(terms)
     if not columns:
         return F.lit(False)
-    lowered = [_shadow(c, clean) for c in columns]
-    if len(folded) == 1:
-        return reduce(lambda a, b: a | b, [F.coalesce(holds_any(text), F.lit(False)) for text in lowered])
+    lowered = [_searched(c, clean, _spaced(folded)) for c in columns]
+    if len(folded) == 1 or len(folded) > FEW_TERMS:
+        return reduce(lambda a, b: a | b, [F.coalesce(_holds_any(text, folded), F.lit(False)) for text in lowered])
     # with several terms, one array so that each text is lower-cased only once
-    return F.coalesce(F.exists(F.array(*lowered), holds_any), F.lit(False))
+    return F.coalesce(F.exists(F.array(*lowered), lambda text: _holds_any(text, folded)), F.lit(False))
 
 
 def scan_search(df: DataFrame, id_column: str, columns: Sequence[str], terms: Sequence[str], clean: bool = False) -> DataFrame:
@@ -61,109 +89,15 @@ def expanded_search(
     df: DataFrame, id_column: str, columns: Sequence[str], primary: Sequence[str], expanded: Sequence[str],
 ) -> DataFrame:
     """Primary and expanded terms together, saying which list hit."""
-    flags = df.select(
-        id_column,
-        (term_hit(columns, primary) if primary else F.lit(False)).alias("hit_primary"),
-        (term_hit(columns, expanded) if expanded else F.lit(False)).alias("hit_expanded"),
-    )
-    return flags.filter(F.col("hit_primary") | F.col("hit_expanded"))
-
-
-def trigram_postings(df: DataFrame, id_column: str, columns: Sequence[str], clean: bool = False) -> DataFrame:
-    """Posting rows ``(column_id, gram, id)``, each once per record and column.
-
-    The empty gram marks a record as indexed, even when its text is NULL or
-    too short to hold a gram.
-    """
-    def grams(column: str) -> Column:
-        found = F.array_distinct(F.regexp_extract_all(_shadow(column, clean), F.lit(_GRAM_PATTERN), 1))
-        return F.concat(F.array(F.lit(INDEXED)), F.coalesce(found, F.array().cast("array<string>")))
+    lists = {"hit_primary": fold_terms(primary) if primary else [], "hit_expanded": fold_terms(expanded) if expanded else []}
+    spaced = _spaced([t for terms in lists.values() for t in terms])
+    texts = F.array(*[_searched(c, False, spaced) for c in columns])
 
-    per_column = [
-        df.select(F.lit(c).alias("column_id"), F.explode(grams(c)).alias("gram"), F.col(id_column)) for c in columns
-    ]
-    return reduce(DataFrame.unionByName, per_column)
+    def hits(text: Column) -> Column:
+        return F.struct(*[
+            F.coalesce(_holds_any(text, terms), F.lit(False)).alias(name) if terms else F.lit(False).alias(name) for name, terms in lists.items()])
 
-
-def indexed_ids(postings: DataFrame, id_column: str) -> DataFrame:
-    """Ids that went through the index build."""
-    return postings.filter(F.col("gram") == INDEXED).select(id_column).distinct()
-
-
-def write_trigram_index(postings: DataFrame, id_column: str, path: str) -> None:
-    """Store postings and gram frequencies under ``path``.
-
-    Postings are dealt out by ranges of (column, gram, id): a gram's neighbours sit
-    together, so a lookup skips row groups, and a gram that nearly every record
-    holds is cut into as many ranges as its size asks for.
-    """
-    (
-        postings.repartitionByRange("column_id", "gram", id_column)
-        .sortWithinPartitions("column_id", "gram", id_column)
-        .write.mode("overwrite").parquet(f"{path}/postings")
-    )
-    stored = postings.sparkSession.read.parquet(f"{path}/postings")
-    gram_frequencies(stored).write.mode("overwrite").parquet(f"{path}/frequencies")
-
-
-def gram_frequencies(postings: DataFrame) -> DataFrame:
-    return postings.groupBy("column_id", "gram").agg(F.count(F.lit(1)).alias("n_records"))
-
-
-def _grams(term: str) -> list[str]:
-    return list(dict.fromkeys(term[i:i + GRAM] for i in range(len(term) - GRAM + 1)))
-
-
-def posting_candidates(
-    postings: DataFrame, frequencies: DataFrame, id_column: str, columns: Sequence[str], terms: Sequence[str], rarest: int = 3,
-) -> DataFrame:
-    """Ids that may hold a term: those with its rarest grams in one column.
-
-    Reading only the rarest grams keeps common posting lists unread.  The
-    result is a superset; the caller verifies.
-    """
-    rows = [(t, g, len(_grams(t))) for t in terms for g in _grams(t)]
-    grams = sorted({g for _, g, _ in rows})
-    wanted = literal_frame(
-        postings.sparkSession, rows, [("term", "string"), ("gram", "string"), ("n_grams", "int")]
-    )
-    in_scope = F.col("column_id").isin(list(columns)) & F.col("gram").isin(grams)
-    per_term = W.partitionBy("term", "column_id")
-    chosen = (
-        frequencies.filter(in_scope)
-        .join(F.broadcast(wanted), "gram")
-        .withColumn("n_found", F.count(F.lit(1)).over(per_term))
-        .withColumn("rank", F.row_number().over(per_term.orderBy("n_records", "gram")))
-        .filter((F.col("n_found") == F.col("n_grams")) & (F.col("rank") <= rarest))
-        .select("term", "column_id", "gram", F.least(F.col("n_grams"), F.lit(rarest)).alias("n_needed"))
-    )
-    # at most `rarest` rows per literal term and column, so small enough to send
-    return (
-        postings.filter(in_scope)
-        .join(F.broadcast(chosen), ["column_id", "gram"])
-        .groupBy("term", "column_id", id_column)
-        .agg(F.count(F.lit(1)).alias("n_hit"), F.first("n_needed").alias("n_needed"))
-        .filter(F.col("n_hit") == F.col("n_needed"))
-        .select(id_column)
-        .distinct()
-    )
-
-
-def index_search(
-    df: DataFrame, postings: DataFrame, frequencies: DataFrame, id_column: str, columns: Sequence[str], terms: Sequence[str],
-    clean: bool = False,
-) -> DataFrame:
-    """The same ids as ``scan_search``, through the postings.
-
-    Terms shorter than a gram cannot use the index and are scanned for.
-    """
-    folded = _terms(terms)
-    long_terms = [t for t in folded if len(t) >= GRAM]
-    short_terms = [t for t in folded if len(t) < GRAM]
-    found = []
-    if long_terms:
-        maybe = posting_candidates(postings, frequencies, id_column, columns, long_terms)
-        found.append(scan_search(df.join(maybe, id_column, "left_semi"), id_column, columns, long_terms, clean))
-    if short_terms:
-        found.append(scan_search(df, id_column, columns, short_terms, clean))
-    return found[0] if len(found) == 1 else found[0].union(found[1]).distinct()
+    # each text is folded once for both lists
+    found = df.select(id_column, F.transform(texts, hits).alias("_hits"))
+    flags = found.select(id_column, *[F.array_contains(F.col(f"_hits.{name}"), F.lit(True)).alias(name) for name in lists])
+    return flags.filter(F.col("hit_primary") | F.col("hit_expanded"))

@@ -18,7 +18,7 @@ from rollbook.fixed import (
     SUPERFICIAL_METRIC,
 )
 from rollbook.functions.predicates import all_of, check, condition
-from rollbook.operators import evidence, lessons, lexical, normalization, packing, quality, selection, statistics
+from rollbook.operators import evidence, gram_index, lessons, lexical, normalization, packing, quality, selection, statistics
 from rollbook.plans.build import Register
 from rollbook.session import literal_frame, materialise
 from rollbook.sources import sinks
@@ -101,21 +101,23 @@ def analyse(
     drop candidates that an outside review found not to match.
     """
     table = register.normalised
-    keep = all_of(filter_column(register, *f) for f in filters)
+    keep = F.coalesce(all_of(filter_column(register, *f) for f in filters), F.lit(False))
     notes: list[str] = []
+    indexed = None
     if search is None:
         hit, operation = F.lit(True), "SQL_ONLY"
     else:
         columns, notes = search_columns(register, search.columns)
         terms = [*search.primary, *search.expanded]
         if search.indexed and columns and set(columns) <= set(register.indexed):
-            found = lexical.index_search(table, register.postings, register.frequencies, "record_id", columns, terms, clean=True)
-            table = table.join(materialise(found).withColumn("_hit", F.lit(True)), "record_id", "left")
-            hit = F.coalesce(F.col("_hit"), F.lit(False))
+            indexed = materialise(gram_index.index_search(table, register.index, "record_id", columns, terms, clean=True), "found")
+            hit = F.lit(False)  # comes from the index
         else:
             hit = lexical.term_hit(columns, terms, clean=True)
-    keep, hit = F.coalesce(keep, F.lit(False)), F.coalesce(hit, F.lit(False))
-    wanted = {"INTERSECT": keep & hit, "UNION": keep | hit, "EXCEPT": keep & ~hit, "SQL_ONLY": keep, "FTS_ONLY": hit}[operation]
+    hit = F.coalesce(hit, F.lit(False))
+
+    def combined(keep: Column, hit: Column) -> Column:
+        return {"INTERSECT": keep & hit, "UNION": keep | hit, "EXCEPT": keep & ~hit, "SQL_ONLY": keep, "FTS_ONLY": hit}[operation]
 
     shown = [c for c in (projection or DEFAULT_PROJECTION) if c in table.columns]
     sized = ["record_id", *[c for c in shown if c != "record_id"]]
@@ -125,10 +127,14 @@ def analyse(
     narrow = dict.fromkeys(c for d in [*dimensions, *paired, *dates] for c in (d, f"{d}_label") if c in table.columns)
     seen = Observation()
     counts = {"sql_matched_count": F.count_if("_keep"), "fts_matched_count": F.count_if("_found"), "final_candidate_count": F.count_if("_wanted")}
+    columns = [*dict.fromkeys(["record_id", "source_file", "row_idx", *narrow]), "rec_chars"]
+    flagged = table.withColumns({"_keep": keep, "_found": hit, "rec_chars": packing.record_chars(sized)}).select(*columns, "_keep", "_found")
+    if indexed is not None:  # rows have lost their texts before they meet the hits
+        flagged = flagged.drop("_found").join(indexed.withColumn("_found", F.lit(True)), "record_id", "left").withColumn(
+            "_found", F.coalesce("_found", F.lit(False)))
     hits = materialise(
-        table.withColumns({"_keep": keep, "_found": hit, "_wanted": wanted})
-        .observe(seen, *[c.alias(n) for n, c in counts.items()]).filter("_wanted")
-        .select(*dict.fromkeys(["record_id", "source_file", "row_idx", *narrow]), packing.record_chars(sized).alias("rec_chars")), "hits")
+        flagged.withColumn("_wanted", combined(F.col("_keep"), F.col("_found")))
+        .observe(seen, *[c.alias(n) for n, c in counts.items()]).filter("_wanted").select(*columns), "hits")
     # the metrics come with the write; an empty table has none
     sides = {n: seen.get.get(n, 0) for n in counts}
     whole = limit is None and judgments is None
@@ -156,7 +162,7 @@ def analyse(
         projection=shown,
         notes=notes,
         judgments=judgments,
-        wanted=wanted if whole and "_hit" not in table.columns else None,
+        wanted=combined(keep, hit) if whole and indexed is None else None,
     )
 
 

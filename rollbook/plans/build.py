@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from rollbook.fixed import PHASES, ROLE_CAPABILITIES
 from rollbook.functions.text import clean_text
-from rollbook.operators import lexical, normalization, profiling
+from rollbook.operators import gram_index, normalization, profiling
+from rollbook.operators.gram_index import GramIndex
 from rollbook.operators.normalization import Dictionary
 from rollbook.operators.validation import validate_build
 from rollbook.sources import sinks
@@ -38,8 +39,7 @@ class Register:
     normalised: DataFrame
     catalog: DataFrame
     mappings: DataFrame
-    postings: DataFrame
-    frequencies: DataFrame
+    index: GramIndex | None
     findings: DataFrame
     roles: dict[str, str]
     dictionaries: Mapping[str, Dictionary]
@@ -89,7 +89,6 @@ def finalise(
     built on request, for registers that are searched very often: a scan finds the
     same.  Leave out the CSV ``exports`` where nobody reads them.
     """
-    spark = raw.sparkSession
     found = roles_of(proposal.catalog)
     roles = {c: found[c] for c in proposal.columns}
     mappings = normalization.accept_pending(proposal.mappings) if accept_pending else proposal.mappings
@@ -100,14 +99,10 @@ def finalise(
         normalization.apply_mappings(proposal.clean, mapped, mappings, "record_id"), f"{folder}/normalised"
     )
     if searched and index:
-        lexical.write_trigram_index(lexical.trigram_postings(normalised, "record_id", searched, clean=True), "record_id", f"{folder}/index")
-        postings = spark.read.parquet(f"{folder}/index/postings")
-        frequencies = spark.read.parquet(f"{folder}/index/frequencies")
-        indexed = lexical.indexed_ids(postings, "record_id")
+        grams = gram_index.write_index(normalised, "record_id", searched, f"{folder}/index", clean=True)
+        indexed = gram_index.indexed_ids(grams, "record_id")
     else:
-        postings = spark.createDataFrame([], "column_id string, gram string, record_id string")
-        frequencies = spark.createDataFrame([], "column_id string, gram string, n_records long")
-        indexed = normalised.select("record_id")
+        grams, indexed = None, normalised.select("record_id")
     checks = sinks.write_table(
         validate_build(
             stored_raw, normalised, indexed, "record_id", len(proposal.columns),
@@ -119,5 +114,5 @@ def finalise(
         sinks.export_build(normalised, proposal.catalog, mappings, checks, f"{folder}/exports")
     ordered = {c: dictionary for c in mapped if roles[c] == "ordered_category"}
     return Register(
-        stored_raw, normalised, proposal.catalog, mappings, postings, frequencies, checks, roles, ordered,
+        stored_raw, normalised, proposal.catalog, mappings, grams, checks, roles, ordered,
         tuple(searched) if index else ())

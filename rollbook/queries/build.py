@@ -9,7 +9,7 @@ from rollbook.functions.text import clean_text as clean
 from rollbook.functions.text import search_shadow as shadow
 from rollbook.operators import normalization as nz
 from rollbook.operators import profiling
-from rollbook.operators.lexical import indexed_ids, trigram_postings
+from rollbook.operators.gram_index import indexed_ids, write_index
 from rollbook.operators.numbering import number_rows
 from rollbook.operators.validation import validate_build as check_build
 from rollbook.queries.filters import PRIORITIES, PRIORITY_SQL, orders_by_priority
@@ -311,11 +311,12 @@ FROM documents
 UNION ALL SELECT 'INFO', 'structure', 'Total records verified: ' || count(*) || ', total columns: 5' FROM documents
 """)
 def validate_build(spark: SparkSession, folder: str) -> DataFrame:
-    """Documents against themselves normalised and their whole posting table."""
+    """Documents against themselves normalised and their whole index."""
     documents = table(spark, folder, "documents")
     raw = register.raw_view(documents, "doc_id", _DOCUMENT_COLUMNS, "documents", "doc_id")
     normalised = documents.select(F.col("doc_id").cast("string").alias("record_id"))
-    indexed = indexed_ids(trigram_postings(documents.withColumn("record_id", F.col("doc_id").cast("string")), "record_id", ["text"]), "record_id")
+    named = documents.withColumn("record_id", F.col("doc_id").cast("string"))
+    indexed = indexed_ids(write_index(named, "record_id", ["text"], scratch_path(spark, "gram-index")), "record_id")
     return check_build(raw, normalised, indexed, "record_id", len(_DOCUMENT_COLUMNS))
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rollbook.functions.predicates import condition
-from rollbook.operators import lexical, selection
+from rollbook.operators import gram_index, lexical, selection
 from rollbook.operators.statistics import distribution
 from rollbook.queries.registry import query, table
 from rollbook.session import scratch_path
@@ -76,10 +76,8 @@ SELECT page_id FROM pages WHERE contains(lower(url), 'example') OR contains(lowe
 def lexical_folded_index(spark: SparkSession, folder: str) -> DataFrame:
     """The same through a stored trigram index."""
     pages = _wide_pages(spark, folder)
-    path = scratch_path(spark, "wide-index")
-    lexical.write_trigram_index(lexical.trigram_postings(pages, "page_id", ["url", "html"]), "page_id", path)
-    postings, frequencies = (spark.read.parquet(f"{path}/{part}") for part in ("postings", "frequencies"))
-    return lexical.index_search(pages, postings, frequencies, "page_id", ["url", "html"], ["ＥＸＡＭＰＬＥ", "of   the"])
+    index = gram_index.write_index(pages, "page_id", ["url", "html"], scratch_path(spark, "wide-index"))
+    return gram_index.index_search(pages, index, "page_id", ["url", "html"], ["ＥＸＡＭＰＬＥ", "of   the"])
 
 
 @query("lexical_one_column", "SELECT page_id FROM pages WHERE contains(lower(url), '/en/') OR contains(lower(url), '/fr/')")
@@ -104,19 +102,29 @@ UNION ALL SELECT 'text', '', count(*) FROM documents
 """)
 def trigram_index(spark: SparkSession, folder: str) -> DataFrame:
     """Every gram of the whole texts with its number of records; the empty gram counts them all."""
-    postings = lexical.trigram_postings(table(spark, folder, "documents"), "doc_id", ["text"])
-    return lexical.gram_frequencies(postings)
+    documents = table(spark, folder, "documents")
+    return gram_index.gram_frequencies(gram_index.write_index(documents, "doc_id", ["text"], scratch_path(spark, "gram-index")))
 
 
 @query("lexical_trigram", f"SELECT doc_id FROM documents WHERE {SEARCH_SQL}")
 def lexical_trigram(spark: SparkSession, folder: str) -> DataFrame:
     """The ids of ``lexical_scan``, found through a stored index."""
     documents = table(spark, folder, "documents")
-    path = scratch_path(spark, "trigram-index")
-    lexical.write_trigram_index(lexical.trigram_postings(documents, "doc_id", ["text"]), "doc_id", path)
-    postings = spark.read.parquet(f"{path}/postings")
-    frequencies = spark.read.parquet(f"{path}/frequencies")
-    return lexical.index_search(documents, postings, frequencies, "doc_id", ["text"], PRIMARY + EXPANDED)
+    index = gram_index.write_index(documents, "doc_id", ["text"], scratch_path(spark, "gram-index"))
+    return gram_index.index_search(documents, index, "doc_id", ["text"], PRIMARY + EXPANDED)
+
+
+@query("lexical_many_terms", f"""
+WITH words AS (SELECT list(DISTINCT lower(w)) AS ws FROM (
+  SELECT unnest(regexp_extract_all(text, '[A-Za-z]{{4,}}')) AS w FROM benchmark))
+SELECT doc_id, {_PRIMARY_SQL} AS hit_primary, len(list_filter(ws, lambda w: contains(lower(text), w))) > 0 AS hit_expanded
+FROM documents, words WHERE {_PRIMARY_SQL} OR len(list_filter(ws, lambda w: contains(lower(text), w))) > 0
+""")
+def lexical_many_terms(spark: SparkSession, folder: str) -> DataFrame:
+    """All words of the benchmark as expanded terms: a list as long as the program's literals, in one pass over the texts."""
+    words = table(spark, folder, "benchmark").select(F.explode(F.regexp_extract_all("text", F.lit("([A-Za-z]{4,})"), 1)).alias("w"))
+    terms = [r["w"] for r in words.select(F.lower("w").alias("w")).distinct().collect()]
+    return lexical.expanded_search(table(spark, folder, "documents"), "doc_id", ["text"], PRIMARY, terms)
 
 
 @query("set_intersect", f"SELECT doc_id FROM documents WHERE lang = 'en' AND {SEARCH_SQL}")

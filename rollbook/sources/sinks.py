@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rollbook.operators.selection import restrict
+from rollbook.operators.reduction import reduced_semi_join
 
 
 def write_table(df: DataFrame, path: str) -> DataFrame:
@@ -31,12 +31,12 @@ def write_csv(df: DataFrame, path: str) -> None:
 
 def export_filtered(normalised: DataFrame, ids: DataFrame, path: str, id_column: str = "record_id") -> None:
     """All columns of the candidate rows."""
-    write_csv(restrict(normalised, ids, id_column), path)
+    write_csv(reduced_semi_join(normalised, ids, id_column), path)
 
 
 def export_evidence_raw(raw: DataFrame, evidence_ids: DataFrame, path: str, id_column: str = "record_id") -> None:
     """All raw columns of the cited rows."""
-    write_csv(restrict(raw, evidence_ids, id_column), path)
+    write_csv(reduced_semi_join(raw, evidence_ids, id_column), path)
 
 
 def export_statistics(distributions: DataFrame, path: str) -> None:

@@ -7,7 +7,7 @@ from conftest import rows
 from pyspark.sql import functions as F
 
 from rollbook.fixed import PHASES
-from rollbook.operators import lexical
+from rollbook.operators import gram_index
 from rollbook.plans import analysis, build
 from rollbook.sources import register as rg
 
@@ -99,7 +99,7 @@ def test_candidates(result):
 
 
 def test_index_agrees(register):
-    got = lexical.index_search(register.normalised, register.postings, register.frequencies, "record_id", ["title", "cause"], ["タイマー", "ウォッチドッグ"])
+    got = gram_index.index_search(register.normalised, register.index, "record_id", ["title", "cause"], ["タイマー", "ウォッチドッグ"])
     assert [r[0] for r in rows(got)] == [r[0] for r in golden() if searched(r)]
 
 

@@ -2,8 +2,12 @@ import random
 
 import pytest
 from conftest import rows
+from pyspark.sql import functions as F
 
+from rollbook.operators import gram_index as gi
+from rollbook.operators import joins
 from rollbook.operators import lexical as lx
+from rollbook.operators import reduction
 from rollbook.operators import selection as sel
 
 
@@ -32,14 +36,14 @@ def test_scan(register):
 
 
 @pytest.mark.parametrize("indexed", [False, True])
-def test_text_and_term_are_folded_alike(spark, indexed):
+def test_text_and_term_are_folded_alike(spark, tmp_path, indexed):
     texts = {"a": "ＡＢＣＤ　項目", "b": "two  spaces here", "c": "line one \r\n line two", "d": "ｶﾀｶﾅ", "e": None}
     df = spark.createDataFrame(list(texts.items()), "record_id string, t string")
-    postings = lx.trigram_postings(df, "record_id", ["t"])
+    index = gi.write_index(df, "record_id", ["t"], str(tmp_path / "index"))
 
     def ids(term):
         if indexed:
-            return found(lx.index_search(df, postings, lx.gram_frequencies(postings), "record_id", ["t"], [term]))
+            return found(gi.index_search(df, index, "record_id", ["t"], [term]))
         return found(lx.scan_search(df, "record_id", ["t"], [term]))
     for key, text in texts.items():
         if text:
@@ -59,26 +63,67 @@ def test_expanded_terms(register):
     assert rows(lx.expanded_search(register, "record_id", ["cause"], ["用紙"], [])) == [("REC-01", True, False)]
 
 
-def test_postings(register):
-    postings = lx.trigram_postings(register, "record_id", ["title", "cause"])
-    assert rows(postings.filter("record_id = 'REC-05'")) == [("cause", "", "REC-05"), ("title", "", "REC-05")]
-    grams = {g for c, g, r in rows(postings.filter("record_id = 'REC-04' AND column_id = 'cause'"))}
-    assert grams == {"", "100", "00%", "0%_", "%_d", "_do", "don", "one"}
-    assert found(lx.indexed_ids(postings, "record_id")) == ["REC-01", "REC-02", "REC-03", "REC-04", "REC-05"]
-
-
-def test_index_finds_what_the_scan_finds(spark, tmp_path):
+def test_postings(spark, register, tmp_path):
+    index = gi.write_index(register, "record_id", ["title", "cause"], str(tmp_path / "index"))
+    held = {}
+    for p in index.postings.collect():
+        places = p.places if p.bits is None else [i for i in range(8 * len(p.bits)) if p.bits[i // 8] >> i % 8 & 1]
+        names = {r.place: r.record_id for r in index.rows.filter(f"segment = {p.segment}").collect()}
+        assert len(places) == p.n_records
+        for place in places:
+            held.setdefault((p.column_id, names[place]), set()).add(p.gram)
+    assert held["cause", "REC-05"] == held["title", "REC-05"] == {""}
+    assert held["cause", "REC-04"] == {"", "100", "00%", "0%_", "%_d", "_do", "don", "one"}
+    assert found(gi.indexed_ids(index, "record_id")) == ["REC-01", "REC-02", "REC-03", "REC-04", "REC-05"]
+    counts = {(r.column_id, r.gram): r.n_records for r in gi.gram_frequencies(index).collect()}
+    assert counts["cause", ""] == 5 and counts["cause", "100"] == 1
+
+
+def test_many_terms_are_one_pattern(spark):
+    rng = random.Random(4)
+    texts = ["".join(rng.choice("abc. \n(é𠮷") for _ in range(40)) for _ in range(150)]
+    terms = ["a(b", "abca", "ab", "é𠮷", "b.c", "..", "𠮷𠮷𠮷", "c\na", "zz", "ccc", "a b", "(("] + ["ba" + c * 3 for c in "abcé"]
+    df = spark.createDataFrame(list(enumerate(texts)), "record_id int, t string")
+    for clean in (True, False):
+        plain = [set(found(lx.scan_search(df, "record_id", ["t"], [t], clean))) for t in terms]
+        assert set(found(lx.scan_search(df, "record_id", ["t"], terms, clean))) == set.union(*plain) != set(range(150))
+        few = lx.expanded_search(df, "record_id", ["t"], ["zz", "(("], terms)
+        assert {r.record_id for r in few.filter("hit_primary").collect()} == set(found(lx.scan_search(df, "record_id", ["t"], ["zz", "(("])))
+
+
+@pytest.mark.parametrize("rows_max,bytes_max", [(200_000, 64 << 20), (0, 64 << 20), (0, 0)])
+def test_reduced_semi_join(spark, monkeypatch, rows_max, bytes_max):
+    monkeypatch.setattr(joins, "BROADCAST_ROWS_MAX", rows_max)
+    monkeypatch.setattr(reduction, "BROADCAST_BYTES_MAX", bytes_max)
+    wide = spark.range(5000).select(F.col("id").alias("record_id"), F.lit("text").alias("t")).unionByName(
+        spark.createDataFrame([(None, "x"), (7, "again")], "record_id long, t string"))
+    some = spark.createDataFrame([(i,) for i in (7, 7, 4999, 12345, None)], "record_id long")
+    got = reduction.reduced_semi_join(wide, some, "record_id")
+    assert rows(got) == [(4999, "text"), (7, "again"), (7, "text")] and got.columns == wide.columns
+    if not rows_max and bytes_max:
+        likely = reduction.likely_rows(wide, reduction.id_filter(some.dropna(), "record_id", 3), "record_id", 1)
+        assert 3 <= likely.count() < 60
+    assert reduction.reduced_semi_join(wide, some.limit(0), "record_id").count() == 0
+
+
+def test_filters_grow_with_the_ids():
+    assert [reduction.filter_buckets(n) for n in (0, 1, 512, 513, 10_000_000)] == [1, 1, 1, 2, 19532]
+
+
+@pytest.mark.parametrize("segment", [1 << 15, 30])
+def test_index_finds_what_the_scan_finds(spark, tmp_path, monkeypatch, segment):
     rng = random.Random(7)
     letters = "abAB あ\n𠮷"
     data = [(f"R{i:03d}", *["".join(rng.choice(letters) for _ in range(rng.randint(0, 30))) for _ in range(2)]) for i in range(200)]
     df = spark.createDataFrame(data, "record_id string, title string, cause string")
     path = str(tmp_path / "index")
-    lx.write_trigram_index(lx.trigram_postings(df, "record_id", ["title", "cause"]), "record_id", path)
-    postings, frequencies = spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/frequencies")
+    monkeypatch.setattr(gi, "SEGMENT_ROWS", segment)
+    index = gi.write_index(df.repartition(3), "record_id", ["title", "cause"], path)
+    assert index.rows.count() == 200 and {r.record_id for r in index.rows.collect()} == {r[0] for r in data}
     for columns, terms in [(["title"], ["aba"]), (["title", "cause"], ["abab", "あ𠮷a"]), (["cause"], ["ab", "𠮷"]), (["cause"], ["bbあ", "a"]),
                            (["title", "cause"], ["zzz"]), (["title"], ["aaaaa", "bA"])]:
         want = [r[0] for r in data if any(t.lower() in r[1 + ["title", "cause"].index(c)].lower() for c in columns for t in terms)]
-        got = found(lx.index_search(df, postings, frequencies, "record_id", columns, terms))
+        got = found(gi.index_search(df, index, "record_id", columns, terms))
         assert got == want == found(lx.scan_search(df, "record_id", columns, terms))
 
 
