@@ -1,10 +1,19 @@
-"""Feedback and the lessons drawn from it."""
+"""Feedback, the lessons drawn from it, and the stored ledger they are appended to.
+
+A ledger is a folder: ``lessons`` holds what attempts to append wrote, each in a part of its own, and
+``commits`` one small file per batch, numbered, saying which attempt counts, from which number on and how many
+lessons.  The file is created only if its number is still free, so of two writers one commits and the other starts again;
+an attempt without a commit is never read.
+"""
 
 from __future__ import annotations
 
+import json
+import uuid
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from py4j.protocol import Py4JJavaError
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rollbook.fixed import FEEDBACK_ID_FORMAT, LESSON_ID_FORMAT, LESSON_STATUSES
@@ -31,6 +40,67 @@ def record_feedback(feedback: DataFrame, arrival: Sequence[str], ledger_size: in
     )
 
 
+_LESSONS = (
+    "lesson_id string, feedback_id string, run_id string, lesson_type string, user_feedback string, derived_lesson string,"
+    " scope map<string,string>, status string, attempt string"
+)
+_COMMITS = "batch_key string, attempt string, first long, n_lessons long"
+
+
+def _folder(spark: SparkSession, path: str):
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()), place
+
+
+def _committed(spark: SparkSession, path: str) -> tuple[DataFrame, int]:
+    """The commits, and how many numbers are taken."""
+    files, place = _folder(spark, f"{path}/commits")
+    taken = len(files.listStatus(place)) if files.exists(place) else 0
+    return (spark.read.schema(_COMMITS).json(f"{path}/commits") if taken else spark.createDataFrame([], _COMMITS)), taken
+
+
+def _commit(spark: SparkSession, path: str, number: int, content: dict) -> bool:
+    """Create the commit of this number; False if another writer has it."""
+    files, place = _folder(spark, f"{path}/commits/{number:09d}.json")
+    try:
+        stream = files.create(place, False)
+    except Py4JJavaError as error:
+        if "FileAlreadyExists" in error.java_exception.getClass().getName():
+            return False
+        raise
+    stream.write(bytearray(json.dumps(content).encode()))
+    stream.close()
+    return True
+
+
+def append_feedback(feedback: DataFrame, arrival: Sequence[str], path: str, batch_key: str) -> DataFrame:
+    """Append a batch of feedback to the ledger under ``path``, numbered on from what it holds, and return the ledger.
+
+    A batch key that is committed already is ignored, so a repeated batch does no harm.
+    """
+    spark = feedback.sparkSession
+    while True:
+        commits, taken = _committed(spark, path)
+        size, known = commits.agg(F.coalesce(F.sum("n_lessons"), F.lit(0)), F.count_if(F.col("batch_key") == batch_key)).first()
+        if known:
+            return read_ledger(spark, path)
+        attempt = uuid.uuid4().hex
+        place = f"{path}/lessons/attempt={attempt}"
+        record_feedback(feedback, arrival, size).write.parquet(place)
+        n = spark.read.parquet(place).count()
+        if _commit(spark, path, taken, {"batch_key": batch_key, "attempt": attempt, "first": size + 1, "n_lessons": n}):
+            return read_ledger(spark, path)
+
+
+def read_ledger(spark: SparkSession, path: str) -> DataFrame:
+    """The lessons of committed batches, with their batch key."""
+    commits, taken = _committed(spark, path)
+    if not taken:
+        return spark.createDataFrame([], _LESSONS).drop("attempt").withColumn("batch_key", F.lit(None).cast("string"))
+    stored = spark.read.schema(_LESSONS).parquet(f"{path}/lessons")
+    return stored.join(commits.select("attempt", "batch_key"), "attempt").drop("attempt")
+
+
 def applicable_lessons(lessons: DataFrame, analysis_type: str | None = None, only_accepted: bool = False) -> DataFrame:
     """Live lessons whose scope fits.
 

@@ -8,6 +8,7 @@ one row per column and raw value.
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -207,11 +208,11 @@ def _small_maps(accepted: DataFrame) -> set[str]:
     return {r["column_id"] for r in measured if fits_broadcast(r["n"], r["bytes"] or 0)}
 
 
-def stored_literals(mappings: DataFrame, column: str, values: Sequence[str], dictionary: Items = ()) -> dict[str, list[str]]:
+def stored_literals(mappings: DataFrame, column: str, values: Sequence[str], dictionary: Dictionary = ()) -> dict[str, list[str]]:
     """What filter literals mean in a column normalised by this map: a list of stored values for each.
 
     An id of the map stands for itself; else a raw value or label of the map, or
-    a name in the program's dictionary, stands for its id; else the text stands for itself, as
+    a name in the dictionary, stands for its id; else the text stands for itself, as
     values without an accepted mapping keep theirs.  Only ids for the given literals reach the driver.
     """
     folded = {v: fold_literal(v) for v in values}
@@ -223,15 +224,43 @@ def stored_literals(mappings: DataFrame, column: str, values: Sequence[str], dic
     found: dict[str, list[str]] = {}
     for r in sorted(hits, key=lambda r: r["canonical_id"]):
         found.setdefault(r["value"], []).append(r["canonical_id"])
-    names = alias_table(dictionary)
-    return {
-        v: [v] if v in found.get(v, ()) else found.get(v) or ([names[folded[v]][0]] if folded[v] in names else [v])
-        for v in values
-    }
+    named = named_items(dictionary, [v for v in values if v not in found])
+    return {v: [v] if v in found.get(v, ()) else found.get(v) or ([named[v][0]] if v in named else [v]) for v in values}
+
+
+def named_items(dictionary: Dictionary, values: Sequence[str]) -> dict[str, tuple[str, str, int]]:
+    """The item (id, label, ordinal) that each text names: by id, else by folded label or alias.  Texts that name none are left out.
+
+    A table is filtered for the given texts; one row per text reaches the driver.  Where items share a name,
+    the first of a list wins, of a table the one with the smallest ordinal, then id.
+    """
+    folded = {v: fold_literal(v) for v in values}
+    if not folded:
+        return {}
+    if isinstance(dictionary, DataFrame):
+        names = F.concat(F.array("label"), F.coalesce("aliases", F.array().cast("array<string>")))
+        items = dictionary.select(
+            F.explode(names).alias("name"), F.struct(F.col("ordinal").cast("int").alias("ordinal"), "canonical_id", "label").alias("item"))
+        wanted = {"id": (F.col("item.canonical_id"), list(folded)), "name": (search_shadow(F.col("name")), list(set(folded.values())))}
+        hits = reduce(DataFrame.unionByName, [
+            items.select(F.lit(kind).alias("kind"), key.alias("key"), "item").filter(F.col("key").isin(given)) for kind, (key, given) in wanted.items()])
+        best = hits.groupBy("kind", "key").agg(F.min("item").alias("item")).select("kind", "key", "item.*").collect()
+        by = {(r["kind"], r["key"]): (r["canonical_id"], r["label"], r["ordinal"]) for r in best}
+    else:
+        by = {("name", name): item for name, item in alias_table(dictionary).items()}
+        by |= {("id", item[0]): tuple(item[:3]) for item in reversed(list(dictionary))}
+    found = {v: by.get(("id", v)) or by.get(("name", f)) for v, f in folded.items()}
+    return {v: item for v, item in found.items() if item is not None}
 
 
 def dictionary_mappings(spark: SparkSession, column: str, dictionary: Dictionary) -> DataFrame:
     """A ready-made value map from a dictionary, for columns whose raw values are its names."""
+    if isinstance(dictionary, DataFrame):
+        names = F.concat(F.array("label"), F.coalesce("aliases", F.array().cast("array<string>")))
+        item = F.struct(F.col("ordinal").cast("int").alias("ordinal"), "canonical_id", F.col("label").alias("canonical_label"))
+        items = dictionary.select(F.explode(names).alias("raw_value"), item.alias("item")).filter("raw_value IS NOT NULL")
+        return items.groupBy("raw_value").agg(F.min("item").alias("item")).select(
+            F.lit(column).alias("column_id"), "raw_value", "item.canonical_id", "item.canonical_label", "item.ordinal", F.lit("accepted").alias("status"))
     rows = []
     seen = set()
     for canonical_id, label, ordinal, aliases in dictionary:
@@ -247,35 +276,34 @@ def dictionary_mappings(spark: SparkSession, column: str, dictionary: Dictionary
 
 def canonical_literal(value: str, dictionary: Dictionary = ()) -> str:
     """The canonical id a filter literal means: an id, a label, an alias or an unknown value."""
-    ids = {item[0] for item in dictionary}
-    if value in ids or value.startswith(UNKNOWN_VALUE_PREFIX):
+    if value.startswith(UNKNOWN_VALUE_PREFIX):
         return value
-    hit = alias_table(dictionary).get(fold_literal(value))
+    hit = named_items(dictionary, [value]).get(value)
     return hit[0] if hit else UNKNOWN_VALUE_PREFIX + value.lower()
 
 
+def ordinal_literals(values: Sequence[int | str], dictionary: Dictionary) -> list[int]:
+    """The ordinals that literals mean: numbers, ids, labels or aliases."""
+    named = named_items(dictionary, [v for v in values if isinstance(v, str) and not v.isdigit()])
+    out = []
+    for value in values:
+        if isinstance(value, int) or value.isdigit():
+            out.append(int(value))
+        elif value in named and named[value][2] is not None:
+            out.append(named[value][2])
+        else:
+            raise ValueError(f"{value!r} names nothing in the dictionary")
+    return out
+
+
 def ordinal_literal(value: int | str, dictionary: Dictionary) -> int:
-    """The ordinal a literal means: a number, an id, a label or an alias."""
-    if isinstance(value, int):
-        return value
-    if value.isdigit():
-        return int(value)
-    by_id = {item[0]: item[2] for item in dictionary}
-    if value in by_id:
-        return by_id[value]
-    hit = alias_table(dictionary).get(fold_literal(value))
-    if hit is None:
-        raise ValueError(f"{value!r} names nothing in the dictionary")
-    return hit[2]
+    return ordinal_literals([value], dictionary)[0]
 
 
 def ordinal_condition(column: str, operator: str, value, dictionary: Dictionary) -> Column:
     """Compare an ordered category by position, whatever way the bound is written."""
     check(operator, value, "ordered_category")
-    if operator == "between":
-        bound = [ordinal_literal(v, dictionary) for v in value]
-    else:
-        bound = ordinal_literal(value, dictionary)
+    bound = ordinal_literals(value, dictionary) if operator == "between" else ordinal_literal(value, dictionary)
     return condition(f"{column}_ordinal", operator, bound)
 
 

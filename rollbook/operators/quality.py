@@ -11,6 +11,9 @@ from rollbook.fixed import SUPERFICIAL_WORDS
 from rollbook.functions.text import KEY_BYTES, any_contains, distinct_key, is_blank, percentage, round_half_up
 from rollbook.operators.reshape import cells
 
+# Bits of a sketch's registers: counts come within about half a percent.
+SKETCH_PRECISION = 15
+
 
 def value_groups(df: DataFrame, columns: Sequence[str], tests: Mapping[str, Callable[[Column], Column]] | None = None) -> DataFrame:
     """One row per column and distinct value: key, rows, blank rows, length.
@@ -69,6 +72,23 @@ def _measures(groups: DataFrame, text_columns: Sequence[str]) -> DataFrame:
     )
 
 
+def distinct_sketches(df: DataFrame, columns: Sequence[str], part: str | Column | None = None, precision: int = SKETCH_PRECISION) -> DataFrame:
+    """``(column_id, part, sketch)``: the distinct values of each column, by part (a source file, say), in a few kilobytes.
+
+    Sketches of parts can be kept and merged later; a value is sketched as text, NULL is none.
+    """
+    key = F.lit(None).cast("string") if part is None else (F.col(part) if isinstance(part, str) else part)
+    values = F.array(*[F.struct(F.lit(c).alias("column_id"), F.col(c).cast("string").alias("value")) for c in columns])
+    cell = df.select(key.cast("string").alias("part"), F.inline(values))
+    return cell.groupBy("column_id", "part").agg(F.hll_sketch_agg("value", F.lit(precision)).alias("sketch"))
+
+
+def approximate_distinct(sketches: DataFrame) -> DataFrame:
+    """``(column_id, distinct_count)`` over all parts, whichever way the rows were dealt to them."""
+    merged = sketches.groupBy("column_id").agg(F.hll_union_agg("sketch").alias("sketch"))
+    return merged.select("column_id", F.hll_sketch_estimate("sketch").alias("distinct_count"))
+
+
 def identical_fields(a: str, b: str) -> Column:
     """True where two text columns hold the same non-empty text."""
     return F.coalesce((F.col(a) == F.col(b)) & (F.col(a) != ""), F.lit(False))

@@ -31,6 +31,27 @@ def audit_columns(spark: SparkSession, folder: str) -> DataFrame:
     return q.audit_columns(table(spark, folder, "documents"), _DOCUMENT_COLUMNS, ["text"])
 
 
+_ORDER_COLUMNS = ["o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority"]
+
+
+@query("approx_distinct", " UNION ALL ".join(
+    f"SELECT '{name}' AS table_name, '{c}' AS column_id, count(DISTINCT {c}) AS exact, true AS near, true AS merges FROM {name}"
+    for name, columns in (("orders", _ORDER_COLUMNS), ("documents", _DOCUMENT_COLUMNS)) for c in columns))
+def approx_distinct(spark: SparkSession, folder: str) -> DataFrame:
+    """Distinct counts from merged sketches beside the exact ones: within two percent, however the rows were parted."""
+    out = []
+    for name, columns, part in (("orders", _ORDER_COLUMNS, "o_orderkey"), ("documents", _DOCUMENT_COLUMNS, "doc_id")):
+        df = table(spark, folder, name)
+        halves = q.approximate_distinct(q.distinct_sketches(df, columns, F.col(part) % 2)).withColumnRenamed("distinct_count", "halves")
+        whole = q.approximate_distinct(q.distinct_sketches(df, columns)).withColumnRenamed("distinct_count", "whole")
+        exact = q.audit_columns(df, columns).select("column_id", F.col("distinct_count").alias("exact"))
+        both = exact.join(halves, "column_id").join(whole, "column_id")
+        near = F.abs(F.col("halves") - F.col("exact")) <= 0.02 * F.col("exact")
+        out.append(both.select(
+            F.lit(name).alias("table_name"), "column_id", "exact", near.alias("near"), (F.col("halves") == F.col("whole")).alias("merges")))
+    return out[0].unionByName(out[1])
+
+
 @query("audit_columns_part", _columns_sql("part", _PART_COLUMNS, ["p_name"]))
 def audit_columns_part(spark: SparkSession, folder: str) -> DataFrame:
     return q.audit_columns(table(spark, folder, "part"), _PART_COLUMNS, ["p_name"])

@@ -11,6 +11,7 @@ from rollbook.operators import lessons as le
 from rollbook.operators.numbering import number_rows
 from rollbook.queries.filters import orders_by_priority
 from rollbook.queries.registry import query, table
+from rollbook.session import scratch_path
 from rollbook.sources.register import parse_findings, raw_view
 
 
@@ -254,6 +255,25 @@ def feedback_to_lessons(spark: SparkSession, folder: str) -> DataFrame:
     return le.record_feedback(feedback, ["conv_id", "turn"], ledger_size=7).drop("scope")
 
 
+@query("ledger_appends", """
+WITH n AS (SELECT *, row_number() OVER (ORDER BY conv_id % 2, conv_id, turn) AS n FROM conversations WHERE role = 'user')
+SELECT printf('LES-%04d', n) AS lesson_id, printf('FB-%04d', n) AS feedback_id, 'RUN-' || conv_id AS run_id, text AS user_feedback,
+  'conversations ' || (conv_id % 2) AS batch_key, 'candidate' AS status FROM n
+""")
+def ledger_appends(spark: SparkSession, folder: str) -> DataFrame:
+    """Two batches of user turns appended to a stored ledger, the second one twice."""
+    turns = table(spark, folder, "conversations").filter(condition("role", "eq", "user"))
+    path = scratch_path(spark, "ledger")
+    ledger = le.read_ledger(spark, path)
+    for half in (0, 1, 1):
+        feedback = turns.filter(F.col("conv_id") % 2 == half).select(
+            "conv_id", "turn", F.concat(F.lit("RUN-"), F.col("conv_id").cast("string")).alias("run_id"),
+            F.lit("analysis_feedback").alias("lesson_type"), F.col("text").alias("user_feedback"),
+            F.concat(F.lit("Consider: "), F.col("text")).alias("derived_lesson"), F.create_map().cast("map<string,string>").alias("scope"))
+        ledger = le.append_feedback(feedback, ["conv_id", "turn"], path, f"conversations {half}")
+    return ledger.select("lesson_id", "feedback_id", "run_id", "user_feedback", "batch_key", "status")
+
+
 def _lessons(spark: SparkSession, folder: str) -> DataFrame:
     """A lesson per label; Spanish ones have no scope, bad labels are rejected."""
     documents = table(spark, folder, "documents").select("doc_id", "lang")

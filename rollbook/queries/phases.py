@@ -13,6 +13,7 @@ from rollbook.queries.registry import query, table
 from rollbook.queries.retrieval import EXPANDED, PRIMARY, SEARCH_SQL
 from rollbook.session import scratch_path
 from rollbook.sources.register import raw_view
+from rollbook.sources.sinks import write_table
 
 _COLUMNS = ["doc_id", "text", "lang", "source"]
 _HITS = f"SELECT * FROM documents WHERE lang IN ('en', 'fr') AND {SEARCH_SQL}"
@@ -86,6 +87,37 @@ def filter_mapped_category(spark: SparkSession, folder: str) -> DataFrame:
     return reduce(DataFrame.unionByName, out)
 
 
+_BOUNDS = (
+    ("eq", "eq", "urgent", "o_orderpriority = '1-URGENT'"), ("neq", "neq", "1-URGENT", "o_orderpriority <> '1-URGENT'"),
+    ("in", "in", ["URGENT", "5-low"], "o_orderpriority IN ('1-URGENT', '5-LOW')"),
+    ("not_in", "not_in", ["pri_1", "5-LOW"], "o_orderpriority NOT IN ('1-URGENT', '5-LOW')"),
+    ("gte", "gte", "medium", "o_orderpriority >= '3-MEDIUM'"), ("lt", "lt", 30, "o_orderpriority < '3-MEDIUM'"),
+    ("between", "between", ["2-high", "pri_4"], "o_orderpriority BETWEEN '2-HIGH' AND '4-NOT SPECIFIED'"),
+)
+
+
+@query("filter_table_dictionary", " UNION ALL ".join(
+    f"SELECT '{name}' AS filter, count(*) AS n, min(o_orderkey) AS first, max(o_orderkey) AS last FROM orders WHERE {where}"
+    for name, _, _, where in _BOUNDS))
+def filter_table_dictionary(spark: SparkSession, folder: str) -> DataFrame:
+    """Category and ordinal filters on a register whose dictionary is a table, made from the orders."""
+    orders = table(spark, folder, "orders").select("o_orderkey", F.col("o_orderpriority").alias("detect_phase"))
+    place = F.substring("detect_phase", 1, 1)
+    dictionary = orders.select("detect_phase").distinct().select(
+        F.concat(F.lit("pri_"), place).alias("canonical_id"), F.col("detect_phase").alias("label"), (place.cast("int") * 10).alias("ordinal"),
+        F.array(F.lower(F.substring("detect_phase", 3, 99))).alias("aliases"))
+    path = scratch_path(spark, "dictionary-register")
+    dictionary = write_table(dictionary, f"{path}/dictionary")
+    raw = raw_view(orders, "o_orderkey", ["o_orderkey", "detect_phase"], "orders", "o_orderkey")
+    proposal = build.propose(raw, f"{path}/proposal", "o_orderkey", dictionary)
+    register = build.finalise(raw, proposal, f"{path}/register", dictionary=dictionary, exports=False)
+    key = F.col("record_id").cast("long")
+    return reduce(DataFrame.unionByName, [
+        register.normalised.filter(analysis.filter_column(register, "detect_phase", operator, value))
+        .agg(F.count(F.lit(1)).alias("n"), F.min(key).alias("first"), F.max(key).alias("last")).select(F.lit(name).alias("filter"), "n", "first", "last")
+        for name, operator, value, _ in _BOUNDS])
+
+
 @query("register_tables", """
 WITH hits AS (SELECT * FROM orders WHERE o_orderpriority IN ('1-URGENT', '2-HIGH', '5-LOW'))
 SELECT 'component_x_defect_type' AS name, o_orderpriority AS a, o_orderstatus AS b, count(*) AS n FROM hits GROUP BY ALL

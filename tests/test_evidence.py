@@ -156,3 +156,30 @@ def test_numbering_with_a_hot_leading_key(spark):
     got = number_rows(df.repartition(16), ["k", "v"], "n").collect()
     ordered = sorted(got, key=lambda r: (r.k, r.v))
     assert [r.n for r in ordered] == list(range(1, 10001))
+
+
+def test_ledger(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "ledger")
+    fields = "at int, run_id string, lesson_type string, user_feedback string, derived_lesson string, scope map<string,string>"
+
+    def batch(*runs):
+        return spark.createDataFrame([(i, r, "t", "f", "d", {"k": r}) for i, r in enumerate(runs)], fields)
+    assert le.read_ledger(spark, path).count() == 0
+    le.append_feedback(batch("a", "b"), ["at"], path, "one")
+    le.append_feedback(batch("x", "y", "z"), ["at"], path, "one")  # ignored
+    # an attempt that was never committed is not read
+    le.record_feedback(batch("lost"), ["at"], 2).write.parquet(f"{path}/lessons/attempt=lost")
+    # another writer takes the next number first
+    commit, taken = le._commit, []
+
+    def late(spark, path, number, content):
+        if not taken:
+            taken.append(number)
+            le.append_feedback(batch("c"), ["at"], path, "two")
+        return commit(spark, path, number, content)
+    monkeypatch.setattr(le, "_commit", late)
+    ledger = le.append_feedback(batch("d", "e"), ["at"], path, "three")
+    le.append_feedback(batch(), ["at"], path, "empty")
+    assert rows(ledger, "lesson_id", "run_id", "batch_key") == [
+        ("LES-0001", "a", "one"), ("LES-0002", "b", "one"), ("LES-0003", "c", "two"), ("LES-0004", "d", "three"), ("LES-0005", "e", "three")]
+    assert le.read_ledger(spark, path).count() == 5 and ledger.filter("scope['k'] = run_id").count() == 5

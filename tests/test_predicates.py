@@ -3,7 +3,7 @@ from conftest import rows
 from pyspark.sql import functions as F
 
 from rollbook.functions.predicates import all_of, condition
-from rollbook.operators.normalization import canonical_literal, ordinal_condition, ordinal_literal
+from rollbook.operators.normalization import canonical_literal, dictionary_mappings, named_items, ordinal_condition, ordinal_literal
 from rollbook.fixed import PHASES
 
 
@@ -80,3 +80,21 @@ def test_category_literals_mean_canonical_ids():
     assert canonical_literal("phase_unit_test", PHASES) == "phase_unit_test"
     assert canonical_literal("高") == "val_高"
     assert canonical_literal("UI不備") == "val_ui不備"
+
+
+def test_literals_through_a_dictionary_table(spark):
+    """A list and a table with the same items give the same."""
+    schema = "canonical_id string, label string, ordinal int, aliases array<string>"
+    table = spark.createDataFrame([tuple(i) for i in PHASES], schema)
+    for v in (50, "50", "phase_integration", "結合試験", "it", "結合テスト"):
+        assert ordinal_literal(v, table) == ordinal_literal(v, PHASES) == 50
+    with pytest.raises(ValueError):
+        ordinal_literal("nothing", table)
+    for v in ("UT", "phase_unit_test", "高", "UI不備"):
+        assert canonical_literal(v, table) == canonical_literal(v, PHASES)
+    shared = spark.createDataFrame([("b", "Two", 2, ["x"]), ("a", "One", 1, ["X"]), ("c", "None", None, None)], schema)
+    assert named_items(shared, ["x", "two", "c", "zz"]) == {"x": ("a", "One", 1), "two": ("b", "Two", 2), "c": ("c", "None", None)}
+    assert named_items(shared, []) == {}
+    def mapped(dictionary):
+        return {tuple(r) for r in dictionary_mappings(spark, "p", dictionary).collect()}
+    assert mapped(table) == mapped(PHASES)
