@@ -30,6 +30,8 @@ DIMENSION = 1024
 SEED = 20_240_501
 LETTERS = 64
 STRIP_DOCS = 64
+# Vectors held at a time inside a task.
+PART_DOCS = 512
 STRIP_CHARS = 1 << 18
 # At most about so many labelled documents of a language are learned from, chosen by hash.
 TRAIN_DOCS = 20_000
@@ -104,10 +106,12 @@ def _unit(vectors: np.ndarray) -> np.ndarray:
 def _sums(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     total: dict[str, np.ndarray] = {}
     for rows in frames:
-        vectors = _unit(bundles([t or "" for t in rows["text"]]).astype(np.float64))
-        languages = rows["lang"].to_numpy(dtype=object)
-        for language in set(languages):
-            total[language] = total.get(language, 0) + vectors[languages == language].sum(0)
+        for at in range(0, len(rows), PART_DOCS):
+            part = rows.iloc[at:at + PART_DOCS]
+            vectors = _unit(bundles([t or "" for t in part["text"]]).astype(np.float64))
+            languages = part["lang"].to_numpy(dtype=object)
+            for language in set(languages):
+                total[language] = total.get(language, 0) + vectors[languages == language].sum(0)
     if total:
         yield pd.DataFrame({"lang": list(total), "vector": [v.astype("<f8").tobytes() for v in total.values()]})
 
@@ -145,22 +149,24 @@ def identify(docs: DataFrame, profiles: DataFrame, text_column: str = "text", pr
     names = np.array([name for name, _ in known] or [UNKNOWN], dtype=object)
     table = _unit(np.array([np.frombuffer(v, dtype="<f8") for _, v in known]).reshape(-1, DIMENSION)).astype(np.float32)
 
+    def of_part(texts: pd.Series) -> pd.DataFrame:
+        vectors = bundles([t or "" for t in texts])
+        empty = ~vectors.any(axis=1)
+        if not len(table):
+            nothing = np.zeros(len(texts))
+            return pd.DataFrame({"pred": np.full(len(texts), UNKNOWN, dtype=object), "score": nothing, "cosine": nothing})
+        cosine = (_unit(vectors) @ table.T).astype(np.float64)
+        best = cosine.argmax(axis=1)
+        top = cosine[np.arange(len(best)), best]
+        odds = np.exp(SHARPNESS * (cosine - top[:, None]))
+        return pd.DataFrame({
+            "pred": np.where(empty, UNKNOWN, names[best]), "score": np.where(empty, 0.0, 1 / odds.sum(axis=1)), "cosine": np.where(empty, 0.0, top)})
+
     @F.pandas_udf("pred string, score double, cosine double")
     def guess(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for texts in batches:
-            vectors = bundles([t or "" for t in texts])
-            empty = ~vectors.any(axis=1)
-            if not len(table):
-                nothing = np.zeros(len(texts))
-                yield pd.DataFrame({"pred": np.full(len(texts), UNKNOWN, dtype=object), "score": nothing, "cosine": nothing})
-                continue
-            cosine = (_unit(vectors) @ table.T).astype(np.float64)
-            best = cosine.argmax(axis=1)
-            top = cosine[np.arange(len(best)), best]
-            odds = np.exp(SHARPNESS * (cosine - top[:, None]))
-            yield pd.DataFrame({
-                "pred": np.where(empty, UNKNOWN, names[best]), "score": np.where(empty, 0.0, 1 / odds.sum(axis=1)),
-                "cosine": np.where(empty, 0.0, top)})
+            parts = [of_part(texts.iloc[at:at + PART_DOCS]) for at in range(0, max(len(texts), 1), PART_DOCS)]
+            yield pd.concat(parts, ignore_index=True)
 
     guessed = docs.withColumn(f"{prefix}guess", guess(F.col(text_column).cast("string")))
     return guessed.withColumns({f"{prefix}{f}": F.col(f"{prefix}guess")[f] for f in ("pred", "score", "cosine")}).drop(f"{prefix}guess")

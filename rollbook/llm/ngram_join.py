@@ -11,8 +11,9 @@ g in proportion to the set's size a set has signatures in proportion to its size
 Only groups are asked for, so pairs inside a found group need no check.  The members
 of a signature are compared with one hub, groups are formed, and this is repeated with
 other hubs; at last every pair that shares a signature and lies in
-different groups is compared, for signatures of many members inside tasks, block against block.  A comparison looks at parity bitmaps, whose differing
-bits bound the difference of two sets from below, and then at the whole sets.
+different groups is compared.  A comparison looks at parity bitmaps, whose differing
+bits bound the difference of two sets from below, and then at the whole sets.  Signatures of many members are compared
+inside tasks, block against block; what leaves a task are links that join groups, fewer than there are members.
 
 Cases: a NULL text or one without words has an empty set and links with nothing;
 a shorter text is one gram; rows with a NULL id join groups but never name them; repeated
@@ -52,7 +53,10 @@ HUB_ROUNDS = 2
 # Signatures with more members than this are compared inside tasks, in blocks of about so many.
 FEW_MEMBERS = 16
 BLOCK_MEMBERS = 512
+BLOCK_BYTES = 8 << 20
 SALTS = 8
+# Texts worked off at a time inside a task.
+PART_CHARS = 1 << 21
 
 # Places of the map that tells which texts to read again: 1 MB, whatever the number of texts.
 MAP_BITS = 23
@@ -143,8 +147,7 @@ def _counted(frames: Iterator[pd.DataFrame], n: int) -> Iterator[pd.DataFrame]:
     held, size, seen = [], 0, set()
 
     def add() -> None:
-        np.add(counts, np.bincount((mix(np.concatenate(held)) >> np.uint64(64 - PLACE_BITS)).astype(np.int64), minlength=len(counts)),
-               out=counts, casting="unsafe")
+        np.add.at(counts, (mix(np.concatenate(held)) >> np.uint64(64 - PLACE_BITS)).astype(np.int64), np.uint32(1))
 
     for rows in frames:
         for grams in gram_sets(rows["text"], n):
@@ -184,6 +187,13 @@ def sketch_of(texts: DataFrame, n: int = N) -> Sketch:
     return Sketch.of(counts)
 
 
+def _in_parts(rows: pd.DataFrame, n: int) -> Iterator[tuple[pd.DataFrame, list[np.ndarray]]]:
+    """A batch in parts of bounded size, with the sets of their texts."""
+    sizes = rows["text"].str.len().fillna(0).to_numpy(dtype=np.int64)
+    for _, part in rows.groupby((np.cumsum(sizes) - sizes) // PART_CHARS, sort=True):
+        yield part, list(gram_sets(part["text"], n))
+
+
 def _described(docs: DataFrame, sketch: Sketch, percent: int, n: int) -> DataFrame:
     """``(id, row_key, node, n, signatures, bitmap)`` per row."""
     kind = docs.schema["id"].dataType.simpleString()
@@ -191,23 +201,18 @@ def _described(docs: DataFrame, sketch: Sketch, percent: int, n: int) -> DataFra
 
     def describe(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in frames:
-            nodes, sizes, marks, maps = [], [], [], []
-            for grams in gram_sets(rows["text"], n):
-                nodes.append(_digest(grams))
-                sizes.append(len(grams))
-                marks.append(signatures(grams, held.value, percent))
-                maps.append(bitmap(grams))
-            yield pd.DataFrame({
-                "id": rows["id"], "row_key": rows["row_key"], "node": pd.array(nodes, dtype="Int64"), "n": sizes,
-                "signatures": marks, "bitmap": maps})
+            for part, sets in _in_parts(rows, n):
+                yield pd.DataFrame({
+                    "id": part["id"], "row_key": part["row_key"], "node": pd.array([_digest(g) for g in sets], dtype="Int64"),
+                    "n": [len(g) for g in sets], "signatures": [signatures(g, held.value, percent) for g in sets], "bitmap": [bitmap(g) for g in sets]})
 
     return docs.mapInPandas(describe, f"id {kind}, row_key long, node long, n int, signatures array<long>, bitmap binary")
 
 
 def _whole_sets(frames: Iterator[pd.DataFrame], n: int) -> Iterator[pd.DataFrame]:
     for rows in frames:
-        grams = list(gram_sets(rows["text"], n))
-        yield pd.DataFrame({"node": pd.array([_digest(g) for g in grams], dtype="Int64"), "grams": [g.tobytes() for g in grams]})
+        for _, sets in _in_parts(rows, n):
+            yield pd.DataFrame({"node": pd.array([_digest(g) for g in sets], dtype="Int64"), "grams": [g.tobytes() for g in sets]})
 
 
 def _sets_of(rows: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
@@ -328,84 +333,164 @@ def _folded(bitmaps: list[bytes]) -> np.ndarray:
     return np.stack([np.bitwise_xor.reduce(np.frombuffer(b, np.uint8).reshape(-1, width), axis=0) for b in bitmaps])
 
 
-def _compared(percent: int):
-    """Near pairs within rows sorted by (signature, i, j): members of block i against those of block j."""
-    def compare(rows: pd.DataFrame) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        marks, sizes, roots, nodes, block = _folded(list(rows["bitmap"])), *(rows[c].to_numpy() for c in ("n", "root", "node", "block"))
-        i, j = rows["i"].iloc[0], rows["j"].iloc[0]
-        for x in np.flatnonzero(block == i):
-            y = np.flatnonzero((block == j) & (roots != roots[x]) & ((nodes > nodes[x]) if i == j else True))
-            y = y[100 * np.minimum(sizes[y], sizes[x]) >= percent * np.maximum(sizes[y], sizes[x])]
-            least = np.bitwise_count(marks[y] ^ marks[x]).sum(axis=1, dtype=np.int64)
-            y = y[least * (100 + percent) <= (100 - percent) * (sizes[y].astype(np.int64) + sizes[x])]
-            yield np.minimum(nodes[x], nodes[y]), np.maximum(nodes[x], nodes[y])
-
+def _near_to(x: int, others: np.ndarray, marks: np.ndarray, sizes: np.ndarray, percent: int) -> np.ndarray:
+    """Those of the other rows that neither sizes nor bitmaps rule out."""
+    y = others[100 * np.minimum(sizes[others], sizes[x]) >= percent * np.maximum(sizes[others], sizes[x])]
+    least = np.bitwise_count(marks[y] ^ marks[x]).sum(axis=1, dtype=np.int64)
+    return y[least * (100 + percent) <= (100 - percent) * (sizes[y] + sizes[x])]
+
+
+class _Together:
+    """Members of block i of a signature against those of block j."""
+
+    def __init__(self, rows: pd.DataFrame, percent: int):
+        self.percent = percent
+        self.marks = _folded(list(rows["bitmap"]))
+        self.sizes, self.nodes, self.block = (rows[c].to_numpy(dtype=np.int64) for c in ("n", "node", "block"))
+        self.i, self.j = rows["i"].iloc[0], rows["j"].iloc[0]
+        self.group = np.unique(rows["root"].to_numpy(), return_inverse=True)[1]
+        self.rows = rows
+
+    def _candidates(self) -> Iterator[tuple[int, np.ndarray]]:
+        for x in np.flatnonzero(self.block == self.i):
+            others = (self.block == self.j) & (self.group != self.group[x])
+            if self.i == self.j:
+                others &= self.nodes > self.nodes[x]
+            y = _near_to(x, np.flatnonzero(others), self.marks, self.sizes, self.percent)
+            if len(y):
+                yield x, y
+
+    def near(self) -> pd.DataFrame:
+        """The members that may have a partner in another group."""
+        hit = np.zeros(len(self.nodes), dtype=bool)
+        for x, y in self._candidates():
+            hit[x] = hit[y] = True
+        return pd.DataFrame({"node": self.nodes[hit]})
+
+    def links(self) -> pd.DataFrame:
+        """Verified links that join groups: at most one less than there are members.
+
+        A member is counted against all its candidates at once; those of its own group need no check any more.
+        """
+        sets = [np.frombuffer(g, np.uint64) for g in self.rows["grams"]]
+        used, place = np.unique(np.concatenate(sets), return_inverse=True)
+        ends = np.cumsum(self.sizes)
+        parts = [place[e - n:e] for e, n in zip(ends, self.sizes)]
+        mark, a, b = np.zeros(len(used), dtype=np.int64), [], []
+        for x, y in self._candidates():
+            mark[parts[x]] = 1
+            first = np.cumsum(self.sizes[y]) - self.sizes[y]
+            both = np.add.reduceat(mark[np.concatenate([parts[k] for k in y])], first)
+            mark[parts[x]] = 0
+            for k in y[100 * both >= self.percent * (self.sizes[y] + self.sizes[x] - both)]:
+                if self.group[k] != self.group[x]:
+                    self.group[self.group == self.group[k]] = self.group[x]
+                    a.append(min(self.nodes[x], self.nodes[k]))
+                    b.append(max(self.nodes[x], self.nodes[k]))
+        return pd.DataFrame({"a": np.array(a, dtype=np.int64), "b": np.array(b, dtype=np.int64)})
+
+
+def _compared(percent: int, found):
+    """``found`` of each group of rows sorted by (signature, i, j)."""
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held = None
-        found: list[tuple[np.ndarray, np.ndarray]] = []
         for rows in frames:
             rows = rows if held is None else pd.concat([held, rows], ignore_index=True)
             key = rows[["signature", "i", "j"]].to_numpy()
             starts = np.flatnonzero(np.concatenate(([True], (key[1:] != key[:-1]).any(axis=1))))
             for first, last in zip(starts[:-1], starts[1:]):  # the last one may go on
-                found.extend(compare(rows.iloc[first:last]))
+                yield found(_Together(rows.iloc[first:last], percent))
             held = rows.iloc[starts[-1]:]
-            if found:
-                yield pd.DataFrame({"a": np.concatenate([a for a, _ in found]), "b": np.concatenate([b for _, b in found])}).drop_duplicates()
-                found = []
         if held is not None:
-            found.extend(compare(held))
-            if found:
-                yield pd.DataFrame({"a": np.concatenate([a for a, _ in found]), "b": np.concatenate([b for _, b in found])}).drop_duplicates()
+            yield found(_Together(held, percent))
     return run
 
 
-def _near_of_many(members: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    """Near pairs that share a signature of many members: blocks of bounded size against blocks, only what the bitmaps allow comes out."""
+def _dealt(members: DataFrame, more: DataFrame, *columns: str) -> DataFrame:
+    """Members of signatures in blocks of bounded size, once per pair of blocks they are in."""
+    wide = F.greatest(F.col("members") / BLOCK_MEMBERS, F.col("grams_in_all") * 8 / BLOCK_BYTES)
     block = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-    placed = members.withColumn("blocks", F.ceil(F.col("members") / BLOCK_MEMBERS)).withColumn("block", block).withColumn(
+    placed = members.withColumn("blocks", F.ceil(wide)).withColumn("block", block).withColumn(
         "other", F.explode(F.sequence(F.lit(0), (F.col("blocks") - 1).cast("int"))))
-    dealt = placed.join(nodes.select("node", "bitmap"), "node").select(
-        "signature", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "n", "root", "bitmap")
-    ordered = dealt.repartition("signature", "i", "j").sortWithinPartitions("signature", "i", "j")
-    return ordered.mapInPandas(_compared(percent), "a long, b long").distinct()
+    dealt = placed.join(more, "node").select(
+        "signature", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "n", "root", *columns)
+    return dealt.repartition("signature", "i", "j").sortWithinPartitions("signature", "i", "j")
+
+
+def _counted_members(members: DataFrame) -> DataFrame:
+    sums = members.groupBy("signature").agg(F.count(F.lit(1)).alias("members"), F.sum("n").alias("grams_in_all"))
+    return materialise(members.join(sums, "signature"), "counted")
+
+
+def _near_members(many: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """The members of large signatures whose bitmaps allow a partner in another group."""
+    dealt = _dealt(many, nodes.select("node", "bitmap"), "bitmap")
+    return materialise(dealt.mapInPandas(_compared(percent, _Together.near), "node long").distinct(), "near_members")
+
 
+def _links_of_many(many: DataFrame, nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links within large signatures: blocks against blocks, verified where they meet, no more than join groups."""
+    dealt = _dealt(many, nodes.select("node", "bitmap").join(sets, "node"), "bitmap", "grams")
+    return dealt.mapInPandas(_compared(percent, _Together.links), "a long, b long").distinct()
 
-def _open_near(members: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    """Every pair of different groups that shares a signature and that the bitmaps do not rule out."""
-    counted = members.join(members.groupBy("signature").agg(F.count(F.lit(1)).alias("members")), "signature")
-    counted = materialise(counted, "counted")
-    few = counted.filter(F.col("members") <= FEW_MEMBERS).drop("members")
+
+class _Sets:
+    """Whole sets of nodes, read again from the texts when they are first wanted."""
+
+    def __init__(self, nodes: DataFrame, rows: DataFrame, n: int):
+        self.nodes, self.rows, self.n, self.held = nodes, rows, n, None
+
+    def of(self, wanted: DataFrame) -> DataFrame | None:
+        wanted = wanted.select("node").distinct()
+        if self.held is not None:
+            wanted = wanted.join(self.held.select("node"), "node", "left_anti")
+        keys = materialise(wanted.join(self.nodes, "node").select("place.row_key"), "wanted")
+        if self.held is None or not keys.isEmpty():
+            more = materialise(_sets_of(self.rows, keys, self.n), "sets")
+            self.held = more if self.held is None else self.held.unionByName(more)
+        return self.held
+
+
+def _verified(near: DataFrame, sets: _Sets, percent: int) -> DataFrame | None:
+    near = materialise(near, "near")
+    if near.isEmpty():
+        return None
+    whole = sets.of(near.select(F.explode(F.array("a", "b")).alias("node")))
+    return materialise(_links(near, whole, percent), "links")
+
+
+def _open_links(members: DataFrame, nodes: DataFrame, sets: _Sets, percent: int) -> list[DataFrame | None]:
+    """Links that join all groups which pairs sharing a signature still join."""
+    counted = _counted_members(members)
+    few = counted.filter(F.col("members") <= FEW_MEMBERS).drop("members", "grams_in_all")
+    out = [_verified(_near(_pairs_of_few(few, percent), nodes, percent), sets, percent)]
     many = counted.filter(F.col("members") > FEW_MEMBERS)
-    return _near(_pairs_of_few(few, percent), nodes, percent).unionByName(_near_of_many(many, nodes, percent)).distinct()
+    if not many.isEmpty():
+        near = _near_members(many, nodes, percent)
+        if not near.isEmpty():
+            whole = sets.of(near)
+            left = _counted_members(many.drop("members", "grams_in_all").join(near, "node", "left_semi"))
+            out.append(materialise(_links_of_many(left, nodes, whole, percent), "links"))
+    return out
 
 
 def _roots(members: DataFrame, nodes: DataFrame, rows: DataFrame, percent: int, n: int) -> DataFrame:
     """``(node, root)`` of all linked nodes: hubs first, then every pair that is still open."""
     roots = members.select("node", F.col("node").alias("root")).limit(0)
-    edges = sets = None
+    edges, sets = None, _Sets(nodes, rows, n)
     for turn in range(HUB_ROUNDS + 1):
         still = materialise(_mixed(members, roots), "mixed")
         if still.isEmpty():
             break
         if turn < HUB_ROUNDS:
-            near = _near(_hub_pairs(still, turn, percent), nodes, percent)
+            found = [_verified(_near(_hub_pairs(still, turn, percent), nodes, percent), sets, percent)]
         else:
-            near = _open_near(still, nodes, percent)
-        near = materialise(near, "near")
-        if near.isEmpty():
-            continue
-        wanted = near.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-        if sets is not None:
-            wanted = wanted.join(sets.select("node"), "node", "left_anti")
-        keys = materialise(wanted.join(nodes, "node").select("place.row_key"), "wanted")
-        if sets is None or not keys.isEmpty():
-            more = materialise(_sets_of(rows, keys, n), "sets")
-            sets = more if sets is None else sets.unionByName(more)
-        found = materialise(_links(near, sets, percent), "links")
-        if found.isEmpty():
+            found = _open_links(still, nodes, sets, percent)
+        found = [links for links in found if links is not None and not links.isEmpty()]
+        if not found:
             continue
-        edges = found if edges is None else edges.unionByName(found)
+        for links in found:
+            edges = links if edges is None else edges.unionByName(links)
         roots = components(edges)
     return roots
 

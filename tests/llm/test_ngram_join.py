@@ -134,3 +134,28 @@ def test_words_follow_the_rule():
     assert got == [4, 0, 0, 1, 2]
     a, b = (next(iter(word_hashes(as_bytes([t])))) for t in ("One two three", "one TWO three"))
     assert (a == b).all() and len(windows(a, 3)) == 1 and len(windows(a[:2], 3)) == 1 and len(windows(a[:0], 3)) == 0
+
+
+def test_links_of_large_groups_are_linear(spark, monkeypatch):
+    """3,000 near copies of one text, none the base itself: what leaves the tasks grows with the members, not their pairs."""
+    rng = random.Random(6)
+    base = [f"b{i}" for i in range(100)]
+    rows = []
+    for i in range(3000):
+        words = list(base)
+        words[rng.randrange(50)] = f"x{i}"
+        rows.append((i, " ".join(words)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(8)
+    monkeypatch.setattr(nj, "HUB_ROUNDS", 0)
+    counts = []
+    whole = nj._links_of_many
+
+    def counting(many, nodes, sets, percent):
+        links = nj.materialise(whole(many, nodes, sets, percent))
+        counts.append((links.count(), many.count()))
+        return links
+    monkeypatch.setattr(nj, "_links_of_many", counting)
+    groups = nj.near_groups(docs)
+    assert groups.select("group_id").distinct().count() == 1
+    [(links, members)] = counts
+    assert links <= 8 * members
