@@ -31,9 +31,10 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from rollbook.llm.packing import COMMON, RANKS, TOKENIZER, _encoders, _place
 from rollbook.session import materialise
 
-BYTE_LEVEL = "byte_bpe_50k.json"
+BYTE_LEVEL = TOKENIZER
 PIECES = "piece_bpe_32k.model"
 BLOCK_BYTES = 4 << 20
 PART_CHARS = 1 << 18
@@ -44,14 +45,6 @@ SEAM = re.compile(r"[a-z](?= [a-z])")
 SPACE_MARK = "▁"
 
 
-def _place(name: str) -> str:
-    if os.path.isabs(name):
-        return name
-    import public_tokenizers
-
-    return public_tokenizers.path(name)
-
-
 def _byte_letters() -> dict[str, int]:
     """The letter each byte is written as in byte-level vocabularies: printable ones as they are, the others from U+0100 on."""
     plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
@@ -64,7 +57,8 @@ class Vocabulary:
 
     def __init__(self, tokens: Sequence[bytes]):
         self.tokens = tokens
-        self.sizes = np.array([len(t) for t in tokens], dtype=np.int64)
+        self.lengths = [len(t) for t in tokens]
+        self.sizes = np.array(self.lengths, dtype=np.int64)
         self.spaced = np.array([t[:1] == b" " for t in tokens])
 
 
@@ -79,6 +73,7 @@ class Tokenizers:
         self.a = Tokenizer.from_file(_place(first))
         self.a.encode_special_tokens = True
         self.b = SentencePieceProcessor(model_file=_place(second))
+        self.fast = _encoders(first, RANKS)[0] if first == TOKENIZER else None
         letters = _byte_letters()
         names = [self.a.id_to_token(i) for i in range(self.a.get_vocab_size())]
         self.of_a = Vocabulary([bytes(letters[c] for c in n) if all(c in letters for c in n) else n.encode() for n in names])
@@ -99,15 +94,20 @@ class Tokenizers:
             at = seam.end() + 1
         yield text[at:]
 
+    def _first(self, part: str) -> list[int]:
+        """Ids by the first tokenizer, of texts in common characters through an equal, faster implementation of its vocabulary."""
+        if self.fast is not None and COMMON.fullmatch(part):
+            return self.fast.encode_ordinary(" " + part)
+        return self.a.encode(" " + part, add_special_tokens=False).ids
+
     def encode(self, texts: Sequence[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Per text the ids of both; empty where the bytes of their tokens are not the text's."""
         parts = [list(self._parts(t)) for t in texts]
-        flat = [p for own in parts for p in own]
-        a = [e.ids for e in self.a.encode_batch_fast([" " + p for p in flat], add_special_tokens=False)]
-        b = self.b.encode(flat, num_threads=1)
+        b = self.b.encode([p for own in parts for p in own], num_threads=1)
         at = 0
         for text, own in zip(texts, parts):
-            x, y = ([i for ids in side[at:at + len(own)] for i in ids] for side in (a, b))
+            x = self._first(own[0]) if len(own) == 1 else [i for p in own for i in self._first(p)]
+            y = b[at] if len(own) == 1 else [i for ids in b[at:at + len(own)] for i in ids]
             at += len(own)
             whole = (" " + text).encode("utf-8", "surrogatepass")
             right = text and all(b"".join(map(v.tokens.__getitem__, ids)) == whole for v, ids in ((self.of_a, x), (self.of_b, y)))
@@ -136,9 +136,12 @@ def anchors(a: np.ndarray, b: np.ndarray, of_a: Vocabulary, of_b: Vocabulary) ->
 
 def align(a: Sequence[int], b: Sequence[int], of_a: Vocabulary, of_b: Vocabulary) -> tuple[bytes, int, list[int]]:
     """One window: its groups as text, their number, and its linked id pairs."""
+    size_a, size_b = of_a.lengths, of_b.lengths
+    if len(a) == len(b) == 1:
+        return b"%d|%d" % (a[0], b[0]), 1, [a[0] << _ID_BITS | b[0]]
     groups, links = [], []
     i = j = first_a = first_b = 0
-    end_a, end_b = int(of_a.sizes[a[0]]), int(of_b.sizes[b[0]])
+    end_a, end_b = size_a[a[0]], size_b[b[0]]
     while True:
         links.append(a[i] << _ID_BITS | b[j])
         if end_a == end_b:
@@ -147,13 +150,13 @@ def align(a: Sequence[int], b: Sequence[int], of_a: Vocabulary, of_b: Vocabulary
             first_a, first_b = i, j
             if i == len(a):
                 return ";".join(groups).encode(), len(groups), links
-            end_a, end_b = end_a + int(of_a.sizes[a[i]]), end_b + int(of_b.sizes[b[j]])
+            end_a, end_b = end_a + size_a[a[i]], end_b + size_b[b[j]]
         elif end_a < end_b:
             i += 1
-            end_a += int(of_a.sizes[a[i]])
+            end_a += size_a[a[i]]
         else:
             j += 1
-            end_b += int(of_b.sizes[b[j]])
+            end_b += size_b[b[j]]
 
 
 class Windows:

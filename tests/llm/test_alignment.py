@@ -109,3 +109,13 @@ def test_windows_are_aligned_once():
     i, j = alignment.anchors(a, b, both.of_a, both.of_b)
     assert i[0] == j[0] == 0 and i[-1] == len(a) and j[-1] == len(b)
     assert (np.cumsum(both.of_a.sizes[a])[i[1:] - 1] == np.cumsum(both.of_b.sizes[b])[j[1:] - 1]).all()
+
+
+def test_the_faster_implementation_gives_the_same_ids():
+    """Random strings over all characters that go through it."""
+    both = alignment.tokenizers()
+    rng = random.Random(5)
+    for _ in range(4000):
+        text = "".join(chr(rng.choice([rng.randrange(0x250), rng.randrange(0x80), 32])) for _ in range(rng.randint(1, 40)))
+        assert both.fast is not None and both._first(text) == both.a.encode(" " + text, add_special_tokens=False).ids
+    assert both._first("a<|endoftext|>b") == both.a.encode(" a<|endoftext|>b", add_special_tokens=False).ids
