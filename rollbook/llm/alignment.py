@@ -1,6 +1,6 @@
 """Tokens of two tokenizers laid over each other.
 
-Every text is tokenised whole by both, once.  Where a token of each begins with a space at the same byte, what
+Every text is tokenised whole by both, once; its ids are put together from units between cuts that both make.  Where a token of each begins with a space at the same byte, what
 lies before ends at the same byte too: there the text is cut.  Between two such anchors
 lies a window, a pair of id tuples, and windows repeat: a task aligns each pair of tuples once and keeps
 what it found (groups, links) by the tuples.  Inside a window the byte ends of both sides give the groups (ends that both
@@ -12,7 +12,7 @@ blocks, each pair's count goes back to the blocks that hold it by a join, and th
 window, then each text, adds up its links.
 
 Cases: a NULL or empty text, or one whose bytes the tokenizers do not give back, has no tokens: zeros and an empty string;
-special tokens inside texts are plain text; very long texts are tokenised in parts that end where both cut anyway;
+special tokens inside texts are plain text; texts of any length are tokenised in units that end where both cut anyway;
 repeated rows are texts of their own, and their links count; a NULL id stays NULL;
 an empty table gives an empty result; other columns are not read, whatever their names.
 """
@@ -37,11 +37,12 @@ from rollbook.session import materialise
 BYTE_LEVEL = TOKENIZER
 PIECES = "piece_bpe_32k.model"
 BLOCK_BYTES = 4 << 20
-PART_CHARS = 1 << 18
+MEMO_UNITS = 1 << 18
+MEMO_CHARS = 200
 MEMO_WINDOWS = 1 << 18
 _ID_BITS = 20
-# Both tokenizers cut between a letter and a space before a letter.
-SEAM = re.compile(r"[a-z](?= [a-z])")
+# A space and all up to the next space that follows a character other than white space: there both tokenizers cut, whatever comes.
+UNIT = re.compile(r" \s*+(?:\S++(?:[^\S ]\s*+)?+)*+")
 SPACE_MARK = "▁"
 
 
@@ -63,7 +64,7 @@ class Vocabulary:
 
 
 class Tokenizers:
-    """Both tokenizers.  ``encode`` gives the ids of a text's parts by each, the text with a space in front."""
+    """Both tokenizers, for texts with a space in front.  Units of text repeat, so their ids are kept."""
 
     def __init__(self, first: str, second: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -80,38 +81,38 @@ class Tokenizers:
         pieces = [self.b.id_to_piece(i) for i in range(self.b.vocab_size())]
         self.of_b = Vocabulary([
             bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace(SPACE_MARK, " ").encode() for i, p in enumerate(pieces)])
+        self.units: dict[str, tuple[bytes, bytes] | None] = {}
         # a piece with a space after another character would reach over a cut before a space
         self.cuts = not any(SPACE_MARK in p.lstrip(SPACE_MARK) for p in pieces)
 
-    def _parts(self, text: str) -> Iterator[str]:
-        """A text in parts, each but the first without the space it began with."""
-        at = 0
-        while self.cuts and len(text) - at > PART_CHARS:
-            seam = SEAM.search(text, at + PART_CHARS)
-            if seam is None:
-                break
-            yield text[at:seam.end()]
-            at = seam.end() + 1
-        yield text[at:]
-
-    def _first(self, part: str) -> list[int]:
-        """Ids by the first tokenizer, of texts in common characters through an equal, faster implementation of its vocabulary."""
-        if self.fast is not None and COMMON.fullmatch(part):
-            return self.fast.encode_ordinary(" " + part)
-        return self.a.encode(" " + part, add_special_tokens=False).ids
-
-    def encode(self, texts: Sequence[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Per text the ids of both; empty where the bytes of their tokens are not the text's."""
-        parts = [list(self._parts(t)) for t in texts]
-        b = self.b.encode([p for own in parts for p in own], num_threads=1)
-        at = 0
-        for text, own in zip(texts, parts):
-            x = self._first(own[0]) if len(own) == 1 else [i for p in own for i in self._first(p)]
-            y = b[at] if len(own) == 1 else [i for ids in b[at:at + len(own)] for i in ids]
-            at += len(own)
-            whole = (" " + text).encode("utf-8", "surrogatepass")
-            right = text and all(b"".join(map(v.tokens.__getitem__, ids)) == whole for v, ids in ((self.of_a, x), (self.of_b, y)))
-            yield (np.array(x, dtype=np.uint32), np.array(y, dtype=np.uint32)) if right else (_NO_IDS, _NO_IDS)
+    def _of_unit(self, unit: str) -> tuple[bytes, bytes] | None:
+        """Ids of a unit, which begins with a space; None if the tokens' bytes are not the unit's."""
+        if self.fast is not None and COMMON.fullmatch(unit):
+            a = self.fast.encode_ordinary(unit)
+        else:
+            a = self.a.encode(unit, add_special_tokens=False).ids
+        # the second tokenizer puts a space in front of what it gets, but of nothing it makes nothing
+        b = self.b.encode(unit[1:]) if len(unit) > 1 else [self.b.piece_to_id(SPACE_MARK)]
+        whole = unit.encode("utf-8", "surrogatepass")
+        if any(b"".join(map(v.tokens.__getitem__, ids)) != whole for v, ids in ((self.of_a, a), (self.of_b, b))):
+            return None
+        return np.array(a, dtype=np.uint32).tobytes(), np.array(b, dtype=np.uint32).tobytes()
+
+    def encode(self, text: str) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of a whole text by both; none where the bytes of its tokens are not the text's."""
+        known, parts = self.units, []
+        for unit in (UNIT.findall(" " + text) if self.cuts else [" " + text]) if text else []:
+            found = known.get(unit, False)
+            if found is False:
+                if len(known) >= MEMO_UNITS:
+                    known.clear()
+                found = self._of_unit(unit)
+                if len(unit) <= MEMO_CHARS:
+                    known[unit] = found
+            if found is None:
+                return _NO_IDS, _NO_IDS
+            parts.append(found)
+        return tuple(np.frombuffer(b"".join([p[k] for p in parts]), dtype=np.uint32) for k in (0, 1))
 
 
 _NO_IDS = np.empty(0, dtype=np.uint32)
@@ -258,14 +259,11 @@ def _blocks(frames: Iterator[pd.DataFrame], first: str, second: str) -> Iterator
     for rows in frames:
         texts = [t or "" for t in rows["text"]]
         ids = [None if pd.isna(i) else int(i) for i in rows["id"]]
-        sizes = np.array([len(t) for t in texts])
-        cuts = np.flatnonzero(np.diff(np.cumsum(sizes) // PART_CHARS, prepend=0)).tolist()
-        for at, to in zip([0, *cuts], [*cuts, len(texts)]):
-            for doc_id, size, (a, b) in zip(ids[at:to], sizes[at:to].tolist(), both.encode(texts[at:to])):
-                block.add(doc_id, size, a, b)
-                if block.bytes >= BLOCK_BYTES:
-                    yield block.drain(number)
-                    number += 1
+        for doc_id, text in zip(ids, texts):
+            block.add(doc_id, len(text), *both.encode(text))
+            if block.bytes >= BLOCK_BYTES:
+                yield block.drain(number)
+                number += 1
     if block.rows:
         yield block.drain(number)
 

@@ -63,9 +63,9 @@ def corpus(words, n=60):
 COLUMNS = ("id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
 
 
-@pytest.mark.parametrize("block,part,memo", [(4 << 20, 1 << 18, 1 << 18), (500, 200, 10)])
-def test_equals_a_plain_walk(documents, words, monkeypatch, block, part, memo):
-    for name, value in (("BLOCK_BYTES", block), ("PART_CHARS", part), ("MEMO_WINDOWS", memo)):
+@pytest.mark.parametrize("block,units,memo", [(4 << 20, 1 << 18, 1 << 18), (500, 20, 10)])
+def test_equals_a_plain_walk(documents, words, monkeypatch, block, units, memo):
+    for name, value in (("BLOCK_BYTES", block), ("MEMO_UNITS", units), ("MEMO_WINDOWS", memo)):
         monkeypatch.setattr(alignment, name, value)
     rows = corpus(words)
     found, pairs = alignment.align_documents(documents([(i, t, "en", "s") for i, t in rows]).repartition(3))
@@ -89,21 +89,24 @@ def test_empty(documents):
     assert [tuple(r) for r in found.select(*COLUMNS).collect()] == [(1, 0, 0, 0, 0, 0, 0, "")] and pairs.count() == 0
 
 
-def test_long_texts_are_cut_where_both_cut(words, monkeypatch):
-    rng = random.Random(8)
-    text = words(rng, 3000, ["ab", "c, d", "ef\n", "9", "gh", "é"])
+def test_units_end_where_both_tokenizers_cut(words):
+    """Random texts, white space of all kinds in runs, against the ids of the texts in one piece."""
     both = alignment.tokenizers()
-    [whole] = list(both.encode([text]))
-    monkeypatch.setattr(alignment, "PART_CHARS", 60)
-    [cut] = list(both.encode([text]))
-    assert len(list(both._parts(text))) > 50
-    assert all((x == y).all() for x, y in zip(whole, cut)) and len(whole[0]) > 3000
+    rng = random.Random(8)
+    space = [" ", " ", " ", "  ", "\n", " \n", "\n ", " \n  ", "\t", "\u00a0", "\u3000 ", "\x1c", "\x85 ", "   \n\n "]
+    stems = ["word", "It's", "'s", "12", "3.5", ",", "...", "é", "ÀB", "日本", "<|endoftext|>", "(x", "_", "ﬁ", "\x00", "<0x41>", "𠮷"]
+    for _ in range(3000):
+        text = "".join(rng.choice(rng.choice((space, stems))) for _ in range(rng.randint(1, 25)))
+        a, b = both.encode(text)
+        assert a.tolist() == both.a.encode(" " + text, add_special_tokens=False).ids and b.tolist() == both.b.encode(text)
+    text = words(rng, 20_000, ["ab", "c, d", "ef\n", "9", "gh", "é"])
+    assert both.encode(text)[1].tolist() == both.b.encode(text)
 
 
 def test_windows_are_aligned_once():
     both = alignment.tokenizers()
     windows = alignment.Windows(both)
-    [(a, b)] = list(both.encode([("the same words " * 40).strip()]))
+    a, b = both.encode(("the same words " * 40).strip())
     own = windows.of(a, b)
     assert len(own) == 120 and len(windows.texts) == 3
     i, j = alignment.anchors(a, b, both.of_a, both.of_b)
@@ -116,6 +119,5 @@ def test_the_faster_implementation_gives_the_same_ids():
     both = alignment.tokenizers()
     rng = random.Random(5)
     for _ in range(4000):
-        text = "".join(chr(rng.choice([rng.randrange(0x250), rng.randrange(0x80), 32])) for _ in range(rng.randint(1, 40)))
-        assert both.fast is not None and both._first(text) == both.a.encode(" " + text, add_special_tokens=False).ids
-    assert both._first("a<|endoftext|>b") == both.a.encode(" a<|endoftext|>b", add_special_tokens=False).ids
+        text = " " + "".join(chr(rng.choice([rng.randrange(0x250), rng.randrange(0x80), 32])) for _ in range(rng.randint(1, 40)))
+        assert both.fast.encode_ordinary(text) == both.a.encode(text, add_special_tokens=False).ids
