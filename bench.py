@@ -25,6 +25,7 @@ HEADLINE = [
     "audit_columns", "audit_identical_fields", "audit_summary", "pack_batches", "batch_summary", "coverage", "clean_text", "search_shadow",
     "profile_columns", "normalize_candidates", "apply_normalization", "similar_values", "raw_preserved", "validate_findings",
     "evidence_index", "evidence_appendix", "feedback_to_lessons", "trigram_index", "scan_register", "lexical_trigram", "pack_sparse",
+    "lexical_many_terms", "approx_distinct", "ledger_appends", "filter_table_dictionary",
     "register_question", "register_tables", "register_evidence", "dictionary_resolve_table", "validate_many_documents",
 ]
 
