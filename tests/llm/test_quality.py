@@ -51,6 +51,46 @@ def test_noise_gives_no_rule():
     assert ql.learn(table(2000, 2), np.random.default_rng(3).random(2000) < 0.1) == []
 
 
+def test_a_rule_from_few_bad_rows():
+    values = table(600, 4)
+    bad = np.zeros(600, dtype=bool)
+    bad[::60] = True  # ten rows
+    values["symbols_per_word"][bad] += 1.5
+    rules = ql.learn(values, bad)
+    hit = np.zeros(600, dtype=bool)
+    for rule in rules:
+        hit |= ql._covered(rule, values, 600)
+    assert (hit & bad).sum() == 10 and not (hit & ~bad).any()
+
+
+def test_chance_is_the_binomial_tail():
+    import itertools
+    import math
+    share, n = 0.3, 6
+    for p in range(n + 1):
+        plain = sum(math.prod(share if x else 1 - share for x in draw) for draw in itertools.product((0, 1), repeat=n) if sum(draw) >= p)
+        assert math.isclose(ql.by_chance(p, n, share), plain, rel_tol=1e-9)
+    assert ql.by_chance(1, 3, 0.0) == 0.0 and ql.by_chance(3, 3, 1.0) == 1.0
+
+
+def test_verdicts_equal_a_plain_walk_over_the_rules(spark, documents, words):
+    rng = random.Random(12)
+    texts = [words(rng, rng.randint(0, 90), ["ab", "C", "#", "9", "!"]) for _ in range(120)] + ["", None, "x " * 40_000]
+    measured = ql.statistics(documents([(i, t, "en", "s") for i, t in enumerate(texts)])).cache()
+    rules = [(ql.Condition("symbols_per_word", True, 0.5), ql.Condition("words", True, 20.0)), (ql.Condition("word_length", False, 3.0),),
+             (ql.Condition("digits", True, 0.2), ql.Condition("upper_case", False, 0.1))]
+    rows = measured.select("doc_id", ql.verdict(rules).alias("kept"), *[c.alias(n) for n, c in ql.features().items()]).collect()
+
+    def kept(row):
+        for rule in rules:
+            if all(row[c.feature] > c.cut if c.above else row[c.feature] <= c.cut for c in rule):
+                return False
+        return True
+
+    assert len({r.kept for r in rows}) == 2
+    assert [r.kept for r in rows] == [kept(r) for r in rows]
+
+
 def test_rules_run_as_expressions(spark, documents):
     clean = "\n".join(" ".join(f"word{i * 20 + j}" for j in range(20)) for i in range(4))
     rows = [(i, clean.replace("word", f"w{i}x"), "en", "s") for i in range(200)] + [
