@@ -29,6 +29,8 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -55,8 +57,8 @@ FEW_MEMBERS = 16
 BLOCK_MEMBERS = 512
 BLOCK_BYTES = 8 << 20
 SALTS = 8
-# Texts worked off at a time inside a task.
-PART_CHARS = 1 << 21
+# Bytes of texts or sets worked off at a time inside a task, besides the Arrow batch they lie in.
+PART_BYTES = 1 << 21
 
 # Places of the map that tells which texts to read again: 1 MB, whatever the number of texts.
 MAP_BITS = 23
@@ -64,10 +66,28 @@ MAP_BITS = 23
 
 def gram_sets(texts, n: int = N) -> Iterator[np.ndarray]:
     """The distinct n-grams of each text as sorted hashes."""
-    for words in word_hashes(as_bytes(texts)):
+    return _sets_of_bytes(as_bytes(texts), n)
+
+
+def _sets_of_bytes(texts: list[bytes], n: int) -> Iterator[np.ndarray]:
+    for words in word_hashes(texts):
         yield distinct(windows(words, n))
 
 
+def _in_parts(batches: Iterator[pa.RecordBatch], *wide: str) -> Iterator[pa.RecordBatch]:
+    """Batches in parts of about ``PART_BYTES`` of their wide columns; a part shares its batch's memory."""
+    for batch in batches:
+        sizes = sum(pc.fill_null(pc.binary_length(batch.column(c)), 0).to_numpy(zero_copy_only=False).astype(np.int64) for c in wide)
+        part = (np.cumsum(sizes) - sizes) // PART_BYTES
+        cuts = [*np.flatnonzero(np.diff(part, prepend=-1)).tolist(), batch.num_rows]
+        for first, last in zip(cuts[:-1], cuts[1:]):
+            yield batch.slice(first, last - first)
+
+
+def _texts(part: pa.RecordBatch) -> list[bytes]:
+    return [t or b"" for t in part.column("text").cast(pa.binary()).to_pylist()]
+
+
 def _digest(grams: np.ndarray) -> int | None:
     """A set's node: 64 bits of hash, none for the empty set."""
     return int.from_bytes(hashlib.blake2b(grams.tobytes(), digest_size=8).digest(), "big", signed=True) if len(grams) else None
@@ -141,7 +161,7 @@ def least_difference(a: bytes, b: bytes) -> int:
     return int((folded ^ y).sum())
 
 
-def _counted(frames: Iterator[pd.DataFrame], n: int) -> Iterator[pd.DataFrame]:
+def _counted(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
     """Counts of the grams of a task's sets by place, in compressed chunks; equal sets close together count once."""
     counts = np.zeros(1 << PLACE_BITS, dtype=np.uint32)
     held, size, seen = [], 0, set()
@@ -149,8 +169,8 @@ def _counted(frames: Iterator[pd.DataFrame], n: int) -> Iterator[pd.DataFrame]:
     def add() -> None:
         np.add.at(counts, (mix(np.concatenate(held)) >> np.uint64(64 - PLACE_BITS)).astype(np.int64), np.uint32(1))
 
-    for rows in frames:
-        for grams in gram_sets(rows["text"], n):
+    for part in _in_parts(batches, "text"):
+        for grams in _sets_of_bytes(_texts(part), n):
             digest = _digest(grams)
             if digest is None or digest in seen:
                 continue
@@ -166,7 +186,9 @@ def _counted(frames: Iterator[pd.DataFrame], n: int) -> Iterator[pd.DataFrame]:
         shard = TaskContext.get().partitionId() % SHARDS
         for chunk in range(1 << PLACE_BITS - CHUNK_BITS):
             part = counts[chunk << CHUNK_BITS:chunk + 1 << CHUNK_BITS]
-            yield pd.DataFrame({"chunk": [chunk], "shard": [shard], "counts": [zlib.compress(part.astype("<u8").tobytes(), 1)]})
+            packed = zlib.compress(part.astype("<u8").tobytes(), 1)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([chunk], pa.int32()), pa.array([shard], pa.int32()), pa.array([packed], pa.binary())], ["chunk", "shard", "counts"])
 
 
 def _added(rows: pd.DataFrame) -> pd.DataFrame:
@@ -180,39 +202,34 @@ def sketch_of(texts: DataFrame, n: int = N) -> Sketch:
     The order of grams depends on it, the groups found do not.
     """
     fields = "chunk int, shard int, counts binary"
-    parts = texts.mapInPandas(lambda frames: _counted(frames, n), fields).groupBy("chunk", "shard").applyInPandas(_added, fields)
+    parts = texts.mapInArrow(lambda batches: _counted(batches, n), fields).groupBy("chunk", "shard").applyInPandas(_added, fields)
     counts = np.zeros(1 << PLACE_BITS, dtype=np.uint64)
     for r in parts.groupBy("chunk").applyInPandas(_added, fields).collect():
         counts[r["chunk"] << CHUNK_BITS:r["chunk"] + 1 << CHUNK_BITS] = np.frombuffer(zlib.decompress(r["counts"]), "<u8")
     return Sketch.of(counts)
 
 
-def _in_parts(rows: pd.DataFrame, n: int) -> Iterator[tuple[pd.DataFrame, list[np.ndarray]]]:
-    """A batch in parts of bounded size, with the sets of their texts."""
-    sizes = rows["text"].str.len().fillna(0).to_numpy(dtype=np.int64)
-    for _, part in rows.groupby((np.cumsum(sizes) - sizes) // PART_CHARS, sort=True):
-        yield part, list(gram_sets(part["text"], n))
-
-
 def _described(docs: DataFrame, sketch: Sketch, percent: int, n: int) -> DataFrame:
     """``(id, row_key, node, n, signatures, bitmap)`` per row."""
     kind = docs.schema["id"].dataType.simpleString()
     held = docs.sparkSession.sparkContext.broadcast(sketch)
 
-    def describe(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for rows in frames:
-            for part, sets in _in_parts(rows, n):
-                yield pd.DataFrame({
-                    "id": part["id"], "row_key": part["row_key"], "node": pd.array([_digest(g) for g in sets], dtype="Int64"),
-                    "n": [len(g) for g in sets], "signatures": [signatures(g, held.value, percent) for g in sets], "bitmap": [bitmap(g) for g in sets]})
+    def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in _in_parts(batches, "text"):
+            sets = list(_sets_of_bytes(_texts(part), n))
+            yield pa.RecordBatch.from_arrays(
+                [part.column("id"), part.column("row_key"), pa.array([_digest(g) for g in sets], pa.int64()),
+                 pa.array([len(g) for g in sets], pa.int32()), pa.array([signatures(g, held.value, percent) for g in sets], pa.list_(pa.int64())),
+                 pa.array([bitmap(g) for g in sets], pa.binary())], ["id", "row_key", "node", "n", "signatures", "bitmap"])
 
-    return docs.mapInPandas(describe, f"id {kind}, row_key long, node long, n int, signatures array<long>, bitmap binary")
+    return docs.mapInArrow(describe, f"id {kind}, row_key long, node long, n int, signatures array<long>, bitmap binary")
 
 
-def _whole_sets(frames: Iterator[pd.DataFrame], n: int) -> Iterator[pd.DataFrame]:
-    for rows in frames:
-        for _, sets in _in_parts(rows, n):
-            yield pd.DataFrame({"node": pd.array([_digest(g) for g in sets], dtype="Int64"), "grams": [g.tobytes() for g in sets]})
+def _whole_sets(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
+    for part in _in_parts(batches, "text"):
+        sets = list(_sets_of_bytes(_texts(part), n))
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([_digest(g) for g in sets], pa.int64()), pa.array([g.tobytes() for g in sets], pa.binary())], ["node", "grams"])
 
 
 def _sets_of(rows: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
@@ -232,7 +249,7 @@ def _sets_of(rows: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
         .withColumn("_byte", byte).withColumn("_bit", bit).filter(marked).select("row_key", "text")
     )
     texts = likely.join(wanted, "row_key", "left_semi").select("text")
-    return texts.mapInPandas(lambda frames: _whole_sets(frames, n), "node long, grams binary").dropDuplicates(["node"])
+    return texts.mapInArrow(lambda batches: _whole_sets(batches, n), "node long, grams binary").dropDuplicates(["node"])
 
 
 def _close_sizes(a: Column, b: Column, percent: int) -> Column:
@@ -259,16 +276,17 @@ def _near(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
 
 def _links(near: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Those of the pairs (a, b) whose sets reach the threshold."""
-    @F.pandas_udf("boolean")
-    def do(x: pd.Series, y: pd.Series) -> pd.Series:
-        out = []
-        for a, b in zip(x, y):
-            a, b = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
-            both = len(np.intersect1d(a, b, assume_unique=True))
-            out.append(100 * both >= percent * (len(a) + len(b) - both))
-        return pd.Series(out)
-
-    return near.join(_side(sets, "a", "grams"), "a").join(_side(sets, "b", "grams"), "b").filter(do("grams_a", "grams_b")).select("a", "b")
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in _in_parts(batches, "grams_a", "grams_b"):
+            linked = []
+            for a, b in zip(part.column("grams_a"), part.column("grams_b")):
+                a, b = np.frombuffer(a.as_buffer(), np.uint64), np.frombuffer(b.as_buffer(), np.uint64)
+                both = len(np.intersect1d(a, b, assume_unique=True))
+                linked.append(100 * both >= percent * (len(a) + len(b) - both))
+            yield part.select(["a", "b"]).filter(pa.array(linked, pa.bool_()))
+
+    pairs = near.join(_side(sets, "a", "grams"), "a").join(_side(sets, "b", "grams"), "b").select("a", "b", "grams_a", "grams_b")
+    return pairs.mapInArrow(check, "a long, b long")
 
 
 def components(edges: DataFrame) -> DataFrame:
