@@ -8,6 +8,10 @@ blocks of queries, and drops what cannot be among the best k.  Exact vectors
 are then read in the order of their bounds: the k most promising first, whose
 exact scores settle how far down the order one has to read.
 
+In a cluster of nearly equal vectors cells tell nothing apart.  The integers therefore
+travel with the cells, and a block reads those of a query's vectors when too many
+are left, so that a query leaves a block with a bounded number of candidates.
+
 Of equal vectors only the k + 1 smallest ids can ever be among the best k of
 a query, so a large group of copies shrinks before the scan.
 
@@ -15,7 +19,8 @@ Cases: a vector that is NULL or holds a NULL, NaN or infinite component takes
 no part, nor does a row without id; repeated rows count once; rows with the
 query's id count as the query itself; only vectors of the same length are
 compared; scores beyond the range of a long are taken in doubles and held at
-its ends; an empty table gives an empty result.
+its ends, and a crowded block keeps all such candidates; columns besides id, vector
+and those of ``is_query`` are not read; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -37,6 +42,7 @@ SMALL_BLOCK = 4096
 BLOCK_QUERIES = 8192
 STRIP = 64
 CELL_BITS = 7
+CROWD = 4
 
 
 def quantised(vectors: DataFrame, id_column: str, vector_column: str, scale: int = SCALE) -> DataFrame:
@@ -55,22 +61,34 @@ def _peak(q: Column) -> Column:
 
 
 def _cells(vectors: DataFrame) -> DataFrame:
-    """``(id, dim, shift, cells)``: one signed byte per component."""
+    """``(id, dim, shift, cells, exact)``: one signed byte per component, and the integers in two bytes each, or eight."""
     def approximate(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in frames:
-            shifts, cells = [], []
+            shifts, cells, exact = [], [], []
             for q in rows["q"]:
                 q = np.asarray(q, dtype=np.int64)
                 peak = int(max(q.max(initial=0), ~q.min(initial=0)))
                 shift = max(0, peak.bit_length() - CELL_BITS)
                 shifts.append(shift)
                 cells.append((q >> shift).astype(np.int8).tobytes())
-            yield pd.DataFrame({"id": rows["id"], "dim": rows["q"].map(len), "shift": shifts, "cells": cells})
-    return vectors.select("id", "q").mapInPandas(approximate, "id long, dim int, shift int, cells binary")
+                exact.append(q.astype("<i2" if peak < 2**15 else "<i8").tobytes())
+            yield pd.DataFrame({"id": rows["id"], "dim": rows["q"].map(len), "shift": shifts, "cells": cells, "exact": exact})
+    return vectors.select("id", "q").mapInPandas(approximate, "id long, dim int, shift int, cells binary, exact binary")
+
+
+def _whole(packed: pd.Series, dim: int) -> np.ndarray:
+    """The exact integers of a block's vectors, one row each."""
+    out = np.zeros((len(packed), dim), dtype=np.int64)
+    for row, data in zip(out, packed):
+        row[:] = np.frombuffer(data, "<i2" if len(data) == 2 * dim else "<i8")
+    return out
 
 
 def _scan(k: int):
-    """Candidates of one block of queries in one block of cells."""
+    """Candidates of one block of queries in one block of cells.
+
+    Where the cells leave a query more than ``CROWD`` * k vectors, the block's exact vectors decide: k are left.
+    """
     def scan(cells: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
         found = [pd.DataFrame({"query": [], "id": [], "low": [], "high": []}).astype({"query": "int64", "id": "int64"})]
         if len(cells) and len(queries):
@@ -78,6 +96,7 @@ def _scan(k: int):
             dim = int(cells["dim"].iloc[0])
             corner = np.frombuffer(b"".join(cells["cells"]), dtype=np.int8).reshape(len(ids), dim).astype(np.float32).T
             unit = np.exp2(cells["shift"].to_numpy(dtype=np.float64))
+            whole, most = None, 0.0
             for at in range(0, len(queries), STRIP):
                 part = queries.iloc[at:at + STRIP]
                 q = np.array(part["q"].tolist(), dtype=np.float64).reshape(len(part), dim)
@@ -88,7 +107,22 @@ def _scan(k: int):
                 own = part["id"].to_numpy()[:, None] == ids
                 low[own] = -np.inf
                 floor = np.partition(low, len(ids) - k, axis=1)[:, len(ids) - k, None] if len(ids) > k else -np.inf
-                row, col = np.nonzero((high >= floor) & ~own)
+                open_ = (high >= floor) & ~own
+                for r in np.flatnonzero(open_.sum(axis=1) > CROWD * k):
+                    if whole is None:
+                        whole = _whole(cells["exact"], dim)
+                        most = np.abs(whole.astype(np.float64)).max(initial=0)
+                    col = np.flatnonzero(open_[r])
+                    bound = np.abs(q[r]).max(initial=0) * most * max(dim, 1)
+                    if bound >= 2.0**62:  # beyond exact integers; the exact vectors are read later
+                        continue
+                    kind = np.float64 if bound < 2.0**53 else np.int64
+                    score = whole[col].astype(kind) @ np.asarray(part["q"].iloc[r]).astype(kind)
+                    best = np.lexsort((ids[col], -score))[:k]
+                    open_[r] = False
+                    open_[r, col[best]] = True
+                    low[r, col[best]] = high[r, col[best]] = score[best]
+                row, col = np.nonzero(open_)
                 found.append(pd.DataFrame({
                     "query": part["query"].to_numpy()[row], "id": ids[col], "low": low[row, col], "high": high[row, col]}))
         return pd.concat(found, ignore_index=True)

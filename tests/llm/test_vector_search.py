@@ -47,6 +47,18 @@ def test_many_copies_of_one_vector(spark):
     assert run(spark, rows) == brute(rows, 10)
 
 
+@pytest.mark.parametrize("scale", [1, 1 << 12, 1 << 20])
+def test_a_cluster_of_nearly_equal_vectors(spark, scale):
+    rng = random.Random(8)
+    centre = [rng.uniform(-0.5, 0.5) for _ in range(12)]
+    rows = [(i, [scale * (x + rng.uniform(-0.002, 0.002)) for x in centre]) for i in range(2_000)]
+    assert run(spark, rows) == brute(rows, 10)
+    exact = vs.quantised(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), "vec_id", "embedding")
+    cells = vs._cells(exact).toPandas()
+    queries = exact.filter(F.col("id") % 100 == 0).select(F.col("id").alias("query"), "id", "q").toPandas()
+    assert vs._scan(10)(cells, queries).groupby("query").size().max() <= vs.CROWD * 10
+
+
 def test_huge_components_are_held(spark):
     got = run(spark, [(0, [1e300]), (1, [1e300]), (2, [-1e300])])
     assert [r[1:3] for r in got] == [(1, 1), (2, 2)] and got[0][3] == 2**63 - 1 and got[1][3] == -(2**63)
