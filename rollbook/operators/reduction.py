@@ -30,13 +30,18 @@ def id_filter(ids: DataFrame, id_column: str, n_ids: int) -> DataFrame:
     return ids.groupBy(F.bitmap_bucket_number(place).alias("_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("_bits"))
 
 
+def bit_is_set(bits: str, bit: Column) -> Column:
+    """Whether a bitmap column holds a place."""
+    byte = F.conv(F.hex(F.substring(bits, (F.floor(bit / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    mask = F.element_at(F.array(*[F.lit(1 << i) for i in range(8)]), (bit % 8 + 1).cast("int"))
+    return byte.bitwiseAND(mask) != 0
+
+
 def likely_rows(df: DataFrame, marks: DataFrame, id_column: str, buckets: int) -> DataFrame:
     """The rows whose id may be one of those in the filter; the filter is sent to all tasks."""
     place = _place(id_column, buckets)
-    bit = F.bitmap_bit_position(place)
-    byte = F.conv(F.hex(F.substring("_bits", F.shiftright(bit, 3).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-    marked = df.withColumns({"_bucket": F.bitmap_bucket_number(place), "_bit": bit}).join(F.broadcast(marks), "_bucket")
-    return marked.withColumn("_byte", byte).filter(F.expr("shiftright(_byte, cast(_bit & 7 as int)) & 1") == 1).select(*df.columns)
+    marked = df.withColumns({"_bucket": F.bitmap_bucket_number(place), "_bit": F.bitmap_bit_position(place)})
+    return marked.join(F.broadcast(marks), "_bucket").filter(bit_is_set("_bits", F.col("_bit"))).select(*df.columns)
 
 
 def reduced_semi_join(df: DataFrame, ids: DataFrame, id_column: str) -> DataFrame:

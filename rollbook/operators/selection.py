@@ -11,6 +11,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rollbook.fixed import JUDGMENTS
+from rollbook.operators.numbering import number_rows
+from rollbook.session import materialise
+
+# More ids than this do not meet in one task.
+REPORT_IDS = 10_000
+# Parts of a round's histogram, each a row on the driver.
+CUT_RANGES = 1024
 
 
 def candidate_ids(df: DataFrame, id_column: str, keep: Column) -> DataFrame:
@@ -43,8 +50,48 @@ def combine_ids(filtered: DataFrame | None, searched: DataFrame | None, operatio
 
 
 def limit_ids(ids: DataFrame, id_column: str, n: int) -> DataFrame:
-    """The first ``n`` ids in id order, which meet in one task.  For report limits; apply after set algebra."""
-    return ids.orderBy(id_column).limit(n)
+    """The first ``n`` ids in id order; apply after set algebra.
+
+    A report limit, up to ``REPORT_IDS``, meets in one task.  A larger one is a filter: up to a cut for whole
+    numbers and dates, by row numbers over range partitions for other ids.
+    """
+    if n <= REPORT_IDS:
+        return ids.orderBy(id_column).limit(n)
+    ids = materialise(ids.select(id_column), "ids")
+    if ids.schema[id_column].dataType.typeName() in ("byte", "short", "integer", "long", "date"):
+        return _up_to_cut(ids, id_column, n)
+    first = F.asc_nulls_first(id_column)
+    return number_rows(ids, [first], "_number").filter(F.col("_number") <= n).select(id_column)
+
+
+def _up_to_cut(ids: DataFrame, id_column: str, n: int) -> DataFrame:
+    """The ``n`` smallest of distinct whole numbers: histograms of ever narrower ranges find the last one taken.
+
+    Each round counts the ids of one range in ``CUT_RANGES`` parts, and goes on in the part that the limit falls
+    into, so that seven rounds find the cut among all 64-bit numbers.  NULL comes first, as in an ordered limit.
+    """
+    value = F.col(id_column)
+    if ids.schema[id_column].dataType.typeName() == "date":
+        value = F.unix_date(value)
+    value = value.cast("decimal(20,0)")
+    nulls, low, high = ids.agg(F.count_if(value.isNull()), F.min(value), F.max(value)).first()
+    if low is None:
+        return ids
+    low, high, left = int(low), int(high), n - nulls
+    values = ids.select(value.alias("_value"))
+    while low < high:
+        width = -(-(high - low + 1) // CUT_RANGES)
+        part = F.expr(f"int((_value - ({low}BD)) div {width}BD)").alias("part")
+        # one row per part, whatever the number of ids
+        counts = dict(values.filter(f"_value BETWEEN ({low}BD) AND ({high}BD)").groupBy(part).count().collect())
+        for at in range(CUT_RANGES):
+            if left <= counts.get(at, 0):
+                low, high = low + at * width, min(high, low + (at + 1) * width - 1)
+                break
+            left -= counts.get(at, 0)
+        else:
+            break  # fewer ids than the limit
+    return ids.filter(value.isNull() | (value <= F.lit(high).cast("decimal(20,0)")))
 
 
 def retrieval_trace(filtered: DataFrame, searched: DataFrame, id_column: str, operation: str = "INTERSECT") -> DataFrame:

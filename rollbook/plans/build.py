@@ -81,23 +81,28 @@ def propose(raw: DataFrame, folder: str, id_column: str | None = None, dictionar
 
 def finalise(
     raw: DataFrame, proposal: Proposal, folder: str, accept_pending: bool = False, dictionary: Dictionary = tuple(PHASES),
-    index: bool = False, exports: bool = True,
+    index: bool = False, exports: bool = True, buckets: int | None = None,
 ) -> Register:
     """Apply the accepted mappings; store both tables, the index, the checks and the CSV exports.
 
     The clean rows of the proposal are used as they are.  The trigram ``index`` is
     built on request, for registers that are searched very often: a scan finds the
-    same.  Leave out the CSV ``exports`` where nobody reads them.
+    same.  Leave out the CSV ``exports`` where nobody reads them.  With ``buckets``, both tables are stored in so many
+    by record id, and evidence is paired without a shuffle of texts.
     """
     found = roles_of(proposal.catalog)
     roles = {c: found[c] for c in proposal.columns}
     mappings = normalization.accept_pending(proposal.mappings) if accept_pending else proposal.mappings
     mapped = [c for c in proposal.columns if "normalizable" in ROLE_CAPABILITIES[roles[c]]]
     searched = [c for c in proposal.columns if roles[c] in ("short_text", "long_text")]
-    stored_raw = sinks.write_table(raw, f"{folder}/raw")
-    normalised = sinks.write_table(
-        normalization.apply_mappings(proposal.clean, mapped, mappings, "record_id"), f"{folder}/normalised"
-    )
+
+    def stored(table: DataFrame, name: str) -> DataFrame:
+        if buckets:
+            return sinks.write_bucketed(table, f"{folder}/{name}", "record_id", buckets)
+        return sinks.write_table(table, f"{folder}/{name}")
+
+    stored_raw = stored(raw, "raw")
+    normalised = stored(normalization.apply_mappings(proposal.clean, mapped, mappings, "record_id"), "normalised")
     if searched and index:
         grams = gram_index.write_index(normalised, "record_id", searched, f"{folder}/index", clean=True)
         indexed = gram_index.indexed_ids(grams, "record_id")

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rollbook.functions.predicates import condition
-from rollbook.operators import gram_index, lexical, selection
+from rollbook.operators import gram_index, idsets, lexical, selection
+from rollbook.operators.numbering import number_rows
 from rollbook.operators.statistics import distribution
 from rollbook.queries.registry import query, table
 from rollbook.session import scratch_path
@@ -142,6 +143,56 @@ def set_except(spark: SparkSession, folder: str) -> DataFrame:
     return selection.combine_ids(_filtered(spark, folder), _searched(spark, folder), "EXCEPT")
 
 
+def _numbered_lines(spark: SparkSession, folder: str) -> DataFrame:
+    lines = table(spark, folder, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", "l_returnflag")
+    return number_rows(lines, ["l_orderkey", "l_linenumber"], "row_no")
+
+
+def _line_sets(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Large lines, and returned ones."""
+    kept = [condition("l_quantity", "gte", 30.0, "numeric"), condition("l_returnflag", "eq", "R", "status")]
+    large, returned = (idsets.id_set(rows.filter(k), "row_no") for k in kept)
+    return large, returned
+
+
+def _line_set_query(operation: str):
+    def build(spark: SparkSession, folder: str) -> DataFrame:
+        rows = _numbered_lines(spark, folder)
+        both = idsets.combine_sets(*_line_sets(rows), operation)
+        return idsets.members(rows, "row_no", both).select("l_orderkey", "l_linenumber", "l_quantity")
+    return build
+
+
+_LINES_SQL = "SELECT l_orderkey, l_linenumber, l_quantity FROM lineitem WHERE "
+for _operation, _where in {
+    "INTERSECT": "l_quantity >= 30 AND l_returnflag = 'R'", "UNION": "l_quantity >= 30 OR l_returnflag = 'R'",
+    "EXCEPT": "l_quantity >= 30 AND l_returnflag <> 'R'",
+}.items():
+    query(f"set_{_operation.lower()}_bitmap", _LINES_SQL + _where)(_line_set_query(_operation))
+
+
+@query("retrieval_trace_bitmap", """
+SELECT count(*) FILTER (l_quantity >= 30) AS sql_matched_count, count(*) FILTER (l_returnflag = 'R') AS fts_matched_count,
+  'EXCEPT' AS set_operation, count(*) FILTER (l_quantity >= 30 AND l_returnflag <> 'R') AS final_candidate_count FROM lineitem
+""")
+def retrieval_trace_bitmap(spark: SparkSession, folder: str) -> DataFrame:
+    """Both sides counted from bitmaps, one row per 32,768 line numbers."""
+    return idsets.set_trace(*_line_sets(_numbered_lines(spark, folder)), "EXCEPT")
+
+
+@query("coverage_bitmap", """
+WITH l AS (SELECT l_quantity >= 30 AS c, l_returnflag = 'R' AS e, l_linenumber = 1 AS f FROM lineitem)
+SELECT count(*) FILTER (c) AS total_candidates, count(*) FILTER (e) AS evaluated_count, count(*) FILTER (f) AS failed_count,
+  count(*) FILTER (c AND NOT e AND NOT f) AS skipped_count, count(*) FILTER (NOT c AND (e OR f)) AS outside_candidates,
+  round(count(*) FILTER (e) * 100.0 / count(*) FILTER (c), 2) AS coverage_percentage, FALSE AS is_100_percent_covered FROM l
+""")
+def coverage_bitmap(spark: SparkSession, folder: str) -> DataFrame:
+    """Large lines as candidates, returned ones as evaluated, first lines of orders as failed."""
+    rows = _numbered_lines(spark, folder)
+    large, returned = _line_sets(rows)
+    return idsets.set_coverage(large, returned, idsets.id_set(rows.filter("l_linenumber = 1"), "row_no"))
+
+
 _TRACE_SQL = f"""
 SELECT count(*) FILTER (lang = 'en') AS sql_matched_count, count(*) FILTER ({SEARCH_SQL}) AS fts_matched_count,
   'INTERSECT' AS set_operation, count(*) FILTER (lang = 'en' AND {SEARCH_SQL}) AS final_candidate_count
@@ -171,6 +222,26 @@ def limit_candidates(spark: SparkSession, folder: str) -> DataFrame:
     return selection.limit_ids(ids, "o_orderkey", 100)
 
 
+_HALF_SQL = """
+SELECT {key} AS {name} FROM orders QUALIFY row_number() OVER (ORDER BY {key}) <= (SELECT count(*) // 2 FROM orders)
+"""
+
+
+@query("limit_half", _HALF_SQL.format(key="o_orderkey", name="o_orderkey"))
+def limit_half(spark: SparkSession, folder: str) -> DataFrame:
+    """Half of the orders as limit."""
+    orders = table(spark, folder, "orders")
+    return selection.limit_ids(orders.select("o_orderkey"), "o_orderkey", orders.count() // 2)
+
+
+@query("limit_half_text", _HALF_SQL.format(key="'REC-' || o_orderkey", name="record_id"))
+def limit_half_text(spark: SparkSession, folder: str) -> DataFrame:
+    """Half of them in the order of a text id."""
+    orders = table(spark, folder, "orders")
+    ids = orders.select(F.concat(F.lit("REC-"), F.col("o_orderkey").cast("string")).alias("record_id"))
+    return selection.limit_ids(ids, "record_id", orders.count() // 2)
+
+
 @query("restrict_to_candidates", """
 SELECT o.* FROM orders o WHERE EXISTS (SELECT 1 FROM lineitem l WHERE l.l_orderkey = o.o_orderkey AND l.l_quantity >= 49.0)
 """)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -170,10 +170,15 @@ def raw_view(df: DataFrame, id_column: str, columns: Sequence[str], source_file:
     )
 
 
-def row_fingerprints(df: DataFrame, id_column: str, columns: Sequence[str]) -> DataFrame:
-    """SHA-256 of each row's values, NULL told apart from the empty string."""
+def row_digest(columns: Sequence[str]) -> Column:
+    """SHA-256 of a row's values, NULL told apart from the empty string."""
     parts = [F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("~")) for c in columns]
-    return df.select(id_column, F.sha2(F.concat_ws("|", *parts), 256).alias("sha256"))
+    return F.sha2(F.concat_ws("|", *parts), 256)
+
+
+def row_fingerprints(df: DataFrame, id_column: str, columns: Sequence[str]) -> DataFrame:
+    """The digest of each row."""
+    return df.select(id_column, row_digest(columns).alias("sha256"))
 
 
 def table_fingerprint(df: DataFrame, columns: Sequence[str], blocks: int = FINGERPRINT_BLOCKS) -> DataFrame:
