@@ -2,9 +2,9 @@
 
 Every text is tokenised whole by both, once.  Where a token of each begins with a space at the same byte, what
 lies before ends at the same byte too: there the text is cut.  Between two such anchors
-lies a window, a pair of id tuples, and windows repeat: a task aligns each pair of tuples once and keeps
-what it found (groups, links) by the tuples.  Inside a window the byte ends of both sides give the groups (ends that both
-have) and the links (pairs whose byte ranges overlap).
+lies a window, a pair of id tuples, and windows repeat: a task aligns each pair of tuples once, those new in some texts
+together, and keeps what it found (groups, links) by the tuples.  Inside a window the byte ends of both sides give the groups
+(ends that both have) and the links (pairs whose byte ranges overlap).
 
 Texts are gathered in blocks of bounded size.  A block carries its windows by number, the links of each of its
 distinct windows and how often each distinct id pair is linked.  Counts of pairs are summed over all
@@ -57,9 +57,16 @@ class Vocabulary:
 
     def __init__(self, tokens: Sequence[bytes]):
         self.tokens = tokens
-        self.lengths = [len(t) for t in tokens]
-        self.sizes = np.array(self.lengths, dtype=np.int64)
+        self.sizes = np.array([len(t) for t in tokens], dtype=np.int64)
         self.spaced = np.array([t[:1] == b" " for t in tokens])
+        self.starts = np.cumsum(self.sizes) - self.sizes
+        self.flat = np.frombuffer(b"".join(tokens), dtype=np.uint8)
+
+    def joined(self, ids: np.ndarray) -> bytes:
+        """The bytes of the ids, one after the other."""
+        sizes = self.sizes[ids]
+        ends = np.cumsum(sizes)
+        return self.flat[np.repeat(self.starts[ids] - ends + sizes, sizes) + np.arange(sizes.sum())].tobytes()
 
 
 class Tokenizers:
@@ -94,11 +101,11 @@ class Tokenizers:
             at = seam.end() + 1
         yield text[at:]
 
-    def _first(self, part: str) -> list[int]:
+    def _first(self, part: str) -> np.ndarray:
         """Ids by the first tokenizer, of texts in common characters through an equal, faster implementation of its vocabulary."""
         if self.fast is not None and COMMON.fullmatch(part):
-            return self.fast.encode_ordinary(" " + part)
-        return self.a.encode(" " + part, add_special_tokens=False).ids
+            return self.fast.encode_to_numpy(" " + part, allowed_special=set(), disallowed_special=()).astype(np.uint32, copy=False)
+        return np.array(self.a.encode(" " + part, add_special_tokens=False).ids, dtype=np.uint32)
 
     def encode(self, texts: Sequence[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Per text the ids of both; empty where the bytes of their tokens are not the text's."""
@@ -106,15 +113,17 @@ class Tokenizers:
         b = self.b.encode([p for own in parts for p in own], num_threads=1)
         at = 0
         for text, own in zip(texts, parts):
-            x = self._first(own[0]) if len(own) == 1 else [i for p in own for i in self._first(p)]
-            y = b[at] if len(own) == 1 else [i for ids in b[at:at + len(own)] for i in ids]
+            x = np.concatenate([self._first(p) for p in own])
+            y = np.concatenate([np.array(ids, dtype=np.uint32) for ids in b[at:at + len(own)]])
             at += len(own)
             whole = (" " + text).encode("utf-8", "surrogatepass")
-            right = text and all(b"".join(map(v.tokens.__getitem__, ids)) == whole for v, ids in ((self.of_a, x), (self.of_b, y)))
-            yield (np.array(x, dtype=np.uint32), np.array(y, dtype=np.uint32)) if right else (_NO_IDS, _NO_IDS)
+            right = text and all(v.joined(ids) == whole for v, ids in ((self.of_a, x), (self.of_b, y)))
+            yield (x, y) if right else (_NO_IDS, _NO_IDS)
 
 
 _NO_IDS = np.empty(0, dtype=np.uint32)
+# No id of either.
+_BETWEEN = np.uint32(0xFFFFFFFF)
 
 
 @lru_cache(maxsize=2)
@@ -134,70 +143,107 @@ def anchors(a: np.ndarray, b: np.ndarray, of_a: Vocabulary, of_b: Vocabulary) ->
     return np.append(i, len(a)), np.append(j, len(b))
 
 
-def align(a: Sequence[int], b: Sequence[int], of_a: Vocabulary, of_b: Vocabulary) -> tuple[bytes, int, list[int]]:
-    """One window: its groups as text, their number, and its linked id pairs."""
-    size_a, size_b = of_a.lengths, of_b.lengths
-    if len(a) == len(b) == 1:
-        return b"%d|%d" % (a[0], b[0]), 1, [a[0] << _ID_BITS | b[0]]
-    groups, links = [], []
-    i = j = first_a = first_b = 0
-    end_a, end_b = size_a[a[0]], size_b[b[0]]
-    while True:
-        links.append(a[i] << _ID_BITS | b[j])
-        if end_a == end_b:
-            groups.append(",".join(map(str, a[first_a:i + 1])) + "|" + ",".join(map(str, b[first_b:j + 1])))
-            i, j = i + 1, j + 1
-            first_a, first_b = i, j
-            if i == len(a):
-                return ";".join(groups).encode(), len(groups), links
-            end_a, end_b = end_a + size_a[a[i]], end_b + size_b[b[j]]
-        elif end_a < end_b:
-            i += 1
-            end_a += size_a[a[i]]
-        else:
-            j += 1
-            end_b += size_b[b[j]]
+class GroupText:
+    """Writes groups of id tuples: each id with the mark that follows it comes from a table."""
+
+    def __init__(self, ids: int):
+        self.ids = ids
+        self.written = [b"%d%c" % (i, mark) for mark in b",|;\n" for i in range(ids)]
+
+    def __call__(self, ids: np.ndarray, marks: np.ndarray) -> bytes:
+        return b"".join(map(self.written.__getitem__, (marks * self.ids + ids).tolist()))
+
+
+def align(
+    a: np.ndarray, b: np.ndarray, sizes_a: np.ndarray, sizes_b: np.ndarray, of_a: Vocabulary, of_b: Vocabulary, write: GroupText,
+) -> tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray]:
+    """Windows laid end to end, with the number of ids of each on both sides: per window its groups as text and their number, its
+    number of linked id pairs, and these pairs.
+
+    Both sides of a window have the same bytes, so that byte ends agree over all windows.  Between two neighbouring ends
+    of either side just one token of each lies: a link.
+    """
+    a, b = a.astype(np.int64), b.astype(np.int64)
+    end_a, end_b = np.cumsum(of_a.sizes[a]), np.cumsum(of_b.sizes[b])
+    ends = np.union1d(end_a, end_b)
+    i, j = np.searchsorted(end_a, ends), np.searchsorted(end_b, ends)
+    links = a[i] << _ID_BITS | b[j]
+    shared = np.intersect1d(end_a, end_b, assume_unique=True)
+    group_a, group_b = np.searchsorted(shared, end_a), np.searchsorted(shared, end_b)
+    close = end_a[np.cumsum(sizes_a) - 1]  # where windows end
+    groups = np.diff(np.searchsorted(shared, close, side="right"), prepend=0)
+    link_sizes = np.diff(np.searchsorted(ends, close, side="right"), prepend=0)
+    # ids in the order they are written: of each group those of a, then those of b
+    key = np.concatenate([2 * group_a, 2 * group_b + 1])
+    order = np.argsort(key, kind="stable")
+    key, ids = key[order], np.concatenate([a, b])[order]
+    follows = np.append(key[1:], key[-1] + 2)
+    marks = np.where(follows == key, 0, np.where(key % 2 == 0, 1, 2))
+    marks[np.cumsum(sizes_a + sizes_b) - 1] = 3
+    return write(ids, marks).split(b"\n")[:-1], groups, link_sizes, links
 
 
 class Windows:
-    """Distinct windows by their id tuples, with what aligning them gave."""
+    """Distinct windows by their id tuples, with what aligning them gave.
+
+    New windows get their numbers at once; ``settle`` aligns all that are new together.
+    """
 
     def __init__(self, both: Tokenizers):
         self.both = both
+        self.write = GroupText(max(len(both.of_a.tokens), len(both.of_b.tokens)))
         self.clear()
 
     def clear(self) -> None:
-        self.numbers: dict[tuple[bytes, bytes], int] = {}
+        self.numbers: dict[bytes, int] = {}
+        self.new: list[bytes] = []
         self.texts: list[bytes] = []
-        self.groups: list[int] = []
-        self.links: list[list[int]] = []
-
-    def number(self, key: tuple[bytes, bytes]) -> int:
-        known = self.numbers.get(key)
-        if known is None:
-            a, b = (np.frombuffer(k, np.uint32).tolist() for k in key)
-            text, groups, links = align(a, b, self.both.of_a, self.both.of_b)
-            known = self.numbers[key] = len(self.texts)
-            self.texts.append(text)
-            self.groups.append(groups)
-            self.links.append(links)
-        return known
+        self.groups = self.link_sizes = self.links = np.empty(0, dtype=np.int64)
 
     def of(self, a: np.ndarray, b: np.ndarray) -> list[int]:
         """The windows of a text in order."""
         if not len(a):
             return []
         i, j = anchors(a, b, self.both.of_a, self.both.of_b)
-        raw_a, raw_b = a.tobytes(), b.tobytes()
-        i, j = (i * 4).tolist(), (j * 4).tolist()
-        number, known = self.number, self.numbers.get
-        out = []
-        for p, q, r, s in zip(i[:-1], i[1:], j[:-1], j[1:]):
-            key = (raw_a[p:q], raw_b[r:s])
-            found = known(key)
-            out.append(number(key) if found is None else found)
+        # both sides in one row of numbers: of each window the ids of a, a mark, those of b
+        window_a, window_b = np.repeat(np.arange(len(i) - 1), np.diff(i)), np.repeat(np.arange(len(j) - 1), np.diff(j))
+        both = np.full(len(a) + len(b) + len(i) - 1, _BETWEEN, dtype=np.uint32)
+        both[np.arange(len(a)) + window_a + j[window_a]] = a
+        both[np.arange(len(b)) + window_b + i[window_b + 1] + 1] = b
+        raw, cuts = both.tobytes(), (4 * (i + j + np.arange(len(i)))).tolist()
+        keys = [raw[p:q] for p, q in zip(cuts, cuts[1:])]
+        numbers = self.numbers
+        out = list(map(numbers.get, keys))
+        if None in out:
+            for at, key in enumerate(keys):
+                if out[at] is None:
+                    out[at] = number = numbers.setdefault(key, len(numbers))
+                    if number == len(self.texts) + len(self.new):
+                        self.new.append(key)
         return out
 
+    def settle(self) -> None:
+        if not self.new:
+            return
+        ids = np.frombuffer(b"".join(self.new), np.uint32)
+        ends = np.cumsum([len(key) // 4 for key in self.new])
+        between = np.flatnonzero(ids == _BETWEEN)
+        sizes_a, sizes_b = between - np.append(0, ends[:-1]), ends - between - 1
+        of_a = np.repeat(np.tile([True, False, False], len(ends)), np.stack([sizes_a, np.ones_like(ends), sizes_b], axis=1).ravel())
+        a, b = ids[of_a], ids[~of_a & (ids != _BETWEEN)]
+        texts, *found = align(a, b, sizes_a, sizes_b, self.both.of_a, self.both.of_b, self.write)
+        self.texts += texts
+        self.groups, self.link_sizes, self.links = (
+            np.concatenate([old, new]) for old, new in zip((self.groups, self.link_sizes, self.links), found))
+        self.new = []
+
+    def links_of(self, windows: np.ndarray) -> np.ndarray:
+        """The linked id pairs of the windows, one after the other."""
+        sizes = self.link_sizes[windows]
+        first = (np.cumsum(self.link_sizes) - self.link_sizes)[windows]
+        before = np.cumsum(sizes) - sizes
+        return self.links[np.repeat(first - before, sizes) + np.arange(sizes.sum())]
+
 
 # --- blocks -------------------------------------------------------------------------------
 
@@ -216,23 +262,25 @@ class _Block:
         self.seq: list[int] = []
         self.bytes = 0
 
-    def add(self, doc_id: int | None, size: int, a: np.ndarray, b: np.ndarray) -> None:
-        own = self.windows.of(a, b)
-        digest = hashlib.sha256(b";".join([self.windows.texts[w] for w in own])).hexdigest() if own else ""
-        self.rows.append((doc_id, len(a), len(b), len(own), digest))
-        self.seq.extend(own)
-        self.bytes += size
+    def add(self, ids: Sequence[int | None], sizes: Sequence[int], encoded: Iterator[tuple[np.ndarray, np.ndarray]]) -> None:
+        """Texts that go into the block together."""
+        rows = [(doc_id, len(a), len(b), self.windows.of(a, b)) for doc_id, (a, b) in zip(ids, encoded)]
+        self.windows.settle()
+        text = self.windows.texts.__getitem__
+        for doc_id, n_a, n_b, own in rows:
+            digest = hashlib.sha256(b";".join(map(text, own))).hexdigest() if own else ""
+            self.rows.append((doc_id, n_a, n_b, len(own), digest))
+            self.seq.extend(own)
+        self.bytes += sum(sizes)
 
     def drain(self, block: int) -> pd.DataFrame:
         distinct, seq, times = np.unique(np.array(self.seq, dtype=np.int64), return_inverse=True, return_counts=True)
-        each = [self.windows.links[w] for w in distinct]
-        link_sizes = np.array([len(x) for x in each], dtype=np.int64)
-        flat = np.array([x for own in each for x in own], dtype=np.int64)
-        pairs, links = np.unique(flat, return_inverse=True)
+        link_sizes = self.windows.link_sizes[distinct]
+        pairs, links = np.unique(self.windows.links_of(distinct), return_inverse=True)
         often = np.bincount(links, weights=np.repeat(times, link_sizes), minlength=len(pairs)).astype(np.int64)
         ids, n_a, n_b, sizes, digests = zip(*self.rows)
         sizes = np.array(sizes, dtype=np.int64)
-        groups = np.array([self.windows.groups[w] for w in distinct], dtype=np.int64)
+        groups = self.windows.groups[distinct]
         out = pd.DataFrame({
             "block": [block], "ids": [list(ids)], "n_a": [list(n_a)], "n_b": [list(n_b)], "n_groups": [_sums(groups[seq], sizes)],
             "n_links": [_sums(link_sizes[seq], sizes)], "groups_sha256": [list(digests)], "sizes": [sizes.astype("<u4").tobytes()],
@@ -261,11 +309,10 @@ def _blocks(frames: Iterator[pd.DataFrame], first: str, second: str) -> Iterator
         sizes = np.array([len(t) for t in texts])
         cuts = np.flatnonzero(np.diff(np.cumsum(sizes) // PART_CHARS, prepend=0)).tolist()
         for at, to in zip([0, *cuts], [*cuts, len(texts)]):
-            for doc_id, size, (a, b) in zip(ids[at:to], sizes[at:to].tolist(), both.encode(texts[at:to])):
-                block.add(doc_id, size, a, b)
-                if block.bytes >= BLOCK_BYTES:
-                    yield block.drain(number)
-                    number += 1
+            block.add(ids[at:to], sizes[at:to].tolist(), both.encode(texts[at:to]))
+            if block.bytes >= BLOCK_BYTES:
+                yield block.drain(number)
+                number += 1
     if block.rows:
         yield block.drain(number)
 
