@@ -178,8 +178,9 @@ def insight_evidence(headers: DataFrame, cited: DataFrame) -> DataFrame:
 
 
 def finding_summary(headers: DataFrame, cited: DataFrame, shown: int = SHOWN_SUPPORTING_IDS) -> DataFrame:
-    """Counts per finding, the first few supporting ids, and whether there are more."""
+    """Counts per finding, the first few supporting ids, and whether there are more; the batches it comes from where headers name them."""
     keys = _keys(headers)
+    batches = F.coalesce(F.array_join(F.array_sort(F.array_distinct("derived_batch_ids")), ", "), F.lit("")).alias("derived_batches")
     key = keys[0]
     supporting = F.col("evidence_type") == "supporting"
     counts = cited.groupBy(key).agg(
@@ -207,6 +208,7 @@ def finding_summary(headers: DataFrame, cited: DataFrame, shown: int = SHOWN_SUP
             else zero.alias("n_hypotheses"),
             F.coalesce(F.array_join(F.col("_head.record_id").cast("array<string>"), ", "), F.lit("")).alias("first_supporting"),
             (F.col("n_supporting") > shown).alias("has_more"),
+            *[batches for c in ("derived_batch_ids",) if c in headers.columns],
         )
     )
 

@@ -108,9 +108,8 @@ FROM items JOIN (
 """
 
 
-@query("validate_many_documents", _SUBMITTED_SQL)
-def validate_many_documents(spark: SparkSession, folder: str) -> DataFrame:
-    """A findings document per turn; ids are missing or the same in all of them, yet each finding is judged alone."""
+def _submitted(spark: SparkSession, folder: str) -> DataFrame:
+    """A findings document per turn; ids are missing or the same in all of them."""
     turns = table(spark, folder, "conversations")
     turn = F.col("turn").cast("string")
     first = F.struct(F.lit("one").alias("claim"), F.array(turn).alias("supporting_records"), F.array(F.lit("batch-001")).alias("derived_batch_ids"))
@@ -121,12 +120,30 @@ def validate_many_documents(spark: SparkSession, folder: str) -> DataFrame:
     documents = turns.select(
         F.concat(F.lit("conv"), F.col("conv_id").cast("string"), F.lit("/"), turn).alias("doc"),
         F.concat(F.lit("["), F.to_json(first), F.lit(","), F.to_json(second), F.lit("]")).alias("json"))
-    parsed = parse_findings(documents, "json", keep=["doc"])
-    candidates = turns.filter(condition("role", "eq", "user")).select(turn.alias("record_id")).distinct()
+    return parse_findings(documents, "json", keep=["doc"])
+
+@query("validate_many_documents", _SUBMITTED_SQL)
+def validate_many_documents(spark: SparkSession, folder: str) -> DataFrame:
+    """Findings whose ids repeat over documents, each judged alone."""
+    parsed = _submitted(spark, folder)
+    candidates = table(spark, folder, "conversations").filter(condition("role", "eq", "user")).select(F.col("turn").cast("string").alias("record_id")).distinct()
     validated = ev.validate_findings(parsed.drop("supporting_records", "counter_records"), ev.cited_records(parsed), candidates)
     return validated.select("finding_key", "finding_id", "n_supporting", "supporting_outside", "accepted", F.size("derived_batch_ids").alias("n_batches"))
 
 
+@query("finding_batches", """
+WITH d AS (SELECT turn, 'conv' || conv_id || '/' || turn AS doc FROM conversations)
+SELECT doc || '/1' AS finding_key, CAST(1 AS BIGINT) AS n_supporting, CAST(turn AS VARCHAR) AS first_supporting, 'batch-001' AS derived_batches FROM d
+UNION ALL SELECT doc || '/2', 2, '0, ' || (turn + 1), 'batch-001, batch-002' FROM d
+""")
+def finding_batches(spark: SparkSession, folder: str) -> DataFrame:
+    """Summaries that name the batches each finding was derived from."""
+    parsed = _submitted(spark, folder)
+    headers = parsed.drop("supporting_records", "counter_records")
+    summary = ev.finding_summary(headers, ev.cited_records(parsed))
+    return summary.select("finding_key", "n_supporting", "first_supporting", "derived_batches")
+
+
 @query("finding_totals", f"""WITH {_VALIDATED_SQL}
 SELECT count(*) AS total_submitted, count(*) FILTER (accepted) AS accepted_count, count(*) FILTER (NOT accepted) AS rejected_count FROM validated
 """)
