@@ -6,7 +6,8 @@ long to short, each window starts with a rest of its own tier and its gap is
 filled from shorter ones, the largest that fits first.  When only longer
 rests are left, one is cut to close the gap.  The last rests of a task go
 into windows of powers of two, so no window needs padding.  Windows of one length
-gather in step groups of up to ``GROUP_IDS`` ids; the last of each length in a task holds what is left.
+gather in step groups of up to ``GROUP_IDS`` ids.  Up to two groups of each length wait, so that the end of a task is dealt
+evenly: its last groups differ by a window at most, and only a task with less than one group's windows of a length makes a small one.
 
 Each task packs what it reads and keeps no more than ``POOL_IDS`` ids waiting;
 nothing is shuffled.  A task's windows depend on its rows alone, so a repeated
@@ -109,7 +110,7 @@ class Packer:
         self.lengths = 0  # bit n is set where rests of n ids wait
         self.waiting = 0
         self.next_window = self.next_group = task << 33
-        self.open_groups: dict[int, list[int]] = {}
+        self.ungrouped: dict[int, list[list[tuple]]] = {}
         self.rows: list[tuple] = []
 
     def add(self, doc_id: int | None, ids: np.ndarray) -> None:
@@ -174,19 +175,34 @@ class Packer:
                 self._emit([self._cut(longer.bit_length() - 1, size)], size)
             else:
                 self._fill(size, fits)
+        if last:
+            self.balance()
 
     def _emit(self, window: list[tuple], size: int) -> None:
-        group = self.open_groups.get(size)
-        if group is None or group[1] + size > self.group_ids:
-            group = self.open_groups[size] = [self.next_group, 0]
-            self.next_group += 1
-        group[1] += size
-        offset = 0
+        rows, offset = [], 0
         for doc_id, start, ids, total in window:
             crc = zlib.crc32(ids.astype("<u4", copy=False).tobytes())
-            self.rows.append((doc_id, start, len(ids), crc, total, self.next_window, offset, size, group[0]))
+            rows.append((doc_id, start, len(ids), crc, total, self.next_window, offset, size))
             offset += len(ids)
         self.next_window += 1
+        waiting = self.ungrouped.setdefault(size, [])
+        waiting.append(rows)
+        full = max(1, self.group_ids // size)
+        if len(waiting) == 2 * full:  # what is held back is a whole group still
+            self._group(waiting[:full])
+            del waiting[:full]
+
+    def _group(self, windows: list[list[tuple]]) -> None:
+        self.rows += [(*row, self.next_group) for rows in windows for row in rows]
+        self.next_group += 1
+
+    def balance(self) -> None:
+        """Deal the windows held back of each length over groups that differ by one window at most."""
+        for size, waiting in self.ungrouped.items():
+            groups = -(-len(waiting) // max(1, self.group_ids // size))
+            for g in range(groups):
+                self._group(waiting[g * len(waiting) // groups:(g + 1) * len(waiting) // groups])
+        self.ungrouped = {}
 
     def drain(self) -> list[tuple]:
         rows, self.rows = self.rows, []

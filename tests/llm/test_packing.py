@@ -80,3 +80,23 @@ def test_packer_alone(pool):
 def test_repeated_rows_are_documents_of_their_own(documents):
     rows = packing.pack(documents([(7, "same text", "en", "s")] * 3)).collect()
     assert sum(r.length for r in rows) == 3 * len(plain("same text"))
+
+
+def test_step_groups_are_near_equal():
+    """Of each window length, groups are full or, at the end of a task, at least half full and alike."""
+    for documents in (1, 5, 41, 130, 333):
+        packer = packing.Packer(3, group_ids=1 << 14)
+        for i in range(documents):
+            packer.add(i, np.arange(1, 700 + 37 * i % 5000, dtype=np.uint32))
+        packer.pack(last=True)
+        sizes = {}
+        for *_, window, offset, size, group in packer.drain():
+            if offset == 0:
+                sizes.setdefault(size, {}).setdefault(group, []).append(window)
+        groups = [g for of in sizes.values() for g in of]
+        assert sorted(groups) == list(range(3 << 33, (3 << 33) + len(groups)))
+        for size, of in sizes.items():
+            counts = [len(of[g]) for g in sorted(of)]
+            full = (1 << 14) // size
+            uneven = [n for n in counts if n != full]
+            assert max(counts) <= full and (len(counts) == 1 or min(counts) >= full // 2) and (not uneven or max(uneven) - min(uneven) <= 1)
