@@ -98,7 +98,8 @@ def link(calls: DataFrame, results: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("n_calls"), F.min(F.struct("turn", "name", "arguments", "depends_on")).alias("call"))
     first_result = results.groupBy(*key).agg(
         F.count(F.lit(1)).alias("n_results"), F.min(F.struct("turn", "content")).alias("result"))
-    joined = first_call.join(first_result, key, "full")
+    # one row per id on both sides: a hash table of results, without a sort
+    joined = first_call.join(first_result.hint("shuffle_hash"), key, "full")
     late = F.col("result.turn") <= F.col("call.turn")
     status = (
         F.when(F.col("call").isNull(), "orphan").when(F.col("result").isNull(), "unanswered")

@@ -70,5 +70,11 @@ def test_a_very_long_conversation(spark):
     assert all(r.position == r.turn + 1 for r in got.values()) and sum(r.status == "linked" for r in got.values()) == 1500
 
 
+def test_the_link_is_a_hash_join(spark):
+    linked = tc.link(spark.createDataFrame([], CALLS), spark.createDataFrame([], RESULTS))
+    plan = linked._jdf.queryExecution().sparkPlan().toString()
+    assert "ShuffledHashJoin" in plan and "SortMergeJoin" not in plan
+
+
 def test_empty(spark):
     assert run(spark, [], []) == {}
