@@ -12,7 +12,9 @@ Only groups are asked for, so pairs inside a found group need no check.  The mem
 of a signature are compared with one hub, groups are formed, and this is repeated with
 other hubs; at last every pair that shares a signature and lies in
 different groups is compared.  A comparison looks at parity bitmaps, whose differing
-bits bound the difference of two sets from below, and then at the whole sets.  Signatures of many members are compared
+bits bound the difference of two sets from below, and then at the whole sets.  Members of large signatures, which share many
+of them, are posted anew by pieces of their bitmaps: with more pieces than two sets within the threshold may differ
+in places, one piece is equal.  Large groups of equal pieces are compared
 inside tasks, block against block; what leaves a task are links that join groups, fewer than there are members.
 
 Cases: a NULL text or one without words has an empty set and links with nothing;
@@ -22,6 +24,7 @@ rows are equal sets; an empty table gives an empty result; other columns are not
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import zlib
 from collections.abc import Iterator
@@ -56,6 +59,9 @@ HUB_ROUNDS = 2
 FEW_MEMBERS = 16
 BLOCK_MEMBERS = 512
 BLOCK_BYTES = 8 << 20
+# Below this threshold pieces of bitmaps are too short to tell sets apart, and signatures stay as they are.
+PIECES_FROM_PERCENT = 80
+PIECES_ROWS = 1 << 16
 SALTS = 8
 # Bytes of texts or sets worked off at a time inside a task, besides the Arrow batch they lie in.
 PART_BYTES = 1 << 21
@@ -435,6 +441,60 @@ def _dealt(members: DataFrame, more: DataFrame, *columns: str) -> DataFrame:
     return dealt.repartition("signature", "i", "j").sortWithinPartitions("signature", "i", "j")
 
 
+def size_tiers(most: int, percent: int) -> list[int]:
+    """Smallest sizes of tiers up to ``most``: a set's partners within the threshold lie in its own tier or a neighbouring one."""
+    lows = [1]
+    while lows[-1] <= most:
+        lows.append(most_size(lows[-1], percent) + 1)
+    return lows
+
+
+def pieces(mark: bytes, size: int, lows: list[int], percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of a set from its bitmap, as signed longs, in its own size tier and in the next: two sets within the threshold share one
+    in the larger one's own tier.
+
+    There they differ in so many places at most; of one piece more, one is equal in both.
+    """
+    own, out = bisect.bisect_right(lows, size) - 1, []
+    for tier in (own, own + 1):
+        width = 1 << max(LEAST_BITS, lows[max(tier - 1, 0)].bit_length() + 1)
+        most = (100 - percent) * 2 * (most_size(lows[tier], percent)) // (100 + percent)
+        places = np.flatnonzero(np.unpackbits(np.bitwise_xor.reduce(np.frombuffer(mark, np.uint8).reshape(-1, width // 8), axis=0)))
+        sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(mix(places.astype(np.uint64) + np.uint64(1)))))
+        number = np.arange(most + 2)
+        held = sums[np.searchsorted(places, number * width // (most + 1))]
+        out.append(mix(held[1:] - held[:-1] + mix(number[:-1].astype(np.uint64) + (np.uint64(tier + 1) << np.uint64(32)))).view(np.int64))
+    return tuple(out)
+
+
+def _in_pieces(many: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """``(signature, node, n, root)`` of the members of large signatures, each once per piece of its bitmap.
+
+    Pieces that only one group has, or no set in its own tier, are left out.
+    """
+    def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes = batch.column("n").to_numpy()
+            lows = size_tiers(2 * int(sizes.max(initial=1)), percent)
+            held, counts, rows, first = [], [], 0, 0
+            for at, (mark, size) in enumerate(zip(batch.column("bitmap"), sizes.tolist())):
+                keys = pieces(mark.as_py(), size, lows, percent)
+                held += keys
+                counts += map(len, keys)
+                rows += sum(counts[-2:])
+                if rows >= PIECES_ROWS or at + 1 == batch.num_rows:
+                    row = np.repeat(np.arange(len(counts)), counts)
+                    own = batch.select(["node", "n", "root"]).take(pa.array(first + row // 2))
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(np.concatenate(held)), *own.columns, pa.array(row % 2 == 0)], ["signature", "node", "n", "root", "own_tier"])
+                    held, counts, rows, first = [], [], 0, at + 1
+
+    once = many.select("node", "n", "root").distinct().join(nodes.select("node", "bitmap"), "node")
+    posted = materialise(once.mapInArrow(post, "signature long, node long, n int, root long, own_tier boolean"), "pieces")
+    used = posted.groupBy("signature").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.max("own_tier").alias("used"))
+    return materialise(posted.drop("own_tier").join(used.filter("low <> high AND used").select("signature"), "signature"), "open_pieces")
+
+
 def _counted_members(members: DataFrame) -> DataFrame:
     sums = members.groupBy("signature").agg(F.count(F.lit(1)).alias("members"), F.sum("n").alias("grams_in_all"))
     return materialise(members.join(sums, "signature"), "counted")
@@ -477,12 +537,20 @@ def _verified(near: DataFrame, sets: _Sets, percent: int) -> DataFrame | None:
     return materialise(_links(near, whole, percent), "links")
 
 
+def _split(members: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The members of signatures that have few, and those of the others with their number."""
+    counted = _counted_members(members)
+    return counted.filter(F.col("members") <= FEW_MEMBERS).drop("members", "grams_in_all"), counted.filter(F.col("members") > FEW_MEMBERS)
+
+
 def _open_links(members: DataFrame, nodes: DataFrame, sets: _Sets, percent: int) -> list[DataFrame | None]:
     """Links that join all groups which pairs sharing a signature still join."""
-    counted = _counted_members(members)
-    few = counted.filter(F.col("members") <= FEW_MEMBERS).drop("members", "grams_in_all")
-    out = [_verified(_near(_pairs_of_few(few, percent), nodes, percent), sets, percent)]
-    many = counted.filter(F.col("members") > FEW_MEMBERS)
+    few, many = _split(members)
+    pairs = _pairs_of_few(few, percent)
+    if percent >= PIECES_FROM_PERCENT and not many.isEmpty():
+        more, many = _split(_in_pieces(many, nodes, percent))
+        pairs = pairs.unionByName(_pairs_of_few(more, percent)).distinct()
+    out = [_verified(_near(pairs, nodes, percent), sets, percent)]
     if not many.isEmpty():
         near = _near_members(many, nodes, percent)
         if not near.isEmpty():

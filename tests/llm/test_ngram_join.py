@@ -159,3 +159,41 @@ def test_links_of_large_groups_are_linear(spark, monkeypatch):
     assert groups.select("group_id").distinct().count() == 1
     [(links, members)] = counts
     assert links <= 8 * members
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.sampled_from([90, 80]), st.integers(1, 900), st.integers(0, 10**6), st.integers(0, 220))
+def test_close_sets_share_a_piece(percent, size, seed, drop):
+    rng = np.random.default_rng(seed)
+    x = np.unique(rng.integers(0, 2**63, size, dtype=np.uint64))
+    y = np.unique(np.concatenate([x[drop * size // 1000:], rng.integers(0, 2**63, drop * size // 2000, dtype=np.uint64)]))
+    both = len(np.intersect1d(x, y))
+    if both and 100 * both >= percent * (len(x) + len(y) - both):
+        x, y = sorted((x, y), key=len)
+        lows = nj.size_tiers(2 * len(y), percent)
+        own = nj.pieces(nj.bitmap(y), len(y), lows, percent)[0]
+        assert len(np.intersect1d(own, np.concatenate(nj.pieces(nj.bitmap(x), len(x), lows, percent))))
+
+
+def test_texts_of_one_cluster_are_dealt_few_times(spark, monkeypatch):
+    """300 texts of one base, no two near: they share hundreds of signatures, but are not dealt for each of them."""
+    rng = random.Random(3)
+    base = [f"b{i}" for i in range(150)]
+    texts = []
+    for _ in range(300):
+        words = list(base)
+        for i in rng.sample(range(150), 3):
+            words[i] = f"x{rng.randint(0, 10**6)}"
+        texts.append(" ".join(words))
+    texts += [" ".join(f"o{rng.randint(0, 10**6)}" for _ in range(40)) for _ in range(300)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    monkeypatch.setattr(nj, "BLOCK_MEMBERS", 32)
+    made, whole = [], nj._dealt
+
+    def counting(members, more, *columns):
+        dealt = whole(members, more, *columns)
+        made.append(dealt.count())
+        return dealt
+    monkeypatch.setattr(nj, "_dealt", counting)
+    assert nj.near_groups(docs).select("group_id").distinct().count() == 600
+    assert sum(made) < 60 * 300  # 54,852 when each large signature was dealt by itself
