@@ -15,6 +15,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,7 +28,10 @@ GRAM = 3
 # The empty gram marks every row that went through the build.
 INDEXED = ""
 SEGMENT_ROWS = 1 << 15
-SEGMENT_GRAMS = 1 << 22
+SEGMENT_GRAMS = 1 << 21
+# Bytes of texts turned into Python strings, and postings written, at a time.
+PART_BYTES = 1 << 21
+BATCH_POSTINGS = 1 << 14
 _BITMAP_BYTES = SEGMENT_ROWS // 8
 
 _POSTINGS = "column_id string, gram string, segment long, n_records long, bits binary, places array<short>"
@@ -60,20 +64,25 @@ def _bits(places: np.ndarray, rows: int) -> bytes:
     return np.packbits(out, bitorder="little").tobytes()
 
 
-def _postings(column: str, grams: np.ndarray, places: np.ndarray, segment: int, rows: int) -> dict:
-    """A segment's postings of one column, the empty gram first."""
+def _postings(column: str, grams: np.ndarray, places: np.ndarray, segment: int, rows: int) -> Iterator[dict]:
+    """A segment's postings of one column, the empty gram first, so many at a time."""
+    yield {"column_id": [column], "gram": [INDEXED], "segment": [segment], "n_records": [rows], "bits": [_bits(np.arange(rows), rows)]}
     order = np.argsort(grams, kind="stable")
     grams, places = grams[order], places[order]
+    del order
     starts = np.flatnonzero(np.concatenate(([True], grams[1:] != grams[:-1]))) if len(grams) else np.empty(0, dtype=np.int64)
-    sizes = np.diff(np.append(starts, len(grams)))
-    dense = 16 * sizes > rows
-    bits = [_bits(places[s:s + n], rows) if d else None for s, n, d in zip(starts, sizes, dense)]
-    kept = np.repeat(~dense, sizes)
-    offsets = np.concatenate(([0, 0], np.cumsum(np.where(dense, 0, sizes)))).astype(np.int32)
-    lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(places[kept].astype(np.int16)), mask=pa.array(np.append(True, dense)))
-    return {
-        "column_id": [column] * (len(sizes) + 1), "gram": [INDEXED, *_names(grams[starts])], "segment": [segment] * (len(sizes) + 1),
-        "n_records": [rows, *sizes.tolist()], "bits": [_bits(np.arange(rows), rows), *bits], "places": lists}
+    ends = np.append(starts[1:], len(grams))
+    for at in range(0, len(starts), BATCH_POSTINGS):
+        first, last = starts[at:at + BATCH_POSTINGS], ends[at:at + BATCH_POSTINGS]
+        sizes = last - first
+        dense = 16 * sizes > rows
+        bits = [_bits(places[s:e], rows) if d else None for s, e, d in zip(first, last, dense)]
+        kept = places[first[0]:last[-1]][np.repeat(~dense, sizes)]
+        offsets = np.concatenate(([0], np.cumsum(np.where(dense, 0, sizes)))).astype(np.int32)
+        lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(kept), mask=pa.array(dense))
+        yield {
+            "column_id": [column] * len(sizes), "gram": _names(grams[first]), "segment": [segment] * len(sizes),
+            "n_records": sizes, "bits": bits, "places": lists}
 
 
 class _Segment:
@@ -95,12 +104,14 @@ class _Segment:
         return len(self.ids) >= SEGMENT_ROWS or self.grams >= SEGMENT_GRAMS
 
     def drain(self, segment: int, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
-        none = np.empty(0, dtype=np.uint64)
         for column in self.columns:
-            held = self.held[column]
-            places = np.repeat(np.array([r for r, _ in held], dtype=np.int64), [len(g) for _, g in held])
-            grams = np.concatenate([g for _, g in held]) if held else none
-            yield _batch(schema, _postings(column, grams, places, segment, len(self.ids)))
+            held = self.held.pop(column)
+            # a place is below the rows of a segment, 15 bits
+            places = np.repeat(np.array([r for r, _ in held], dtype=np.int16), [len(g) for _, g in held])
+            grams = np.concatenate([g for _, g in held]) if held else np.empty(0, dtype=np.uint64)
+            del held
+            for postings in _postings(column, grams, places, segment, len(self.ids)):
+                yield _batch(schema, postings)
         yield _batch(schema, {"segment": [segment] * len(self.ids), "place": list(range(len(self.ids))), "id": self.ids})
 
 
@@ -110,6 +121,17 @@ def _batch(schema: pa.Schema, values: dict) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
 
 
+def _in_parts(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """A batch in parts of about ``PART_BYTES`` of its texts, the columns behind the first."""
+    sizes = np.zeros(batch.num_rows, dtype=np.int64)
+    for texts in batch.columns[1:]:
+        sizes += pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    part = (np.cumsum(sizes) - sizes) // PART_BYTES
+    cuts = [*np.flatnonzero(np.diff(part, prepend=-1)).tolist(), batch.num_rows]
+    for first, last in zip(cuts[:-1], cuts[1:]):
+        yield batch.slice(first, last - first)
+
+
 def write_index(df: DataFrame, id_column: str, columns: Sequence[str], path: str, clean: bool = False) -> GramIndex:
     """Index the columns of a table under ``path``; one pass over its texts, which stay where they are."""
     spark = df.sparkSession
@@ -124,11 +146,12 @@ def write_index(df: DataFrame, id_column: str, columns: Sequence[str], path: str
             schema = schema or pa.schema([
                 ("column_id", pa.string()), ("gram", pa.string()), ("segment", pa.int64()), ("n_records", pa.int64()), ("bits", pa.binary()),
                 ("places", pa.list_(pa.int16())), ("place", pa.int32()), ("id", batch.schema.field(0).type)])
-            for row_id, *texts in zip(*(c.to_pylist() for c in batch.columns)):
-                segment.add(row_id, texts)
-                if segment.full():
-                    yield from segment.drain(number, schema)
-                    segment, number = _Segment(columns), number + 1
+            for part in _in_parts(batch):
+                for row_id, *texts in zip(*(c.to_pylist() for c in part.columns)):
+                    segment.add(row_id, texts)
+                    if segment.full():
+                        yield from segment.drain(number, schema)
+                        segment, number = _Segment(columns), number + 1
         if segment.ids:
             yield from segment.drain(number, schema)
 

@@ -127,6 +127,25 @@ def test_index_finds_what_the_scan_finds(spark, tmp_path, monkeypatch, segment):
         assert got == want == found(lx.scan_search(df, "record_id", columns, terms))
 
 
+def test_a_segment_leaves_in_small_batches(spark, tmp_path, monkeypatch):
+    """Every posting of a segment comes out, so many at a time and not all at once."""
+    monkeypatch.setattr(gi, "BATCH_POSTINGS", 50, raising=False)
+    monkeypatch.setattr(gi, "PART_BYTES", 500, raising=False)
+    sizes, whole = [], gi._batch
+    monkeypatch.setattr(gi, "_batch", lambda schema, values: sizes.append(len(values["segment"])) or whole(schema, values))
+    segment = gi._Segment(["title"])
+    for i in range(20):
+        segment.add(i, ["".join(chr(0x4E00 + 60 * i + k) for k in range(62)) + " same"])
+    schema = gi.pa.schema([("column_id", gi.pa.string()), ("gram", gi.pa.string()), ("segment", gi.pa.int64()), ("n_records", gi.pa.int64()),
+                           ("bits", gi.pa.binary()), ("places", gi.pa.list_(gi.pa.int16())), ("place", gi.pa.int32()), ("id", gi.pa.int64())])
+    out = gi.pa.Table.from_batches(segment.drain(7, schema)).to_pylist()
+    got = {r["gram"]: r for r in out if r["gram"] is not None}
+    assert len(got) == 1 + 20 * 60 + 20 * 2 + 3 and got["same"[:3]]["n_records"] == 20 and got[""]["n_records"] == 20
+    assert got["".join(chr(0x4E00 + 60 * 3 + k) for k in range(3))]["places"] == [3]
+    assert sorted(r["id"] for r in out if r["id"] is not None) == list(range(20))
+    assert max(sizes) <= 50
+
+
 def ids(spark, *values):
     return spark.createDataFrame([(v,) for v in values], "record_id int")
 
