@@ -6,7 +6,7 @@ lies a window, a pair of id tuples, and windows repeat: a task aligns each pair
 together, and keeps what it found (groups, links) by the tuples.  Inside a window the byte ends of both sides give the groups
 (ends that both have) and the links (pairs whose byte ranges overlap).
 
-Texts are gathered in blocks of bounded size.  A block carries its windows by number, the links of each of its
+Texts are gathered in blocks of bounded size; few of them are Python strings at a time.  A block carries its windows by number, compressed, the links of each of its
 distinct windows and how often each distinct id pair is linked.  Counts of pairs are summed over all
 blocks, each pair's count goes back to the blocks that hold it by a join, and there each
 window, then each text, adds up its links.
@@ -27,6 +27,8 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -273,7 +275,7 @@ class _Block:
             self.seq.extend(own)
         self.bytes += sum(sizes)
 
-    def drain(self, block: int) -> pd.DataFrame:
+    def drain(self, block: int) -> pa.RecordBatch:
         distinct, seq, times = np.unique(np.array(self.seq, dtype=np.int64), return_inverse=True, return_counts=True)
         link_sizes = self.windows.link_sizes[distinct]
         pairs, links = np.unique(self.windows.links_of(distinct), return_inverse=True)
@@ -281,17 +283,30 @@ class _Block:
         ids, n_a, n_b, sizes, digests = zip(*self.rows)
         sizes = np.array(sizes, dtype=np.int64)
         groups = self.windows.groups[distinct]
-        out = pd.DataFrame({
-            "block": [block], "ids": [list(ids)], "n_a": [list(n_a)], "n_b": [list(n_b)], "n_groups": [_sums(groups[seq], sizes)],
-            "n_links": [_sums(link_sizes[seq], sizes)], "groups_sha256": [list(digests)], "sizes": [sizes.astype("<u4").tobytes()],
-            "windows": [seq.astype("<u4").tobytes()], "link_sizes": [link_sizes.astype("<u4").tobytes()],
-            "links": [links.astype("<u4").tobytes()], "pairs": [pairs], "times": [often]})
+        longs = {"ids": ids, "n_a": n_a, "n_b": n_b, "n_groups": _sums(groups[seq], sizes), "n_links": _sums(link_sizes[seq], sizes)}
+        lists = {c: pa.array([v], pa.list_(pa.int64())) for c, v in longs.items()} | {"groups_sha256": pa.array([digests], pa.list_(pa.string()))}
+        packed = {c: pa.array([_packed(v)], pa.binary()) for c, v in (
+            ("sizes", sizes), ("windows", seq), ("link_sizes", link_sizes), ("links", links))}
+        found = {c: pa.array([v], pa.list_(pa.int64())) for c, v in (("pairs", pairs), ("times", often))}
+        out = pa.RecordBatch.from_pydict({"block": pa.array([block], pa.int64())} | lists | packed | found)
         self.rows, self.seq, self.bytes = [], [], 0
         if len(self.windows.texts) > MEMO_WINDOWS:
             self.windows.clear()
         return out
 
 
+def _packed(numbers: np.ndarray) -> bytes:
+    """Numbers below 2**32, compressed byte by byte: all first bytes, then all second ones."""
+    planes = numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
+    return len(numbers).to_bytes(8, "little") + pa.compress(planes, codec="zstd", asbytes=True)
+
+
+def _unpacked(packed: bytes) -> np.ndarray:
+    size = int.from_bytes(packed[:8], "little")
+    planes = pa.decompress(packed[8:], decompressed_size=4 * size, codec="zstd", asbytes=True)
+    return np.frombuffer(planes, np.uint8).reshape(4, -1).T.copy().view("<u4").ravel().astype(np.int64)
+
+
 def _sums(values: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """Sums over consecutive runs of the given sizes, empty ones included."""
     total = np.concatenate(([0], np.cumsum(values)))
@@ -299,17 +314,19 @@ def _sums(values: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return total[ends] - total[ends - sizes]
 
 
-def _blocks(frames: Iterator[pd.DataFrame], first: str, second: str) -> Iterator[pd.DataFrame]:
+def _blocks(batches: Iterator[pa.RecordBatch], first: str, second: str) -> Iterator[pa.RecordBatch]:
     both = tokenizers(first, second)
     block = _Block(Windows(both))
     number = TaskContext.get().partitionId() << 32
-    for rows in frames:
-        texts = [t or "" for t in rows["text"]]
-        ids = [None if pd.isna(i) else int(i) for i in rows["id"]]
-        sizes = np.array([len(t) for t in texts])
-        cuts = np.flatnonzero(np.diff(np.cumsum(sizes) // PART_CHARS, prepend=0)).tolist()
-        for at, to in zip([0, *cuts], [*cuts, len(texts)]):
-            block.add(ids[at:to], sizes[at:to].tolist(), both.encode(texts[at:to]))
+    for batch in batches:
+        lengths = pc.fill_null(pc.utf8_length(batch.column("text")), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        cuts = np.flatnonzero(np.diff(np.cumsum(lengths) // PART_CHARS, prepend=0)).tolist()
+        for at, to in zip([0, *cuts], [*cuts, batch.num_rows]):
+            if at == to:
+                continue
+            part = batch.slice(at, to - at)  # only so many texts are Python strings at a time
+            texts = [t or "" for t in part.column("text").to_pylist()]
+            block.add(part.column("id").to_pylist(), [len(t) for t in texts], both.encode(texts))
             if block.bytes >= BLOCK_BYTES:
                 yield block.drain(number)
                 number += 1
@@ -328,7 +345,7 @@ def _finished(block: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
     counts, best = np.zeros(len(row.pairs), dtype=np.int64), np.zeros(len(row.pairs), dtype=np.int64)
     counts[found["idx"].to_numpy()] = found["count"].to_numpy()
     best[found["idx"].to_numpy()] = found["best"].to_numpy()
-    sizes, seq, link_sizes, links = (np.frombuffer(x, "<u4").astype(np.int64) for x in (row.sizes, row.windows, row.link_sizes, row.links))
+    sizes, seq, link_sizes, links = (_unpacked(x) for x in (row.sizes, row.windows, row.link_sizes, row.links))
     def per_text(values: np.ndarray) -> np.ndarray:
         return _sums(_sums(values[links], link_sizes)[seq], sizes)
     return pd.DataFrame({
@@ -341,7 +358,7 @@ def align_documents(
 ) -> tuple[DataFrame, DataFrame]:
     """Per row ``(id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256)``, and the table ``(a, b, count, best)`` of linked ids."""
     rows = docs.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).cast("string").alias("text"))
-    blocks = materialise(rows.mapInPandas(lambda frames: _blocks(frames, first, second), _BLOCK), "aligned")
+    blocks = materialise(rows.mapInArrow(lambda batches: _blocks(batches, first, second), _BLOCK), "aligned")
     linked = blocks.select(F.col("block").alias("place"), F.posexplode(F.arrays_zip("pairs", "times")).alias("idx", "link")).select(
         "place", "idx", F.col("link.pairs").alias("pair"), F.col("link.times").alias("times"))
     second_id = F.col("pair").bitwiseAND((1 << _ID_BITS) - 1)

@@ -121,3 +121,20 @@ def test_the_faster_implementation_gives_the_same_ids():
         text = "".join(chr(rng.choice([rng.randrange(0x250), rng.randrange(0x80), 32])) for _ in range(rng.randint(1, 40)))
         assert both.fast is not None and both._first(text).tolist() == both.a.encode(" " + text, add_special_tokens=False).ids
     assert both._first("a<|endoftext|>b").tolist() == both.a.encode(" a<|endoftext|>b", add_special_tokens=False).ids
+
+
+def test_a_block_holds_few_bytes(monkeypatch):
+    """Numbers of windows and links travel compressed, and come back as they were; texts are read in parts."""
+    rng = np.random.default_rng(1)
+    for numbers in (np.empty(0, np.int64), np.array([0, 1, 2**32 - 1]), rng.integers(0, 5000, 9000)):
+        assert (alignment._unpacked(alignment._packed(numbers)) == numbers).all()
+    monkeypatch.setattr(alignment, "TaskContext", type("T", (), {"get": staticmethod(lambda: type("U", (), {"partitionId": staticmethod(lambda: 2)}))}))
+    monkeypatch.setattr(alignment, "PART_CHARS", 3000)
+    words = [f"{a}{b}" for a in ("stone", "river", "cloud", "under") for b in ("s", "ed", "ing", "", "er")]
+    texts = [" ".join(rng.choice(words, 300)) for _ in range(60)] + ["", None]
+    batch = alignment.pa.RecordBatch.from_pydict({"id": list(range(61)) + [None], "text": texts})
+    [block] = alignment._blocks(iter([batch]), alignment.BYTE_LEVEL, alignment.PIECES)
+    row = block.to_pylist()[0]
+    assert row["block"] == 2 << 32 and row["ids"] == [*range(61), None] and row["groups_sha256"][-2:] == ["", ""]
+    assert len(alignment._unpacked(row["windows"])) == alignment._unpacked(row["sizes"]).sum() == sum(len(t.split()) for t in texts if t)
+    assert len(row["windows"]) < 2 * 18_000
