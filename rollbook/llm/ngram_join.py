@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 
 from rollbook.llm.textkernel import as_bytes, distinct, mix, windows, word_hashes
 from rollbook.operators.joins import spread_join
-from rollbook.session import materialise
+from rollbook.session import materialise, shuffles_go
 
 N = 3
 PERCENT = 90
@@ -209,8 +209,10 @@ def sketch_of(texts: DataFrame, n: int = N) -> Sketch:
     """
     fields = "chunk int, shard int, counts binary"
     parts = texts.mapInArrow(lambda batches: _counted(batches, n), fields).groupBy("chunk", "shard").applyInPandas(_added, fields)
+    with shuffles_go(texts.sparkSession):
+        added = parts.groupBy("chunk").applyInPandas(_added, fields).collect()
     counts = np.zeros(1 << PLACE_BITS, dtype=np.uint64)
-    for r in parts.groupBy("chunk").applyInPandas(_added, fields).collect():
+    for r in added:
         counts[r["chunk"] << CHUNK_BITS:r["chunk"] + 1 << CHUNK_BITS] = np.frombuffer(zlib.decompress(r["counts"]), "<u8")
     return Sketch.of(counts)
 
