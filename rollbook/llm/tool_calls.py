@@ -5,8 +5,8 @@ summed up before the join, so a group of any size is one row there: the first
 call and the first result count, the others are counted.  Calls whose dependencies
 come earlier in the transcript keep its order, which is a topological one; only
 conversations with a dependency on a later call are ordered level by level.
-Rows are numbered over range partitions, so a very long conversation is not
-sorted in one task.  Arguments are parsed as variants: their text form has sorted
+Rows are numbered over range partitions, and meet their conversation's first number
+by pieces of bounded length, so a very long conversation is neither sorted nor joined in one task.  Arguments are parsed as variants: their text form has sorted
 keys and no white space.
 
 Cases: arguments that are NULL or no JSON object are a problem and written as null;
@@ -24,11 +24,14 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rollbook.operators.joins import spread_join
 from rollbook.operators.numbering import number_rows
 from rollbook.session import materialise
 
 
+# log2 of the row numbers in a piece of a conversation.
+PIECE_BITS = 12
+
+
 @dataclass(frozen=True)
 class Field:
     """A field of a tool's arguments; bounds hold for a number's value and a string's length."""
@@ -131,6 +134,16 @@ def _levels(linked: DataFrame, edges: DataFrame) -> DataFrame:
     return open_calls.withColumn("level", F.lit(0)).limit(0) if done is None else done
 
 
+def _pieces(numbered: DataFrame) -> DataFrame:
+    """``(_conv, _first, _piece)``: each conversation's first number, once per piece of the row numbers that it reaches into.
+
+    A conversation's numbers are consecutive, so there are hardly more pieces than conversations.
+    """
+    ends = numbered.groupBy(F.col("conv_id").alias("_conv")).agg(F.min("_number").alias("_first"), F.max("_number").alias("_end"))
+    return ends.select("_conv", "_first", F.explode(
+        F.sequence(F.shiftright("_first", PIECE_BITS), F.shiftright("_end", PIECE_BITS))).alias("_piece"))
+
+
 def ordered(linked: DataFrame) -> DataFrame:
     """The linked rows with ``position`` in a topological order of their conversation, from 1, and ``n_missing`` dependencies.
 
@@ -152,11 +165,10 @@ def ordered(linked: DataFrame) -> DataFrame:
     )
     numbered = number_rows(placed, ["conv_id", "_last", "level", "turn", "call_id"], "_number")
     numbered = materialise(numbered, "numbered")
-    first = numbered.groupBy(F.col("conv_id")).agg(F.min("_number").alias("_first"))
-    key = F.coalesce(F.concat(F.lit("="), F.col("conv_id").cast("string")), F.lit("")).alias("_conv")
-    joined = spread_join(numbered.select("*", key), first.select(key, "_first"), ["_conv"], ["_number"], "left")
+    own = F.col("conv_id").eqNullSafe(F.col("_conv")) & (F.shiftright("_number", PIECE_BITS) == F.col("_piece"))
+    joined = numbered.join(_pieces(numbered), own, "left")
     return joined.withColumn("position", F.when(~F.col("_last"), F.col("_number") - F.col("_first") + 1)).withColumn(
-        "n_missing", F.coalesce("n_missing", F.lit(0))).drop("_conv", "_first", "_number", "_row", "_mixed", "_cyclic", "_last", "level")
+        "n_missing", F.coalesce("n_missing", F.lit(0))).drop("_conv", "_piece", "_first", "_number", "_row", "_mixed", "_cyclic", "_last", "level")
 
 
 def tool_calls(calls: DataFrame, results: DataFrame, schemas: Schemas) -> DataFrame:

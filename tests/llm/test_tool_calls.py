@@ -76,5 +76,21 @@ def test_the_link_is_a_hash_join(spark):
     assert "ShuffledHashJoin" in plan and "SortMergeJoin" not in plan
 
 
+def test_positions_in_pieces(spark):
+    """Long conversations, many short ones and rows without one; each conversation's first number is repeated by piece only."""
+    n = 3 << tc.PIECE_BITS
+    long = spark.range(n).selectExpr("7L conv_id", "id turn", "concat('c', id) call_id")
+    short = spark.range(6000).selectExpr("1000 + id div 3 conv_id", "id % 3 turn", "concat('s', id) call_id")
+    none = spark.range(5).selectExpr("cast(NULL AS long) conv_id", "id turn", "concat('n', id) call_id")
+    calls = long.unionByName(short).unionByName(none).selectExpr("*", "'ping' name", "'{}' arguments", "cast(NULL AS array<string>) depends_on")
+    linked = tc.link(calls, spark.createDataFrame([], RESULTS))
+    got = tc.ordered(linked)
+    assert got.count() == n + 6005 and got.filter("NOT position <=> turn + 1").isEmpty()
+    numbered = calls.selectExpr("conv_id", "row_number() OVER (ORDER BY conv_id, turn) _number")
+    assert 2002 + 3 <= tc._pieces(numbered).count() <= 2002 + (n + 6005 >> tc.PIECE_BITS) + 1
+    parts = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "_salt" not in parts
+
+
 def test_empty(spark):
     assert run(spark, [], []) == {}
